@@ -1,0 +1,6 @@
+"""All queries of the engine by name, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
