@@ -1,0 +1,40 @@
+"""The pipeline's stages, each against a plain version on its own input."""
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+from test_first import plain_base, plain_components, plain_decontam, plain_fingerprint
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, odd, documents):
+    docs = documents.unionByName(odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars")))
+    docs = docs.withColumn("doc_id", F.when(F.col("lang") == "xx", None).otherwise(F.col("doc_id"))).withColumn("component", F.lit(1))
+    (_, toxic), (_, near), (_, clean), (_, masked), (_, packed) = corpus_pipeline.STAGES
+    a = toxic(spark, docs, SF)
+    assert a.columns == docs.columns and a.count() > 0.8 * docs.count()
+    assert a.exceptAll(docs).count() == 0
+    b = near(spark, docs, SF)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    comp = plain_components([i for i, _ in rows], [plain_fingerprint(t) for _, t in rows])
+    assert sorted(r.doc_id for r in b.collect() if r.doc_id is not None) == sorted({c for c in comp if c is not None}) and b.count() == len({*comp})
+    assert b.columns == docs.columns
+    c = clean(spark, docs, SF)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = [i for i, n, hit, _ in plain_decontam(rows, bench) if hit and 20 * hit >= n]
+    assert bad and c.count() == len(rows) - len(bad) and not {r.doc_id for r in c.collect()} & set(bad)
+    d = masked(spark, docs, SF)
+    assert d.columns == docs.columns and d.count() == docs.count()
+    assert any(plain_base(t) for _, t in rows) and not any(plain_base(r.text) for r in d.collect())
+    e = packed(spark, docs, SF)
+    assert {"doc_id", "sequence_id", "offset", "length"} <= set(e.columns) and e.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_run(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 50 and out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_empty_tables(spark, documents):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents.where("false"), SF).count() == 0
