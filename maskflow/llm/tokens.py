@@ -7,6 +7,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, table, text_batches, written
 
 #: Distinct words whose ids a worker remembers, and the longest one that it does.
-CACHED_WORDS, CACHED_CHARS = 300_000, 64
+CACHED_WORDS, CACHED_CHARS = 400_000, 64
 CAPACITY = 4096
 #: Pieces that one packing task takes; tasks pack on their own.
 GROUP_PIECES = 100_000
@@ -26,6 +27,40 @@ GROUP_PIECES = 100_000
 SHARD_IDS = 4_000_000
 
 
+#: Byte-level vocabularies write a byte as the character of its code if that is visible, else as the next one from
+#: U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _VISIBLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_VISIBLE))}
+
+
+_SPACE = chr(_ALPHABET[32])
+
+
+class Memo(dict):
+    """Ids of words, each with ``before`` in front of it. Words with marks at their end are put together from the
+    word and the marks, which both vocabularies keep apart. What was met since the last clearing, and before it, is
+    kept in two parts, so that frequent words stay."""
+
+    MARKS = ".,;:!?|#$%&*"
+
+    def __init__(self, encode, before: str, marks: dict | None = None):
+        super().__init__()
+        self.encode, self.before, self.marks, self.old = encode, before, self if marks is None else marks, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if (ids := self.old.get(word)) is None:
+            core = word.rstrip(self.MARKS)
+            if core and len(core) < len(word) and core[-1].isalnum():
+                return self[core] + self.marks[word[len(core) :]]
+            ids = self.encode(self.before, word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """ids(text): the ids of a text as little-endian uint32 bytes, equal to the library's for the whole text.
 
@@ -34,7 +69,8 @@ class Encoder:
     space, others keep it with the word that follows. Texts with characters that Python and the library do not both
     hold for white space are encoded whole. Strings of special tokens in a text are ordinary text."""
 
-    _CHUNK, _ODD = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile("[\x1c-\x1f\x85᠎]")
+    _CHUNK, _ODD = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile("[\x1c-\x1f\x85\u180e]")
+    _of: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,7 +80,30 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced = self.tokenizer.normalizer is not None
         self.wide = self.tokenizer.get_vocab_size() > 65536
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.first = Memo(self.word, "")
+        self.later = Memo(self.word, " ", self.first)
+
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        """The worker's own one, which later tasks use again."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def word(self, before: str, word: str) -> bytes:
+        """Words of Latin letters are one piece for both vocabularies, so they can go straight to the library's
+        model: in its alphabet for bytes and, where it drops white space, in lower case."""
+        if not word.isalpha():
+            return self.whole(before + word)
+        low = word.lower() if self.spaced else word
+        if low.isascii():
+            written = _SPACE + low if before else low
+        elif max(low) < "\u0250" and low.isalpha():
+            written = (before + low).encode().decode("latin-1").translate(_ALPHABET)
+        else:
+            return self.whole(before + word)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -52,18 +111,18 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if self._ODD.search(text):
             return self.whole(text)
-        chunks = text.split() if self.spaced else self._CHUNK.findall(text)
-        get, known = self.known.get, self.known
-        out = [get(c) for c in chunks]
-        for i, x in enumerate(out) if None in out else ():
-            if x is None:
-                c = chunks[i]
-                out[i] = get(c) or self.whole(c)
-                if len(c) <= CACHED_CHARS:
-                    known[c] = out[i]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        return b"".join(out)
+        first, later = self.first, self.later
+        words = text.split()
+        if self.spaced:
+            return b"".join(map(first.__getitem__, words))
+        if " ".join(words) != text.replace("\n", " "):
+            return b"".join(map(first.__getitem__, self._CHUNK.findall(text)))
+        # single spaces and line ends only: both are borders, and a space goes with the word after it
+        lines = []
+        for line in text.split("\n"):
+            own = line.split(" ")
+            lines.append(first[own[0]] + b"".join(map(later.__getitem__, own[1:])))
+        return first["\n"].join(lines) if words else b""
 
 
 # ------------------------------------------------------------------ packing
@@ -76,7 +135,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for k, text in enumerate(b.column(1).to_pylist()):
@@ -270,7 +329,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc
     d = d.repartitionByRange("id", "_h").sortWithinPartitions("id", "_h", "text")
 
     def run(batches):
-        encoder, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer_path), np.array([end_id], "<u4").tobytes()
         store, root = fs.FileSystem.from_uri(out)
         part, seq = TaskContext.get().partitionId(), 0
         ids, parts, ends, n = [], [], [], 0
