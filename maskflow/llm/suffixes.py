@@ -15,7 +15,7 @@ LENGTH = 400
 #: Bytes of the windows whose least hash routes a string; a power of two below LENGTH.
 GRAM = 64
 #: Bytes of text that a shard aims at.
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_000_000
 
 # ------------------------------------------------------------------ suffix sorting
 
@@ -217,18 +217,18 @@ def routes(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
     size = np.diff(np.r_[first, n])
     value = low[first]
-    # places where the gram hash is the least one of the window that starts or ends with it
-    places = np.zeros(len(first), np.int64)
-    stop = first + size - 1 + w
-    order = np.argsort(h, kind="stable") if len(first) else np.zeros(0, np.int64)
-    hs = h[order]
-    a = np.searchsorted(hs, value, side="left")
-    b = np.searchsorted(hs, value, side="right")
-    single = b - a == 1
-    places[single] = 1
-    for k in np.flatnonzero(~single).tolist():
-        at = order[a[k] : b[k]]
-        places[k] = np.count_nonzero((at >= first[k]) & (at < stop[k]))
+    # a gram is selected if it is the least of some window: then the largest least hash about it is its own
+    padded = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
+    step, high = 1, padded
+    while step * 2 <= w:
+        high = np.maximum(high[: len(high) - step], high[step:])
+        step *= 2
+    high = np.maximum(high[: len(h)], high[w - step : w - step + len(h)])
+    chosen = np.flatnonzero(high == h)
+    a, b = np.searchsorted(chosen, first), np.searchsorted(chosen, first + size - 1 + w)
+    run = np.repeat(np.arange(len(first)), b - a)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+    places = np.bincount(run, h[chosen[at]] == value[run], len(first)).astype(np.int64)
     return value, first, size, places
 
 
@@ -273,10 +273,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data = text.encode("utf-8", "surrogatepass")
                 n_bytes.append(len(data))
                 shas.append(hashlib.sha256(data).hexdigest())
-                value, first, size, places = routes(data, length)
-                runs.append([{"m": m, "at": a, "n": n, "k": k} for m, a, n, k in zip(value.view(np.int64).tolist(), first.tolist(), size.tolist(), places.tolist())])
-            kind_ = pa.list_(pa.struct([("m", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("k", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_bytes, pa.int64()), pa.array(shas), pa.array(runs, kind_)], names=["id", "t", "n_bytes", "sha", "runs"])
+                runs.append(routes(data, length))
+            ends = np.cumsum([0, *(len(r[0]) for r in runs)]).astype(np.int32)
+            parts = [np.concatenate([r[k] for r in runs]) for k in range(4)] if runs else [np.zeros(0, np.int64)] * 4
+            kinds = [np.int64, np.int32, np.int32, np.int32]
+            fields = pa.StructArray.from_arrays([pa.array(x.view(np.int64).astype(y)) for x, y in zip(parts, kinds)], names=["m", "at", "n", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_bytes, pa.int64()), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(ends), fields)], names=["id", "t", "n_bytes", "sha", "runs"])
 
     sketch = written(keyed.mapInArrow(sketched, f"id {kind}, t binary, n_bytes long, sha string, runs array<struct<m:long,at:int,n:int,k:int>>"), "sketch")
     # one document stands for each text; a null id only where there is no other
