@@ -12,14 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, written
+from .common import lean, table, text_batches, written
 
 ORDER = 3
 BACKOFF = 0.4
 #: A block of documents holds so many words, or one document.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 400_000
 #: Distinct n-grams that one part of the count tables is to hold.
-PART_GRAMS = 3_000_000
+PART_GRAMS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -138,25 +138,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         held, texts, n = [], [], 0  # n: words, about
         squeezed = zstandard.ZstdCompressor(level=1)
 
+        id_type = pa.null()
+
         def flush():
             nonlocal held, texts, n, seq
-            ids = pa.array([pa.concat_arrays(held).to_pylist()], pa.list_(held[0].type))
+            ids = pa.array([held], pa.list_(id_type))
             out = pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), pa.array([n], pa.int64()), ids, pa.array([squeezed.compress(_pack(texts))], pa.binary())], names=["block", "words", "ids", "texts"])
             held, texts, n, seq = [], [], 0, seq + 1
+            lean()
             return out
 
         for b in batches:
+            id_type = b.schema.field(0).type
             own = b.column(1).to_pylist()
             at = 0
             for k, t in enumerate(own):
                 n += (len(t or "") // 6) + 1
                 texts.append(t or "")
                 if n >= BLOCK_WORDS:
-                    held.append(b.column(0).slice(at, k + 1 - at))
+                    held += b.column(0).slice(at, k + 1 - at).to_pylist()
                     at = k + 1
                     yield flush()
             if at < len(own):
-                held.append(b.column(0).slice(at))
+                held += b.column(0).slice(at).to_pylist()
         if texts:
             yield flush()
 
@@ -168,6 +172,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         return Block([words.of(t) for t in _unpack(zstandard.ZstdDecompressor().decompress(data))], order)
 
     def exploded(batches):
+        lean()
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
                 block = block_of(data.as_py())
@@ -179,6 +184,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name]), pa.array([n], pa.int32()), pa.array([squeeze(block.grams[n][a:z])], pa.binary()), pa.array([squeeze_counts(block.counts[n][a:z])], pa.binary())], names=["part", "block", "n", "grams", "counts"])
 
     def counted(t: pa.Table) -> pa.Table:
+        lean()
         out = []
         for n in range(order):
             own = [(b, unsqueeze(g), unsqueeze_counts(c)) for b, m, g, c in zip(*(t.column(k).to_pylist() for k in ("block", "n", "grams", "counts"))) if m == n]
@@ -198,6 +204,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     n_words = written(table_.select("block", "texts").mapInArrow(lambda bs: (_sizes(b) for b in bs), "words long"), "lm-sizes").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         rows = []
         for ids, data in zip(left.column("ids"), left.column("texts")):
             block = block_of(data.as_py())

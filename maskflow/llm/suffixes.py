@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, table, text_batches, written
+from .common import byte_hashes, lean, table, text_batches, written
 
 LENGTH = 400
 #: Bytes of the windows whose least hash routes a string; a power of two below LENGTH.
 GRAM = 64
 #: Bytes of text that a shard aims at.
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 500_000
 
 # ------------------------------------------------------------------ suffix sorting
 
@@ -268,6 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sketched(batches):
         for b in batches:
+            lean()
             n_bytes, shas, runs = [], [], []
             for text in b.column(2).to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
@@ -296,6 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches):
         for b in batches:
+            lean()
             m_, sh, t_, at_, sub = [], [], [], [], []
             for t, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
@@ -311,6 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = pieces.mapInArrow(cut, "shard int, t binary, at int, bytes binary")
 
     def sorted_shard(t: pa.Table) -> pa.Table:
+        lean()
         groups: dict[bytes, list[tuple[bytes, int]]] = {}
         for k, at, x in zip(t.column("t").to_pylist(), t.column("at").to_pylist(), t.column("bytes").to_pylist()):
             groups.setdefault(x, []).append((k, at))
@@ -332,6 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def kept(batches):
         for b in batches:
+            lean()
             removed, n_spans, shas = [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
