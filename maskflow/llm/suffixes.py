@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data = text.encode("utf-8", "surrogatepass")
                 for w in want:
                     m_.append(w["m"])
-                    sh.append((w["m"] & 0xFFFFFFFFFFFFFFFF) * shards >> 64 if shards > 1 else 0)
+                    sh.append(((w["m"] * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) * shards) >> 64)  # least hashes are small
                     t_.append(t)
                     at_.append(w["at"])
                     sub.append(data[w["at"] : w["at"] + w["n"] + length - 1])
