@@ -24,6 +24,14 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
+#: Bits of a hash that the first round leaves out.
+_SHORT = np.uint64(24)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 class Words:
     """64-bit hashes of a text's words (white space parts them, A-Z are lower-cased)."""
 
@@ -31,7 +39,7 @@ class Words:
         self.known: dict[bytes, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        words = _words(text)
         known, digest = self.known, xxhash.xxh64_intdigest
         if len(known) > 1_000_000:
             known.clear()
@@ -42,9 +50,8 @@ class Words:
         return np.array(out, np.uint64)
 
 
-def grams(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each word; those that would cross a document's start are no n-grams, and
-    hold anything. starts: place of each word in its document."""
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words that end at each word; where there are fewer it holds anything."""
     h = words * _MIX[0] + _MIX[n]
     for k in range(1, n):
         h[k:] = (h[k:] ^ (h[k:] >> np.uint64(29))) * _MIX[3] + words[: len(words) - k] * _MIX[k % 3]
@@ -74,9 +81,10 @@ def unsqueeze_counts(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """The words of some documents, with the distinct n-grams of each order in hash order."""
+    """The words of some documents, with the distinct n-grams of each order in hash order and their counts; with
+    ``places``, also where they stand."""
 
-    def __init__(self, docs: list[np.ndarray], order: int):
+    def __init__(self, docs: list[np.ndarray], order: int, places: bool = False):
         self.sizes = np.array([len(d) for d in docs], np.int64)
         words = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
         first = np.cumsum(self.sizes) - self.sizes
@@ -85,19 +93,22 @@ class Block:
         self.grams, self.counts, self.at, self.own = [], [], [], []
         for n in range(1, order + 1):
             ends = np.flatnonzero(self.place >= n - 1)
-            g = grams(words, self.place, n)[ends]
-            u, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
+            g = grams(words, n)[ends]
+            if not places:
+                u, count = np.unique(g, return_counts=True)
+            else:
+                u, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
+                at = np.full(len(words), -1, np.int64)
+                at[ends] = inverse
+                self.at.append(at)
+                # how often the n-gram that ends here stands in this document
+                pair = inverse * np.int64(len(docs) + 1) + self.doc[ends]
+                _, pi, pc = np.unique(pair, return_inverse=True, return_counts=True)
+                own = np.zeros(len(words), np.int64)
+                own[ends] = pc[pi]
+                self.own.append(own)
             self.grams.append(u)
             self.counts.append(count)
-            at = np.full(len(words), -1, np.int64)
-            at[ends] = inverse
-            self.at.append(at)
-            # how often the n-gram that ends here stands in this document
-            pair = inverse * np.int64(len(docs) + 1) + self.doc[ends]
-            _, pi, pc = np.unique(pair, return_inverse=True, return_counts=True)
-            own = np.zeros(len(words), np.int64)
-            own[ends] = pc[pi]
-            self.own.append(own)
 
     def scores(self, totals: list[np.ndarray], n_words: int, backoff: float) -> np.ndarray:
         """Mean natural log of the scores of a document's words; 0 for one without words."""
@@ -126,97 +137,145 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     the document itself. Repeated rows are documents of their own.
 
     The documents become blocks. A block sends its distinct n-grams, exploded and counted, to the parts of the
-    count tables, which are split by hash; a part adds up the counts of all blocks, joins them to each block's
-    n-grams, and sends them back; a block then sums its documents. So a frequent n-gram is one entry per block,
-    no part or block holds more than its share, and words travel as hashes of 64 bits."""
+    count tables, which are split by hash. It first sends the upper 40 bits of their hashes: a part answers which
+    stand in another block too, and the counts of all others are complete as they are. The block then sends those
+    that may be shared, whole and with counts; the parts add them up, join the sums to each block's n-grams, and
+    send them back; and the block sums its documents. So a frequent n-gram is one entry per block, no part or block
+    holds more than its share, and words travel as hashes of 64 bits."""
     spark = docs.sparkSession
     text_batches(spark)
     kind = dict(docs.dtypes)[id_col]
 
     def blocks(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        held, texts, n = [], [], 0  # n: words, about
-        squeezed = zstandard.ZstdCompressor(level=1)
-
-        id_type = pa.null()
+        held, texts, n, id_type = [], [], 0, pa.null()
+        squeezed = zstandard.ZstdCompressor(level=3)
 
         def flush():
             nonlocal held, texts, n, seq
-            ids = pa.array([held], pa.list_(id_type))
-            out = pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), pa.array([n], pa.int64()), ids, pa.array([squeezed.compress(_pack(texts))], pa.binary())], names=["block", "words", "ids", "texts"])
+            out = pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), pa.array([n], pa.int64()), pa.array([held], pa.list_(id_type)), pa.array([squeezed.compress(_pack(texts))], pa.binary())], names=["block", "words", "ids", "texts"])
             held, texts, n, seq = [], [], 0, seq + 1
             lean()
             return out
 
         for b in batches:
             id_type = b.schema.field(0).type
-            own = b.column(1).to_pylist()
-            at = 0
-            for k, t in enumerate(own):
-                n += (len(t or "") // 6) + 1
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n += len(_words(t))
+                held.append(i)  # ids as objects, so that the batch they came in can go
                 texts.append(t or "")
                 if n >= BLOCK_WORDS:
-                    held += b.column(0).slice(at, k + 1 - at).to_pylist()
-                    at = k + 1
                     yield flush()
-            if at < len(own):
-                held += b.column(0).slice(at).to_pylist()
         if texts:
             yield flush()
 
     table_ = written(docs.select(id_col, text_col).mapInArrow(blocks, f"block string, words long, ids array<{kind}>, texts binary"), "lm-blocks")
-    n_parts = max(1, -(-int(table_.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]) * order // PART_GRAMS))
+    n_words = int(table_.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
+    n_parts = max(1, -(-n_words * order // PART_GRAMS))
 
-    def block_of(data: bytes) -> Block:
+    def block_of(data: bytes, places: bool = False) -> Block:
         words = Words()
-        return Block([words.of(t) for t in _unpack(zstandard.ZstdDecompressor().decompress(data))], order)
+        return Block([words.of(t) for t in _unpack(zstandard.ZstdDecompressor().decompress(data))], order, places)
+
+    def sent(name: str, n: int, values: np.ndarray, edges: np.ndarray, counts: np.ndarray | None):
+        for p in range(n_parts):
+            a, z = edges[p], edges[p + 1]
+            if a < z:
+                yield p, name, n, squeeze(values[a:z]), squeeze_counts(counts[a:z]) if counts is not None else b""
+
+    def rows(found) -> pa.Table:
+        cols = list(zip(*found)) or [[]] * 5
+        return pa.table({"part": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1], pa.string()), "n": pa.array(cols[2], pa.int32()), "grams": pa.array(cols[3], pa.binary()), "counts": pa.array(cols[4], pa.binary())})
+
+    grams_schema = "part int, block string, n int, grams binary, counts binary"
 
     def exploded(batches):
-        lean()
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                lean()
                 block = block_of(data.as_py())
                 for n in range(order):
-                    edges = np.searchsorted(block.grams[n], _edges(n_parts))
-                    for p in range(n_parts):
-                        a, z = edges[p], edges[p + 1]
-                        if a < z:
-                            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([name]), pa.array([n], pa.int32()), pa.array([squeeze(block.grams[n][a:z])], pa.binary()), pa.array([squeeze_counts(block.counts[n][a:z])], pa.binary())], names=["part", "block", "n", "grams", "counts"])
+                    u = block.grams[n]
+                    yield from rows(sent(name, n, u >> _SHORT, np.searchsorted(u, _edges(n_parts)), None)).to_batches()
+
+    def gathered(t: pa.Table, n: int) -> tuple[list, np.ndarray, list]:
+        own = [(b, unsqueeze(g), c) for b, m, g, c in zip(*(t.column(k).to_pylist() for k in ("block", "n", "grams", "counts"))) if m == n]
+        return [(b, len(g)) for b, g, _ in own], np.concatenate([g for _, g, _ in own]) if own else np.zeros(0, np.uint64), [c for _, _, c in own]
+
+    def met_twice(t: pa.Table) -> pa.Table:
+        lean()
+        out, p = [], t.column("part")[0].as_py()
+        for n in range(order):
+            names, values, _ = gathered(t, n)
+            order_ = np.argsort(values, kind="stable")
+            v = values[order_]
+            same = np.append(v[1:] == v[:-1], False)
+            shared = np.empty(len(v), bool)
+            shared[order_] = same | np.concatenate([[False], same[:-1]])[: len(v)]
+            at = 0
+            for b, size in names:
+                out.append((p, b, n, np.packbits(shared[at : at + size]).tobytes(), size.to_bytes(8, "little")))
+                at += size
+        return rows(out)
+
+    masks = written(table_.select("block", "texts").mapInArrow(exploded, grams_schema).groupBy("part").applyInArrow(met_twice, grams_schema), "lm-masks")
+
+    def mask_of(right: pa.Table) -> list[np.ndarray]:
+        got: list[list] = [[] for _ in range(order)]
+        for _, n, bits, size in sorted(zip(*(right.column(k).to_pylist() for k in ("part", "n", "grams", "counts")))):
+            got[n].append(np.unpackbits(np.frombuffer(bits, np.uint8))[: int.from_bytes(size, "little")].astype(bool))
+        return [np.concatenate(x) if x else np.zeros(0, bool) for x in got]
+
+    def shared_only(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
+        found = []
+        for name, data in zip(left.column("block").to_pylist(), left.column("texts")):
+            block = block_of(data.as_py())
+            for n, mask in enumerate(mask_of(right)):
+                u = block.grams[n][mask]
+                found += sent(name, n, u, np.searchsorted(u, _edges(n_parts)), block.counts[n][mask])
+        return rows(found)
+
+    keyed = table_.select("block", "texts").groupBy("block")
 
     def counted(t: pa.Table) -> pa.Table:
         lean()
-        out = []
+        out, p = [], t.column("part")[0].as_py()
         for n in range(order):
-            own = [(b, unsqueeze(g), unsqueeze_counts(c)) for b, m, g, c in zip(*(t.column(k).to_pylist() for k in ("block", "n", "grams", "counts"))) if m == n]
-            if not own:
+            names, values, counts = gathered(t, n)
+            if not names:
                 continue
-            u, inverse = np.unique(np.concatenate([g for _, g, _ in own]), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([c for _, _, c in own])).astype(np.int64)
+            _, inverse = np.unique(values, return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([unsqueeze_counts(c) for c in counts])).astype(np.int64)[inverse]
             at = 0
-            for b, g, _ in own:
-                out.append((t.column("part")[0].as_py(), b, n, squeeze_counts(total[inverse[at : at + len(g)]])))
-                at += len(g)
-        cols = list(zip(*out))
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "block": pa.array(cols[1]), "n": pa.array(cols[2], pa.int32()), "totals": pa.array(cols[3], pa.binary())})
+            for b, size in names:
+                out.append((p, b, n, b"", squeeze_counts(total[at : at + size])))
+                at += size
+        return rows(out)
 
-    counts = table_.select("block", "texts").mapInArrow(exploded, "part int, block string, n int, grams binary, counts binary").groupBy("part").applyInArrow(counted, "part int, block string, n int, totals binary")
-    totals = written(counts, "lm-counts")
-    n_words = written(table_.select("block", "texts").mapInArrow(lambda bs: (_sizes(b) for b in bs), "words long"), "lm-sizes").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    totals = written(keyed.cogroup(masks.groupBy("block")).applyInArrow(shared_only, grams_schema).groupBy("part").applyInArrow(counted, grams_schema), "lm-counts")
+    answers = masks.withColumn("kind", F.lit(0)).union(totals.withColumn("kind", F.lit(1)))
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         lean()
         rows = []
+        kinds = np.array(right.column("kind").to_pylist(), np.int64)
+        masks, sums = (right.filter(pa.array(kinds == k)) for k in (0, 1))
         for ids, data in zip(left.column("ids"), left.column("texts")):
-            block = block_of(data.as_py())
+            block = block_of(data.as_py(), places=True)
             got: list[list] = [[] for _ in range(order)]
-            for p, n, c in sorted(zip(*(right.column(k).to_pylist() for k in ("part", "n", "totals")))):
+            for _, n, c in sorted(zip(*(sums.column(k).to_pylist() for k in ("part", "n", "counts")))):
                 got[n].append(unsqueeze_counts(c))
-            totals = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in got]
-            rows.append(pa.table({id_col: ids.values, "n_words": pa.array(block.sizes), "score": pa.array(block.scores(totals, int(n_words), backoff))}))
+            totals = []
+            for n, mask in enumerate(mask_of(masks)):
+                total = block.counts[n].astype(np.int64)
+                if got[n]:
+                    total[mask] = np.concatenate(got[n])
+                totals.append(total)
+            rows.append(pa.table({id_col: ids.values, "n_words": pa.array(block.sizes), "score": pa.array(block.scores(totals, n_words, backoff))}))
         return pa.concat_tables(rows)
 
-    keyed = table_.select("block", "ids", "texts")
-    return keyed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(summed, f"`{id_col}` {kind}, n_words long, score double")
+    return table_.select("block", "ids", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(summed, f"`{id_col}` {kind}, n_words long, score double")
 
 
 def _edges(parts: int) -> np.ndarray:
@@ -236,11 +295,6 @@ def _unpack(data: bytes) -> list[str]:
     return pa.ipc.open_stream(data).read_all().column(0).to_pylist()
 
 
-def _sizes(b: pa.RecordBatch) -> pa.RecordBatch:
-    n = [sum(len(t.encode("utf-8", "surrogatepass").translate(_LOWER).split()) for t in _unpack(zstandard.ZstdDecompressor().decompress(d.as_py()))) for d in b.column(1)]
-    return pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["words"])
-
-
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score(table(spark, sf_dir, "documents"))
     return s.select("doc_id", "n_words", F.round("score", 6).alias("score"))
