@@ -97,15 +97,19 @@ class Block:
             if not places:
                 u, count = np.unique(g, return_counts=True)
             else:
-                u, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
+                # one stable sort: equal n-grams meet, in the order of their documents
+                o = np.argsort(g, kind="stable")
+                g, doc = g[o], self.doc[ends[o]]
+                new = np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]
+                u, count = g[new], np.diff(np.append(np.flatnonzero(new), len(g)))
                 at = np.full(len(words), -1, np.int64)
-                at[ends] = inverse
+                at[ends[o]] = np.cumsum(new) - 1
                 self.at.append(at)
                 # how often the n-gram that ends here stands in this document
-                pair = inverse * np.int64(len(docs) + 1) + self.doc[ends]
-                _, pi, pc = np.unique(pair, return_inverse=True, return_counts=True)
+                pair = new | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(g)]
+                times = np.diff(np.append(np.flatnonzero(pair), len(g)))
                 own = np.zeros(len(words), np.int64)
-                own[ends] = pc[pi]
+                own[ends[o]] = np.repeat(times, times)
                 self.own.append(own)
             self.grams.append(u)
             self.counts.append(count)
