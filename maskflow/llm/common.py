@@ -55,7 +55,7 @@ def lean() -> None:
         import ctypes
 
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise rises to 32 MB
+        libc.mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD: smaller arrays use the heap again and again, and the trim gives it back
         libc.malloc_trim(0)
     except (OSError, AttributeError):
         pass

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +33,10 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-class Words:
-    """64-bit hashes of a text's words (white space parts them, A-Z are lower-cased)."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = _words(text)
-        known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > 1_000_000:
-            known.clear()
-        out = [known.get(w) for w in words]
-        for i, h in enumerate(out) if None in out else ():
-            if h is None:
-                out[i] = known[words[i]] = digest(words[i], 7)
-        return np.array(out, np.uint64)
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words. (A table of known words would cost more than it saves: most are rare.)"""
+    words = _words(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -178,8 +167,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     n_parts = max(1, -(-n_words * order // PART_GRAMS))
 
     def block_of(data: bytes, places: bool = False) -> Block:
-        words = Words()
-        return Block([words.of(t) for t in _unpack(zstandard.ZstdDecompressor().decompress(data))], order, places)
+        return Block([word_hashes(t) for t in _unpack(zstandard.ZstdDecompressor().decompress(data))], order, places)
 
     def sent(name: str, n: int, values: np.ndarray, edges: np.ndarray, counts: np.ndarray | None):
         for p in range(n_parts):
