@@ -92,7 +92,7 @@ def trace_events(records: DataFrame) -> DataFrame:
     """Each record as two ingestion events: a trace, and the generation below it. The generation's id derives from
     the request's, so that a second attempt makes the same events."""
     has = lambda c, kind: F.col(c) if c in records.columns else F.lit(None).cast(kind)
-    trace = F.struct(F.lit("trace-create").alias("type"), F.col("request_id").alias("trace_id"), F.lit("corp-llm-gateway").alias("name"), F.array(F.concat(F.lit("team:"), has("team_id", "string")), F.concat(F.lit("provider:"), has("provider", "string"))).alias("tags"), F.lit(None).cast("long").alias("tokens"))
+    trace = F.struct(F.lit("trace-create").alias("type"), F.col("request_id").alias("trace_id"), F.lit("maskflow").alias("name"), F.array(F.concat(F.lit("team:"), has("team_id", "string")), F.concat(F.lit("provider:"), has("provider", "string"))).alias("tags"), F.lit(None).cast("long").alias("tokens"))
     total = F.coalesce(has("prompt_token_count", "long"), F.lit(0)) + F.coalesce(has("completion_token_count", "long"), F.lit(0))
     generation = F.struct(F.lit("generation-create").alias("type"), F.col("request_id").alias("trace_id"), F.concat(has("provider", "string"), F.lit("-call")).alias("name"), F.array().cast("array<string>").alias("tags"), total.cast("long").alias("tokens"))
     return records.select(F.explode(F.array(trace, generation)).alias("event")).select("event.*")

@@ -171,3 +171,15 @@ def quota(requests: DataFrame, team: str, order: str, size: str, limit: int) ->
     g = requests.groupBy(team).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(size).cast("long").alias("_s"), F.struct(*requests.columns).alias("_r")))).alias("rows"))
     fold = F.aggregate("rows", acc0, lambda a, r: F.struct((a["used"] + F.when(a["used"] + r["_s"] <= limit, r["_s"]).otherwise(0)).alias("used"), F.concat(a["ok"], F.array(a["used"] + r["_s"] <= limit)).alias("ok")), lambda a: a["ok"])
     return g.select(F.explode(F.arrays_zip(F.col("rows"), fold.alias("ok"))).alias("x")).select("x.rows._r.*", F.col("x.ok").alias("admitted"))
+
+
+def oversize(df: DataFrame, text: str, threshold: int = 102_400, deliver: Column | None = None, clean: Column | None = None, out: str = "block_reason") -> DataFrame:
+    """``df`` plus oversize:blocked for texts of more than ``threshold`` bytes, or oversize:delivered where the team
+    takes flagged texts (``deliver``) and the full rescan was clean; null for others. By default none is delivered."""
+    passes = (deliver if deliver is not None else F.lit(False)) & (clean if clean is not None else F.lit(False))
+    return df.withColumn(out, F.when(F.octet_length(text) > threshold, F.when(passes, "oversize:delivered").otherwise("oversize:blocked")))
+
+
+def clamped(requested: Column, most: int) -> Column:
+    """Requested tokens up to the cap; null stays null."""
+    return F.when(requested.isNotNull(), F.least(requested, F.lit(most)))
