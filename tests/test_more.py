@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,7 +50,12 @@ def test_mapping_store(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         s = spark.readStream.schema("conversation_id string, seq long, original string, placeholder string").parquet(f"{tmp_path}/in")
-        store.stored(s).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+        # state with a time to live keeps the query going, so it is stopped once all rows are through
+        q = store.stored(s).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="1 second").start()
+        deadline = time.time() + 60
+        while time.time() < deadline and not (q.lastProgress and q.lastProgress["numInputRows"] == 0 and q.lastProgress["batchId"] > 0):
+            time.sleep(0.5)
+        q.stop()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert {(r.conversation_id, r.placeholder) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("c1", "[N_001]"), ("c2", None)}
