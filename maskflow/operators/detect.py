@@ -55,14 +55,15 @@ def raw_findings(text: Column, labels: Sequence[str] | None = None) -> Column:
 
 
 def detect(df: DataFrame, text_col: str = "text", labels: Sequence[str] | None = None, out: str = "findings") -> DataFrame:
-    """``df`` plus the non-overlapping findings of its text. Null counts as empty. The raw findings are a column of
-    their own, so that the reduction does not search the text again."""
-    d = df.withColumn("_raw", raw_findings(F.col(text_col), labels))
-    return d.withColumn(out, F.when(F.size("_raw") > 0, spans.without_overlaps(F.col("_raw"))).otherwise(F.array().cast(spans.FINDING))).drop("_raw")
+    """``df`` plus the non-overlapping findings of its text. Null counts as empty. The raw findings are
+    used once, so that no plan searches the text twice."""
+    return df.withColumn(out, spans.without_overlaps(raw_findings(F.col(text_col), labels)))
 
 
 def exploded(df: DataFrame, keys: Sequence[str], findings: str = "findings") -> DataFrame:
-    return df.select(*keys, F.explode(findings).alias("f")).select(*keys, "f.label", "f.start", "f.stop", "f.score", "f.text")
+    """One row per finding. An outer explode, as for an inner one the planner infers a filter on the array's size and
+    pushes it down, which would detect everything once more."""
+    return df.select(*keys, F.explode_outer(findings).alias("f")).where("f is not null").select(*keys, "f.label", "f.start", "f.stop", "f.score", "f.text")
 
 
 def disagreement(canonical: DataFrame, shadow: DataFrame, key: str) -> DataFrame:

@@ -47,12 +47,12 @@ def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", long
     table = F.broadcast(table) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else table.hint("merge")
     found = None
     for n in range(1, longest + 1):
-        at = w.where(F.size("_w") >= n).select(key, F.posexplode(_grams(n)).alias("_i", "seq"))
+        at = w.select(key, F.posexplode_outer(_grams(n)).alias("_i", "seq")).where("seq is not null")  # outer: see detect.exploded
         one = at.join(table, "seq").select(key, "_i", F.lit(n).alias("_n"), "label", F.lit(0).alias("_a"), F.lit(None).cast("int").alias("_b"))
         found = one if found is None else found.union(one)
     # only words that hold a change of case, a digit, a dash or an underscore can have parts
-    parts = w.select(key, F.posexplode("_w").alias("_i", "_x")).where(F.col("_x").rlike("[a-z0-9][A-Z]|[A-Z]{2}[a-z0-9]|[^A-Za-z]")).select(key, "_i", identifier_parts(F.col("_x")).alias("_q")).where("size(_q) > 1")
-    parts = parts.select(key, "_i", F.explode("_q").alias("_q")).select(key, "_i", F.array(F.lower("_q.text")).alias("seq"), F.col("_q.start").alias("_a"), F.col("_q.stop").alias("_b"))
+    parts = w.select(key, F.posexplode_outer("_w").alias("_i", "_x")).where(F.col("_x").rlike("[a-z0-9][A-Z]|[A-Z]{2}[a-z0-9]|[^A-Za-z]")).select(key, "_i", identifier_parts(F.col("_x")).alias("_q")).where("size(_q) > 1")
+    parts = parts.select(key, "_i", F.explode_outer("_q").alias("_q")).select(key, "_i", F.array(F.lower("_q.text")).alias("seq"), F.col("_q.start").alias("_a"), F.col("_q.stop").alias("_b"))
     found = found.union(parts.join(table, "seq").select(key, "_i", F.lit(1).alias("_n"), "label", "_a", "_b"))
     per_row = found.groupBy(key).agg(F.collect_list(F.struct("_i", "_n", "label", "_a", "_b")).alias("_h"))
     there = d.join(per_row, key).withColumn("_w", words(F.col("_t"))).withColumn("_p", F.split("_t", F.lit(r"(?U)\w+"), -1))
@@ -66,4 +66,6 @@ def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", long
 
 def _grams(n: int) -> Column:
     """Each run of n words, in lower case. (A function, as a lambda's default arguments would count as its own.)"""
-    return F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.transform(F.slice("_w", i + 1, n), lambda x: F.lower(x)))
+    low = F.transform("_w", lambda x: F.lower(x))
+    shifted = [F.slice(low, k + 1, F.greatest(F.size(low) - n + 1, F.lit(0))) if n > 1 else low for k in range(n)]
+    return F.transform(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)]), lambda z: F.array(*[z[f"w{k}"] for k in range(n)]))

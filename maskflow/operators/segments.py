@@ -54,7 +54,7 @@ def detect_by_segment(df: DataFrame, text_col: str = "text", code_labels: list[s
     over the whole text."""
     d = df.withColumn("_seg", segments(F.coalesce(F.col(text_col), F.lit(""))))
     rows = d.withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.select("_row", F.explode("_seg").alias("s"), F.col(text_col).alias("_t")).select("_row", "s.*", F.call_function("substring", F.col("_t"), F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("_part"))
+    parts = rows.select("_row", F.explode_outer("_seg").alias("s"), F.col(text_col).alias("_t")).where("s is not null").select("_row", "s.*", F.call_function("substring", F.col("_t"), F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("_part"))
     raw = raw_findings(F.col("_part"))
     if code_labels is not None:
         raw = F.when(F.col("kind") == "CODE", raw_findings(F.col("_part"), code_labels)).otherwise(raw)

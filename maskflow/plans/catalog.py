@@ -9,15 +9,24 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, patterns, spans
 from ..operators import audit, auth, classify, detect, gazetteer, leaves, mask, oracle, policy, rules, segments
-from ..session import ship
+from ..session import ship, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Tables of long texts, on which work outweighs moving the rows.
+TEXTS = ("documents", "conversations")
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def table(name: str) -> DataFrame:
+                df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+                return spread(df) if name in TEXTS else df
+
+            return f(table)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f

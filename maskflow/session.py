@@ -23,3 +23,10 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     return spark
+
+
+def spread(df):
+    """A table that comes in fewer parts than there are cores (one file with one row group, say) dealt out evenly,
+    for work that costs much more than moving the rows. Larger tables come in enough parts and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
