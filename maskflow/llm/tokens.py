@@ -243,9 +243,8 @@ for _b in range(256):
 
 class EliasFano:
     """A non-decreasing sequence of non-negative integers below 2**63. The low bits are packed side by side, the
-    rest is written in unary; a count of ones per block of bytes lets ``select`` find any element."""
-
-    BLOCK = 64
+    rest is written in unary; counts of ones before each byte, made when a sequence is loaded, let ``select`` find any
+    element."""
 
     def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray):
         self.n, self.low, self.lows, self.highs = n, low, lows, highs
