@@ -107,7 +107,7 @@ def request_id(body: Column, *paths: str) -> Column:
     """The first id at the given paths of a JSON payload that is not empty, else a hash of the payload (a random id
     would differ between attempts of a task)."""
     v = F.try_parse_json(body)
-    tries = [F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths or ("$.litellm_call_id", "$.metadata.request_id", "$.request_id", "$.id", "$.metadata.id")]
+    tries = [F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths or ("$.litellm_call_id", "$.litellm_params.litellm_call_id", "$.metadata.request_id", "$.litellm_metadata.request_id", "$.request_id")]
     return F.coalesce(*tries, F.sha2(body, 256))
 
 
