@@ -77,9 +77,10 @@ class Phrases:
         np.add.at(cover, pos + self.lengths[phrase], -1)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover)[:-1] > 0).astype(np.int8), [0]])))
         a, b = edge[::2], edge[1::2]
-        for d in np.unique(at_doc[a]):
-            own = at_doc[a] == d
-            spans[d] = np.stack([at_word[a[own]], at_word[b[own] - 1] + 1], 1)
+        both = np.stack([at_word[a], at_word[b - 1] + 1], 1)
+        cut = np.flatnonzero(np.diff(at_doc[a])) + 1
+        for d, own in zip(at_doc[a[np.r_[0, cut]]].tolist(), np.split(both, cut)):
+            spans[d] = own
         pairs = np.unique(at_doc[pos] * len(n) + phrase)
         for key in pairs.tolist():
             d, p = divmod(key, len(n))
