@@ -159,11 +159,13 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     v = written(v, "vectors")
     reps = written(v.groupBy("label", "dim", "x").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-reps")
     copies = v.join(reps.where("copies > 1").select("label", "x", F.col("id").alias("rep"), "copies"), ["label", "x"])
-    counts = {(r.label, r.dim): r.n for r in reps.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
     sample: dict[tuple, list] = {}
     for r in reps.select("label", "dim", "x").orderBy(F.xxhash64("x", "label")).limit(SAMPLE).collect():
         sample.setdefault((r.label, r.dim), []).append(r.x)
     spark = vectors.sparkSession
+    # sizes of the labels in the sample only, as there may be any number of others
+    met = spark.createDataFrame(list(sample), "label string, dim int")
+    counts = {(r.label, r.dim): r.n for r in reps.join(F.broadcast(met), ["label", "dim"], "left_semi").groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
     fitted = centroids({k: np.array(x, np.float64) for k, x in sample.items()}, counts)
     base, at = {}, 0
     for k in sorted(fitted):
@@ -184,9 +186,10 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.list_(pa.int64()))], names=[*b.schema.names, "shards"])
 
     nodes = written(reps.mapInArrow(assigned, "label string, dim int, x array<double>, id long, copies long, shards array<long>"), "vector-shards")
-    big = {r.s: -(-r.n // SHARD_MOST) for r in nodes.select(F.explode("shards").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_MOST).collect()}
-    per = F.create_map(*[F.lit(int(x)) for p in big.items() for x in p]) if big else F.create_map().cast("map<bigint,int>")
-    tasks = nodes.withColumn("s", F.explode("shards")).withColumn("m", F.coalesce(F.try_element_at(per, F.col("s")).cast("int"), F.lit(1)))
+    # a written table, so that Spark knows its size and broadcasts it only where it is small
+    shard = ["label", "dim", "s"]
+    big = written(nodes.select("label", "dim", F.explode("shards").alias("s")).groupBy(*shard).agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("m")).where("m > 1"), "vector-blocks")
+    tasks = nodes.withColumn("s", F.explode("shards")).join(big, shard, "left").withColumn("m", F.coalesce("m", F.lit(1)))
     tasks = tasks.withColumn("b", F.pmod(F.xxhash64("id"), F.col("m")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     tasks = tasks.select("label", "dim", "s", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "x", "copies", "shards")
     key = ["label", "dim", "s", "i", "j"]

@@ -167,6 +167,19 @@ def test_embedding_links(spark, monkeypatch):
     assert right >= 0.98 * len(got) and all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_labels_outside_the_sample(spark, monkeypatch):
+    """Labels that the sample has not met keep their links, however large they are together."""
+    monkeypatch.setattr(embeddings, "SAMPLE", 5)
+    monkeypatch.setattr(embeddings, "SHARD_MOST", 20)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 8))
+    rows = [(3 * i + k, (b + rng.normal(size=8) * 0.01).tolist(), i) for i, b in enumerate(base) for k in range(3)]
+    rows += [(1000 + i, (base[0] + rng.normal(size=8) * 0.01).tolist(), 500) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for r in embeddings.dedup(df).collect():
+        assert (r.n_links, r.component_id) == ((2, r.vec_id // 3 * 3) if r.vec_id < 1000 else (49, 1000))
+
+
 def test_embedding_audit_sees_lost_links(spark):
     _, df = vectors(spark)
     _, n = embeddings.links(df)
