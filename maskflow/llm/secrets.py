@@ -21,6 +21,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 MIXED = r"^(?=.*[0-9])(?=.*[A-Za-z])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Matches whose offsets are counted up together.
+STRIDE = 128
 #: Least bits of a window by character class of the candidate.
 LEAST_BITS = {"^[0-9a-fA-F]+$": 3.0, "^[A-Za-z0-9]+$": 3.7, "": 3.9}
 #: Candidates that are no secrets: UUIDs, paths and dashed or underscored words, counting sequences, known dummies.
@@ -29,21 +31,40 @@ ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^
 SPAN = "struct<start:int,ord:int,stop:int,kind:string>"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _strides(values: Column) -> Column:
+    return _let(values, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(STRIDE)), lambda at: F.slice(v, at + 1, STRIDE)))
+
+
 def found(text: Column, pattern: str, gate: Column) -> Column:
     """array<struct<start,stop,m>>: leftmost non-overlapping matches with code-point offsets, in one pass over the
-    pieces between matches and one over the matches; texts that the cheap gate refuses skip both."""
+    pieces between matches and one over the matches; texts that the cheap gate refuses skip both. Offsets are
+    counted up in strides, first over them and then within each, as an array grows by copying: a very long text
+    full of matches costs little more per match than a short one."""
     pieces = F.split(text, F.lit(pattern), -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.lit(0).cast("int")
     none = F.array().cast("array<struct<start:int,stop:int,m:string>>")
-    zipped = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
+    zero = F.lit(0).cast("int")
+    width = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), zero)
 
     def step(acc, x):
         at = acc["at"] + F.length(x["p"])
-        stop = at + F.length(F.coalesce(x["m"], F.lit("")))
+        stop = acc["at"] + width(x)
         return F.struct(stop.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(at.alias("start"), stop.alias("stop"), x["m"].alias("m"))))).alias("out"))
 
-    return F.when(gate, F.aggregate(zipped, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+    def base(acc, stride):
+        return F.struct((acc["at"] + F.aggregate(stride, zero, lambda n, x: n + width(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def counted(strides):
+        bases = F.aggregate(strides, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), base, lambda acc: acc["out"])
+        return _let(bases, lambda b: F.flatten(F.transform(strides, lambda stride, i: F.aggregate(stride, F.struct(F.get(b, i).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))))
+
+    zipped = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
+    return F.when(gate, _let(_strides(zipped), counted)).otherwise(none)
 
 
 def spans_of(matches: Column, kind: str) -> Column:
@@ -102,17 +123,32 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret in the text replaced by ``mask``; overlapping spans give one mask; null stays null."""
+    """``docs`` with each secret in the text replaced by ``mask``; overlapping spans give one mask; null stays null.
+    Spans are taken in strides, each with its own part of the text."""
     cols = docs.columns
     d = scan(docs, text_col)
     t = F.col(text_col)
+    zero = F.lit(0).cast("int")
+    cut = lambda s, at, n: F.call_function("substring", s, at + 1, n)
 
-    def step(acc, x):
-        joined = x["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(joined, acc["out"]).otherwise(F.concat(acc["out"], F.call_function("substring", t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).alias("out"))
+    def base(acc, stride):
+        last = F.coalesce(F.array_max(F.transform(stride, lambda x: x["stop"])), zero)
+        return F.struct(F.greatest(acc["at"], last).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def stride_of(part, start, stride):
+        def step(acc, x):
+            kept = F.concat(acc["out"], cut(part, acc["at"] - start, x["start"] - acc["at"]), F.lit(mask))
+            return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(kept).alias("out"))
+
+        return F.aggregate(stride, F.struct(start.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    def masked(strides):
+        # where each stride starts, and where the last one ends
+        bases = F.aggregate(strides, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), base, lambda acc: F.concat(acc["out"], F.array(acc["at"])))
+        parts = lambda b: F.transform(strides, lambda stride, i: _let(cut(t, F.get(b, i), F.get(b, i + 1) - F.get(b, i)), lambda part: stride_of(part, F.get(b, i), stride)))
+        return _let(bases, lambda b: F.concat(F.array_join(parts(b), ""), cut(t, F.element_at(b, -1), F.length(t))))
 
-    spans = F.array_sort(F.concat("_base", "_extra"))
-    new = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.call_function("substring", t, acc["at"] + 1, F.length(t))))
+    new = _let(_strides(F.array_sort(F.concat("_base", "_extra"))), masked)
     return d.withColumn(text_col, F.when((F.size("_base") == 0) & (F.size("_extra") == 0), t).otherwise(new)).select(*[F.col(f"`{c}`") for c in cols])
 
 

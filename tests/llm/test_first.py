@@ -297,3 +297,26 @@ def test_redaction_keeps_the_rest(spark, odd):
     df = spark.createDataFrame([(1, "a password=abcdefgh12 b", 5), (2, None, 6), (3, "clean", 7), (4, SECRETS[8], 8), (5, "token=" + "ab12" * 9, 9)], "doc_id long, text string, n int")
     got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
     assert got == {1: "a [SECRET] b", 2: None, 3: "clean", 4: "key [SECRET] end", 5: "[SECRET]"}
+
+
+def plain_redaction(text, spans):
+    at, out = 0, ""
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("stride", [1, 3, 128])
+def test_strides_change_nothing(spark, monkeypatch, stride):
+    monkeypatch.setattr(secrets, "STRIDE", stride)
+    rng = random.Random(7)
+    texts = [" é ".join(rng.choice(SECRETS + ["plain 😀", "secret=AKIA" + "0F" * 9, "token=" + "0f" * 20]) for _ in range(n)) for n in (1, 2, 9, 40, 300)] + ["", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [(x.start, x.stop) for x in sorted([*r._base, *r._extra])] for r in secrets.scan(docs).collect()}
+    for r in secrets.scan(docs).collect():
+        assert [(x.start, x.ord, x.stop, x.kind) for x in r._base] == plain_base(r.text)
+    assert any(b > c for x in spans.values() for (_, b), (c, _) in zip(x, x[1:]))
+    for r in secrets.redacted(docs).collect():
+        assert r.text == plain_redaction(texts[r.doc_id], spans[r.doc_id])
