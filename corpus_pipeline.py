@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,27 @@ from maskflow.llm.common import table, written
 from maskflow.session import ship
 
 
+def any_names(stage):
+    """The stage on rows whose other columns have plain names while it runs, so that theirs may clash with names
+    that operators use, or hold dots. The columns come back as they were, in their order."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in ("doc_id", "text") else f"other{i}" for i, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+    return run
+
+
+@any_names
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples vote toxic go; all others stay as they are."""
     index = toxicity.fit_on_training_rows(ship(spark), docs, sf_dir)
     return toxicity.scored(docs, index).where("_score < 0.5").drop("_score")
 
 
+@any_names
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document with the smallest id stays, once; a group without ids
     keeps one row."""
@@ -29,11 +46,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
 
 
+@any_names
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(docs, table(ship(spark), sf_dir, "benchmark"))
     return found.where(~decontam.contaminated()).select(*docs.columns)
 
 
+@any_names
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts give way to a mask; every document stays."""
     return secrets.redacted(docs)

@@ -39,3 +39,15 @@ def test_run(spark):
 def test_empty_tables(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents.where("false"), SF).count() == 0
+
+
+def test_clashing_names(spark, documents):
+    """Columns named as those that operators make, or with dots, come through the filtering stages as they were."""
+    more = ("_score", "_fp", "_fp2", "_id2", "component", "_t", "_base", "_extra", "_likely", "_n_words", "_spans", "_items", "a.b", "other0", "stop", "piece", "length")
+    docs = documents.withColumns({c: F.lit(k) for k, c in enumerate(more)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, got = stage(spark, documents, SF), stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        assert got.select(*documents.columns).exceptAll(plain).count() == 0 and got.count() == plain.count(), name
+        assert got.where(" or ".join(f"`{c}` <> {k}" for k, c in enumerate(more))).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= documents.count()
