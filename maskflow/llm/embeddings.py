@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .common import Forest, connected_components, table, written
 
 LEAST_COSINE = 0.93
-#: Vectors that a cluster shard aims at, and from which on it is dealt out in blocks.
-SHARD, SHARD_MOST = 2_000, 4_000
+#: Vectors that a cluster shard aims at, those of neighbouring clusters included, and from which on it is dealt out
+#: in blocks. Labels of up to SHARD_MOST vectors have one shard, which needs no overlap.
+SHARD, SHARD_MOST = 2_500, 4_000
+#: Nearest clusters that a vector goes to at first.
+OVERLAP = 2
 #: Centroids are fitted on at most so many vectors with the least hash, so there are at most a twentieth as many.
 SAMPLE = 20_000
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
@@ -25,11 +28,12 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def centroids(sample: dict[tuple, np.ndarray], counts: dict[tuple, int]) -> dict[tuple, np.ndarray]:
-    """A few rounds of spherical k-means per (label, dimension); about one centroid for SHARD vectors."""
+    """A few rounds of spherical k-means per (label, dimension), with so many centroids that a shard holds about
+    SHARD vectors at the first overlap."""
     out = {}
     for key, x in sample.items():
         x = unit(x)
-        k = int(min(max(1, round(counts[key] / SHARD)), max(1, len(x) // 20)))
+        k = 1 if counts[key] <= SHARD_MOST else min(-(-OVERLAP * counts[key] // SHARD), max(1, len(x) // 20))
         c = x[np.linspace(0, len(x) - 1, k).astype(int)]
         for _ in range(6 if k > 1 else 0):
             own = (x @ c.T).argmax(1)
@@ -144,7 +148,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     return v.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("x", lambda e: e != 0), F.lit(False))).withColumn("dim", F.size("x"))
 
 
-def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, overlap: int = 2) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
     """(edges u, v; id, n_links): a spanning forest of the links among equal labels, and each vector's number of
     links, both over one row per id; of several rows with an id the least vector counts.
 
@@ -281,7 +285,7 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     Rows that can't link (a null id or label; a vector that is null, empty, zero, or holds a null or non-finite
     component) have no links and are their own component; repeated rows of an id are one vector and come back as
     often as they were given. An empty table gives an empty result."""
-    for overlap in (2, 4, 8):
+    for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP):
         edges, n_links = links(vectors, id_col, vec_col, label_col, least, overlap)
         n_links = written(n_links, "n-links")
         if audit(vectors, n_links, id_col, vec_col, label_col, least) >= LEAST_RECALL:
