@@ -68,23 +68,53 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return out
 
 
-def range_search(x: np.ndarray, graph: list[np.ndarray], queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a cosine of at least ``least - SLACK``, all queries at once: a beam search from the
-    medoid, then expansion through every node in range."""
-    n, q = len(x), len(queries)
-    degree = max((len(g) for g in graph), default=0)
-    edges = np.full((n, max(1, degree)), -1, np.int64)
+def adjacency(graph: list[np.ndarray]) -> np.ndarray:
+    """One row of neighbours per node, filled up with -1."""
+    edges = np.full((len(graph), max(1, max((len(g) for g in graph), default=0))), -1, np.int64)
     for i, g in enumerate(graph):
         edges[i, : len(g)] = g
-    medoid = int((x @ x.sum(0)).argmax())
-    seen = np.zeros((q, n), bool)
-    seen[:, medoid] = True
+    return edges
+
+
+def entries(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Nodes from which every node can be reached: the medoid, then of the nodes that no entry reaches yet the most
+    central, until none is left."""
+    central = x @ x.sum(0)
+    reached, out = np.zeros(len(x), bool), []
+    for node in np.argsort(-central, kind="stable").tolist():
+        if reached[node]:
+            continue
+        out.append(node)
+        reached[node], at = True, np.array([node])
+        while at.size:
+            at = np.unique(edges[at])
+            at = at[at >= 0]
+            at = at[~reached[at]]
+            reached[at] = True
+    return np.array(out, np.int64)
+
+
+def range_search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs with a cosine of at least ``least - SLACK``, all queries at once: a beam search from the
+    entries (``starts``) and the query's own node, then expansion through every node in range."""
+    n, q = len(x), len(queries)
     width = min(BEAM, n)
+    own = np.arange(q)
+    first = x[queries] @ x[starts].T
+    first[starts[None, :] == queries[:, None]] = -2  # its own node is a start anyway
+    seen = np.zeros((q, n), bool)
+    seen[:, starts] = True
+    seen[own, queries] = True
+    r, c = np.nonzero(first >= least - SLACK)
+    hits = [(own, queries), (r, starts[c])]
     beam = np.full((q, width), -1, np.int64)
     sims = np.full((q, width), -2.0)
     done = np.ones((q, width), bool)
-    beam[:, 0], sims[:, 0], done[:, 0] = medoid, x[queries] @ x[medoid], False
-    hits = [(np.flatnonzero(sims[:, 0] >= least - SLACK), np.full(int((sims[:, 0] >= least - SLACK).sum()), medoid))]
+    beam[:, 0], sims[:, 0], done[:, 0] = queries, 1.0, False
+    top = np.argsort(-first, axis=1, kind="stable")[:, : width - 1]
+    m = top.shape[1]
+    beam[:, 1 : m + 1], sims[:, 1 : m + 1] = starts[top], np.take_along_axis(first, top, 1)
+    done[:, 1 : m + 1] = sims[:, 1 : m + 1] < -1.5
     live = np.arange(q)
     while live.size:
         best = np.where(done[live], -3.0, sims[live]).argmax(1)
@@ -156,7 +186,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     Vectors go to the shards of their ``overlap`` nearest centroids; a shard above SHARD_MOST is dealt out in
     blocks, and each pair of blocks is a task, so no task holds more than two blocks and no pair is lost. Each task
     prunes its graph; a vector's adjacency lists are united; then each task searches for the range of its vectors
-    from its medoid and verifies cosines in double precision on the vectors as given. A pair that shares several
+    from entries that reach all of its graph and from themselves, and verifies cosines in double precision on the vectors as given. A pair that shares several
     shards counts in the first of them. Only sums and forests leave a task, no pairs."""
     v = usable(vectors, id_col, vec_col, label_col)
     v = v.groupBy("id", "label").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
@@ -224,8 +254,10 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             graph.append(p[ids[p] == near])
         u = unit(x)
         n_links, forest, pairs = np.zeros(len(ids), np.int64), Forest(), []
+        edges = adjacency(graph)
+        starts = entries(u, edges)
         for a in range(0, len(ids), 1000):
-            q, n = range_search(u, graph, np.arange(a, min(a + 1000, len(ids))), least)
+            q, n = range_search(u, edges, starts, np.arange(a, min(a + 1000, len(ids))), least)
             q = q + a
             ok = q != n
             # a search may meet a pair from either side; both sides count it once, so put it in one order
