@@ -178,7 +178,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     return v.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("x", lambda e: e != 0), F.lit(False))).withColumn("dim", F.size("x"))
 
 
-def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, overlap: int = OVERLAP, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges u, v; id, n_links): a spanning forest of the links among equal labels, and each vector's number of
     links, both over one row per id; of several rows with an id the least vector counts.
 
@@ -187,7 +187,10 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     blocks, and each pair of blocks is a task, so no task holds more than two blocks and no pair is lost. Each task
     prunes its graph; a vector's adjacency lists are united; then each task searches for the range of its vectors
     from entries that reach all of its graph and from themselves, and verifies cosines in double precision on the vectors as given. A pair that shares several
-    shards counts in the first of them. Only sums and forests leave a task, no pairs."""
+    shards counts in the first of them. Only sums and forests leave a task, no pairs.
+
+    With ``exact`` a label is one shard and each task compares all its pairs, so that no link is lost; its work grows
+    with the square of a label."""
     v = usable(vectors, id_col, vec_col, label_col)
     v = v.groupBy("id", "label").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
     v = written(v, "vectors")
@@ -200,7 +203,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     # sizes of the labels in the sample only, as there may be any number of others
     met = spark.createDataFrame(list(sample), "label string, dim int")
     counts = {(r.label, r.dim): r.n for r in reps.join(F.broadcast(met), ["label", "dim"], "left_semi").groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}
-    fitted = centroids({k: np.array(x, np.float64) for k, x in sample.items()}, counts)
+    fitted = {} if exact else centroids({k: np.array(x, np.float64) for k, x in sample.items()}, counts)
     base, at = {}, 0
     for k in sorted(fitted):
         base[k], at = at, at + len(fitted[k])
@@ -239,8 +242,11 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                     back[j].append(i)
         return pa.table({"id": ids, "near": pa.array([ids[np.unique(np.array(g, np.int64))].tolist() for g in back], pa.list_(pa.int64()))})
 
-    flat = tasks.groupBy(*key).applyInArrow(pruned, "id long, near array<long>")
-    united = flat.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    if exact:
+        tasks = tasks.withColumn("near", F.lit(None).cast("array<long>"))
+    else:
+        flat = tasks.groupBy(*key).applyInArrow(pruned, "id long, near array<long>")
+        tasks = tasks.join(flat.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "id")
 
     def searched(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
@@ -254,13 +260,17 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             graph.append(p[ids[p] == near])
         u = unit(x)
         n_links, forest, pairs = np.zeros(len(ids), np.int64), Forest(), []
-        edges = adjacency(graph)
-        starts = entries(u, edges)
+        if not exact:
+            edges = adjacency(graph)
+            starts = entries(u, edges)
         for a in range(0, len(ids), 1000):
-            q, n = range_search(u, edges, starts, np.arange(a, min(a + 1000, len(ids))), least)
+            if exact:
+                q, n = np.nonzero(u[a : a + 1000] @ u.T >= least - 1e-9)
+            else:
+                q, n = range_search(u, edges, starts, np.arange(a, min(a + 1000, len(ids))), least)
             q = q + a
-            ok = q != n
             # a search may meet a pair from either side; both sides count it once, so put it in one order
+            ok = q < n if exact else q != n
             pairs.append(np.stack([np.minimum(q, n)[ok], np.maximum(q, n)[ok]]))
         both = np.concatenate(pairs, 1)
         both = np.unique(both[0] * np.int64(len(ids)) + both[1])
@@ -278,7 +288,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 forest.link(c, d)
         return pa.table({"id": ids, "n": n_links, "root": ids[np.array([forest.find(k) for k in range(len(ids))], np.int64)]})
 
-    found = written(tasks.join(united, "id").groupBy(*key).applyInArrow(searched, "id long, n long, root long"), "vector-links")
+    found = written(tasks.groupBy(*key).applyInArrow(searched, "id long, n long, root long"), "vector-links")
     edges = found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
     rep_links = found.groupBy("id").agg(F.sum("n").alias("n"))
     own = v.select("id").join(copies.select("id", "rep", "copies"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
@@ -288,13 +298,15 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
 
 def audit(vectors: DataFrame, n_links: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, audited: int = AUDITED) -> float:
-    """Links found over links there are, for ``audited`` vectors with the least hash against all, by brute force."""
+    """Links found over links there are, for ``audited`` distinct vectors with the least hash against all, by brute
+    force: the lesser of the mean over vectors and the share of all their links. Links to exact copies, which need
+    no search, do not count."""
     v = usable(vectors, id_col, vec_col, label_col).groupBy("id", "label").agg(F.min("x").alias("x"))
-    some = v.orderBy(F.xxhash64("id")).limit(audited).collect()
+    some = v.groupBy("label", "x").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id")).limit(audited).collect()
     sent = v.sparkSession.sparkContext.broadcast([(r.id, r.label, np.array(r.x)) for r in some])
 
     def count(batches):
-        total = dict.fromkeys((i for i, _, _ in sent.value), 0)
+        total = {i: [0, 0] for i, _, _ in sent.value}
         for b in batches:
             ids, labels, xs = b.column(0).to_numpy(), np.array(b.column(1).to_pylist()), b.column(2)
             dims = np.array([len(x) for x in xs])
@@ -302,17 +314,20 @@ def audit(vectors: DataFrame, n_links: DataFrame, id_col: str = "vec_id", vec_co
                 own = np.flatnonzero((labels == label) & (dims == len(q)) & (ids != i))
                 if own.size:
                     x = _matrix(xs.take(pa.array(own)))
-                    total[i] += int((x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q)) >= least).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["id", "n"])
+                    same = (x == q).all(1)
+                    total[i][0] += int(((x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q)) >= least) & ~same).sum())
+                    total[i][1] += int(same.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), *[pa.array([t[k] for t in total.values()], pa.int64()) for k in (0, 1)]], names=["id", "n", "same"])
 
-    truth = v.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    there, got = truth.join(n_links, "id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
-    return 1.0 if not there else got / there
+    truth = v.mapInArrow(count, "id long, n long, same long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where("n > 0")
+    rows = truth.join(n_links, "id").select("n", F.greatest(F.lit(0), F.least("n", F.col("n_links") - F.col("same"))).alias("got")).collect()
+    return min(sum(r.got for r in rows) / sum(r.n for r in rows), sum(r.got / r.n for r in rows) / len(rows)) if rows else 1.0
 
 
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE) -> DataFrame:
     """id, n_links, component_id, kept for every row: links at a cosine of ``least`` or more among rows of one
-    label and dimension. Recall is audited against brute force, and the shards overlap more until it suffices.
+    label and dimension. Recall is audited against brute force, and the shards overlap more until it suffices; if
+    the last overlap does not do, all pairs of a label are compared.
 
     Rows that can't link (a null id or label; a vector that is null, empty, zero, or holds a null or non-finite
     component) have no links and are their own component; repeated rows of an id are one vector and come back as
@@ -322,6 +337,9 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         n_links = written(n_links, "n-links")
         if audit(vectors, n_links, id_col, vec_col, label_col, least) >= LEAST_RECALL:
             break
+    else:
+        edges, n_links = links(vectors, id_col, vec_col, label_col, least, exact=True)
+        n_links = written(n_links, "n-links")
     comp = connected_components(edges)
     v = vectors.select(F.col(id_col).cast("long").alias("id"))
     out = v.join(n_links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")

@@ -202,6 +202,28 @@ def test_embedding_audit_sees_lost_links(spark):
     assert embeddings.audit(df, n.withColumn("n_links", F.lit(0))) < 0.5
 
 
+def test_audit_leaves_exact_copies_out(spark):
+    """Many copies of one vector do not hide that all links between different vectors are lost."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.ones((300, 16)), groups(rng, 75, 8, 16)])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    only_copies = spark.createDataFrame([(i, 299 if i < 300 else 0) for i in range(len(x))], "id long, n_links long")
+    assert embeddings.audit(df, only_copies) == 0
+    whole = spark.createDataFrame([(i, 299 if i < 300 else 7) for i in range(len(x))], "id long, n_links long")
+    assert embeddings.audit(df, whole) == 1
+
+
+def test_failed_audits_end_in_an_exact_search(spark, monkeypatch):
+    x = groups(np.random.default_rng(3), 8, 15, 16)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    nothing = np.zeros(0, np.int64)
+    monkeypatch.setattr(embeddings, "SHARD_MOST", 50)
+    monkeypatch.setattr(embeddings, "audit", lambda *a: 0.0)
+    monkeypatch.setattr(embeddings, "range_search", lambda *a: (nothing, nothing))
+    for r in embeddings.dedup(df).collect():
+        assert (r.n_links, r.component_id) == (14, r.vec_id // 15 * 15)
+
+
 def test_embeddings_of_nothing(spark):
     _, df = vectors(spark)
     assert embeddings.dedup(df.where("false")).count() == 0
