@@ -16,7 +16,7 @@ HEX = r"[0-9a-f]+"
 ACCESS_LONG, HEX_LONG = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate strings of the entropy method: runs of these characters.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: ... that hold letters and a digit
 MIXED = r"^(?=.*[0-9])(?=.*[A-Za-z])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -25,8 +25,10 @@ WINDOW = 20
 STRIDE = 128
 #: Least bits of a window by character class of the candidate.
 LEAST_BITS = {"^[0-9a-fA-F]+$": 3.0, "^[A-Za-z0-9]+$": 3.7, "": 3.9}
-#: Candidates that are no secrets: UUIDs, paths and dashed or underscored words, counting sequences, known dummies.
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[a-z]*([/_-]+([a-z]+|[0-9]{1,4}))+[/_=-]*$|0123456789|abcdefghij|deadbeef|example|placeholder|x{8}|^(.{1,4})\1+$"
+#: Candidates that are no secrets as a whole: UUIDs, paths and dashed or underscored words, repetitions.
+ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[a-z]*([/_-]+([a-z]+|[0-9]{1,4}))+[/_=-]*$|^(.{1,4})\1+$"
+#: Counting sequences and known dummies; windows that touch one are no secrets, the rest of the candidate may be.
+DUMMIES = ("0123456789", "abcdefghij", "deadbeef", "example", "placeholder", "x{8}")
 
 SPAN = "struct<start:int,ord:int,stop:int,kind:string>"
 
@@ -71,9 +73,9 @@ def spans_of(matches: Column, kind: str) -> Column:
     return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), x["stop"].alias("stop"), F.lit(kind).alias("kind")))
 
 
-def entropy_hull(s: Column) -> Column:
-    """struct<lo,hi> in characters of s: from the first to the end of the last window of WINDOW characters whose
-    Shannon entropy reaches the least bits of s's class; lo = -1 if none does.
+def entropy_spans(s: Column) -> Column:
+    """array<struct<lo,hi>> in characters of s: each run of overlapping or adjacent windows of WINDOW characters whose
+    Shannon entropy reaches the least bits of s's class, and which touch none of DUMMIES.
 
     H = log2(W) - sum(c * log2 c) / W; the sum is kept up by the character that enters and the one that leaves."""
     gain = F.array(*[F.lit((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0)) for c in range(WINDOW)])
@@ -81,20 +83,54 @@ def entropy_hull(s: Column) -> Column:
     for pattern, least in reversed([x for x in LEAST_BITS.items() if x[0]]):
         bits = F.when(s.rlike(pattern), F.lit(least)).otherwise(bits)
     most = (F.lit(math.log2(WINDOW)) - bits) * WINDOW + 1e-9
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
-    place = lambda i: F.call_function("locate", F.call_function("substring", s, i, F.lit(1)), F.lit(ALPHABET))
+    shown = s
+    for d in DUMMIES:
+        shown = F.regexp_replace(shown, "(?i)" + d, " " * (8 if d == "x{8}" else len(d)))
+    symbols = ALPHABET + " "
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    zero = F.struct(F.array_repeat(F.lit(0), len(symbols)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("blank"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), none.alias("out"))
+    last = lambda acc: F.array(F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
+
+    def spans(shown):
+        place = lambda i: F.call_function("locate", F.call_function("substring", shown, i, F.lit(1)), F.lit(symbols))
+
+        def fold(acc, i):
+            new, old = place(i), F.when(i > WINDOW, place(i - WINDOW)).otherwise(F.lit(0))
+            n_old = F.when(old > 0, F.get(acc["n"], old - 1)).otherwise(F.lit(0))
+            less = F.when(old > 0, acc["sum"] - F.get(gain, n_old - 1)).otherwise(acc["sum"])
+            n_new = F.get(acc["n"], new - 1) - F.when(old == new, F.lit(1)).otherwise(F.lit(0))
+            total = less + F.get(gain, n_new)
+            counts = F.when(old == new, acc["n"]).otherwise(F.transform(acc["n"], lambda v, k: v + F.when(k == new - 1, F.lit(1)).when(k == old - 1, F.lit(-1)).otherwise(F.lit(0))))
+            # place of the last blank: windows from there on hold none
+            blank = F.when(new == len(symbols), i).otherwise(acc["blank"])
+            hit = (i - WINDOW >= blank) & (total <= most)
+            apart = hit & (acc["lo"] >= 0) & (i - WINDOW > acc["hi"])
+            return F.struct(
+                counts.alias("n"), total.alias("sum"), blank.alias("blank"), F.when(hit & ((acc["lo"] < 0) | apart), i - WINDOW).otherwise(acc["lo"]).alias("lo"),
+                F.when(hit, i).otherwise(acc["hi"]).alias("hi"), F.when(apart, F.concat(acc["out"], last(acc))).otherwise(acc["out"]).alias("out"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(shown)), zero, fold, lambda acc: F.when(acc["lo"] < 0, acc["out"]).otherwise(F.concat(acc["out"], last(acc))))
+
+    return _let(shown, spans)
+
+
+def entropy_hull(s: Column) -> Column:
+    """struct<lo,hi>: from the first to the end of the last of the entropy spans; -1 if there is none."""
+    return _let(entropy_spans(s), lambda x: F.struct(F.coalesce(F.array_min(x["lo"]), F.lit(-1)).alias("lo"), F.coalesce(F.array_max(x["hi"]), F.lit(-1)).alias("hi")))
+
+
+def outside(span: Column, spans: Column) -> Column:
+    """The parts of a span, as structs of start and stop, that none of ``spans`` (sorted by start) covers."""
+    part = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("stop")))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
 
-    def fold(acc, i):
-        new, old = place(i), F.when(i > WINDOW, place(i - WINDOW)).otherwise(F.lit(0))
-        n_old = F.when(old > 0, F.get(acc["n"], old - 1)).otherwise(F.lit(0))
-        less = F.when(old > 0, acc["sum"] - F.get(gain, n_old - 1)).otherwise(acc["sum"])
-        n_new = F.get(acc["n"], new - 1) - F.when(old == new, F.lit(1)).otherwise(F.lit(0))
-        total = less + F.get(gain, n_new)
-        counts = F.when(old == new, acc["n"]).otherwise(F.transform(acc["n"], lambda v, k: v + F.when(k == new - 1, F.lit(1)).when(k == old - 1, F.lit(-1)).otherwise(F.lit(0))))
-        hit = (i >= WINDOW) & (total <= most)
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when(hit & (acc["lo"] < 0), i - WINDOW).otherwise(acc["lo"]).alias("lo"), F.when(hit, i).otherwise(acc["hi"]).alias("hi"))
+    def step(acc, b):
+        out = F.when(b["start"] > acc["at"], F.concat(acc["out"], part(acc["at"], b["start"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, fold, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi")))
+    over = F.filter(spans, lambda b: (b["start"] < span["stop"]) & (span["start"] < b["stop"]))
+    return F.aggregate(over, F.struct(span["start"].alias("at"), none.alias("out")), step, lambda acc: F.when(acc["at"] < span["stop"], F.concat(acc["out"], part(acc["at"], span["stop"]))).otherwise(acc["out"]))
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -102,7 +138,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     by start and kind.
 
     _base holds the three fixed rules, each leftmost and non-overlapping, failing matches dropped. _extra holds
-    entropy spans of candidates that are not allow-listed and touch no base span. Null text counts as empty; empty
+    the parts outside base spans of the entropy spans of candidates that are not allow-listed. Null text counts as empty; empty
     texts and tables give no spans; repeated rows are scanned one by one; other columns pass through."""
     d = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     t = F.col("_t")
@@ -112,10 +148,11 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("_base", F.array_sort(F.concat(spans_of(assign, "assign"), spans_of(access, "access"), spans_of(hexes, "hex"))))
     likely = F.filter(found(t, CANDIDATE, t.rlike(CANDIDATE)), lambda x: x["m"].rlike(MIXED) & ~x["m"].rlike(ALLOWED))
     d = d.withColumn("_likely", likely)
-    hulls = F.transform("_likely", lambda x: F.struct(x["start"].alias("at"), entropy_hull(x["m"]).alias("h")))
-    extra = F.transform(F.filter(hulls, lambda x: x["h"]["lo"] >= 0), lambda x: F.struct((x["at"] + x["h"]["lo"]).alias("start"), F.lit(3).alias("ord"), (x["at"] + x["h"]["hi"]).alias("stop"), F.lit("entropy").alias("kind")))
-    d = d.withColumn("_extra", F.filter(extra, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))))
-    return d.drop("_t", "_likely")
+    high = F.flatten(F.transform("_likely", lambda x: F.transform(entropy_spans(x["m"]), lambda h: F.struct((x["start"] + h["lo"]).alias("start"), (x["start"] + h["hi"]).alias("stop")))))
+    d = d.withColumn("_high", high)
+    parts = F.flatten(F.transform("_high", lambda x: outside(x, F.col("_base"))))
+    d = d.withColumn("_extra", F.transform(parts, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("ord"), x["stop"].alias("stop"), F.lit("entropy").alias("kind"))))
+    return d.drop("_t", "_likely", "_high")
 
 
 def listed(spans: Column) -> Column:
