@@ -34,26 +34,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", longest: int = 6) -> DataFrame:
-    """key, label, start, stop, how: each occurrence of a term of up to ``longest`` words, overlaps included. ``key``
-    tells the rows apart.
+def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", longest: int | None = None) -> DataFrame:
+    """key, label, start, stop, how: each occurrence of a term, overlaps included. ``key`` tells the rows apart.
 
     Word n-grams and identifier parts are joined to the terms by equality, so cost does not grow with their number.
     Up to BROADCAST_TERMS terms are broadcast, more are joined by a shuffle of both sides. Only rows with a hit get offsets, by adding up what
-    stands before it. Terms longer than ``longest`` are not looked for."""
+    stands before it. The numbers of words to try are those of the terms, which one small job gathers; a caller may
+    leave out terms of more than ``longest`` words."""
     d = df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     w = d.select(key, words(F.col("_t")).alias("_w"))
     table = terms.select("seq", "label")
     table = F.broadcast(table) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else table.hint("merge")
     found = None
-    for n in range(1, longest + 1):
+    lengths = sorted(r.n for r in terms.select(F.size("seq").alias("n")).distinct().collect())
+    for n in [n for n in lengths if longest is None or n <= longest]:
         at = w.select(key, F.posexplode_outer(_grams(n)).alias("_i", "seq")).where("seq is not null")  # outer: see detect.exploded
         one = at.join(table, "seq").select(key, "_i", F.lit(n).alias("_n"), "label", F.lit(0).alias("_a"), F.lit(None).cast("int").alias("_b"))
         found = one if found is None else found.union(one)
     # only words that hold a change of case, a digit, a dash or an underscore can have parts
     parts = w.select(key, F.posexplode_outer("_w").alias("_i", "_x")).where(F.col("_x").rlike("[a-z0-9][A-Z]|[A-Z]{2}[a-z0-9]|[^A-Za-z]")).select(key, "_i", identifier_parts(F.col("_x")).alias("_q")).where("size(_q) > 1")
     parts = parts.select(key, "_i", F.explode_outer("_q").alias("_q")).select(key, "_i", F.array(F.lower("_q.text")).alias("seq"), F.col("_q.start").alias("_a"), F.col("_q.stop").alias("_b"))
-    found = found.union(parts.join(table, "seq").select(key, "_i", F.lit(1).alias("_n"), "label", "_a", "_b"))
+    inner = parts.join(table, "seq").select(key, "_i", F.lit(1).alias("_n"), "label", "_a", "_b")
+    found = inner if found is None else found.union(inner)
     per_row = found.groupBy(key).agg(F.collect_list(F.struct("_i", "_n", "label", "_a", "_b")).alias("_h"))
     there = d.join(per_row, key).withColumn("_w", words(F.col("_t"))).withColumn("_p", F.split("_t", F.lit(r"(?U)\w+"), -1))
     total = lambda c, k: F.aggregate(F.slice(c, 1, k), F.lit(0), lambda acc, x: acc + F.length(x))

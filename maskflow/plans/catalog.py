@@ -303,14 +303,14 @@ SELECT doc_id, label, count(*) AS n FROM h WHERE label IS NOT NULL GROUP BY doc_
 def gazetteer_hits(t):
     d = t("documents")
     terms = gazetteer.term_table(d.sparkSession.createDataFrame(TERMS, "term_no int, term string, label string"))
-    return gazetteer.hits(d, "doc_id", terms, longest=2).where("how = 'term'").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    return gazetteer.hits(d, "doc_id", terms).where("how = 'term'").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, 2::BIGINT AS n FROM part")
 def identifier_hits(t):
     d = t("part").select("p_partkey", F.concat(F.lit("class IdiotFactory"), F.col("p_partkey").cast("string"), F.lit("StupidThing")).alias("text"))
     terms = gazetteer.term_table(d.sparkSession.createDataFrame(TERMS, "term_no int, term string, label string"))
-    return gazetteer.hits(d, "p_partkey", terms, longest=2).where("how = 'identifier'").groupBy("p_partkey").agg(F.countDistinct("start").alias("n"))
+    return gazetteer.hits(d, "p_partkey", terms).where("how = 'identifier'").groupBy("p_partkey").agg(F.countDistinct("start").alias("n"))
 
 
 @query(f"WITH {_SQL_WORDS} SELECT doc_id, len(w) AS n FROM w")

@@ -89,6 +89,16 @@ def test_gazetteer(spark):
     assert sorted((r.label, text[r.start : r.stop], r.how) for r in rows) == [("MARK", "Vega", "identifier"), ("MARK", "vega", "term"), ("PRODUCT", "project  vega", "term"), ("REGULATED", "под-фт", "term")]
 
 
+def test_gazetteer_of_long_terms(spark):
+    """Terms of any number of words are found, and none of no terms."""
+    long = " ".join(f"w{i}" for i in range(9))
+    terms = gazetteer.term_table(spark.createDataFrame([(1, long, "LONG"), (2, "w3 w4", "PAIR")], "term_no int, term string, label string"))
+    df = spark.createDataFrame([(1, f"a {long} b")], "i int, text string")
+    rows = gazetteer.hits(df, "i", terms).collect()
+    assert sorted((r.label, r.start, r.stop) for r in rows) == [("LONG", 2, 2 + len(long)), ("PAIR", 11, 16)]
+    assert gazetteer.hits(df, "i", terms.where("false")).count() == 0
+
+
 def test_identifier_parts(spark):
     s = spark.createDataFrame([("HTTPServerName_v2-API",)], "n string").select(gazetteer.identifier_parts(F.col("n")).alias("p")).first().p
     assert [x.text for x in s] == ["HTTP", "Server", "Name", "v2", "API"]
