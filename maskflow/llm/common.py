@@ -48,6 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(df: DataFrame, *added: str) -> DataFrame:
+    """``df`` without columns that are named, in any case, like the ones about to be added, which replace them."""
+    low = {a.lower() for a in added}
+    return df.drop(*[F.col(f"`{c}`") for c in df.columns if c.lower() in low])
+
+
 def lean() -> None:
     """In a Python worker that handles arrays of megabytes: give their memory back when they go, not when the worker
     ends. Without glibc this does nothing."""

@@ -2,144 +2,220 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-import re
-from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, written
+from .common import plain, table, text_batches
 
-#: At most so many labelled examples are indexed, those with the least hash of the text; copies count once.
-EXAMPLES = 20_000
-#: At most so many terms are kept, those that tell the labels apart best.
-TERMS = 4_000
-#: Chi-square (one degree of freedom) from which a term tells the labels apart. Far above the usual levels, as a
-#: corpus has so many rare terms that some stand in three toxic texts by chance.
-LEAST_CHI2 = 40.0
+#: At most so many labelled examples, of so many characters in all, are indexed: those with the least hash of the
+#: text; copies count once. Both bound what the driver gathers and broadcasts.
+EXAMPLES, EXAMPLE_CHARS = 6_000, 40_000_000
 NEIGHBOURS = 15
 #: Weight of the base rate among the votes.
 PRIOR_WEIGHT = 0.25
 
-_WORD = re.compile(r"\w+")
+_BREAK = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
-def terms_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of lower-cased texts, parted by all ASCII characters but letters and digits: the distinct ones, and for
+    each word its place among those; words of text k are at [ends[k], ends[k + 1]). A text without words has one
+    empty word."""
+    clean = [(x or "").lower().encode("utf-8", "replace").translate(_BREAK).strip() for x in texts]
+    split = pc.ascii_split_whitespace(pa.array(clean, pa.large_binary()).cast(pa.large_string()))
+    flat = split.flatten().dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return flat.dictionary.to_pylist(), flat.indices.to_numpy(), ends
+
+
+def numbers_of(texts: list[str | None], number: dict[str, int]) -> list[np.ndarray]:
+    """Ascending numbers of the known words of each text, one for each time that it stands there."""
+    distinct, words, ends = words_of(texts)
+    known = np.fromiter(map(number.get, distinct, repeat(-1)), np.int64, len(distinct))[words] if len(words) else np.zeros(0, np.int64)
+    out = [np.sort(known[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return [x[np.searchsorted(x, 0) :] for x in out]
+
+
+def telling(df: float, toxic: float, rate: float) -> float:
+    """How far a term's presence moves the odds of the label: the square of the shrunk log odds of the ``df``
+    examples that hold it, ``toxic`` of them, against the base rate. Near 0 for terms that say nothing, whatever the
+    number of examples."""
+    if not 0 < rate < 1:
+        return 1.0
+    p = (toxic + 2 * rate) / (df + 2)
+    return (math.log(p / (1 - p)) - math.log(rate / (1 - rate))) ** 2
 
 
 class Index:
-    """Examples as unit TF-IDF vectors, in postings by term; each term has its largest weight per block of examples.
+    """Examples as unit vectors of (1 + log tf) x idf x ``telling``, over all their terms.
 
-    A search bounds every block by the sum of those weights, takes blocks from the largest bound down, scores their
-    examples exactly, and stops when the next bound can't reach the k-th score: the k nearest are exact."""
+    Terms of few examples have postings; terms of many have a row of weights over all examples and their largest
+    weight per block of examples. A search adds up the postings, which gives each example's share by rare terms,
+    bounds the rest by the blocks' largest weights, takes blocks from the largest bound down, scores their examples
+    that can still reach the k-th score, and stops when no block can: the k nearest are exact."""
 
-    BLOCK = 64
+    BLOCK, WAVE = 64, 8
+    #: A term of more than this share of the examples is frequent.
+    FREQUENT = 1 / 24
 
-    def __init__(self, examples: list[tuple[object, int, dict[str, int]]], idf: dict[str, float]):
-        self.idf = idf
+    def __init__(self, examples: list[tuple[object, int, str]], idf: dict[str, float]):
+        self.rate = float(np.mean([label for _, label, _ in examples])) if examples else 0.0
         self.number = {t: i for i, t in enumerate(idf)}
+        own = numbers_of([text for _, _, text in examples], self.number)
+        df, toxic = np.zeros(len(idf)), np.zeros(len(idf))
+        for (_, label, _), x in zip(examples, own):
+            df[np.unique(x)] += 1
+            toxic[np.unique(x)] += label > 0
+        self.weight = np.array([w * telling(n, k, self.rate) for w, n, k in zip(idf.values(), df.tolist(), toxic.tolist())])
+        vectors = [(self.vector(x), ident, label) for (ident, label, _), x in zip(examples, own)]
         # examples with alike heaviest terms share blocks, so that bounds are tight
-        vectors = []
-        for ident, label, tf in examples:
-            w = {self.number[t]: self.weight(t, n) for t, n in tf.items() if t in idf}
-            norm = math.sqrt(sum(x * x for x in w.values()))
-            if norm:
-                vectors.append((sorted(w, key=lambda t: (-w[t], t)), ident, label, {t: x / norm for t, x in w.items()}))
-        vectors.sort(key=lambda v: (v[0], str(v[1])))
+        vectors = [v for v in vectors if len(v[0][0])]
+        vectors.sort(key=lambda v: (v[0][0][np.argsort(-v[0][1], kind="stable")[:8]].tolist(), str(v[1])))
         self.ids = [v[1] for v in vectors]
         self.labels = np.array([v[2] for v in vectors], np.float64)
-        n_blocks = max(1, -(-len(vectors) // self.BLOCK))
-        self.most = np.zeros((len(idf), n_blocks))
-        postings: list[dict[int, tuple[list, list]]] = [{} for _ in idf]
-        for e, v in enumerate(vectors):
-            b = e // self.BLOCK
-            for t, x in v[3].items():
-                at, xs = postings[t].setdefault(b, ([], []))
-                at.append(e - b * self.BLOCK)
-                xs.append(x)
-                self.most[t, b] = max(self.most[t, b], x)
-        self.postings = [{b: (np.array(at), np.array(xs)) for b, (at, xs) in p.items()} for p in postings]
-        self.base = float(np.mean([label for _, label, _ in examples])) if examples else 0.0
-
-    def weight(self, term: str, n: int) -> float:
-        return (1 + math.log(n)) * self.idf[term]
-
-    def query(self, text: str | None) -> tuple[tuple[int, float], ...]:
-        number = self.number
-        tf = Counter(w for w in _WORD.findall((text or "").lower()) if w in number)
-        w = [(number[t], self.weight(t, n)) for t, n in sorted(tf.items())]
-        norm = math.sqrt(sum(x * x for _, x in w))
-        return tuple((t, x / norm) for t, x in w)
-
-    def nearest(self, q: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int]]:
+        n = len(vectors)
+        ends = np.cumsum([0, *(len(v[0][0]) for v in vectors)])
+        term = np.concatenate([v[0][0] for v in vectors]) if n else np.zeros(0, np.int64)
+        value = np.concatenate([v[0][1] for v in vectors]) if n else np.zeros(0)
+        example = np.repeat(np.arange(n), np.diff(ends))
+        count = np.bincount(term, minlength=len(self.number))
+        often = count > max(1, n * self.FREQUENT)
+        # rare terms: postings by term
+        rare = ~often[term]
+        order = np.argsort(term[rare], kind="stable")
+        self.at = np.concatenate([[0], np.cumsum(np.where(often, 0, count))])
+        self.posted, self.impact = example[rare][order].astype(np.int32), value[rare][order]
+        # frequent ones: weights by term and example, and the largest of each block
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        blocks = -(-n // self.BLOCK)
+        self.full = np.zeros((blocks * self.BLOCK, int(often.sum())))
+        self.full[example[~rare], self.row[term[~rare]]] = value[~rare]
+        self.most = self.full.reshape(blocks, self.BLOCK, self.full.shape[1]).max(1)
+
+    def vector(self, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct terms of a text's known words (as from ``numbers_of``) and their weights, of length one."""
+        first = np.flatnonzero(np.diff(met, prepend=-1))
+        at = met[first]
+        w = (1 + np.log(np.diff(first, append=len(met)))) * self.weight[at]
+        norm = math.sqrt(float(w @ w))
+        return (at[w > 0], w[w > 0] / norm) if norm else (at[:0], w[:0])
+
+    def nearest(self, q: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest with a cosine above zero; ties go to the first example."""
-        if not q:
+        at, w = q
+        n = len(self.ids)
+        if not len(at) or not n:
             return []
-        bound = sum(x * self.most[t] for t, x in q)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] + 1e-12 < best[-1][0]:
+        size = self.at[at + 1] - self.at[at]
+        where = np.arange(size.sum()) + np.repeat(self.at[at] - (np.cumsum(size) - size), size)
+        share = np.bincount(self.posted[where], np.repeat(w, size) * self.impact[where], len(self.full))
+        rows = self.row[at]
+        often = np.zeros(self.full.shape[1])
+        often[rows[rows >= 0]] = w[rows >= 0]
+        rest = self.most @ often
+        blocks = share.reshape(-1, self.BLOCK)
+        bound = blocks.max(1) + rest
+        # the k-th share is never above the k-th score
+        some = share[share > 0]
+        least = float(np.partition(some, -k)[-k]) if len(some) >= k else 0.0
+        order = np.argsort(-bound, kind="stable")
+        best_score, best = np.zeros(0), np.zeros(0, np.int64)
+        for a in range(0, len(order), self.WAVE):
+            wave = order[a : a + self.WAVE]
+            wave = wave[(bound[wave] > 0) & (bound[wave] >= least - 1e-9)]
+            if not len(wave):
                 break
-            score = np.zeros(self.BLOCK)
-            for t, x in q:
-                if hit := self.postings[t].get(b):
-                    score[hit[0]] += x * hit[1]
-            best += [(float(score[e]), b * self.BLOCK + int(e)) for e in np.flatnonzero(score > 0)]
-            best = sorted(best, key=lambda s: (-round(s[0], 12), s[1]))[:k]
-        return best
+            b, e = np.nonzero(blocks[wave] + rest[wave, None] >= least - 1e-9)
+            e = wave[b] * self.BLOCK + e
+            score = share[e] + self.full[e] @ often
+            e, score = e[score > 1e-15], score[score > 1e-15]
+            best, best_score = np.concatenate([best, e]), np.concatenate([best_score, score])
+            top = np.lexsort((best, -np.round(best_score, 12)))[:k]
+            best, best_score = best[top], best_score[top]
+            if len(best) == k:
+                least = max(least, float(best_score[-1]))
+        return list(zip(best_score.tolist(), best.tolist()))
 
     def score(self, found: list[tuple[float, int]]) -> float:
         """Votes weighted by the inverse of the angle's chord, shrunk to the base rate."""
         weights = [c / (0.2 + math.sqrt(max(0.0, 2 - 2 * c))) for c, _ in found]
         vote = sum(w * self.labels[e] for w, (_, e) in zip(weights, found))
-        return min(1.0, max(0.0, (vote + PRIOR_WEIGHT * self.base) / (sum(weights) + PRIOR_WEIGHT)))
+        return min(1.0, max(0.0, (vote + PRIOR_WEIGHT * self.rate) / (sum(weights) + PRIOR_WEIGHT)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """An index of at most ``examples`` labelled texts over at most ``terms`` terms; both bound what the driver
-    gathers and broadcasts. Of labels that disagree on a document the larger counts; null labels and documents
-    without a text are left out."""
-    text_batches(docs.sparkSession)
+def chosen_examples(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, chars: int) -> list:
+    """(id, text, label) of the examples. Only ids, hashes and lengths are shuffled; texts are fetched by a broadcast
+    of the chosen ids."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
-    t = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null").join(known, "_id").withColumn("_h", F.xxhash64("_text"))
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text is not null")
+    d = d.select("_id", "_text", F.xxhash64("_text").alias("_h"))
+    t = d.select("_id", "_h", F.length("_text").cast("long").alias("_n")).join(known, "_id")
+    rows = t.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_label").alias("_label"), F.max("_n").alias("_n")).orderBy("_h").limit(examples).collect()
+    total, few = 0, []
+    for r in rows:
+        total += r["_n"]
+        if few and total > chars:
+            break
+        few.append(r)
+    if not few:
+        return []
+    kind = dict(d.dtypes)["_id"]
+    picked = docs.sparkSession.createDataFrame([(r["_h"], r["_id"], r["_label"]) for r in few], f"_h long, _id2 {kind}, _label int")
+    found = d.join(F.broadcast(picked), "_h").where("_id = _id2").groupBy("_h").agg(F.min("_id").alias("_id"), F.min("_text").alias("_text"), F.max("_label").alias("_label"))
+    return [(r["_id"], r["_text"], r["_label"]) for r in sorted(found.collect(), key=lambda r: r["_h"])]
+
+
+def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> tuple[int, np.ndarray]:
+    """Rows of ``docs``, and for each term of a bounded vocabulary the number of them that hold it."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def counted(batches):
+        number = {t: i for i, t in enumerate(sent.value)}
+        n, df = 0, np.zeros(len(number), np.int64)
         for b in batches:
-            tf = [list(terms_of(x).items()) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tf, pa.map_(pa.string(), pa.int32())), b.column(2), b.column(3)], names=["id", "tf", "label", "h"])
-
-    kept = t.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_label").alias("_label")).orderBy("_h").limit(examples)
-    sample = written(t.select("_id", "_text").join(kept, "_id").select("_id", "_text", "_label", "_h").mapInArrow(counted, f"id {dict(t.dtypes)['_id']}, tf map<string,int>, label int, h long"), "examples")
-    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not n:
-        return Index([], {})
-    # a term's table of presence by label
-    df = sample.select("label", F.explode(F.map_keys("tf")).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("pos"))
-    expected = F.col("df") * toxic / n
-    spread = F.col("df") * (F.lit(float(toxic)) / n) * (F.lit(float(n - toxic)) / n) * (1 - F.col("df") / (n + 1))
-    chi2 = (F.col("pos") - expected) ** 2 / F.greatest(spread, F.lit(1e-9))
-    best = df.where("df >= 3").withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(terms)
-    idf = {r.term: 1 + math.log((n + 1) / (r.df + 1)) for r in best.collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(idf))
-
-    def slim(batches):
-        for b in batches:
-            tf = [[(t, n) for t, n in x if t in sent.value] for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(tf, pa.map_(pa.string(), pa.int32()))], names=["id", "label", "tf"])
-
-    rows = sample.mapInArrow(slim, f"id {dict(sample.dtypes)['id']}, label int, tf map<string,int>").collect()
-    return Index([(r.id, r.label, dict(r.tf)) for r in rows], idf)
+            n += b.num_rows
+            for met in numbers_of(b.column(0).to_pylist(), number):
+                df[met[np.flatnonzero(np.diff(met, prepend=-1))]] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(df[some], n))], names=["term", "n"])
+
+    out, n = np.zeros(len(vocabulary), np.int64), 0
+    got = docs.select(F.col(text_col)).mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, total = got.column("term").to_numpy(), got.column("n").to_numpy()
+    out[at[at >= 0]] = total[at >= 0]
+    n = int(total[at < 0].sum())
+    sent.destroy()
+    return n, out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, chars: int = EXAMPLE_CHARS) -> Index:
+    """An index of at most ``examples`` labelled texts of at most ``chars`` characters in all (or one text), over all
+    of their terms; inverse document frequencies count all ``docs``. Of labels that disagree on a document, or on
+    copies of a text, the larger counts; null labels and documents without a text are left out. Without any example
+    the index is empty and its base rate 0."""
+    text_batches(docs.sparkSession)
+    rows = [(i, label, text) for i, text, label in chosen_examples(docs, labels, id_col, text_col, label_col, examples, chars)]
+    vocabulary = sorted(set(words_of([text for _, _, text in rows])[0]) - {""})
+    if not vocabulary:
+        return Index(rows, {})
+    n, df = document_frequencies(docs, text_col, vocabulary)
+    return Index(rows, {t: 1 + math.log((n + 1) / (k + 1)) for t, k in zip(vocabulary, df.tolist())})
 
 
 def scored(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHBOURS, evidence: bool = False) -> DataFrame:
     """``docs`` plus _score double, and with ``evidence`` _evidence array<struct<example,cosine,label>>. Whole
     texts are scored; a null or empty text, or one without a known term, has no neighbour and gets the base rate of
-    the examples (0 if there are none). Rows are scored one by one; other columns pass through."""
+    the examples (0 if there are none). Rows are scored one by one and repeated rows alike; other columns pass
+    through, but one that is named like an added column gives way to it. An empty table gives an empty result."""
     text_batches(docs.sparkSession)
+    docs = plain(docs, "_score", *(["_evidence"] * evidence))
     sent = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
@@ -148,15 +224,16 @@ def scored(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGH
         index, known = sent.value, {}
         for b in batches:
             scores, shown = [], []
-            for text in b.column(at).to_pylist():
-                q = index.query(text)
-                if q not in known:
+            texts = b.column(at).to_pylist()
+            for text, met in zip(texts, numbers_of(texts, index.number)):
+                key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    found = index.nearest(q, k)
-                    known[q] = index.score(found), [{"example": str(index.ids[e]), "cosine": c, "label": int(index.labels[e])} for c, e in found] if evidence else None
-                scores.append(known[q][0])
-                shown.append(known[q][1])
+                    found = index.nearest(index.vector(met), k)
+                    known[key] = index.score(found), [{"example": str(index.ids[e]), "cosine": c, "label": int(index.labels[e])} for c, e in found] if evidence else None
+                scores.append(known[key][0])
+                shown.append(known[key][1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), *([pa.array(shown, kind)] if evidence else [])], names=[*b.schema.names, "_score", *(["_evidence"] if evidence else [])])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", _score double" + ", _evidence array<struct<example:string,cosine:double,label:int>>" * evidence

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -233,20 +234,69 @@ def test_embeddings_of_nothing(spark):
 # ------------------------------------------------------------------ toxicity
 
 
-def test_nearest_is_exact():
-    rng = random.Random(8)
-    terms = [f"t{i}" for i in range(60)]
-    examples = [(i, rng.randrange(2), Counter(rng.choices(terms, k=rng.randrange(1, 12)))) for i in range(700)]
-    index = toxicity.Index(examples, {t: 1 + rng.random() * 3 for t in terms})
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+
+def plain_scores(docs, labelled, queries, k=15):
+    """Scores straight from the definitions: all cosines, in plain Python."""
+    rate = sum(y for _, _, y in labelled) / len(labelled)
+    df, held, bad = Counter(), Counter(), Counter()
+    for t in docs:
+        df.update(set(plain_words(t)))
+    for _, t, y in labelled:
+        held.update(set(plain_words(t)))
+        bad.update(set(plain_words(t)) if y else ())
+
+    def unit(text):
+        v = {}
+        for w, n in Counter(plain_words(text)).items():
+            if w in held:
+                p = (bad[w] + 2 * rate) / (held[w] + 2)
+                v[w] = (1 + math.log(n)) * (1 + math.log((len(docs) + 1) / (df[w] + 1))) * (math.log(p / (1 - p)) - math.log(rate / (1 - rate))) ** 2
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()} if norm else {}
+
+    known, out = [(unit(t), y) for _, t, y in labelled], []
+    for text in queries:
+        q = unit(text)
+        near = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), y) for v, y in known), key=lambda c: -c[0])[:k]
+        votes = [(c / (0.2 + math.sqrt(max(0, 2 - 2 * c))), y) for c, y in near if c > 1e-15]
+        out.append((sum(w * y for w, y in votes) + toxicity.PRIOR_WEIGHT * rate) / (sum(w for w, _ in votes) + toxicity.PRIOR_WEIGHT))
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~toxicity.held_out())
+    rows, by = docs.collect(), {}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    for r in rows:
+        if r.doc_id in y and r.text is not None:
+            i, label = by.get(r.text, (r.doc_id, 0))
+            by[r.text] = min(i, r.doc_id), max(label, y[r.doc_id])
+    want = plain_scores([r.text for r in rows], [(i, t, k) for t, (i, k) in by.items()], [r.text for r in rows[:300]])
+    got = {r.doc_id: r._score for r in toxicity.scored(docs, toxicity.fit(docs, labels)).collect()}
+    assert np.allclose([got[r.doc_id] for r in rows[:300]], want, atol=1e-6)
+
+
+@pytest.mark.parametrize("vocabulary", [12, 60, 3000])
+def test_nearest_is_exact(vocabulary):
+    rng = random.Random(vocabulary)
+    terms = [f"t{i}" for i in range(vocabulary)]
+    text = lambda: " ".join(rng.choices(terms, k=rng.randrange(1, 30)))
+    index = toxicity.Index([(i, rng.randrange(2), text()) for i in range(700)], {t: 1 + rng.random() * 3 for t in terms})
     dense = np.zeros((len(index.ids), len(terms)))
-    for t, blocks in enumerate(index.postings):
-        for b, (at, xs) in blocks.items():
-            dense[b * index.BLOCK + at, t] = xs
-    for _ in range(60):
-        q = index.query(" ".join(rng.choices(terms, k=rng.randrange(1, 9))))
-        exact = dense[:, [t for t, _ in q]] @ np.array([x for _, x in q])
-        want = sorted((-round(s, 9) for s in exact if s > 0))[:15]
-        assert [-round(c, 9) for c, _ in index.nearest(q, 15)] == want
+    for t in range(len(terms)):
+        dense[index.posted[index.at[t] : index.at[t + 1]], t] = index.impact[index.at[t] : index.at[t + 1]]
+        if index.row[t] >= 0:
+            dense[:, t] = index.full[: len(dense), index.row[t]]
+    for x in toxicity.numbers_of([text() for _ in range(60)], index.number):
+        at, w = index.vector(x)
+        score = dense[:, at] @ w
+        order = [e for e in np.lexsort((np.arange(len(score)), -np.round(score, 12)))[:15].tolist() if score[e] > 1e-15]
+        assert [e for _, e in index.nearest((at, w), 15)] == order
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -267,6 +317,8 @@ def test_toxicity_odd_rows(spark, odd, empty):
     none = toxicity.fit(empty, labels)
     assert {r._score for r in toxicity.scored(odd, none).collect()} == {0.0}
     assert toxicity.scored(empty, index).count() == 0
+    clash = toxicity.scored(odd.withColumn("_SCORE", F.lit("own")), index)
+    assert clash.columns == [*odd.columns, "_score"] and clash.count() == odd.count()
 
 
 def test_evidence(spark):
