@@ -11,6 +11,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,12 +20,16 @@ from pyspark.sql import functions as F
 from .common import fresh_path, table, text_batches, written
 
 #: Distinct words whose ids a worker remembers, and the longest one that it does.
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
+CACHED_WORDS, CACHED_CHARS = 500_000, 64
+#: Characters of text that are split into words at once.
+AT_ONCE = 4_000_000
 CAPACITY = 4096
 #: Pieces that one packing task takes; tasks pack on their own.
 GROUP_PIECES = 100_000
 #: Ids of one file.
 SHARD_IDS = 4_000_000
+#: Documents of a file that are read at once.
+READ_DOCS = 4_096
 
 
 #: Byte-level vocabularies write a byte as the character of its code if that is visible, else as the next one from
@@ -34,66 +39,51 @@ _ALPHABET = {b: b for b in _VISIBLE} | {b: 256 + k for k, b in enumerate(b for b
 
 
 _SPACE = chr(_ALPHABET[32])
-
-
-class Memo(dict):
-    """Ids of words, each with ``before`` in front of it. Words with marks at their end are put together from the
-    word and the marks, which both vocabularies keep apart. What was met since the last clearing, and before it, is
-    kept in two parts, so that frequent words stay."""
-
-    MARKS = ".,;:!?|#$%&*"
-
-    def __init__(self, encode, before: str, marks: dict | None = None):
-        super().__init__()
-        self.encode, self.before, self.marks, self.old = encode, before, self if marks is None else marks, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.old.get(word)) is None:
-            core = word.rstrip(self.MARKS)
-            if core and len(core) < len(word) and core[-1].isalnum():
-                return self[core] + self.marks[word[len(core) :]]
-            ids = self.encode(self.before, word)
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHED_WORDS:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+_MARKS = ".,;:!?|#$%&*"
 
 
 class Encoder:
-    """ids(text): the ids of a text as little-endian uint32 bytes, equal to the library's for the whole text.
+    """batch(texts): the ids of each text as little-endian uint32 bytes, equal to the library's for the whole text
+    with ``add_special_tokens=False``: strings of special tokens in a text give their special ids, unless
+    ``special_as_text``.
 
     Both vocabularies split texts into words before they merge bytes, so the ids of a text are those of its words
-    in order; each distinct word is encoded once by the library and remembered. ``spaced`` vocabularies drop white
-    space, others keep it with the word that follows. Texts with characters that Python and the library do not both
-    hold for white space are encoded whole. Strings of special tokens in a text are ordinary text."""
+    in order; the distinct words of a batch are found by a dictionary, each is encoded once by the library and
+    remembered. ``spaced`` vocabularies drop white space, others keep it with the word that follows. Texts with
+    characters that Python and the library do not both hold for white space, with a string of a special token, or
+    with U+0000, which here marks words without a space before them, are encoded whole."""
 
-    _CHUNK, _ODD = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile("[\x1c-\x1f\x85\u180e]")
-    _of: dict[str, "Encoder"] = {}
+    _CHUNK, _ODD = re.compile(r" ?\S+|\s+(?!\S)|\s+"), re.compile("[\x00\x1c-\x1f\x85\u180e]")
+    #: White space other than space and line end.
+    _OTHER = re.compile("[\t\r\x0b\x0c\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _of: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = {re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = re.compile("|".join(sorted(special)), re.IGNORECASE) if special and not special_as_text else None
         self.spaced = self.tokenizer.normalizer is not None
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.model = self.tokenizer.model
-        self.first = Memo(self.word, "")
-        self.later = Memo(self.word, " ", self.first)
+        self.model._resize_cache(0)  # the words that get there are new
+        self.known, self.old, self.after = {}, {}, {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
+    def of(cls, path: str, special_as_text: bool = False) -> "Encoder":
         """The worker's own one, which later tasks use again."""
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
-
-    def word(self, before: str, word: str) -> bytes:
-        """Words of Latin letters are one piece for both vocabularies, so they can go straight to the library's
-        model: in its alphabet for bytes and, where it drops white space, in lower case."""
+        if (path, special_as_text) not in cls._of:
+            cls._of[path, special_as_text] = cls(path, special_as_text)
+        return cls._of[path, special_as_text]
+
+    def word(self, word: str) -> bytes:
+        """Ids of a word with the space before it, or without one if it is marked. Words of Latin letters are one
+        piece for both vocabularies, so they can go straight to the library's model: in its alphabet for bytes and,
+        where it drops white space, in lower case."""
+        before, word = ("", word.removeprefix("\0")) if self.spaced or word[:1] == "\0" else (" ", word)
         if not word.isalpha():
             return self.whole(before + word)
         low = word.lower() if self.spaced else word
@@ -108,21 +98,104 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if self._ODD.search(text):
+    def alone(self, text: str) -> bytes:
+        """Ids of one text."""
+        if self._ODD.search(text) or self.special and self.special.search(text):
             return self.whole(text)
-        first, later = self.first, self.later
-        words = text.split()
+        return b"".join(self.units(text.split() if self.spaced else [x[1:] if x[:1] == " " and not x.isspace() else "\0" + x for x in self._CHUNK.findall(text)]))
+
+    def plain(self, text: str) -> str | None:
+        """The text as words that single spaces part, if that is all that parts them; words without a space before
+        them are marked, and a line end is a word. None for a text that has to be encoded alone."""
+        if "<|" in text or self._ODD.search(text) or self._OTHER.search(text):
+            return None
         if self.spaced:
-            return b"".join(map(first.__getitem__, words))
-        if " ".join(words) != text.replace("\n", " "):
-            return b"".join(map(first.__getitem__, self._CHUNK.findall(text)))
-        # single spaces and line ends only: both are borders, and a space goes with the word after it
-        lines = []
-        for line in text.split("\n"):
-            own = line.split(" ")
-            lines.append(first[own[0]] + b"".join(map(later.__getitem__, own[1:])))
-        return first["\n"].join(lines) if words else b""
+            flat = text.replace("\n", " ")
+            return " ".join(flat.split(" ")) if "  " not in flat and flat[:1] != " " and flat[-1:] != " " else " ".join(flat.split())
+        flat = text.replace("\n", " ")
+        if "  " in flat or flat[:1] == " " or flat[-1:] == " ":
+            return None
+        return "\0" + text.replace("\n", " \0\n \0")
+
+    def units(self, units: list[str]) -> list[bytes]:
+        """Ids of words. Words with marks at their end are put together from the word and the marks, which both
+        vocabularies keep apart. What was met since the last clearing, and before it, is remembered."""
+        known, old = self.known, self.old
+        out = list(map(known.get, units))
+        for k in [k for k, x in enumerate(out) if x is None]:
+            unit = units[k]
+            if (ids := old.get(unit)) is None:
+                core = unit.rstrip(_MARKS)
+                if len(core) < len(unit) and core[-1:].isalnum():
+                    if (ids := known.get(core) or old.get(core)) is None:
+                        ids = self.word(core)
+                        if len(core) <= CACHED_CHARS:
+                            known[core] = ids
+                    ids += self.marks(unit[len(core) :])
+                else:
+                    ids = self.word(unit)
+            out[k] = ids
+            if len(unit) <= CACHED_CHARS:
+                known[unit] = ids
+        if len(known) > CACHED_WORDS:
+            self.known, self.old = {}, known
+        return out
+
+    def marks(self, marks: str) -> bytes:
+        if (ids := self.after.get(marks)) is None:
+            ids = self.whole(marks)
+            if len(marks) < 3:
+                self.after[marks] = ids
+        return ids
+
+    def batch(self, texts: list[str | None]):
+        """The ids of each text, in order; at most AT_ONCE characters (or one text) are taken at once."""
+        a, held = 0, 0
+        for z, text in enumerate(texts):
+            if held and held + len(text or "") > AT_ONCE:
+                yield from self.some(texts[a:z])
+                a, held = z, 0
+            held += len(text or "")
+        yield from self.some(texts[a:])
+
+    def some(self, texts: list[str | None]) -> list[bytes]:
+        flat = [self.plain(t) if t else None for t in texts]
+        joined = [x for x in flat if x]
+        if not joined:
+            return [self.alone(t) if t else b"" for t in texts]
+        split = pc.split_pattern(pa.array(joined, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        coded = self.units(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        ids, start, at = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(size) - size, words.indices.to_numpy()
+        n, first = size[at], np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(start[at] - ends[:-1], n)
+        where += np.arange(len(where))
+        data, cut = memoryview(ids[where].tobytes()), iter((4 * ends[first]).tolist())
+        out, a = [], next(cut)
+        for t, x in zip(texts, flat):
+            if x:
+                z = next(cut)
+                out.append(bytes(data[a:z]))
+                a = z
+            else:
+                out.append(self.alone(t) if t else b"")
+        return out
+
+
+def gathered(batches, text_at: int = 1, rows: int = 8192):
+    """Batches put together to AT_ONCE characters of text or so many rows, as a batch of few short texts costs as
+    much to look up as one of many."""
+    held, chars, n = [], 0, 0
+    for b in batches:
+        own = pc.sum(pc.utf8_length(b.column(text_at))).as_py() or 0
+        if held and (chars + own > AT_ONCE or n + b.num_rows > rows):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, chars, n = [], 0, 0
+        held, chars, n = [*held, b], chars + own, n + b.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 # ------------------------------------------------------------------ packing
@@ -136,15 +209,15 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         encoder, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in gathered(batches):
             rows: list[list] = [[], [], [], [], []]
-            for k, text in enumerate(b.column(1).to_pylist()):
-                ids = encoder.ids(text or "") + end
+            for k, own in enumerate(encoder.batch(b.column(1).to_pylist())):
+                ids = own + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for col, x in zip(rows, (k, p, at // 4, len(part) // 4, zlib.crc32(part))):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]], names=[id_col, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column(0).combine_chunks().take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]], names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -243,48 +316,59 @@ for _b in range(256):
 
 class EliasFano:
     """A non-decreasing sequence of non-negative integers below 2**63. The low bits are packed side by side, the
-    rest is written in unary; counts of ones before each byte, made when a sequence is loaded, let ``select`` find any
-    element."""
+    rest is written in unary. For each block of 512 bits of the unary part the number of ones before it is stored in
+    32 bits; ``select`` finds an element's block there and counts on in the block alone."""
+
+    BLOCK = 64  # bytes
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray):
-        self.n, self.low, self.lows, self.highs = n, low, lows, highs
-        ones = np.bitwise_count(highs).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(ones)])
+    def __init__(self, n: int, low: int, before: np.ndarray, lows: np.ndarray, highs: np.ndarray):
+        self.n, self.low, self.before, self.lows, self.highs = n, low, before, lows, highs
 
     @classmethod
     def of(cls, values: np.ndarray) -> "EliasFano":
         n = len(values)
+        if n >= 2**32:
+            raise ValueError("a sequence of at most 2**32 - 1 elements")
         most = int(values[-1]) if n else 0
         low = max(0, (most // n).bit_length() - 1) if n else 0
         at = (values >> low) + np.arange(n)
-        bits = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
+        bits = np.zeros(-(-(int(at[-1]) + 1 if n else 0) // (8 * cls.BLOCK)) * 8 * cls.BLOCK, np.uint8)
         bits[at] = 1
+        highs = np.packbits(bits, bitorder="little")
+        ones = np.bitwise_count(highs).reshape(-1, cls.BLOCK).sum(1, dtype=np.int64)
         planes = ((values[:, None] >> np.arange(low)) & 1).astype(np.uint8).ravel()
-        return cls(n, low, np.packbits(planes, bitorder="little"), np.packbits(bits, bitorder="little"))
+        return cls(n, low, (np.cumsum(ones) - ones).astype("<u4"), np.packbits(planes, bitorder="little"), highs)
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """Elements i: the i-th one bit of the unary part gives the high bits."""
         i = np.asarray(i, np.int64)
-        byte = np.searchsorted(self.before, i, side="right") - 1
-        bit = _SELECT[self.highs[byte], i - self.before[byte]]
-        value = (byte * 8 + bit - i) << self.low
+        block = np.searchsorted(self.before, i.astype(np.uint32), side="right") - 1
+        rest = i - self.before[block]
+        ones = np.bitwise_count(self.highs.reshape(-1, self.BLOCK)[block]).cumsum(1, dtype=np.int16)
+        byte = (ones <= rest[:, None]).sum(1)
+        rest -= np.where(byte > 0, np.take_along_axis(ones, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
+        byte += block * self.BLOCK
+        value = (byte * 8 + _SELECT[self.highs[byte], rest] - i) << self.low
         for k in range(self.low):
             p = i * self.low + k
             value |= ((self.lows[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(np.int64) << k
         return value
 
     def dump(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low, len(self.lows), len(self.highs)) + self.lows.tobytes() + self.highs.tobytes()
+        return struct.pack("<QBQQ", self.n, self.low, len(self.lows), len(self.highs)) + self.before.tobytes() + self.lows.tobytes() + self.highs.tobytes()
 
     @classmethod
     def load(cls, data: bytes, at: int) -> tuple["EliasFano", int]:
         n, low, a, b = struct.unpack_from("<QBQQ", data, at)
         at += struct.calcsize("<QBQQ")
+        blocks = b // cls.BLOCK
+        before = np.frombuffer(data, "<u4", blocks, at)
+        at += 4 * blocks
         view = np.frombuffer(data, np.uint8)
-        return cls(n, low, view[at : at + a], view[at + a : at + a + b]), at + a + b
+        return cls(n, low, before, view[at : at + a], view[at + a : at + a + b]), at + a + b
 
 
-MAGIC = b"MFIDS001"
+MAGIC = b"MFIDS002"
 
 
 class IdFile:
@@ -307,8 +391,10 @@ class IdFile:
         self.bounds, at = EliasFano.load(data, at)
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at)
 
-    def doc_ids(self) -> list:
-        return [None] * self.nulls + (self.own.select(np.arange(self.own.n)) + self.least).tolist()
+    def doc_ids(self, first: int, last: int) -> list:
+        """Ids of documents first to last - 1; those with a null id come first."""
+        some = np.arange(max(0, first - self.nulls), max(0, last - self.nulls))
+        return [None] * max(0, min(last, self.nulls) - first) + (self.own.select(some) + self.least).tolist()
 
     def document(self, i: int) -> np.ndarray:
         a, b = self.bounds.select(np.array([i, i + 1]))
@@ -345,9 +431,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc
             return row
 
         store.create_dir(root, recursive=True)
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = encoder.ids(text) + end
+        for b in gathered(batches):
+            for i, own in zip(b.column(0).to_pylist(), encoder.batch(b.column(1).to_pylist())):
+                got = own + end
                 if ids and n + len(got) // 4 > shard_ids:
                     yield flush()
                 n += len(got) // 4
@@ -375,10 +461,14 @@ def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 shard, seq = map(int, re.search(r"shard-(\d+)-(\d+)\.bin$", path).groups())
                 f = IdFile(content.as_py())
-                bounds = f.bounds.select(np.arange(f.docs + 1))
-                crc = [zlib.crc32(f.ids[a:z].astype("<u4").tobytes()) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                n = f.docs
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, seq)), pa.array(f.doc_ids(), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["shard", "seq", "doc_id", "_from", "n_tokens", "ids_crc32"])
+                for first in range(0, f.docs, READ_DOCS):
+                    last = min(first + READ_DOCS, f.docs)
+                    bounds = f.bounds.select(np.arange(first, last + 1))
+                    ids = memoryview(f.ids[bounds[0] : bounds[-1]].astype("<u4").tobytes())
+                    at = (4 * (bounds - bounds[0])).tolist()
+                    crc = [zlib.crc32(ids[a:z]) for a, z in zip(at[:-1], at[1:])]
+                    n = last - first
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.full(n, seq)), pa.array(f.doc_ids(first, last), pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["shard", "seq", "doc_id", "_from", "n_tokens", "ids_crc32"])
 
     rows = files.select("path", "content").mapInArrow(run, schema)
     return rows.join(manifest.select("shard", "seq", "start"), ["shard", "seq"]).select("doc_id", (F.col("start") + F.col("_from")).alias("start"), "n_tokens", "ids_crc32")

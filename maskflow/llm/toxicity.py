@@ -32,7 +32,7 @@ def words_of(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray
     split = pc.ascii_split_whitespace(pa.array(clean, pa.large_binary()).cast(pa.large_string()))
     flat = split.flatten().dictionary_encode()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return flat.dictionary.to_pylist(), flat.indices.to_numpy(), ends
+    return flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy(), ends
 
 
 def numbers_of(texts: list[str | None], number: dict[str, int]) -> list[np.ndarray]:

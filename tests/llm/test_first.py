@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from maskflow.llm import chat, common, decontam, secrets, simhash, tokens
 from maskflow.llm.fmindex import FMIndex, suffix_array
@@ -177,13 +178,46 @@ def test_fm_index_finds_all():
 # ------------------------------------------------------------------ tokens
 
 
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "x<|EndOfText|>y", "<|startoftext|>one, two.", " <|endoftext|><|endoftext|> ", "so <| is not |>", "z\n<|startoftext|>\nz"]
+
+
+def library(name, **options):
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    for k, v in options.items():
+        setattr(t, k, v)
+    return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_encoder_equals_the_library(documents, odd, name):
-    e = tokens.Encoder(public_tokenizers.path(name))
+@pytest.mark.parametrize("chars", [300, 4_000_000])
+def test_encoder_equals_the_library(documents, odd, name, chars, monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", chars)
     pages = documents.sparkSession.read.parquet("/root/testdata/sf0.001/pages.parquet")
-    for (t,) in documents.select("text").union(odd.select("text")).union(pages.select("html")).collect() + [("  a \n\n b'S it'll  x　 é  ",), ("'s 't\r\n 12345 §§ a'll",)]:
-        assert e.ids(t or "") == e.whole(t or "")
-        assert e.ids(t or "") == e.whole(t or "")
+    texts = [t for (t,) in documents.select("text").union(odd.select("text")).union(pages.select("html")).collect()]
+    texts += ["  a \n\n b'S it'll  x　 é  ", "'s 't\r\n 12345 §§ a'll", "a\nb,\nc. d", "\0 a \0b", " lead", "trail ", "\n", *SPECIAL]
+    for options in ({}, {"encode_special_tokens": True}):
+        e, whole = tokens.Encoder(public_tokenizers.path(name), bool(options)), library(name, **options)
+        for _ in range(2):
+            assert list(e.batch(texts)) == [whole(t) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_forgets_words(documents, name, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
+    e, whole = tokens.Encoder(public_tokenizers.path(name)), library(name)
+    for (t,) in documents.select("text").collect():
+        assert list(e.batch([t])) == [whole(t)]
+
+
+def test_special_strings_in_queries(spark, tmp_path):
+    rows = list(enumerate([*SPECIAL, None, ""]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = library("byte_bpe_50k.json")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.op10_token_ids(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(b) // 4, zlib.crc32(b)) for i, t in rows for b in [whole(t) + (2).to_bytes(4, "little")]}
+    whole = library("word_bpe_49k.json")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in tokens.op4_best_fit_pack(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(b) // 4, zlib.crc32(b)) for i, t in rows for b in [whole(t) + (1).to_bytes(4, "little")]}
 
 
 @pytest.mark.parametrize("which", ["odd", "documents", "empty"])
@@ -226,10 +260,12 @@ def test_pack_matches_large_items():
 
 def test_elias_fano():
     rng = np.random.default_rng(5)
-    for v in ([], [0], [0, 0, 0], [5], [2**62], np.sort(rng.integers(0, 10**9, 999)), np.arange(100), np.sort(rng.integers(0, 30, 200))):
+    for v in ([], [0], [0, 0, 0], [5], [2**62], np.sort(rng.integers(0, 10**9, 999)), np.arange(100), np.sort(rng.integers(0, 30, 200)), np.sort(rng.integers(0, 10**7, 30_000)), np.r_[np.zeros(5000, np.int64), 10**9]):
         v = np.array(v, np.int64)
         ef, end = tokens.EliasFano.load(b"xx" + tokens.EliasFano.of(v).dump(), 2)
-        assert (ef.select(np.arange(len(v))) == v).all()
+        assert end == len(tokens.EliasFano.of(v).dump()) + 2 and (ef.select(np.arange(len(v))) == v).all()
+        some = rng.integers(0, max(1, len(v)), 20)[: len(v)]
+        assert (ef.select(some) == v[some]).all()
 
 
 @pytest.mark.parametrize("which", ["odd", "documents", "empty"])
