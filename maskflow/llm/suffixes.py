@@ -17,6 +17,9 @@ GRAM = 64
 #: Bytes of text that a shard aims at.
 SHARD_BYTES = 500_000
 
+#: Alphabets up to this size have buckets worth moving as a whole.
+SMALL_ALPHABET = 300
+
 # ------------------------------------------------------------------ suffix sorting
 
 
@@ -78,47 +81,36 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.
     return sa
 
 
-def _rank_doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array of integers by doubling, in which only ties are sorted again."""
+def _induce_singly(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same for a large alphabet, whose buckets are too small to move entries together: entry by entry."""
     n = len(s)
-    order = np.argsort(s, kind="stable")
-    rank, idx, step = np.empty(n, np.int64), order, 0
-    key = s[order]
-    group = np.zeros(n, np.int64)
-    while True:
-        pos = np.arange(len(idx))
-        new = np.r_[True, key[1:] != key[:-1]]
-        top = np.r_[True, group[1:] != group[:-1]]
-        sub = np.maximum.accumulate(np.where(new | top, pos, 0))
-        first = np.maximum.accumulate(np.where(top, pos, 0))
-        rank[idx] = group + sub - first
-        starts = np.flatnonzero(new | top)
-        sizes = np.diff(np.r_[starts, len(idx)])
-        idx = idx[np.repeat(sizes > 1, sizes)]
-        if not idx.size:
-            break
-        step = max(1, 2 * step)
-        nxt = np.where(idx + step < n, rank[np.minimum(idx + step, n - 1)] + 1, 0)
-        both = rank[idx] * np.int64(n + 2) + nxt
-        o = np.argsort(both, kind="stable")
-        idx, key = idx[o], both[o]
-        group = key // (n + 2)
-    sa = np.empty(n, np.int64)
-    sa[rank] = np.arange(n)
-    return sa
-
-
-def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array by induced sorting. s ends with 0, which stands nowhere else.
-
-    Suffixes are classified; LMS substrings are sorted by one induction and named; the string of names is sorted
-    (if all differ, they are the order; else by doubling of ties, as a bucket-wise scan has no vector form for its
-    large alphabet); then the whole array is induced."""
+    begin = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=sigma))])
+    # the symbol before each place if it is of the wanted type, else -1; place n stands for an empty entry
+    before = np.concatenate([[-1], s[:-1], [-1]])
+    to_l = np.where(np.concatenate([[False], ~is_s[:-1], [False]]), before, -1).tolist()
+    to_s = np.where(np.concatenate([[False], is_s[:-1], [False]]), before, -1).tolist()
+    sa = np.full(n, n, np.int64)
+    order = np.argsort(s[lms], kind="stable")
+    put = s[lms][order]
+    last = np.searchsorted(put, put, side="right")
+    sa[begin[put + 1] - last + np.arange(len(put))] = lms[order]
+    sa, head, tail = sa.tolist(), begin[:-1].tolist(), begin[1:].tolist()
+    for i in sa:
+        if (c := to_l[i]) >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    for i in reversed(sa):
+        if (c := to_s[i]) >= 0:
+            at = tail[c] - 1
+            sa[at] = i - 1
+            tail[c] = at
+    return np.array(sa, np.int64)
+
+
+def _names_induced(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """Names of the LMS substrings, in their order: sorted by one induction, neighbours compared."""
     n = len(s)
-    is_s = _types(s)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    if len(lms) <= 1:
-        return _induce(s, is_s, lms, sigma)
     sa = _induce(s, is_s, lms, sigma)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
@@ -136,13 +128,49 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
         live, j = live[ok], j + 1
     name = np.empty(n, np.int64)
     name[sorted_lms] = np.concatenate([[0], np.cumsum(~same)])
-    reduced = name[lms]
-    if reduced.max() + 1 == len(lms):
-        order = np.empty(len(lms), np.int64)
-        order[reduced] = np.arange(len(lms))
-    else:
-        order = _rank_doubling(reduced)
-    return _induce(s, is_s, lms[order], sigma)
+    return name[lms]
+
+
+def _names_by_symbols(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same where the alphabet is large and so the substrings are short: ties are sorted symbol by symbol, of
+    equal symbols the one of a larger suffix type later. Tied substrings have the same types, so they end at once."""
+    symbol = 2 * s.astype(np.int64) + is_s
+    rest = np.append(np.diff(lms), 0)
+    name, live, j = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while live.size:
+        key, group = symbol[lms[live] + j], name[live]
+        o = np.lexsort((key, group))
+        live, key, group = live[o], key[o], group[o]
+        top = np.r_[True, group[1:] != group[:-1]]
+        new = top | np.r_[True, key[1:] != key[:-1]]
+        pos = np.arange(len(live))
+        name[live] = group + np.maximum.accumulate(np.where(new, pos, 0)) - np.maximum.accumulate(np.where(top, pos, 0))
+        starts = np.flatnonzero(new)
+        size = np.diff(np.append(starts, len(live)))
+        live = live[(np.repeat(size, size) > 1) & (rest[live] > j)]
+        j += 1
+    return np.unique(name, return_inverse=True)[1]
+
+
+def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix array by induced sorting. s ends with 0, which stands nowhere else.
+
+    Suffixes are classified; LMS substrings are sorted and named; the string of names, of at most half the length, is
+    sorted in the same way unless all names differ; then the whole array is induced."""
+    if len(s) == 1:
+        return np.zeros(1, np.int64)
+    small = sigma <= SMALL_ALPHABET
+    is_s = _types(s)
+    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    order = np.arange(len(lms))
+    if len(lms) > 1:
+        reduced = _names_induced(s, is_s, lms, sigma) if small else _names_by_symbols(s, is_s, lms)
+        names = int(reduced.max()) + 1
+        if names == len(lms):
+            order[reduced] = np.arange(len(lms))
+        else:
+            order = suffix_array(reduced, names)
+    return (_induce if small else _induce_singly)(s, is_s, lms[order], sigma)
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -21,14 +21,16 @@ def plain_suffix_array(s):
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_induced_sorting(seed):
+def test_induced_sorting(seed, monkeypatch):
     rng = np.random.default_rng(seed)
     body = rng.integers(1, [2, 3, 5, 200][seed % 4], 300) if seed else np.zeros(0, np.int64)
     if seed > 6:
         body = np.concatenate([body, body[:150], np.full(40, 1), body])
     s = np.append(body, 0).astype(np.int16)
-    sa = suffixes.suffix_array(s, 258)
-    assert sa.tolist() == plain_suffix_array(s.tolist())
+    for small in (300, 0):  # a whole bucket at a time, and entry by entry
+        monkeypatch.setattr(suffixes, "SMALL_ALPHABET", small)
+        sa = suffixes.suffix_array(s, 258)
+        assert sa.tolist() == plain_suffix_array(s.tolist())
     plcp = suffixes.permuted_lcp(s, sa)
     t = s.tolist()
     for a, b in zip(sa[:-1].tolist(), sa[1:].tolist()):
@@ -38,6 +40,15 @@ def test_induced_sorting(seed):
         assert plcp[b] == n
 
 
+def test_induced_sorting_recurses():
+    """Fibonacci words and long periods, whose names repeat level after level."""
+    a, b = [1, 2], [1]
+    while len(a) < 900:
+        a, b = a + b, a
+    for body in (a, [1, 2, 3] * 200, [2, 1] * 250, [5] * 300, (list(range(1, 40)) * 9)[:-3]):
+        assert suffixes.suffix_array(np.array([*body, 0], np.int16), 258).tolist() == plain_suffix_array([*body, 0])
+
+
 def plain_repeats(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
@@ -144,10 +155,11 @@ def vectors(spark, n=400, dim=16, seed=5):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component string")
 
 
-def test_embedding_links(spark, monkeypatch):
+@pytest.mark.parametrize("most", [150, 4_000])
+def test_embedding_links(spark, monkeypatch, most):
     rows, df = vectors(spark)
     monkeypatch.setattr(embeddings, "SHARD", 120)
-    monkeypatch.setattr(embeddings, "SHARD_MOST", 150)
+    monkeypatch.setattr(embeddings, "SHARD_MOST", most)
     want, forest = Counter(), common.Forest()
     good = {i: (np.array(x), y) for i, x, y, _ in rows if x and y is not None and None not in x and np.isfinite(x).all() and np.any(x)}
     ids = sorted(good)
@@ -162,10 +174,33 @@ def test_embedding_links(spark, monkeypatch):
     got = embeddings.dedup(df).collect()
     assert len(got) == len(rows)
     found = {r.vec_id: r.n_links for r in got}
-    assert all(found[i] <= want[i] for i in found)
-    assert sum(found.values()) >= 0.95 * sum(want.values()) > 0
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got) and all(found[i] <= want[i] for i in found)
     right = sum(r.component_id == forest.find(r.vec_id) for r in got)
-    assert right >= 0.98 * len(got) and all(r.kept == (r.vec_id == r.component_id) for r in got)
+    if most > len(rows):  # one shard per label: nothing can be lost
+        assert found == {i: want[i] for i in found} and right == len(got) and sum(want.values()) > 0
+    else:
+        assert sum(found.values()) >= 0.98 * sum(want.values()) and right >= 0.98 * len(got)
+
+
+def test_lost_links_are_added(spark, monkeypatch):
+    """Whatever the graph search loses among vectors of one shard, the check of the shard adds."""
+    x = groups(np.random.default_rng(7), 6, 20, 16)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    nothing = np.zeros(0, np.int64)
+    monkeypatch.setattr(embeddings, "range_search", lambda *a: (nothing, nothing))
+    for r in embeddings.dedup(df).collect():
+        assert (r.n_links, r.component_id) == (19, r.vec_id // 20 * 20)
+
+
+def test_joined():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 0), (50, 20), (300, 200), (300, 900)):
+        p, q, root, forest = rng.integers(0, n, m), rng.integers(0, n, m), np.arange(n), common.Forest()
+        for a in range(0, m, 70):
+            embeddings.joined(root, p[a : a + 70], q[a : a + 70])
+        for a, b in zip(p.tolist(), q.tolist()):
+            forest.link(a, b)
+        assert root.tolist() == [forest.find(i) for i in range(n)]
 
 
 def test_labels_outside_the_sample(spark, monkeypatch):
@@ -219,10 +254,14 @@ def test_failed_audits_end_in_an_exact_search(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     nothing = np.zeros(0, np.int64)
     monkeypatch.setattr(embeddings, "SHARD_MOST", 50)
-    monkeypatch.setattr(embeddings, "audit", lambda *a: 0.0)
+    told = iter([0.0, 0.0, 0.0, 1.0])
+    monkeypatch.setattr(embeddings, "audit", lambda *a: next(told))
     monkeypatch.setattr(embeddings, "range_search", lambda *a: (nothing, nothing))
     for r in embeddings.dedup(df).collect():
         assert (r.n_links, r.component_id) == (14, r.vec_id // 15 * 15)
+    monkeypatch.setattr(embeddings, "audit", lambda *a: 0.0)
+    with pytest.raises(RuntimeError):
+        embeddings.dedup(df)
 
 
 def test_embeddings_of_nothing(spark):
