@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, connected_components, table, written
+from .common import connected_components, table, written
 
 LEAST_COSINE = 0.93
 #: Vectors that a cluster shard aims at, those of neighbouring clusters included, and from which on it is dealt out
@@ -20,7 +20,9 @@ SAMPLE = 20_000
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
 #: Range search also goes through vectors this much below the threshold.
 SLACK = 0.06
-AUDITED, LEAST_RECALL = 200, 0.95
+AUDITED, LEAST_RECALL = 200, 0.98
+#: Vectors of a shard that are checked at once.
+AT_ONCE = 500
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -160,6 +162,22 @@ def range_search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries:
     return found[0], found[1]
 
 
+def joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Unite nodes p and q in ``root``, the smallest node of each node's component."""
+    while True:
+        a, b = root[p], root[q]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        some = low < high
+        if not some.any():
+            return
+        np.minimum.at(root, high[some], low[some])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
 
@@ -186,8 +204,10 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     Vectors go to the shards of their ``overlap`` nearest centroids; a shard above SHARD_MOST is dealt out in
     blocks, and each pair of blocks is a task, so no task holds more than two blocks and no pair is lost. Each task
     prunes its graph; a vector's adjacency lists are united; then each task searches for the range of its vectors
-    from entries that reach all of its graph and from themselves, and verifies cosines in double precision on the vectors as given. A pair that shares several
-    shards counts in the first of them. Only sums and forests leave a task, no pairs.
+    from entries that reach all of its graph and from themselves, verifies cosines in double precision on the vectors
+    as given, and checks its vectors against each other: links that the search has lost are added and counted, so
+    that only pairs without a common shard can be missed. A pair that shares several shards counts in the first of
+    them. Only sums and forests leave a task, no pairs.
 
     With ``exact`` a label is one shard and each task compares all its pairs, so that no link is lost; its work grows
     with the square of a label."""
@@ -259,36 +279,51 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             p = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
             graph.append(p[ids[p] == near])
         u = unit(x)
-        n_links, forest, pairs = np.zeros(len(ids), np.int64), Forest(), []
+        size, k = len(ids), max(map(len, shards))
+        n_links, root, lost = np.zeros(size, np.int64), np.arange(size), 0
+        common = np.array([sorted(x) + [-1 - y] * (k - len(x)) for x, y in zip(shards, range(size))], np.int64)
+
+        def keys(q, n):
+            """A pair may be met from either side; both sides count it once, so put it in one order."""
+            ok = q != n
+            return np.unique(np.minimum(q, n)[ok] * np.int64(size) + np.maximum(q, n)[ok])
+
         if not exact:
             edges = adjacency(graph)
             starts = entries(u, edges)
-        for a in range(0, len(ids), 1000):
+            met = [np.zeros(0, np.int64)]
+            for a in range(0, size, 1000):
+                q, n = range_search(u, edges, starts, np.arange(a, min(a + 1000, size)), least)
+                met.append(keys(q + a, n))
+            met = np.unique(np.concatenate(met))
+        for a in range(0, size, AT_ONCE):
+            # an exact check of the search: what it has lost among these vectors is added
+            q, n = np.nonzero(u[a : a + AT_ONCE] @ u.T >= least - 1e-9)
+            q += a
+            there = keys(q[q < n], n[q < n])
             if exact:
-                q, n = np.nonzero(u[a : a + 1000] @ u.T >= least - 1e-9)
+                pairs = there
             else:
-                q, n = range_search(u, edges, starts, np.arange(a, min(a + 1000, len(ids))), least)
-            q = q + a
-            # a search may meet a pair from either side; both sides count it once, so put it in one order
-            ok = q < n if exact else q != n
-            pairs.append(np.stack([np.minimum(q, n)[ok], np.maximum(q, n)[ok]]))
-        both = np.concatenate(pairs, 1)
-        both = np.unique(both[0] * np.int64(len(ids)) + both[1])
-        for a in range(0, len(both), 200_000):
-            p, q = both[a : a + 200_000] // len(ids), both[a : a + 200_000] % len(ids)
-            ok = exact_cosine(x[p], x[q]) >= least
-            if i != j:
-                ok &= block[p] != block[q]
-            p, q = p[ok], q[ok]
-            first = np.fromiter((min(shards[c] & shards[d]) == s for c, d in zip(p.tolist(), q.tolist())), bool, len(p))
-            p, q = p[first], q[first]
-            np.add.at(n_links, p, copies[q])
-            np.add.at(n_links, q, copies[p])
-            for c, d in zip(p.tolist(), q.tolist()):
-                forest.link(c, d)
-        return pa.table({"id": ids, "n": n_links, "root": ids[np.array([forest.find(k) for k in range(len(ids))], np.int64)]})
-
-    found = written(tasks.groupBy(*key).applyInArrow(searched, "id long, n long, root long"), "vector-links")
+                own = met[np.searchsorted(met, a * size) : np.searchsorted(met, (a + AT_ONCE) * size)]
+                missed = there[~np.isin(there, own, assume_unique=True)]
+                pairs = np.concatenate([own, missed])
+            for c in range(0, len(pairs), 200_000):
+                p, q = pairs[c : c + 200_000] // size, pairs[c : c + 200_000] % size
+                ok = exact_cosine(x[p], x[q]) >= least
+                if i != j:
+                    ok &= block[p] != block[q]
+                if k > 1:
+                    # the least shard that both are in
+                    both = np.where(common[p][:, :, None] == common[q][:, None, :], common[p][:, :, None], np.iinfo(np.int64).max)
+                    ok &= both.reshape(len(p), -1).min(1, initial=np.iinfo(np.int64).max) == s
+                lost += int(ok[max(0, len(own) - c) :].sum()) if not exact else 0
+                p, q = p[ok], q[ok]
+                np.add.at(n_links, p, copies[q])
+                np.add.at(n_links, q, copies[p])
+                joined(root, p, q)
+        return pa.table({"id": ids, "n": n_links, "root": ids[root], "lost": np.where(np.arange(size) == 0, lost, 0)})
+
+    found = written(tasks.groupBy(*key).applyInArrow(searched, "id long, n long, root long, lost long"), "vector-links")
     edges = found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
     rep_links = found.groupBy("id").agg(F.sum("n").alias("n"))
     own = v.select("id").join(copies.select("id", "rep", "copies"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
@@ -340,6 +375,8 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     else:
         edges, n_links = links(vectors, id_col, vec_col, label_col, least, exact=True)
         n_links = written(n_links, "n-links")
+        if (recall := audit(vectors, n_links, id_col, vec_col, label_col, least)) < LEAST_RECALL:
+            raise RuntimeError(f"an exact search found {recall:.3f} of the audited links")
     comp = connected_components(edges)
     v = vectors.select(F.col(id_col).cast("long").alias("id"))
     out = v.join(n_links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
