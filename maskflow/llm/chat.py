@@ -57,11 +57,22 @@ def rendered(expanded: DataFrame) -> DataFrame:
     )
 
 
+def exploded(rows: DataFrame) -> DataFrame:
+    """One row per example of rendered conversations, other columns of ``rows`` kept: example, context (the code
+    points of the formatted conversation before the reply, as a place: from 0 to context), reply_segment, and _loss,
+    the text under the example's loss mask, unescaped. A conversation without a target turn keeps one row, with nulls.
+
+    The rows stay where their conversation is, so that a later grouping by conversation moves nothing."""
+    e = rows.select("*", F.explode_outer("examples").alias("_e")).drop("examples")
+    trainable = F.call_function("substring", F.col("_e.segment"), (F.col("_e.loss_start") - F.col("_e.start")).cast("int") + 1, (F.col("_e.loss_stop") - F.col("_e.loss_start")).cast("int"))
+    return e.select(*[c for c in e.columns if c != "_e"], F.col("_e.example").alias("example"), F.col("_e.start").alias("context"), F.col("_e.segment").alias("reply_segment"), F.col("_e.loss_start").alias("loss_start"), F.col("_e.loss_stop").alias("loss_stop"), unescape(trainable).alias("_loss"))
+
+
 def examples(expanded: DataFrame) -> DataFrame:
     """Each example with its context copied: conv, example, context, reply_segment, loss_start, loss_stop (code
     points of context + reply_segment)."""
-    e = rendered(expanded).select("conv", "formatted", F.explode("examples").alias("e"))
-    return e.select("conv", "e.example", F.call_function("substring", F.col("formatted"), F.lit(1), F.col("e.start").cast("int")).alias("context"), F.col("e.segment").alias("reply_segment"), "e.loss_start", "e.loss_stop")
+    e = exploded(rendered(expanded)).where("example is not null")
+    return e.select("conv", "example", F.call_function("substring", F.col("formatted"), F.lit(1), F.col("context").cast("int")).alias("context"), "reply_segment", "loss_start", "loss_stop")
 
 
 def parsed(formatted: Column) -> Column:
@@ -75,17 +86,17 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     r = rendered(expand(turns)).withColumn("turns", parsed(F.col("formatted")))
-    loss = F.array_join(F.transform("examples", lambda e: unescape(F.call_function("substring", e["segment"], (e["loss_start"] - e["start"]).cast("int") + 1, (e["loss_stop"] - e["loss_start"]).cast("int")))), "")
-    r = r.withColumn("_loss", loss)
-    return r.select(
-        F.col("conv").alias("conv_id"),
+    digests = r.select(
+        "conv",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length("_loss").cast("long").alias("loss_chars"),
-        F.sha2("_loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("examples").cast("long").alias("n_examples"),
+        "examples",
     )
+    losses = F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "_loss"))))
+    each = exploded(digests).groupBy("conv").agg(*[F.first(c).alias(c) for c in ("n_turns", "turns_sha256", "formatted_chars")], losses.alias("losses"))
+    each = each.withColumn("_loss", F.array_join(F.transform("losses", lambda x: x["_loss"]), ""))
+    return each.select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars", F.size("losses").cast("long").alias("n_examples"))
 
 
 #: The same rows by another path; escapes are counted, not made.
