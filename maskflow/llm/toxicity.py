@@ -12,11 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain, table, text_batches
+from .common import lean, plain, table, text_batches
 
 #: At most so many labelled examples, of so many characters in all, are indexed: those with the least hash of the
 #: text; copies count once. Both bound what the driver gathers and broadcasts.
-EXAMPLES, EXAMPLE_CHARS = 6_000, 40_000_000
+EXAMPLES, EXAMPLE_CHARS = 4_000, 24_000_000
 NEIGHBOURS = 15
 #: Weight of the base rate among the votes.
 PRIOR_WEIGHT = 0.25
@@ -206,7 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not vocabulary:
         return Index(rows, {})
     n, df = document_frequencies(docs, text_col, vocabulary)
-    return Index(rows, {t: 1 + math.log((n + 1) / (k + 1)) for t, k in zip(vocabulary, df.tolist())})
+    index = Index(rows, {t: 1 + math.log((n + 1) / (k + 1)) for t, k in zip(vocabulary, df.tolist())})
+    del rows, vocabulary, df
+    lean()
+    return index
 
 
 def scored(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGHBOURS, evidence: bool = False) -> DataFrame:
