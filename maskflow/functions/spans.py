@@ -4,29 +4,50 @@ Offsets are code points, as Spark's length() counts them; regexp_instr would cou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RAW = "array<struct<start:int,stop:int,text:string>>"
+#: Matches whose offsets are added up at once.
+STRIDE = 64
 FINDING = "array<struct<label:string,start:int,stop:int,score:double,ord:int,text:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
     """array<struct<start,stop,text>> of the leftmost non-overlapping matches of a pattern that never matches the
     empty string. A capture group other than 0 must end where the match ends, as all of the rule table do. Texts that
-    the gate refuses are not searched."""
+    the gate refuses are not searched.
+
+    Offsets are added up in strides, first over the strides and then within each, as an array grows by copying: a
+    text with many matches costs no more per match than one with few."""
     pieces = F.split(text, F.lit(pattern), -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(pieces.alias("p"), whole.alias("m"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole).alias("g"))
-    none = F.array().cast(RAW)
+    none, zero = F.array().cast(RAW), F.lit(0)
+    zipped = F.arrays_zip(pieces.alias("p"), whole.alias("m"), *([F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")] if group else []))
+    own = lambda x: x["g"] if group else x["m"]
+    width = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), zero)
 
     def step(acc, x):
-        stop = acc["at"] + F.length(x["p"]) + F.length(F.coalesce(x["m"], F.lit("")))
-        own = F.struct((stop - F.length(x["g"])).alias("start"), stop.alias("stop"), x["g"].alias("text"))
-        return F.struct(stop.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(own))).alias("out"))
+        stop = acc["at"] + width(x)
+        one = F.struct((stop - F.length(own(x))).alias("start"), stop.alias("stop"), own(x).alias("text"))
+        return F.struct(stop.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+
+    def first(acc, stride):
+        return F.struct((acc["at"] + F.aggregate(stride, zero, lambda n, x: n + width(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def counted(strides):
+        starts = F.aggregate(strides, F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), first, lambda acc: acc["out"])
+        return let(starts, lambda at: F.flatten(F.transform(strides, lambda stride, i: F.aggregate(stride, F.struct(F.get(at, i).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(gate if gate is not None else text.isNotNull(), found).otherwise(none)
+    strided = lambda z: F.transform(F.sequence(zero, F.greatest(F.size(z) - 1, zero), F.lit(STRIDE)), lambda at: F.slice(z, at + 1, STRIDE))
+    return F.when(gate if gate is not None else text.isNotNull(), let(let(zipped, strided), counted)).otherwise(none)
 
 
 def findings(raw: Column, label: str, score: float | Column, order: int) -> Column:

@@ -51,13 +51,14 @@ def segments(text: Column) -> Column:
 
 def detect_by_segment(df: DataFrame, text_col: str = "text", code_labels: list[str] | None = None, out: str = "findings") -> DataFrame:
     """As ``detect``, but no match crosses a segment's border; code may use some labels only. Overlaps are resolved
-    over the whole text."""
-    d = df.withColumn("_seg", segments(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = d.withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.select("_row", F.explode_outer("_seg").alias("s"), F.col(text_col).alias("_t")).where("s is not null").select("_row", "s.*", F.call_function("substring", F.col("_t"), F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("_part"))
-    raw = raw_findings(F.col("_part"))
-    if code_labels is not None:
-        raw = F.when(F.col("kind") == "CODE", raw_findings(F.col("_part"), code_labels)).otherwise(raw)
-    found = parts.withColumn("_f", F.transform(raw, lambda f: f.withField("start", f["start"] + F.col("start")).withField("stop", f["stop"] + F.col("start")))).where("size(_f) > 0")
-    merged = found.groupBy("_row").agg(F.flatten(F.collect_list("_f")).alias("_all"))
-    return rows.join(merged, "_row", "left").withColumn(out, F.when(F.col("_all").isNull(), F.array().cast(spans.FINDING)).otherwise(spans.without_overlaps(F.col("_all")))).drop("_row", "_seg", "_all")
+    over the whole text. All of it stays within the row, so no key is needed and nothing is shuffled."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = F.transform(segments(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("at"), F.call_function("substring", text, s["start"] + 1, s["stop"] - s["start"]).alias("part")))
+
+    def found(s):
+        raw = raw_findings(s["part"])
+        if code_labels is not None:
+            raw = F.when(s["kind"] == "CODE", raw_findings(s["part"], code_labels)).otherwise(raw)
+        return F.transform(raw, lambda f: f.withField("start", f["start"] + s["at"]).withField("stop", f["stop"] + s["at"]))
+
+    return df.withColumn(out, spans.without_overlaps(F.flatten(F.transform(parts, found))))
