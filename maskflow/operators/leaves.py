@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,110 +13,150 @@ MOST_DEPTH = 64
 LEAVES = "leaf_no int, path string, text string"
 
 
-class DepthError(ValueError):
-    pass
-
-
-def _strings(value, path: str, depth: int, put: Callable | None):
-    """String values of a JSON tree; with ``put`` they are replaced. Keys and other values stay."""
-    if depth > MOST_DEPTH:
-        raise DepthError(path)
-    if isinstance(value, str):
-        return put(path, value)
-    if isinstance(value, list):
-        return [_strings(x, f"{path}[{i}]", depth + 1, put) for i, x in enumerate(value)]
-    if isinstance(value, dict):
-        return {k: _strings(x, f"{path}.{k}", depth + 1, put) for k, x in value.items()}
-    return value
-
-
-def _arguments(value, path: str, put: Callable):
-    """Arguments of a tool call: JSON in a string is walked (and written back as JSON), other strings are one leaf."""
-    if isinstance(value, str):
-        try:
-            tree = json.loads(value)
-        except ValueError:
-            return put(path, value)
-        return json.dumps(_strings(tree, path, 0, put), ensure_ascii=False) if isinstance(tree, (dict, list, str)) else value
-    return _strings(value, path, 0, put) if isinstance(value, (dict, list)) else value
-
-
-def _content(value, path: str, depth: int, put: Callable):
-    if depth > MOST_DEPTH:
-        raise DepthError(path)
-    if isinstance(value, str):
-        return put(path, value) if value else value
-    if isinstance(value, list):
-        return [_block(x, f"{path}[{i}]", depth, put) if isinstance(x, dict) else x for i, x in enumerate(value)]
-    return _block(value, path, depth, put) if isinstance(value, dict) else value
-
-
-def _block(block: dict, path: str, depth: int, put: Callable) -> dict:
-    kind, out = block.get("type"), dict(block)
-    if kind == "text" and isinstance(block.get("text"), str):
-        out["text"] = put(f"{path}.text", block["text"])
-    elif kind == "tool_result" and "content" in block:
-        out["content"] = _content(block["content"], f"{path}.content", depth + 1, put)
-    elif kind == "tool_use" and "input" in block:
-        out["input"] = _strings(block["input"], f"{path}.input", 0, put)
-    elif kind == "document":
-        for k in ("title", "context"):
-            if isinstance(block.get(k), str):
-                out[k] = put(f"{path}.{k}", block[k])
-        source = block.get("source")
-        if isinstance(source, dict):
-            source = dict(source)
-            if source.get("type") == "text" and isinstance(source.get("data"), str):
-                source["data"] = put(f"{path}.source.data", source["data"])
-            elif source.get("type") == "content":
-                source["content"] = _content(source.get("content"), f"{path}.source.content", depth + 1, put)
-            out["source"] = source
-    return out
-
-
-def rewrite(body: dict, put: Callable[[str, str], str]) -> dict:
-    """The payload with ``put(path, text)`` in place of each leaf: messages in order (content, then tool calls), then
+class BadPayload(ValueError):
+    """A payload that can't be masked whole: nested too deeply, or with tool arguments of no known form."""
+
+
+#: Where each type of block holds text, and of what kind that is: a plain text, content (a text or blocks), a JSON
+#: tree whose strings are all texts, or a source, which has a table of its own. Other types pass through.
+BLOCKS = {"text": {"text": "plain"}, "tool_result": {"content": "content"}, "tool_use": {"input": "tree"}, "document": {"title": "plain", "context": "plain", "source": "source"}}
+SOURCES = {"text": {"data": "plain"}, "content": {"content": "content"}}
+
+
+class Walk:
+    """Rewrites the texts of a payload by ``put(path, text)``; keys and other values stay. A ``strict`` walk raises
+    BadPayload where it can't reach a text; the other leaves what lies there as it is."""
+
+    def __init__(self, put: Callable[[str, str], str], strict: bool = True):
+        self.put, self.strict = put, strict
+
+    def _refuse(self, value, path: str):
+        if self.strict:
+            raise BadPayload(path)
+        return value
+
+    def plain(self, value, path: str, depth: int):
+        return self.put(path, value) if isinstance(value, str) else value
+
+    def tree(self, value, path: str, depth: int = 0):
+        if depth > MOST_DEPTH:
+            return self._refuse(value, path)
+        if isinstance(value, str):
+            return self.put(path, value)
+        if isinstance(value, list):
+            return [self.tree(x, f"{path}[{i}]", depth + 1) for i, x in enumerate(value)]
+        if isinstance(value, dict):
+            return {k: self.tree(x, f"{path}.{k}", depth + 1) for k, x in value.items()}
+        return value
+
+    def content(self, value, path: str, depth: int = 0):
+        if depth > MOST_DEPTH:
+            return self._refuse(value, path)
+        if isinstance(value, str):
+            return self.put(path, value) if value else value
+        if isinstance(value, list):
+            return [self.block(x, f"{path}[{i}]", depth) if isinstance(x, dict) else x for i, x in enumerate(value)]
+        return self.block(value, path, depth) if isinstance(value, dict) else value
+
+    def source(self, value, path: str, depth: int):
+        return self.fields(value, SOURCES, path, depth) if isinstance(value, dict) else value
+
+    def block(self, value: dict, path: str, depth: int) -> dict:
+        return self.fields(value, BLOCKS, path, depth)
+
+    def fields(self, value: dict, table: dict, path: str, depth: int) -> dict:
+        kind = value.get("type")
+        places = table.get(kind, {}) if isinstance(kind, str) else {}
+        out = dict(value)
+        for name, how in places.items():
+            if name in value:
+                deeper = depth if how == "source" else 0 if how == "tree" else depth + 1
+                out[name] = getattr(self, how)(value[name], f"{path}.{name}", deeper)
+        return out
+
+    def arguments(self, value, path: str):
+        """Arguments of a tool call: JSON in a string is walked and written back as JSON, other strings are one
+        text, trees are walked, null is none. Anything else has no known form."""
+        if isinstance(value, str):
+            try:
+                tree = json.loads(value)
+            except (ValueError, RecursionError):
+                return self.put(path, value)
+            return json.dumps(self.tree(tree, path), ensure_ascii=False) if isinstance(tree, (dict, list, str)) else value
+        if isinstance(value, (dict, list)):
+            return self.tree(value, path)
+        return value if value is None else self._refuse(value, path)
+
+    def calls(self, message: dict, path: str) -> dict:
+        """A message with the arguments of its tool calls, and of its function call, rewritten."""
+        out = dict(message)
+        if isinstance(message.get("tool_calls"), list):
+            out["tool_calls"] = [self._called(c, "function", f"{path}.tool_calls[{j}]") if isinstance(c, dict) else c for j, c in enumerate(message["tool_calls"])]
+        return self._called(out, "function_call", f"{path}.function_call")
+
+    def _called(self, holder: dict, name: str, path: str) -> dict:
+        call = holder.get(name)
+        if not isinstance(call, dict) or "arguments" not in call:
+            return holder
+        return {**holder, name: {**call, "arguments": self.arguments(call["arguments"], f"{path}.arguments")}}
+
+    def message(self, value, path: str):
+        if not isinstance(value, dict):
+            return value
+        out = {**value, "content": self.content(value["content"], f"{path}.content")} if value.get("content") else value
+        return self.calls(out, path)
+
+
+def rewrite(body: dict, put: Callable[[str, str], str], strict: bool = True) -> dict:
+    """A request with ``put(path, text)`` in place of each leaf: messages in order (content, then tool calls), then
     the system text. Unknown blocks pass through."""
-    out, messages = dict(body), []
-    for i, m in enumerate(body.get("messages") or []):
-        if isinstance(m, dict):
-            m, at = dict(m), f"messages[{i}]"
-            if m.get("content"):
-                m["content"] = _content(m["content"], f"{at}.content", 0, put)
-            if isinstance(m.get("tool_calls"), list):
-                calls = []
-                for j, c in enumerate(m["tool_calls"]):
-                    if isinstance(c, dict) and isinstance(c.get("function"), dict) and "arguments" in c["function"]:
-                        c = {**c, "function": {**c["function"], "arguments": _arguments(c["function"]["arguments"], f"{at}.tool_calls[{j}].arguments", put)}}
-                    calls.append(c)
-                m["tool_calls"] = calls
-            if isinstance(m.get("function_call"), dict) and "arguments" in m["function_call"]:
-                m["function_call"] = {**m["function_call"], "arguments": _arguments(m["function_call"]["arguments"], f"{at}.function_call.arguments", put)}
-        messages.append(m)
-    if "messages" in body:
-        out["messages"] = messages
+    walk, out = Walk(put, strict), dict(body)
+    if isinstance(body.get("messages"), list):
+        out["messages"] = [walk.message(m, f"messages[{i}]") for i, m in enumerate(body["messages"])]
     if body.get("system"):
-        out["system"] = _content(body["system"], "system", 0, put)
+        out["system"] = walk.content(body["system"], "system")
     return out
 
 
-def _walk(text: str) -> Iterator[tuple[str, str]]:
+def rewrite_response(response, put: Callable[[str, str], str]):
+    """A response with its texts rewritten: a bare string; the message of each choice, with its tool calls; or, where
+    there are no choices, the content on top. Whatever else there is stays."""
+    walk = Walk(put, strict=False)
+    if isinstance(response, str):
+        return put("", response)
+    if not isinstance(response, dict):
+        return response
+    if isinstance(response.get("choices"), list):
+        return {**response, "choices": [{**c, "message": walk.message(c["message"], f"choices[{i}].message")} if isinstance(c, dict) and "message" in c else c for i, c in enumerate(response["choices"])]}
+    return {**response, "content": walk.content(response["content"], "content")} if "content" in response else response
+
+
+def _parsed(text: str) -> dict:
+    try:
+        body = json.loads(text)
+    except (ValueError, RecursionError) as e:
+        raise BadPayload(str(e)) from None
+    if not isinstance(body, dict) or not isinstance(body.get("messages") or [], list):
+        raise BadPayload("not a request")
+    return body
+
+
+def _walk(text: str) -> list[tuple[str, str]]:
     found: list[tuple[str, str]] = []
 
     def put(path, t):
         found.append((path, t))
         return t
 
-    body = json.loads(text)
-    if isinstance(body, dict):
-        rewrite(body, put)
+    rewrite(_parsed(text), put)
     return found
 
 
 def request_leaves(requests: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
     """key, leaf_no, path, text, error: the texts of JSON payloads in the order in which they are masked. A payload
-    that is no JSON, or nested too deeply, gives one row with an error. The payload type is recursive, which no Spark
-    schema holds, so an Arrow function walks it."""
+    that is no JSON object, nested too deeply, or has tool arguments of no known form gives one row with an error; a
+    null one has no leaves. The payload type is recursive, which no Spark schema holds, so an Arrow function walks
+    it."""
     kind = dict(requests.dtypes)[key]
 
     def run(batches):
@@ -125,9 +165,7 @@ def request_leaves(requests: DataFrame, key: str = "request_id", body: str = "bo
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     rows += [(k, i, p, x, None) for i, (p, x) in enumerate(_walk(t or "{}"))]
-                except DepthError:
-                    rows.append((k, None, None, None, "E_BAD_REQUEST"))
-                except ValueError:
+                except BadPayload:
                     rows.append((k, None, None, None, "E_BAD_REQUEST"))
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=[key, "leaf_no", "path", "text", "error"])
@@ -135,34 +173,63 @@ def request_leaves(requests: DataFrame, key: str = "request_id", body: str = "bo
     return requests.select(key, body).mapInArrow(run, f"`{key}` {kind}, leaf_no int, path string, text string, error string")
 
 
-def _replaced(df: DataFrame, body: str, pairs: str, reverse: bool, out: str) -> DataFrame:
-    schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + f", `{out}` string"
-    at, of = df.columns.index(body), df.columns.index(pairs)
+def _put(pairs: list | None, reverse: bool) -> Callable[[str, str], str]:
+    """All pairs applied to a text, the longest first."""
+    ordered = [(p["placeholder"], p["original"]) if reverse else (p["original"], p["placeholder"]) for p in pairs or []]
+    ordered = sorted((p for p in ordered if p[0]), key=lambda p: (-len(p[0]), p[0] if reverse else ""))
 
-    def run(batches):
-        for b in batches:
-            texts = []
-            for t, ps in zip(b.column(at).to_pylist(), b.column(of).to_pylist()):
-                ordered = [(p["placeholder"], p["original"]) if reverse else (p["original"], p["placeholder"]) for p in ps or []]
-                ordered.sort(key=lambda p: (-len(p[0]), p[0] if reverse else ""))
+    def put(_, text):
+        for a, z in ordered:
+            text = text.replace(a, z)
+        return text
 
-                def put(_, x, ordered=ordered):
-                    for a, z in ordered:
-                        x = x.replace(a, z)
-                    return x
+    return put
 
-                texts.append(json.dumps(rewrite(json.loads(t), put), ensure_ascii=False) if t else t)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+def _masked(text: str, put) -> tuple[str | None, str | None]:
+    try:
+        return json.dumps(rewrite(_parsed(text), put), ensure_ascii=False), None
+    except BadPayload:
+        return None, "E_BAD_REQUEST"
+
+
+def _reversed(text: str, put, walk) -> tuple[str, None]:
+    try:
+        return json.dumps(walk(json.loads(text), put), ensure_ascii=False), None
+    except (ValueError, RecursionError):
+        return put("", text), None
+
+
+def _replaced(df: DataFrame, body: str, pairs: str, reverse: bool, out: str, how: Callable) -> DataFrame:
+    error = f"{out}_error"
+    names = [c for c in df.columns if c.lower() not in (out.lower(), error.lower())]
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        for b in batches:
+            kept = [b.column(i) for i, c in enumerate(columns) if c in names]
+            rows = [how(t, _put(ps, reverse)) if t is not None else (None, None) for t, ps in zip(b.column(at).to_pylist(), b.column(of).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=[*names, out, error])
+
+    columns = df.columns
+    at, of = columns.index(body), columns.index(pairs)
+    return df.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", `{out}` string, `{error}` string")
 
 
 def mask_messages(df: DataFrame, body: str = "body", pairs: str = "pairs", out: str = "masked_body") -> DataFrame:
-    return _replaced(df, body, pairs, False, out)
+    """``df`` plus the masked request and its error: one that can't be masked whole is null, with E_BAD_REQUEST, so
+    that nothing of it leaves. A null request stays null. Columns named like the added ones give way to them."""
+    return _replaced(df, body, pairs, False, out, _masked)
 
 
 def unmask_messages(df: DataFrame, body: str = "body", pairs: str = "pairs", out: str = "unmasked_body") -> DataFrame:
-    return _replaced(df, body, pairs, True, out)
+    """The reverse. What is nested too deeply stays as it is, and what is no JSON is reversed as one text."""
+    return _replaced(df, body, pairs, True, out, lambda t, put: _reversed(t, put, lambda v, p: rewrite(v, p, strict=False) if isinstance(v, dict) else v))
+
+
+def unmask_responses(df: DataFrame, body: str = "response", pairs: str = "pairs", out: str = "unmasked_response") -> DataFrame:
+    """Whole responses of either wire format with their originals back; see ``rewrite_response``."""
+    return _replaced(df, body, pairs, True, out, lambda t, put: _reversed(t, put, rewrite_response))
 
 
 def token_usage(body: Column) -> Column:

@@ -37,11 +37,27 @@ class Reverser:
 
 
 class ReverseProcessor(StatefulProcessor):
-    """State per stream: held text, next chunk number, and chunks that came too early."""
+    """State per stream: held text, next chunk number, and chunks that came too early. It goes when the stream's end
+    was put out or, with ``idle_ms``, when no chunk has come for so long: what was held back is then put out as the
+    last chunk, chunks after a gap included."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("stream", "held string, next long, early string")
 
+    def _rows(self, rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["stream_id", "seq", "text"])
+
+    def _settimer(self, now: int | None) -> None:
+        if self.idle_ms is not None:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
+            if now is not None:
+                self.handle.registerTimer(now + self.idle_ms)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, nxt, early = self.state.get() if self.state.exists() else ("", 0, "[]")
         waiting = {int(r[0]): r[1:] for r in json.loads(early)}
@@ -49,29 +65,106 @@ class ReverseProcessor(StatefulProcessor):
             for r in pdf.itertuples(index=False):
                 if int(r.seq) >= nxt:
                     waiting[int(r.seq)] = [r.payload or "", bool(r.is_end), r.pairs or "[]"]
-        out = []
-        while nxt in waiting:
-            payload, end, pairs = waiting.pop(nxt)
+        out, ended = [], False
+        while nxt in waiting and not ended:
+            payload, ended, pairs = waiting.pop(nxt)
             rev = Reverser([tuple(p) for p in json.loads(pairs)], held)
-            text = rev.feed(payload)
-            if end:
-                text += rev.flush()
+            text = rev.feed(payload) + (rev.flush() if ended else "")
             held = rev.held
             out.append((key[0], nxt, text))
             nxt += 1
-        self.state.update((held, nxt, json.dumps([[k, *v] for k, v in waiting.items()])))
+        if ended:
+            self.state.clear()
+            self._settimer(None)
+        else:
+            self.state.update((held, nxt, json.dumps([[k, *v] for k, v in waiting.items()])))
+            self._settimer(timerValues.getCurrentProcessingTimeInMs() if self.idle_ms is not None else None)
         if out:
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
+            yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        held, nxt, early = self.state.get()
+        self.state.clear()
+        text = ""
+        for _, payload, _, pairs in sorted(json.loads(early)):
+            rev = Reverser([tuple(p) for p in json.loads(pairs)], held)
+            text, held = text + rev.feed(payload), rev.held
+        if text + held:
+            yield self._rows([(key[0], nxt, text + held)])
 
     def close(self) -> None:
         pass
 
 
-def unmask_stream(chunks: DataFrame, mappings: DataFrame) -> DataFrame:
+def unmask_stream(chunks: DataFrame, mappings: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """chunks (stream_id, seq from 0, payload, is_end) and mappings (stream_id, pairs: JSON [[original, placeholder],
-    ..]) -> stream_id, seq, text. Chunks may come out of order; a stream without a mapping passes through."""
+    ..]) -> stream_id, seq, text. Chunks may come out of order; a stream without a mapping passes through. Without
+    ``idle_ms`` the state of a stream that is cut off stays; with it such a stream ends once it was idle so long."""
     joined = chunks.join(mappings, "stream_id", "left").select("stream_id", "seq", "payload", "is_end", "pairs")
-    return joined.groupBy("stream_id").transformWithStateInPandas(ReverseProcessor(), "stream_id string, seq long, text string", "append", "none")
+    return joined.groupBy("stream_id").transformWithStateInPandas(ReverseProcessor(idle_ms), "stream_id string, seq long, text string", "append", "none" if idle_ms is None else "processingTime")
+
+
+class ObjectReverser:
+    """Chunks that are parsed objects: the first choice's content or a bare delta's text, tool arguments per call, and
+    the arguments of a function call. A chunk of which all text is held back is left out unless it carries
+    arguments; ``flush`` gives what is still held as chunks of its own."""
+
+    def __init__(self, pairs: Iterable[tuple[str, str]]):
+        self.pairs = list(pairs)
+        self.of: dict = {}
+
+    def _fed(self, key, text: str) -> str:
+        if key not in self.of:
+            self.of[key] = Reverser(self.pairs if key == "text" else [(json.dumps(o, ensure_ascii=False)[1:-1], p) for o, p in self.pairs])
+        return self.of[key].feed(text)
+
+    @staticmethod
+    def _number(index) -> int | None:
+        try:
+            return int(index)
+        except (TypeError, ValueError):
+            return None
+
+    def _call(self, call):
+        f = call.get("function") if isinstance(call, dict) else None
+        index = self._number(call.get("index", 0)) if isinstance(f, dict) else None
+        if index is None or not isinstance(f.get("arguments"), str):
+            return call, False
+        return {**call, "function": {**f, "arguments": self._fed(("call", index), f["arguments"])}}, True
+
+    def feed(self, chunk):
+        """The chunk to send on, or None if it is held back whole."""
+        if not isinstance(chunk, dict):
+            return chunk
+        choices = chunk.get("choices")
+        choice = choices[0] if isinstance(choices, list) and choices and isinstance(choices[0], dict) else None
+        delta = choice.get("delta") if choice is not None else chunk.get("delta")
+        if not isinstance(delta, dict):
+            return chunk
+        delta, carries, field = dict(delta), False, "text" if choice is None else "content"
+        if choice is not None:
+            if isinstance(delta.get("tool_calls"), list):
+                calls = [self._call(c) for c in delta["tool_calls"]]
+                delta["tool_calls"], carries = [c for c, _ in calls], any(x for _, x in calls)
+            f = delta.get("function_call")
+            if isinstance(f, dict) and isinstance(f.get("arguments"), str):
+                delta["function_call"], carries = {**f, "arguments": self._fed("function", f["arguments"])}, True
+        if isinstance(delta.get(field), str):
+            delta[field] = self._fed("text", delta[field])
+            if not delta[field] and not carries and not (choice or {}).get("finish_reason"):
+                return None
+        return {**chunk, "delta": delta} if choice is None else {**chunk, "choices": [{**choice, "delta": delta}, *choices[1:]]}
+
+    def flush(self) -> list[dict]:
+        out = []
+        for key, reverser in sorted(self.of.items(), key=lambda x: (x[0] != "text", x[0] == "function", str(x[0]))):
+            if text := reverser.flush():
+                delta = {"content": text} if key == "text" else {"function_call": {"arguments": text}} if key == "function" else {"tool_calls": [{"index": key[1], "function": {"arguments": text}}]}
+                out.append({"choices": [{"delta": delta}]})
+        self.of = {}
+        return out
 
 
 _BORDER = re.compile(rb"\r\n\r\n|\n\n|\r\r")
@@ -168,6 +261,28 @@ class EventReverser:
         return before + b"\n".join(lines) + border
 
 
+def unmask_objects(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
+    """Batch form: key, seq, payload string (a JSON chunk), pairs array<struct<original,placeholder>> -> key, seq
+    (from 0, of what is sent on), payload. Chunks that are no JSON pass through as they are."""
+    kind = dict(chunks.dtypes)[key]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        r, out = ObjectReverser([(p["original"], p["placeholder"]) for p in (pdf["pairs"].iloc[0] if pdf["pairs"].iloc[0] is not None else [])]), []
+        for payload in pdf["payload"]:
+            try:
+                chunk = r.feed(json.loads(payload))
+            except (TypeError, ValueError):
+                out.append(payload)
+                continue
+            if chunk is not None:
+                out.append(json.dumps(chunk, ensure_ascii=False))
+        out += [json.dumps(x, ensure_ascii=False) for x in r.flush()]
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "seq": range(len(out)), "payload": out})
+
+    return chunks.groupBy(key).applyInPandas(run, f"`{key}` {kind}, seq long, payload string")
+
+
 def unmask_events(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
     """Batch form: key, seq, payload binary, pairs array<struct<original,placeholder>> -> key, payload: the whole
     reversed stream."""

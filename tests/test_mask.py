@@ -119,6 +119,65 @@ def test_leaves(spark):
     assert "u[N_001]" in masked.first().masked_body and json.loads(leaves.unmask_messages(masked, "masked_body").first().unmasked_body) == BODY
 
 
+def test_bad_payloads_end_no_job(spark):
+    deep = "[" * 70 + '"1"' + "]" * 70
+    call = lambda x: '{"messages":[{"role":"user","tool_calls":[{"function":{"arguments":%s}}]}]}' % x
+    rows = [("a", "no json"), ("b", "[1]"), ("c", '{"messages":5}'), ("d", '{"messages":[{"content":[{"type":"tool_use","input":%s}]}]}' % deep), ("e", call("7")), ("f", call("null")), ("g", call('"{}"')), ("h", None), ("i", "[" * 5000), ("j", "{}")]
+    df = spark.createDataFrame([(k, t, [("1", "[N_001]")], "x") for k, t in rows], "k string, body string, pairs array<struct<original:string,placeholder:string>>, MASKED_BODY string")
+    got = {r.k: r for r in leaves.mask_messages(df).collect()}
+    assert {k for k, r in got.items() if r.masked_body_error == "E_BAD_REQUEST"} == {"a", "b", "c", "d", "e", "i"} and all(r.masked_body is None for r in got.values() if r.masked_body_error)
+    assert got["h"].masked_body is None and got["h"].masked_body_error is None and got["j"].masked_body == "{}" and json.loads(got["f"].masked_body) == json.loads(call("null"))
+    back = {r.k: r.unmasked_body for r in leaves.unmask_messages(df.withColumn("body", F.replace("body", F.lit("1"), F.lit("[N_001]")))).collect()}
+    assert back["a"] == "no json" and json.loads(back["d"])["messages"][0]["content"][0]["input"] is not None and back["h"] is None
+
+
+def test_responses(spark):
+    pairs = [("alice", "[NAME_001]"), ('b"ob', "[NAME_002]")]
+    call = {"function": {"name": "f", "arguments": json.dumps({"to": "[NAME_002]"})}}
+    rows = [
+        {"choices": [{"message": {"content": "Hi [NAME_001]", "tool_calls": [call]}}, {"message": {"content": [{"type": "text", "text": "[NAME_002]"}, {"type": "image", "data": "[NAME_001]"}]}}, 5]},
+        {"content": [{"type": "text", "text": "[NAME_001]"}], "usage": {"note": "[NAME_001]"}},
+        {"choices": [{"message": {"content": None, "function_call": {"arguments": "not json [NAME_001]"}}}]},
+        {"content": "[NAME_001]", "id": 1},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x), pairs) for i, x in enumerate(rows)] + [(9, "plain [NAME_001]", pairs), (10, None, pairs), (11, "3", None)], "k int, response string, pairs array<struct<original:string,placeholder:string>>")
+    got = {r.k: r.unmasked_response for r in leaves.unmask_responses(df).collect()}
+    first = json.loads(got[0])["choices"]
+    assert first[0]["message"]["content"] == "Hi alice" and json.loads(first[0]["message"]["tool_calls"][0]["function"]["arguments"]) == {"to": 'b"ob'}
+    assert first[1]["message"]["content"] == [{"type": "text", "text": 'b"ob'}, {"type": "image", "data": "[NAME_001]"}] and first[2] == 5
+    assert json.loads(got[1]) == {"content": [{"type": "text", "text": "alice"}], "usage": {"note": "[NAME_001]"}}
+    assert json.loads(got[2])["choices"][0]["message"]["function_call"]["arguments"] == "not json alice"
+    assert json.loads(got[3]) == {"content": "alice", "id": 1} and got[9] == "plain alice" and got[10] is None and got[11] == "3"
+
+
+def _text_of(chunks):
+    out = {"text": "", "call": "", "function": ""}
+    for c in chunks:
+        delta = c["choices"][0]["delta"] if "choices" in c else c["delta"]
+        out["text"] += delta.get("content") or delta.get("text") or ""
+        for t in delta.get("tool_calls", []):
+            out["call"] += t["function"].get("arguments", "")
+        out["function"] += delta.get("function_call", {}).get("arguments", "")
+    return out
+
+
+def test_object_chunks(spark):
+    text, args = "Hi [NAME_001]!", '{"to":"[NAME_001]"}'
+    chunks = [{"choices": [{"delta": {"content": text[i : i + 3]}}]} for i in range(0, len(text), 3)]
+    chunks += [{"choices": [{"delta": {"tool_calls": [{"index": "1", "function": {"arguments": args[i : i + 4]}}, {"index": [], "function": {"arguments": "kept"}}][: 1 + (i == 0)]}}]} for i in range(0, len(args), 4)]
+    chunks += [{"choices": [{"delta": {"function_call": {"arguments": args[i : i + 5]}}}]} for i in range(0, len(args), 5)] + [{"other": 1}, {"choices": []}, {"choices": [{"delta": {"content": ""}, "finish_reason": "stop"}]}]
+    r = reverse.ObjectReverser([('a"l', "[NAME_001]")])
+    sent = [x for c in chunks if (x := r.feed(c)) is not None] + r.flush()
+    got = _text_of([c for c in sent if c.get("choices")])
+    assert got["text"] == 'Hi a"l!' and got["call"].replace("kept", "") == '{"to":"a\\"l"}' and got["function"] == '{"to":"a\\"l"}'
+    assert {"other": 1} in sent and {"choices": []} in sent and any(c.get("choices") and c["choices"][0].get("finish_reason") for c in sent)
+    r = reverse.ObjectReverser([("alice", "[NAME_001]")])
+    assert [r.feed({"delta": {"text": "[NAME_"}}), r.feed({"delta": {"text": "001] x"}})][0] is None and r.flush()
+    df = spark.createDataFrame([("s", i, json.dumps(c), [("alice", "[NAME_001]")]) for i, c in enumerate(chunks)] + [("s", 99, "no json", None), ("t", 0, None, None)], "stream_id string, seq long, payload string, pairs array<struct<original:string,placeholder:string>>")
+    rows = sorted((r for r in reverse.unmask_objects(df).collect() if r.stream_id == "s"), key=lambda r: r.seq)
+    assert _text_of([x for x in (json.loads(r.payload) for r in rows if r.payload != "no json") if x.get("choices")])["text"] == "Hi alice!"
+
+
 def test_audit(spark):
     assert [r.v for r in spark.createDataFrame([('{"a":[{"Set-Cookie":1}]}',), ('{"a":"pairs"}',), ("{",), (None,), ('{"pairs":1}',)], "r string").select(audit.never_field(F.col("r")).alias("v")).collect()] == [True, False, False, False, True]
     p = spark.createDataFrame([("r1", "a", "[EMAIL_001]"), ("r1", "a", "[EMAIL_001]"), ("r1", "b", "[NOTE]"), ("r1", "c", "[A_B_002]")], "request_id string, original string, placeholder string")
@@ -211,3 +270,31 @@ def test_unmask_stream(spark, tmp_path):
     rows = sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: (r.stream_id, r.seq))
     assert "".join(r.text for r in rows if r.stream_id == "s1") == "Hi alice and bob@x.org!"
     assert "".join(r.text for r in rows if r.stream_id == "s2") == "plain [NAME_001]"
+
+
+def test_cut_off_streams_end(spark, tmp_path):
+    """A stream without an end gives what was held back once it was idle, chunks after a gap included."""
+    chunks = [("s1", 0, "Hi [NAME_001] [NAM", False), ("s2", 0, "a [NA", False), ("s2", 2, "tail", False), ("s3", 0, "[NAME_001]", True)]
+    spark.createDataFrame(chunks, "stream_id string, seq long, payload string, is_end boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    maps = spark.createDataFrame([(k, json.dumps(PAIRS)) for k in ("s1", "s2", "s3")], "stream_id string, pairs string")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema("stream_id string, seq long, payload string, is_end boolean").parquet(f"{tmp_path}/in")
+        q = reverse.unmask_stream(stream, maps, idle_ms=500).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(processingTime="1 second").start()
+        want, deadline = {"s1": "Hi alice [NAM", "s2": "a [NAtail", "s3": "alice"}, time.time() + 90
+        while time.time() < deadline:
+            time.sleep(1)
+            got = {}
+            if q.lastProgress:
+                try:
+                    for r in sorted(spark.read.schema("stream_id string, seq long, text string").parquet(f"{tmp_path}/out").collect(), key=lambda r: r.seq):
+                        got[r.stream_id] = got.get(r.stream_id, "") + r.text
+                except Exception:  # the sink's folder is made by the first batch
+                    continue
+            if got == want:
+                break
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert got == want
