@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from .leaves import token_usage
 from .mask import family
 
 # Component of each error code
@@ -16,6 +17,7 @@ COMPONENTS = {
     "E_TOKEN_REVOKED": "auth", "E_TOKEN_INVALID": "auth", "E_AUTH": "auth", "E_PROVIDER_BLOCKED": "provider", "E_POLICY_BLOCKED": "policy",
     "E_OVERSIZE_BLOCKED": "oversize", "E_DLP_BLOCKED": "dlp", "E_BAD_REQUEST": "request",
 }
+# Keys of a record
 ALWAYS = ("timestamp", "request_id", "user_id", "team_id", "provider", "model", "latency_ms", "prompt_token_count", "completion_token_count", "redaction_count", "finding_label_counts", "cache_a_hit", "gateway_version", "status")
 CONDITIONAL = ("placeholder_list", "error_code", "block_reason", "corp_llm_latency_ms", "pre_pass_latency_ms", "audit_buffer_full", "profile_ids", "jurisdiction")
 
@@ -35,6 +37,48 @@ def redactions(placeholders: DataFrame, request: str = "request_id", original: s
     return labels.groupBy(request).agg(F.sum("n").alias("redaction_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("finding_label_counts"), F.array_sort(F.flatten(F.collect_list("p"))).alias("placeholder_list"))
 
 
+def events(requests: DataFrame, state: DataFrame, placeholders: DataFrame, version: str) -> DataFrame:
+    """Audit records of requests: one per request_id, the first by its end.
+
+    requests (request_id, model, start, stop, response, status, error_code) are what was handled; state (request_id,
+    user_id, team_id, provider, model, cache_a_hit, error_code, block_reason, profile_ids) is what masking knew, one
+    row per request; placeholders (request_id, original, placeholder) are its pairs, of which no original comes out.
+    A request without state has an unknown user and team; one without pairs has no redactions. The error of the
+    response goes before that of masking."""
+    first = requests.groupBy("request_id").agg(F.min_by(F.struct("model", "start", "stop", "response", "status", "error_code"), F.struct("stop", "start")).alias("r"))
+    known = state.select("request_id", F.struct("user_id", "team_id", "provider", "model", "cache_a_hit", "error_code", "block_reason", "profile_ids").alias("s"))
+    d = first.join(known, "request_id", "left").join(redactions(placeholders), "request_id", "left")
+    tokens = token_usage(F.col("r.response"))
+    return d.select(
+        F.col("r.stop").alias("timestamp"), "request_id",
+        F.coalesce("s.user_id", F.lit("unknown")).alias("user_id"), F.coalesce("s.team_id", F.lit("unknown")).alias("team_id"), F.coalesce("s.provider", F.lit("anthropic")).alias("provider"),
+        F.coalesce("s.model", F.nullif("r.model", F.lit("")), F.lit("unknown")).alias("model"), latency_ms(F.col("r.start"), F.col("r.stop")).alias("latency_ms"),
+        tokens["prompt"].alias("prompt_token_count"), tokens["completion"].alias("completion_token_count"),
+        F.coalesce("redaction_count", F.lit(0).cast("long")).alias("redaction_count"), F.coalesce("finding_label_counts", F.create_map().cast("map<string,int>")).alias("finding_label_counts"),
+        F.coalesce("s.cache_a_hit", F.lit(False)).alias("cache_a_hit"), F.lit(version).alias("gateway_version"), F.col("r.status").alias("status"), "placeholder_list",
+        F.coalesce("r.error_code", "s.error_code").alias("error_code"), F.col("s.block_reason").alias("block_reason"), F.coalesce("s.profile_ids", F.array().cast("array<string>")).alias("profile_ids"),
+    )
+
+
+def latency_histogram(records: DataFrame, edges: tuple[float, ...], latency: str = "latency_ms", by: str = "status") -> DataFrame:
+    """Requests per status and bucket (le: the least edge that is not below the latency, null above all)."""
+    le = F.lit(None).cast("double")
+    for e in sorted(edges, reverse=True):
+        le = F.when(F.col(latency) <= e, F.lit(float(e))).otherwise(le)
+    return records.groupBy(by, le.alias("le")).agg(F.count("*").alias("n"))
+
+
+def failure_windows(records: DataFrame, failed: Column, ts: str = "timestamp", minutes: int = 5) -> DataFrame:
+    """Windows in which there was a failure, with their number."""
+    return records.where(failed).groupBy(F.window(ts, f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+def completeness(requests: DataFrame, stored: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Per month: requests that did not fail, those of them that have a stored record, and their share."""
+    d = requests.where("status <> 'failed'").select("request_id", F.date_trunc("month", ts).alias("month")).join(stored.select("request_id", F.lit(1).alias("_s")).distinct(), "request_id", "left")
+    return d.groupBy("month").agg(F.count("*").alias("requests"), F.count("_s").alias("stored")).withColumn("share", F.col("stored") / F.col("requests"))
+
+
 def latency_ms(start: Column, stop: Column) -> Column:
     return F.greatest(F.lit(0), (F.unix_micros(stop) - F.unix_micros(start)) / 1000).cast("long")
 
@@ -111,6 +155,6 @@ def request_id(body: Column, *paths: str) -> Column:
     return F.coalesce(*tries, F.sha2(body, 256))
 
 
-def health(checks: DataFrame) -> DataFrame:
-    """ok if there is no check or all are healthy, unhealthy if none is, else degraded."""
-    return checks.agg(F.count("*").alias("n"), F.count_if("healthy").alias("up")).select(F.when((F.col("n") == 0) | (F.col("up") == F.col("n")), "ok").when(F.col("up") == 0, "unhealthy").otherwise("degraded").alias("status"))
+def health(checks: DataFrame, *by: str) -> DataFrame:
+    """ok if there is no check or all are healthy, unhealthy if none is, else degraded; of all, or by some columns."""
+    return checks.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("healthy").alias("up")).select(*by, F.when((F.col("n") == 0) | (F.col("up") == F.col("n")), "ok").when(F.col("up") == 0, "unhealthy").otherwise("degraded").alias("status"))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def token_status(requests: DataFrame, tokens: DataFrame, at: str = "ts") -> DataFrame:
-    """Requests with status and error code of their token, in this order: missing, unknown, revoked, expired, ok."""
+def token_status(requests: DataFrame, tokens: DataFrame, at: str = "ts", lag_seconds: int = 0) -> DataFrame:
+    """Requests with status and error code of their token, in this order: missing, unknown, revoked, expired, ok.
+    Where lookups are cached for ``lag_seconds``, a revocation counts from when every cache has seen it."""
     t = tokens.select(F.col("token").alias("_token"), "user_id", "team_id", "expires_at", "revoked_at")
     d = requests.join(t, F.col("token") == F.col("_token"), "left")
     code = (
         F.when(F.col("token").isNull() | (F.col("token") == ""), "E_MISSING_TOKEN")
         .when(F.col("_token").isNull(), "E_TOKEN_INVALID")
-        .when(F.col("revoked_at") <= F.col(at), "E_TOKEN_REVOKED")
+        .when(F.col("revoked_at") + F.make_dt_interval(secs=F.lit(lag_seconds)) <= F.col(at), "E_TOKEN_REVOKED")
         .when(F.col("expires_at") <= F.col(at), "E_TOKEN_EXPIRED")
     )
     return d.withColumn("error_code", code).withColumn("status", F.when(code.isNull(), "ok").otherwise("failed")).drop("_token")

@@ -23,9 +23,10 @@ def identifier_parts(name: Column) -> Column:
     return spans.matches(name, IDENTIFIER)
 
 
-def term_table(terms: DataFrame) -> DataFrame:
-    """terms (term_no, term, label) -> (seq array<string>, n, label, term_no); the first of equal sequences counts."""
-    seq = F.transform(F.regexp_extract_all("term", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.lower(w))
+def term_table(terms: DataFrame, lemma=F.lower) -> DataFrame:
+    """terms (term_no, term, label) -> (seq array<string>, n, label, term_no); the first of equal sequences counts.
+    ``lemma`` turns a word into what is compared; texts must use the same."""
+    seq = F.transform(F.regexp_extract_all("term", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: lemma(w))
     t = terms.select(seq.alias("seq"), "label", "term_no").where("size(seq) > 0")
     return t.groupBy("seq").agg(F.min_by("label", "term_no").alias("label"), F.min("term_no").alias("term_no")).withColumn("n", F.size("seq"))
 
@@ -34,40 +35,41 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", longest: int | None = None) -> DataFrame:
-    """key, label, start, stop, how: each occurrence of a term, overlaps included. ``key`` tells the rows apart.
-
-    Word n-grams and identifier parts are joined to the terms by equality, so cost does not grow with their number.
-    Up to BROADCAST_TERMS terms are broadcast, more are joined by a shuffle of both sides. Only rows with a hit get offsets, by adding up what
-    stands before it. The numbers of words to try are those of the terms, which one small job gathers; a caller may
-    leave out terms of more than ``longest`` words."""
+def _before(pieces: str, words_: str, gaps: Column, n: Column) -> Column:
+    """Code points of the first ``gaps`` pieces between words and the first ``n`` words."""
+    total = lambda c, k: F.aggregate(F.slice(c, 1, k), F.lit(0), lambda acc, x: acc + F.length(x))
+    return total(pieces, gaps) + total(words_, n)
+
+
+def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", longest: int | None = None, lemma=F.lower) -> DataFrame:
+    """key, label, start, stop, how: each occurrence of a term, overlaps included. ``key`` is carried along; it need
+    not tell rows apart unless there are more than BROADCAST_TERMS terms.
+
+    Words that no term begins with are dropped as soon as they are made. Those that stay take as many words as the
+    terms that begin so have, and are joined to the terms by equality, so cost does not grow with the number of terms.
+    Up to BROADCAST_TERMS terms are broadcast, and then a row is neither moved nor joined back: its hits get their
+    offsets on the spot. More terms are joined by a shuffle of the words, and the offsets by a join on ``key``. A
+    caller may leave out terms of more than ``longest`` words."""
+    table = terms.select("seq", "label", F.size("seq").alias("n"))
+    table = table if longest is None else table.where(F.col("n") <= longest)
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    hint = F.broadcast if small else lambda t: t.hint("merge")
+    firsts = hint(table.groupBy(F.get("seq", F.lit(0)).alias("_x")).agg(F.collect_set("n").alias("_lengths")))
+    names, single = hint(table.select(F.col("seq").alias("_seq"), "label")), hint(table.where("n = 1").select(F.get("seq", F.lit(0)).alias("_x"), "label"))
     d = df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    w = d.select(key, words(F.col("_t")).alias("_w"))
-    table = terms.select("seq", "label")
-    table = F.broadcast(table) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else table.hint("merge")
-    found = None
-    lengths = sorted(r.n for r in terms.select(F.size("seq").alias("n")).distinct().collect())
-    for n in [n for n in lengths if longest is None or n <= longest]:
-        at = w.select(key, F.posexplode_outer(_grams(n)).alias("_i", "seq")).where("seq is not null")  # outer: see detect.exploded
-        one = at.join(table, "seq").select(key, "_i", F.lit(n).alias("_n"), "label", F.lit(0).alias("_a"), F.lit(None).cast("int").alias("_b"))
-        found = one if found is None else found.union(one)
+    whole = d.select(key, words(F.col("_t")).alias("_w"), F.split("_t", F.lit(r"(?U)\w+"), -1).alias("_p"))
+    carried = [key, "_w", "_p"] if small else [key, "_w"]
+    each = whole.select(*carried, F.posexplode_outer("_w").alias("_i", "_word")).where("_word is not null")  # outer: see detect.exploded
+    begun = each.select(*carried, "_i", lemma(F.col("_word")).alias("_x")).join(firsts, "_x").select(*carried, "_i", F.explode("_lengths").alias("_n"))
+    begun = begun.where(F.col("_i") + F.col("_n") <= F.size("_w")).withColumn("_seq", F.transform(F.slice("_w", F.col("_i") + 1, F.col("_n")), lambda x: lemma(x)))
+    found = begun.join(names, "_seq").select(*carried, "_i", "_n", "label", F.lit(0).alias("_a"), F.lit(None).cast("int").alias("_b"))
     # only words that hold a change of case, a digit, a dash or an underscore can have parts
-    parts = w.select(key, F.posexplode_outer("_w").alias("_i", "_x")).where(F.col("_x").rlike("[a-z0-9][A-Z]|[A-Z]{2}[a-z0-9]|[^A-Za-z]")).select(key, "_i", identifier_parts(F.col("_x")).alias("_q")).where("size(_q) > 1")
-    parts = parts.select(key, "_i", F.explode_outer("_q").alias("_q")).select(key, "_i", F.array(F.lower("_q.text")).alias("seq"), F.col("_q.start").alias("_a"), F.col("_q.stop").alias("_b"))
-    inner = parts.join(table, "seq").select(key, "_i", F.lit(1).alias("_n"), "label", "_a", "_b")
-    found = inner if found is None else found.union(inner)
-    per_row = found.groupBy(key).agg(F.collect_list(F.struct("_i", "_n", "label", "_a", "_b")).alias("_h"))
-    there = d.join(per_row, key).withColumn("_w", words(F.col("_t"))).withColumn("_p", F.split("_t", F.lit(r"(?U)\w+"), -1))
-    total = lambda c, k: F.aggregate(F.slice(c, 1, k), F.lit(0), lambda acc, x: acc + F.length(x))
-    there = there.select(key, "_w", "_p", F.explode("_h").alias("_h"))
-    before = total("_p", F.col("_h._i") + 1) + total("_w", F.col("_h._i"))
-    whole = total("_p", F.col("_h._i") + F.col("_h._n")) + total("_w", F.col("_h._i") + F.col("_h._n"))
-    inside = F.col("_h._b").isNotNull()
-    return there.select(key, "_h.label", (before + F.col("_h._a")).alias("start"), F.when(inside, before + F.col("_h._b")).otherwise(whole).alias("stop"), F.when(inside, "identifier").otherwise("term").alias("how"))
-
-
-def _grams(n: int) -> Column:
-    """Each run of n words, in lower case. (A function, as a lambda's default arguments would count as its own.)"""
-    low = F.transform("_w", lambda x: F.lower(x))
-    shifted = [F.slice(low, k + 1, F.greatest(F.size(low) - n + 1, F.lit(0))) if n > 1 else low for k in range(n)]
-    return F.transform(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)]), lambda z: F.array(*[z[f"w{k}"] for k in range(n)]))
+    parts = each.where(F.col("_word").rlike("[a-z0-9][A-Z]|[A-Z]{2}[a-z0-9]|[^A-Za-z]")).select(*carried, "_i", identifier_parts(F.col("_word")).alias("_q")).where("size(_q) > 1")
+    parts = parts.select(*carried, "_i", F.explode_outer("_q").alias("_q")).select(*carried, "_i", lemma(F.col("_q.text")).alias("_x"), F.col("_q.start").alias("_a"), F.col("_q.stop").alias("_b"))
+    found = found.union(parts.join(single, "_x").select(*carried, "_i", F.lit(1).alias("_n"), "label", "_a", "_b"))
+    if not small:
+        found = found.drop("_w").join(whole, key)
+    before = _before("_p", "_w", F.col("_i") + 1, F.col("_i"))
+    stop = _before("_p", "_w", F.col("_i") + F.col("_n"), F.col("_i") + F.col("_n"))
+    inside = F.col("_b").isNotNull()
+    return found.select(key, "label", (before + F.col("_a")).alias("start"), F.when(inside, before + F.col("_b")).otherwise(stop).alias("stop"), F.when(inside, "identifier").otherwise("term").alias("how"))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from datetime import timedelta
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns, spans
+from .detect import raw_findings
 
 PAIRS = "array<struct<original:string,placeholder:string>>"
-#: Placeholders that a text holds literally, those that number a label, and any family with a number
+# Windows of an oversize text, in code points
+WINDOW, OVERLAP = 4 * 8320, 8320
+# Placeholders that a text holds literally, those that number a label, and any family with a number
 LITERAL, NUMBERED, FAMILY = r"\[[A-Z][A-Z0-9_]*_[0-9]{3,}\]", r"^\[([A-Z_]+)_([0-9]+)\]$", r"^\[(.+)_([0-9]+)\]$"
 
 
@@ -26,6 +30,11 @@ def rule_pairs(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     return F.filter(all_, lambda p: text.contains(p["original"]))
 
 
+def base_pairs(rules: Column, oracle: Column) -> Column:
+    """The rules' pairs, then those of the oracle whose original no rule has."""
+    return F.concat(rules, F.filter(F.coalesce(oracle, F.array().cast(PAIRS)), lambda o: ~F.exists(rules, lambda r: r["original"] == o["original"])))
+
+
 def merged_pairs(base: Column, findings: Column) -> Column:
     """Base pairs, then a new numbered placeholder for each finding's text that has none: best score and longest
     first, numbers going on after the largest of the label."""
@@ -61,10 +70,12 @@ def reversed_(text: Column, pairs: Column) -> Column:
     return F.aggregate(_longest_first(pairs, "placeholder"), text, lambda t, p: F.replace(t, p["placeholder"], p["original"]))
 
 
-def mask(df: DataFrame, text_col: str = "text", findings: str = "findings", rules: Iterable[tuple[str, str]] = (), allow: Iterable[str] = ()) -> DataFrame:
-    """``df`` plus ``pairs`` and ``masked``; null texts stay null."""
+def mask(df: DataFrame, text_col: str = "text", findings: str = "findings", rules: Iterable[tuple[str, str]] = (), allow: Iterable[str] = (), oracle: str | None = None) -> DataFrame:
+    """``df`` plus ``pairs`` and ``masked``: rules first, then the oracle's pairs (a column of pairs, if any), then the
+    findings; null texts stay null."""
     text = F.col(text_col)
-    pairs = merged_pairs(rule_pairs(F.coalesce(text, F.lit("")), rules), F.col(findings))
+    base = rule_pairs(F.coalesce(text, F.lit("")), rules)
+    pairs = merged_pairs(base_pairs(base, F.col(oracle)) if oracle else base, F.col(findings))
     allow = list(allow)
     if allow:
         pairs = allowed(pairs, F.array(*map(F.lit, allow)))
@@ -114,14 +125,50 @@ def chunks(text: Column, window: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.call_function("substring", text, i * step + 1, F.lit(window)))
 
 
-def dedup_by_hash(df: DataFrame, hash_col: str, compute, keys: list[str]) -> DataFrame:
+def _folded(df: DataFrame, by: list[str], order: list[str], fold, name: str) -> DataFrame:
+    """``df`` plus a boolean column ``name`` from fold(state, row) -> (state, value), run over each group of ``by`` in
+    the given order. What a row gets depends on all before it, so a group is one task's; but it is sorted by Spark,
+    which spills, and runs through batch by batch, so no group has to fit into memory."""
+    columns = [c for c in df.columns if c.lower() != name.lower()]
+    kinds, need = dict(df.dtypes), list(dict.fromkeys([*by, *order]))
+    d = df.select(*columns).repartition(*by).sortWithinPartitions(*by, *order)
+    at = [columns.index(c) for c in need]
+
+    def run(batches):
+        group, state = None, None
+        for b in batches:
+            out = []
+            for values in zip(*(b.column(i).to_pylist() for i in at)):
+                row = dict(zip(need, values))
+                own = tuple(row[c] for c in by)
+                if own != group:
+                    group, state = own, None
+                state, value = fold(state, row)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*columns, name])
+
+    return d.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + f", `{name}` boolean")
+
+
+def dedup_by_hash(df: DataFrame, hash_col: str, compute, keys: list[str], ttl_seconds: int | None = None) -> DataFrame:
     """Run ``compute`` (DataFrame -> DataFrame with hash_col) once per distinct hash and join its result back, with
-    cache_a_hit for all rows but the first by ``keys``."""
-    from pyspark.sql import Window
+    cache_a_hit for all rows but the first by ``keys``, which tell rows apart. With a time to live, ``keys`` starts
+    with a time: a result is good for so long from the row that made it, and the first row after that makes it anew.
 
+    Without one, the first row of a hash is a minimum, which combines before the shuffle, so a hot text is no hot
+    task."""
     result = compute(df.dropDuplicates([hash_col]))
-    first = F.row_number().over(Window.partitionBy(hash_col).orderBy(*keys)) > 1
-    return df.withColumn("cache_a_hit", first).join(result, hash_col)
+    if ttl_seconds is None:
+        first = df.groupBy(F.col(hash_col).alias("_hash")).agg(F.min(F.struct(*keys)).alias("_first"))
+        d = df.join(first, F.col(hash_col) == F.col("_hash")).withColumn("cache_a_hit", F.struct(*keys) != F.col("_first")).drop("_hash", "_first")
+        return d.join(result, hash_col)
+
+    def fold(made, row):
+        now = row[keys[0]]
+        hit = made is not None and now < made + timedelta(seconds=ttl_seconds)
+        return (made if hit else now), hit
+
+    return _folded(df, [hash_col], keys, fold, "cache_a_hit").join(result, hash_col)
 
 
 class Allocator:
@@ -166,11 +213,13 @@ def allocate(leaves: DataFrame, request: str, leaf: str, pairs: str = "pairs", t
 
 def quota(requests: DataFrame, team: str, order: str, size: str, limit: int) -> DataFrame:
     """``requests`` plus ``admitted``: in order, a request is admitted if it fits into what its team has left. A
-    refused one uses nothing up, so this is a fold and no running sum."""
-    acc0 = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("ok"))
-    g = requests.groupBy(team).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(size).cast("long").alias("_s"), F.struct(*requests.columns).alias("_r")))).alias("rows"))
-    fold = F.aggregate("rows", acc0, lambda a, r: F.struct((a["used"] + F.when(a["used"] + r["_s"] <= limit, r["_s"]).otherwise(0)).alias("used"), F.concat(a["ok"], F.array(a["used"] + r["_s"] <= limit)).alias("ok")), lambda a: a["ok"])
-    return g.select(F.explode(F.arrays_zip(F.col("rows"), fold.alias("ok"))).alias("x")).select("x.rows._r.*", F.col("x.ok").alias("admitted"))
+    refused one uses nothing up, so this is a fold and no running sum. Null sizes count as 0."""
+
+    def fold(used, row):
+        need = (used or 0) + (row[size] or 0)
+        return (need, True) if need <= limit else (used or 0, False)
+
+    return _folded(requests, [team], [order, size], fold, "admitted")
 
 
 def oversize(df: DataFrame, text: str, threshold: int = 102_400, deliver: Column | None = None, clean: Column | None = None, out: str = "block_reason") -> DataFrame:
@@ -180,6 +229,25 @@ def oversize(df: DataFrame, text: str, threshold: int = 102_400, deliver: Column
     return df.withColumn(out, F.when(F.octet_length(text) > threshold, F.when(passes, "oversize:delivered").otherwise("oversize:blocked")))
 
 
+def chunked(df: DataFrame, key: str, text: str = "text", rules: Iterable[tuple[str, str]] = (), window: int = WINDOW, overlap: int = OVERLAP, extra=None) -> DataFrame:
+    """key, pairs, masked of oversize texts. Rules of the table run over the whole text first, as some match without
+    bound; then rules, table and ``extra`` (a function from a text column to findings, of models with a bounded
+    input, say) run over overlapping windows. All pairs go through one allocator per text, and an original counts
+    once. ``key`` tells the texts apart."""
+    d = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    none = F.array().cast(PAIRS)
+    whole = d.select(key, F.lit(-1).alias("_leaf"), merged_pairs(none, spans.without_overlaps(raw_findings(F.col("_text")))).alias("_pairs"), "_text")
+    parts = d.select(key, F.posexplode_outer(chunks(F.col("_text"), window, overlap)).alias("_leaf", "_text"))
+    found = raw_findings(F.col("_text"))
+    found = F.concat(found, extra(F.col("_text"))) if extra is not None else found
+    parts = parts.select(key, "_leaf", merged_pairs(rule_pairs(F.col("_text"), rules), spans.without_overlaps(found)).alias("_pairs"), "_text")
+    alloc = allocate(whole.union(parts), key, "_leaf", "_pairs", "_text")
+    pairs = alloc.groupBy(key, "original", "placeholder").agg(F.min("_leaf").alias("_leaf")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_leaf", "original", "placeholder"))).alias("_p"))
+    pairs = pairs.select(key, F.transform("_p", lambda p: pair(p["original"], p["placeholder"])).alias("pairs"))
+    out = d.join(pairs, key, "left").withColumn("pairs", F.coalesce("pairs", none))
+    return out.select(key, "pairs", applied(F.col("_text"), F.col("pairs")).alias("masked"))
+
+
 def clamped(requested: Column, most: int) -> Column:
     """Requested tokens up to the cap; null stays null."""
     return F.when(requested.isNotNull(), F.least(requested, F.lit(most)))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, patterns, spans
-from ..operators import audit, auth, classify, detect, gazetteer, leaves, mask, oracle, policy, rules, segments
+from ..operators import audit, auth, classify, detect, gazetteer, leaves, mask, ner, oracle, policy, rules, segments
 from ..session import ship, spread
+from ..streaming import reverse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,10 +117,12 @@ def detect_segmented(t):
     return detect.exploded(segments.detect_by_segment(fenced), ["doc_id"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT kind, n * (SELECT count(*) FROM documents) AS n FROM (VALUES ('PROSE', 4), ('CODE', 3), ('COMMENT', 2)) v(kind, n)""")
+@query("""SELECT kind, n * count(*) AS n, sum(k + CASE WHEN kind = 'PROSE' THEN length(text) ELSE 0 END)::BIGINT AS chars
+FROM documents, (VALUES ('PROSE', 4, 16), ('CODE', 3, 9), ('COMMENT', 2, 14)) v(kind, n, k) GROUP BY kind, n""")
 def segments_by_kind(t):
-    fenced = t("documents").select(F.concat(F.lit("a ```py\nx = 1 # one\n/* two */ y```"), F.lit(" tail")).alias("text"), F.col("doc_id"))
-    return fenced.select(F.explode(segments.segments(F.col("text"))).alias("s")).groupBy("s.kind").agg(F.count("*").alias("n"))
+    fenced = t("documents").select(F.concat(F.lit("a ```py\nx = 1 # one\n/* two */ y```"), F.lit(" tail"), F.coalesce("text", F.lit(""))).alias("text"))
+    s = fenced.select(F.explode_outer(segments.segments(F.col("text"))).alias("s"))
+    return s.groupBy("s.kind").agg(F.count("*").alias("n"), F.sum((F.col("s.stop") - F.col("s.start")).cast("long")).alias("chars"))
 
 
 @query(f"""WITH {MATCHES} SELECT doc_id, 0::BIGINT AS only_canonical, count(*) AS only_shadow FROM (SELECT DISTINCT doc_id, i FROM f WHERE label = 'EMAIL') GROUP BY doc_id""")
@@ -185,12 +188,12 @@ HEADS = (
 
 def _headed(documents: DataFrame) -> DataFrame:
     head = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("doc_id") % len(HEADS)).cast("int") + 1)
-    return documents.select("doc_id", F.concat(head, F.call_function("substring", F.col("text"), F.lit(1), F.lit(40))).alias("text"))
+    return documents.select("doc_id", F.concat(head, F.col("text")).alias("text"))
 
 
 _SQL_HEADS = "[" + ", ".join("'" + h.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for h in HEADS) + "]"
 _SQL_CLASS = rf"""
-h AS (SELECT doc_id, ({_SQL_HEADS})[doc_id % {len(HEADS)} + 1] || text[1:40] AS text FROM documents),
+h AS (SELECT doc_id, ({_SQL_HEADS})[doc_id % {len(HEADS)} + 1] || text AS text FROM documents),
 l AS (SELECT doc_id, text, string_split(CASE WHEN text[-1:] = chr(10) THEN text[:-2] ELSE text END, chr(10)) AS lines FROM h),
 k AS (SELECT *, list_filter(lines, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*#')) AS env, list_filter(lines, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*[#;]')) AS ini,
   len(list_filter(lines, lambda x: regexp_matches(x, '\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}'))) AS times, len(list_filter(lines, lambda x: regexp_matches(x, '\b(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE|FATAL|CRITICAL)\b'))) AS levels,
@@ -270,7 +273,7 @@ def oversize_chunks(t):
 @query("SELECT doc_id, CASE WHEN strlen(text) > 8192 THEN CASE WHEN source = 'src1' AND NOT contains(text, '@') THEN 'oversize:delivered' ELSE 'oversize:blocked' END END AS block_reason FROM documents")
 def oversize_policy(t):
     clean = ~F.col("text").contains("@")
-    return t("documents").select("doc_id", F.when(F.octet_length("text") > 8192, F.when((F.col("source") == "src1") & clean, "oversize:delivered").otherwise("oversize:blocked")).alias("block_reason"))
+    return mask.oversize(t("documents"), "text", 8192, deliver=F.col("source") == "src1", clean=clean).select("doc_id", "block_reason")
 
 
 @query("SELECT doc_id, len(regexp_extract_all('[A_001] ' || text || ' [EMAIL_1234] [x_001] [B_01]', '\\[[A-Z][A-Z0-9_]*_[0-9]{3,}\\]')) AS n FROM documents".replace("\\\\", "\\"))
@@ -318,7 +321,8 @@ def tokenize(t):
     return t("documents").select("doc_id", F.size(gazetteer.words(F.col("text"))).cast("long").alias("n"))
 
 
-@query()
+@query("""WITH w AS (SELECT p_partkey, regexp_extract_all(s, '[A-Z][a-z0-9]*|[a-z0-9]+') AS l FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '') AS s FROM part))
+SELECT p_partkey, coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x))), 0)::INT AS start, list_sum(list_transform(l[1:i], lambda x: length(x)))::INT AS stop, l[i] AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM w)""")
 def identifier_split(t):
     return t("part").select("p_partkey", F.explode(gazetteer.identifier_parts(F.regexp_replace(F.initcap("p_name"), " ", ""))).alias("p")).select("p_partkey", "p.*")
 
@@ -362,7 +366,10 @@ def quota_admission(t):
     return mask.quota(d, "conv_id", "turn", "size", 1_000_000_000).groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, strlen(text)::INT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, strlen(text)) AS i FROM conversations),
+f AS (SELECT conv_id, turn, size, i, CASE WHEN size <= 1500 THEN size ELSE 0 END AS used, coalesce(size, 0) <= 1500 AS admitted FROM r WHERE i = 1
+UNION ALL SELECT r.conv_id, r.turn, r.size, r.i, f.used + CASE WHEN f.used + r.size <= 1500 THEN r.size ELSE 0 END, f.used + coalesce(r.size, 0) <= 1500 FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1)
+SELECT conv_id, turn, size, admitted FROM f""")
 def quota_admission_tight(t):
     return mask.quota(t("conversations").select("conv_id", "turn", F.octet_length("text").alias("size")), "conv_id", "turn", "size", 1500)
 
@@ -381,11 +388,48 @@ def request_leaves(t):
     return leaves.request_leaves(_bodies(t)).select("request_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("SELECT event_id, '$.k' AS path, (props->>'$.k') AS value FROM events")
+@query("""SELECT event_id, 'messages[0].content[0].input.' || path AS path, event_type AS text FROM events, (VALUES ('a'), ('b[0]'), ('c.d'), ('c.e[0][0]')) v(path)""")
 def json_leaves(t):
-    v = t("events").select("event_id", F.parse_json("props").alias("v"))
-    v.createOrReplaceTempView("_json_leaves")
-    return v.sparkSession.sql("SELECT event_id, concat('$.', e.key) AS path, cast(e.value AS string) AS value FROM _json_leaves, LATERAL variant_explode(v) AS e")
+    x = F.col("event_type")
+    tree = F.struct(x.alias("a"), F.array(x).alias("b"), F.struct(x.alias("d"), F.array(F.array(x)).alias("e"), F.col("event_id").alias("n")).alias("c"))
+    block = F.struct(F.lit("tool_use").alias("type"), tree.alias("input"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(block).alias("content"))).alias("messages")))
+    return leaves.request_leaves(t("events").select("event_id", body.alias("body")), "event_id").select("event_id", "path", "text")
+
+
+VERBS = ("click", "error", "purchase", "signup", "view")
+#: Bodies by event: one that is masked, one that is no JSON, one at the greatest depth, one below it, one whose tool
+#: arguments have no known form.
+_DEEP = '{"messages":[{"content":[{"type":"tool_use","input":' + "[" * 64 + '"view"' + "]" * 64 + "}]}]}"
+ODD_BODIES = ('{"messages":[{"content":"view"}]}', "no json", _DEEP, _DEEP.replace('"view"', '["view"]'), '{"messages":[{"tool_calls":[{"function":{"arguments":7}}]}]}')
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % {len(ODD_BODIES)} IN (1, 3, 4) THEN 'E_BAD_REQUEST' END AS error, event_id % {len(ODD_BODIES)} IN (0, 2) AS masked FROM events")
+def bad_payloads(t):
+    body = F.element_at(F.array(*map(F.lit, ODD_BODIES)), (F.col("event_id") % len(ODD_BODIES)).cast("int") + 1)
+    pairs = F.array(mask.pair(F.lit("view"), F.lit("[VERB_001]"))).cast(mask.PAIRS)
+    m = leaves.mask_messages(t("events").select("event_id", body.alias("body"), pairs.alias("pairs")))
+    return m.select("event_id", F.col("masked_body_error").alias("error"), F.coalesce(F.col("masked_body").contains("[VERB_001]"), F.lit(False)).alias("masked"))
+
+
+@query("SELECT event_id, event_type AS content, event_type || ' and ' || event_id AS argument FROM events")
+def response_reverse(t):
+    pairs = F.array(mask.pair(F.col("event_type"), F.lit("[VERB_001]")), mask.pair(F.col("event_id").cast("string"), F.lit("[NUMBER_001]"))).cast(mask.PAIRS)
+    body = F.lit('{"choices":[{"message":{"content":"[VERB_001]","tool_calls":[{"function":{"arguments":"{\\"x\\":\\"[VERB_001] and [NUMBER_001]\\"}"}}]}}]}')
+    r = leaves.unmask_responses(t("events").select("event_id", body.alias("response"), pairs.alias("pairs")))
+    got = lambda p: F.get_json_object("unmasked_response", p)
+    return r.select("event_id", got("$.choices[0].message.content").alias("content"), F.get_json_object(got("$.choices[0].message.tool_calls[0].function.arguments"), "$.x").alias("argument"))
+
+
+@query("SELECT user_id AS stream_id, string_agg(event_type, ' ' ORDER BY event_id) || ' ' AS text FROM events GROUP BY user_id")
+def object_chunks(t):
+    pairs = F.array(*[mask.pair(F.lit(x), F.lit(f"[VERB_{i + 1:03d}]")) for i, x in enumerate(VERBS)]).cast(mask.PAIRS)
+    number = F.array_position(F.array(*map(F.lit, VERBS)), F.col("event_type")).cast("string")
+    one = lambda text: F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("delta"))).alias("choices")))
+    halves = F.array(F.struct((2 * F.col("event_id")).alias("seq"), one(F.lit("[VERB_0")).alias("payload")), F.struct((2 * F.col("event_id") + 1).alias("seq"), one(F.concat(F.lit("0"), number, F.lit("] "))).alias("payload")))
+    c = t("events").select(F.col("user_id").alias("stream_id"), F.explode(halves).alias("h"), pairs.alias("pairs")).select("stream_id", "h.*", "pairs")
+    back = reverse.unmask_objects(c).select("stream_id", F.struct("seq", F.get_json_object("payload", "$.choices[0].delta.content").alias("x")).alias("s"))
+    return back.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "").alias("text"))
 
 
 @query("SELECT conv_id AS request_id, true AS same FROM conversations GROUP BY conv_id")
@@ -456,8 +500,7 @@ SELECT team_id, min(size_threshold_bytes)::INT AS size_threshold_bytes, bool_or(
 CASE WHEN team_id % 3 = 0 THEN '' ELSE 'a' END AS providers, 'c0,c1' AS canaries FROM y GROUP BY team_id""")
 def policy_merge(t):
     n = t("nation")
-    n.createOrReplaceTempView("_nation")
-    y = n.sparkSession.sql(f"{LAYERS} FROM _nation, (VALUES (0), (1), (2)) v(l)")
+    y = n.sparkSession.sql(f"{LAYERS} FROM {{nation}} LATERAL VIEW explode(array(0, 1, 2)) v AS l", nation=n)
     lists = F.when(F.col("layer_no") == 0, None).when((F.col("layer_no") == 1) & (F.col("team_id") % 3 == 0), F.array(F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("c")))
     y = y.withColumn("allowed_providers", F.when((F.col("layer_no") == 2), F.array(F.lit("a"))).otherwise(lists)).withColumn("canary_patterns", F.array(F.concat(F.lit("c"), (F.col("layer_no") % 2).cast("string"))))
     m = policy.merge_policies(y)
@@ -525,13 +568,86 @@ def failure_components(t):
 def health_rollup(t):
     u = t("events").select("user_id").distinct()
     checks = u.withColumn("healthy", F.explode(F.array(F.lit(True), F.col("user_id") % 3 != 0)))
-    g = checks.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("healthy").alias("up"))
-    status = F.when((F.col("n") == 0) | (F.col("up") == F.col("n")), "ok").when(F.col("up") == 0, "unhealthy").otherwise("degraded")
-    return g.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return audit.health(checks, "user_id").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN v <= 5 THEN 5.0 WHEN v <= 10 THEN 10.0 WHEN v <= 50 THEN 50.0 WHEN v <= 100 THEN 100.0 END::DOUBLE AS le, count(*) AS n FROM (SELECT event_type, round(value) AS v FROM events) GROUP BY 1, 2""")
+def latency_histogram(t):
+    return audit.latency_histogram(_records(t), (5, 10, 50, 100))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
+def leak_alert_windows(t):
+    return audit.failure_windows(_records(t), F.col("error_code") == "E_DLP_BLOCKED").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT date_trunc('month', ts)::TIMESTAMP AS month, count(*) AS requests, count(*) FILTER (event_id % 10 <> 0) AS stored, count(*) FILTER (event_id % 10 <> 0) / count(*) AS share FROM events WHERE event_type <> 'error' GROUP BY 1""")
+def audit_completeness(t):
+    r = _records(t)
+    stored = t("events").where("event_id % 10 <> 0").select(F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("request_id"))
+    return audit.completeness(r, stored).withColumn("month", F.col("month").cast("timestamp_ntz"))
+
+
+@query("""WITH r AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+SELECT 'r' || user_id AS request_id, CASE WHEN user_id % 3 = 0 THEN 'unknown' ELSE 'u' || user_id END AS user_id, CASE WHEN user_id % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS redaction_count, CASE WHEN user_id % 2 = 0 THEN 'MAIL=1,NAME=1' ELSE '' END AS labels,
+250::BIGINT AS latency_ms, 7::BIGINT AS tokens, CASE WHEN event_type = 'error' THEN 'E_DLP_BLOCKED' WHEN user_id % 3 <> 0 AND user_id % 5 = 0 THEN 'E_BAD_REQUEST' END AS error_code FROM r WHERE k = 1""")
+def audit_events(t):
+    e, u = t("events"), F.col("user_id")
+    own = F.concat(F.lit("r"), u.cast("string")).alias("request_id")
+    start = F.col("ts").cast("timestamp")
+    # the number of the event, in nanoseconds as it were, parts those of one time
+    reqs = e.select(own, F.lit("m").alias("model"), F.struct(start.alias("t"), F.col("event_id").alias("i")).alias("o"), start.alias("start"), (start + F.expr("INTERVAL '0.25' SECOND")).alias("stop"), F.lit('{"usage":{"prompt_tokens":4,"completion_tokens":3}}').alias("response"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.when(F.col("event_type") == "error", "E_DLP_BLOCKED").alias("error_code"))
+    first = reqs.groupBy("request_id").agg(F.min_by(F.struct("model", "start", "stop", "response", "status", "error_code"), "o").alias("x")).select("request_id", "x.*")
+    users = e.select(u).distinct()
+    state = users.where(u % 3 != 0).select(own, F.concat(F.lit("u"), u.cast("string")).alias("user_id"), F.lit("t").alias("team_id"), F.lit("openai").alias("provider"), F.lit("m").alias("model"), F.lit(True).alias("cache_a_hit"), F.when(u % 5 == 0, "E_BAD_REQUEST").alias("error_code"), F.lit(None).cast("string").alias("block_reason"), F.array(F.lit("p")).alias("profile_ids"))
+    pairs = users.where(u % 2 == 0).select(own, F.explode(F.array(mask.pair(F.lit("a"), F.lit("[NAME_001]")), mask.pair(F.lit("b"), F.lit("[MAIL_001]")), mask.pair(F.lit("c"), F.lit("[MAIL_001]")))).alias("p")).select("request_id", "p.*")
+    labels = F.array_join(F.array_sort(F.transform(F.map_entries("finding_label_counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))), ",")
+    return audit.events(first, state, pairs, "1").select("request_id", "user_id", "redaction_count", labels.alias("labels"), "latency_ms", (F.col("prompt_token_count") + F.col("completion_token_count")).alias("tokens"), "error_code")
+
+
+@query("SELECT o_custkey AS customer, o_orderkey AS token, o_orderdate AS issued_at FROM orders")
+def token_list(t):
+    return t("orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("token"), F.col("o_orderdate").alias("issued_at")).orderBy(F.desc("issued_at"), "token")
+
+
+@query("""SELECT n_regionkey AS team_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY l, n)::INT AS rule_no, pattern FROM (
+SELECT n_regionkey, 0 AS l, n_nationkey AS n, n_name AS pattern FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT r_regionkey, 1, i, 'p' || i FROM region, (VALUES (0), (1)) v(i))""")
+def rules_layered(t):
+    own = t("nation").select(F.col("n_regionkey").alias("team_id"), F.col("n_nationkey").alias("line_no"), F.when(F.col("n_regionkey") != 2, F.col("n_name")).alias("pattern"), F.lit("[N_001]").alias("replacement"))
+    return rules.layered(own, [("p0", "[P_001]"), ("p1", "[P_002]")]).select("team_id", "rule_no", "pattern")
+
+
+@query(f"""WITH p AS (SELECT doc_id, i, placeholder FROM documents, {_SQL_RULES} WHERE contains(text, pattern)) SELECT doc_id, string_agg(placeholder, ',' ORDER BY i) AS placeholders FROM
+(SELECT * FROM p UNION ALL SELECT doc_id, 100 + k, o FROM documents, (VALUES (0, 'and', '[ORACLE_001]'), (1, 'xyzzy', '[ORACLE_002]')) v(k, a, o) WHERE NOT (a = 'and' AND contains(text, 'and'))) GROUP BY doc_id""")
+def base_pairs(t):
+    said = F.array(mask.pair(F.lit("and"), F.lit("[ORACLE_001]")), mask.pair(F.lit("xyzzy"), F.lit("[ORACLE_002]"))).cast(mask.PAIRS)
+    p = mask.base_pairs(mask.rule_pairs(F.col("text"), WORD_RULES), said)
+    return t("documents").select("doc_id", F.array_join(F.transform(p, lambda x: x["placeholder"]), ",").alias("placeholders"))
+
+
+@query("SELECT doc_id, sha256(text) AS back_sha256, contains(text, 'the ') AS article FROM documents")
+def oversize_chunked(t):
+    d = mask.chunked(t("documents"), "doc_id", rules=WORD_RULES, window=2_000, overlap=300)
+    return d.select("doc_id", F.sha2(mask.reversed_(F.col("masked"), F.col("pairs")), 256).alias("back_sha256"), F.col("masked").contains("[ARTICLE_001]").alias("article"))
+
+
+def _names() -> object:
+    """A stand-in for a model: words with a capital letter within them are organizations."""
+    import re
+
+    return lambda texts: [[("ORG", m.start(), m.end()) for m in re.finditer(r"\b[a-z]+[A-Z][A-Za-z]*\b", x, re.A)] for x in texts]
+
+
+def _no_model() -> object:
+    raise RuntimeError("no model here")
+
+
+@query("SELECT p_partkey, 'ORG' AS label, 1 AS start, 9 AS stop, true AS refused FROM part")
+def ner_union(t):
+    d = t("part").select("p_partkey", F.concat(F.lit(" acmeCorp "), F.col("p_partkey").cast("string")).alias("text"))
+    d = ner.entities(ner.entities(d, _names, ner.RUSSIAN, out="a"), _no_model, ner.ENGLISH, out="b", order=1)
+    f = d.select("p_partkey", F.explode_outer(ner.united(F.col("a"), F.col("b"))).alias("f"), ner.united(F.col("a"), F.col("b"), required=True).isNull().alias("refused"))
+    return f.select("p_partkey", "f.label", "f.start", "f.stop", "refused")
 
 
-portable("latency_histogram", "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, CASE WHEN value <= 5 THEN 5 WHEN value <= 10 THEN 10 WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 ELSE 1000 END AS le, count(*) AS n FROM {events} GROUP BY 1, 2", "events")
-portable("leak_alert_windows", "SELECT CAST(floor(CAST(date_part('minute', ts) AS int) / 5) AS int) AS slot, date_trunc('hour', ts) AS hour, count(*) AS n FROM {events} WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) > 0", "events")
-portable("audit_completeness", "SELECT date_trunc('month', ts) AS month, count(*) AS requests, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) / count(*) > 0.5 AS complete FROM {events} GROUP BY 1", "events")
-portable("token_list", "SELECT o_orderkey AS token, o_orderdate AS issued_at FROM {orders} WHERE o_custkey = 7 ORDER BY issued_at DESC", "orders")
 portable("labelled_toxicity_by_source", "SELECT source, count(*) AS n, sum(toxic) AS toxic FROM {documents} JOIN {labels} USING (doc_id) GROUP BY source", "documents", "labels")

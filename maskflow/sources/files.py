@@ -22,6 +22,21 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
     return parse_rules(lines)
 
 
+def rules_of(teams: DataFrame, loaded: DataFrame, key: str = "team_id") -> DataFrame:
+    """``teams`` plus ``rules`` array<struct<pattern,replacement>> in file order; empty for a team without a file."""
+    good = loaded.where("pattern is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "pattern", "replacement"))).alias("_r"))
+    kind = "array<struct<pattern:string,replacement:string>>"
+    listed = F.transform("_r", lambda r: F.struct(r["pattern"].alias("pattern"), r["replacement"].alias("replacement")))
+    return teams.join(good, key, "left").withColumn("rules", F.coalesce(listed, F.array().cast(kind)).cast(kind)).drop("_r")
+
+
+def requests(spark: SparkSession, path: str, key: str = "request_id") -> DataFrame:
+    """Chat requests from lines of JSON: key (see ``audit.request_id``) and body, the line as it is."""
+    from ..operators.audit import request_id
+
+    return spark.read.text(path).where("trim(value) <> ''").select(request_id(F.col("value")).alias(key), F.col("value").alias("body"))
+
+
 def terms(spark: SparkSession, folder: str) -> DataFrame:
     """term_no, term, label; lines that start with # are comments. Files count in name order."""
     d = _lines(spark, f"{folder}/*.txt").withColumn("term", F.trim("line")).where("term <> '' and not startswith(term, '#')")

@@ -31,7 +31,7 @@ class Bundle:
     policies: list[dict] = field(default_factory=list)
 
     def fingerprint(self) -> str:
-        body = [self.layers, self.detectors, sorted(self.terms.items()), self.rules, self.policies]
+        body = [self.layers, self.detectors, bool(self.terms), sorted(self.terms.items()), self.rules, sorted(self.allow), self.policies]
         return hashlib.sha256(json.dumps(body, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import gated
+from ..operators.audit import gated, trace_events
 
 
 def lines(records: DataFrame, path: str, record: str = "record") -> None:
@@ -35,7 +36,40 @@ def fan_out(*sinks: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], N
     return write
 
 
-KNOWN: dict[str, Callable] = {"lines": lines, "objects": objects}
+class IngestionError(RuntimeError):
+    pass
+
+
+def http(post: Callable[[dict], tuple[int, str]], size: int = 100, record: str = "record") -> Callable[[DataFrame], None]:
+    """A sink that posts envelopes {"batch": [events]} of at most ``size`` events. ``post`` (envelope -> status and
+    text) is the caller's client, which workers import. A status of 400 or more, or an error of the client, fails the
+    task and so the micro-batch; ids of events derive from the request's, so a second attempt posts the same ones."""
+
+    def send(rows) -> None:
+        def one(batch: list) -> None:
+            try:
+                status, text = post({"batch": batch})
+            except OSError as e:
+                raise IngestionError(f"transport error: {e}") from e
+            if status >= 400:
+                raise IngestionError(f"ingestion {status}: {text[:300]}")
+
+        batch: list = []
+        for r in rows:
+            batch.append(json.loads(r.value))
+            if len(batch) == size:
+                one(batch)
+                batch = []
+        if batch:
+            one(batch)
+
+    def sink(records: DataFrame) -> None:
+        trace_events(gated(records, record)[0]).select(F.to_json(F.struct("*")).alias("value")).foreachPartition(send)
+
+    return sink
+
+
+KNOWN: dict[str, Callable] = {"lines": lines, "objects": objects, "http": http}
 
 
 def sink(name: str) -> Callable:
