@@ -8,9 +8,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from maskflow.operators import mask
+from maskflow.operators import gazetteer, mask, ner
 from maskflow.operators.policy import PolicyError, seal
-from maskflow.sources import profiles
+from maskflow.sources import files, profiles, sinks
 from maskflow.streaming import store
 
 
@@ -43,6 +43,75 @@ def test_oversize_and_clamp(spark):
     assert [r.c for r in spark.createDataFrame([(5,), (50,), (None,)], "n int").select(mask.clamped(F.col("n"), 10).alias("c")).collect()] == [5, 10, None]
 
 
+def test_requests_rules_and_sinks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text('{"request_id":"q","messages":[]}\n\nno json\n')
+    got = files.requests(spark, f"{tmp_path}/in").collect()
+    assert {r.body for r in got} == {'{"request_id":"q","messages":[]}', "no json"} and "q" in {r.request_id for r in got}
+    (tmp_path / "t1.md").write_text("- a = [A_001]\nbad line\n- b = [B_001]")
+    loaded = files.rules(spark, str(tmp_path))
+    rows = {r.team_id: [tuple(x) for x in r.rules] for r in files.rules_of(spark.createDataFrame([("t1",), ("t2",)], "team_id string"), loaded).collect()}
+    assert rows == {"t1": [("a", "[A_001]"), ("b", "[B_001]")], "t2": []}
+    records = spark.createDataFrame([(f"r{i}", "t", "openai", 1, 2, '{"x":1}' if i else '{"pairs":[]}') for i in range(5)], "request_id string, team_id string, provider string, prompt_token_count long, completion_token_count long, record string").coalesce(1)
+
+    def post(envelope):
+        import json
+        import uuid
+
+        with open(f"{tmp_path}/posted-{uuid.uuid4().hex}", "w") as f:
+            json.dump(envelope, f)
+        return 207, ""
+
+    sinks.sink("http")(post, size=3)(records)
+    import json
+
+    posted = [json.loads(p.read_text())["batch"] for p in tmp_path.glob("posted-*")]
+    assert sorted(map(len, posted)) == [2, 3, 3] and {e["trace_id"] for b in posted for e in b} == {"r1", "r2", "r3", "r4"}
+    with pytest.raises(Exception, match="ingestion 500"):
+        sinks.http(lambda e: (500, "no"))(records)
+
+
+def test_time_to_live_of_results(spark):
+    rows = [(i, "a", t) for i, t in enumerate([0, 5, 9, 10, 19, 20, 100])] + [(9, "b", 3)]
+    df = spark.createDataFrame(rows, "k int, h string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = mask.dedup_by_hash(df, "h", lambda x: x.select("h", F.lit(1).alias("one")), ["ts", "k"], ttl_seconds=10)
+    assert {r.k: r.cache_a_hit for r in out.collect()} == {0: False, 1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 9: False}
+    out = mask.dedup_by_hash(df, "h", lambda x: x.select("h", F.lit(1).alias("one")), ["ts", "k"])
+    assert {r.k for r in out.collect() if not r.cache_a_hit} == {0, 9}
+
+
+def test_long_terms_and_lemmas(spark):
+    term = "one two three four five six seven eight"
+    table = gazetteer.term_table(spark.createDataFrame([(1, term, "LONG"), (2, "cats", "PLURAL")], "term_no int, term string, label string"), lemma=lambda w: F.regexp_replace(F.lower(w), "s$", ""))
+    d = spark.createDataFrame([(1, f"x {term.upper()}! Cat myCats"), (1, f"x {term.upper()}! Cat myCats"), (2, None)], "k int, text string")
+    got = sorted(tuple(r) for r in gazetteer.hits(d, "k", table, lemma=lambda w: F.regexp_replace(F.lower(w), "s$", "")).collect())
+    one = [(1, "LONG", 2, 2 + len(term), "term"), (1, "PLURAL", 4 + len(term), 7 + len(term), "term"), (1, "PLURAL", 10 + len(term), 14 + len(term), "identifier")]
+    assert got == sorted(2 * one)
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_many_terms_are_joined_by_a_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(gazetteer, "BROADCAST_TERMS", most)
+    table = gazetteer.term_table(spark.createDataFrame([(1, "big red box", "A"), (2, "red", "B")], "term_no int, term string, label string"))
+    d = spark.createDataFrame([(1, "a Big, red  box"), (2, "RED red-ish"), (3, "")], "k int, text string")
+    assert sorted(tuple(r) for r in gazetteer.hits(d, "k", table).collect()) == [(1, "A", 2, 15, "term"), (1, "B", 7, 10, "term"), (2, "B", 0, 3, "term"), (2, "B", 4, 7, "term")]
+
+
+def test_models_that_are_missing(spark):
+    d = spark.createDataFrame([(1, "Ann in Rome"), (2, "  "), (3, None)], "k int, text string")
+
+    def model():
+        return lambda texts: [[("PER", 0, 3), ("LOC", 7, 11), ("DATE", 0, 1)] for _ in texts]
+
+    def missing():
+        raise RuntimeError("none")
+
+    d = ner.entities(ner.entities(d, model, ner.RUSSIAN, out="a"), missing, ner.ENGLISH, out="b")
+    rows = {r.k: r for r in d.select("k", ner.united(F.col("a"), F.col("b")).alias("u"), ner.united(F.col("a"), F.col("b"), required=True).alias("r")).collect()}
+    assert [(f.label, f.start, f.stop, f.text, f.score) for f in rows[1].u] == [("PERSON", 0, 3, "Ann", 0.8), ("LOCATION", 7, 11, "Rome", 0.8)]
+    assert rows[1].r is None and rows[2].u == [] and rows[2].r == [] and rows[3].u == []
+
+
 def test_mapping_store(spark, tmp_path):
     rows = [("c1", 1, "alice", "[N_001]"), ("c1", 2, "alice", None), ("c2", 1, "alice", None)]
     spark.createDataFrame(rows, "conversation_id string, seq long, original string, placeholder string").coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -68,3 +137,10 @@ def test_entry_without_the_optional_part(tmp_path):
     subprocess.run(["rm", "-rf", f"{tmp_path}/maskflow/llm"], check=True)
     code = "import __spark_entry__ as e\nassert 'mask_documents' in e.queries() and 'pipeline' not in e.queries() and not any(k[:2] == 'op' and k[2].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    # a library that only the optional part needs is missing
+    subprocess.run(["mkdir", f"{tmp_path}/maskflow/llm"], check=True)
+    (tmp_path / "maskflow" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "maskflow" / "llm" / "catalog.py").write_text("import a_library_that_nobody_has")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    (tmp_path / "maskflow" / "llm" / "catalog.py").write_text("import maskflow.nothing")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True).returncode
