@@ -47,7 +47,8 @@ def expand(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
 def rendered(expanded: DataFrame) -> DataFrame:
     """One row per conversation: conv, formatted, examples array<struct<example,start,stop,loss_start,loss_stop,segment>>
-    in order. A conversation is one training document, so its turns meet in one row."""
+    in order. A conversation is one training document, so its turns meet in one row; those of a null id are one
+    conversation, repeated rows repeat their turns, other columns are dropped, and no rows give no rows."""
     rows = F.array_sort(F.collect_list(F.struct("_start", "_stop", "_example", "_loss_start", "_loss_stop", "_segment")))
     g = expanded.groupBy("conv").agg(rows.alias("rows"))
     return g.select(

@@ -10,19 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that holds whole texts; bounds a Python worker's memory.
-TEXT_BATCH = 512
+#: Rows of one Arrow batch that holds whole texts, and its bytes; both bound a Python worker's memory.
+TEXT_BATCH, TEXT_BATCH_BYTES = 512, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``, or, where that is unset
-    (tests on one machine), a temporary one that is then used as checkpoint folder too."""
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``. Where that is unset and Spark runs
+    on one machine, as in tests, a temporary one, which is then the checkpoint folder too; on a cluster, where a
+    machine's own folder would not do, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="maskflow-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -31,23 +34,49 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder, so that lost executors cost no recomputation."""
+def written(df: DataFrame, tag: str, instead_of: list[str] | None = None) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder, so that lost executors cost no recomputation. With
+    ``instead_of``, tables at the paths in it, which nothing reads any more once this one stands, are removed, and
+    the list then holds this one's path."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    if instead_of is not None:
+        for old in instead_of:
+            removed(df.sparkSession, old)
+        instead_of[:] = [path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Bound the rows of an Arrow batch, whose texts may be very long."""
+    """Bound the rows and bytes of an Arrow batch, whose texts may be very long. The settings are the session's and
+    stay, as plans run after this returns; they are only ever lowered."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")
+    if not most.isdigit() or int(most) > TEXT_BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer until no column of ``df`` has them in any case."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in there:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def plain(df: DataFrame, *added: str) -> DataFrame:
     """``df`` without columns that are named, in any case, like the ones about to be added, which replace them."""
     low = {a.lower() for a in added}
@@ -106,18 +135,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each partition first reduces its links to a spanning forest (less to shuffle, no group is gathered), then
     large-star and small-star steps alternate until every node points at its root. Each round is written to the
-    shared folder; only two numbers per round come to the driver. An empty input gives an empty result; nulls and
+    shared folder in place of the one before; only two numbers per round come to the driver. An empty input gives an empty result; nulls and
     self-links are ignored."""
     e = edges.select(F.col(edges.columns[0]).cast("long").alias("u"), F.col(edges.columns[1]).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = written(e.mapInArrow(_forest_of_partition, "u long, v long").distinct(), "links")
-    mark = None
+    mark, paths = None, []
+    e = written(e.mapInArrow(_forest_of_partition, "u long, v long").distinct(), "links", paths)
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("b").alias("u"), F.col("m").alias("v")), F.struct(F.col("a").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        e = written(small, "links")
+        e = written(small, "links", paths)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

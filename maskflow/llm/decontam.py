@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches
+from .common import plain, table, text_batches, written
 from .fmindex import FMIndex
 
 #: A shard is indexed once it holds so many words that can be part of a test phrase.
 SHARD_WORDS = 1_000_000
-#: ... or so many documents, which bounds the texts a worker holds.
-SHARD_DOCS = 20_000
+#: ... or so many documents, or bytes of them, which bounds what a worker holds.
+SHARD_DOCS, SHARD_BYTES = 20_000, 128 << 20
 #: Test items are searched in blocks of at most so many bytes of text; a block is what is broadcast.
 BLOCK_BYTES = 8_000_000
 
@@ -110,25 +110,31 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     A window is ``width`` consecutive words of an item, or all of a shorter one. Each task indexes its documents
     in shards of bounded size; only maximal runs of words that items have are indexed, as no phrase can occur
-    elsewhere. The documents are not shuffled. Items are taken in blocks of bounded size, each broadcast in turn
-    and each searched in all documents. Null and empty texts have no words; items with null text are ignored and
-    a null item id counts as the empty string; repeated rows are judged one by one; empty tables give no spans."""
+    elsewhere. The documents are not shuffled. Items are taken in blocks of bounded size, each searched in all
+    documents; there is one broadcast at a time, as the result of all blocks but the last is written before the next
+    one is read. Null and empty texts have no words; items with null text are ignored and a null item id counts as
+    the empty string; repeated rows are judged one by one; empty tables give no spans. Columns of ``docs`` that are
+    named like the added ones give way to them."""
     spark = docs.sparkSession
     text_batches(spark)
+    docs = plain(docs, "_n_words", "_spans", "_items")
     keep = docs.columns
     kinds = dict(docs.dtypes)
     out = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _n_words long, _spans array<struct<start:long,stop:long>>, _items array<string>"
     df = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<struct<start:long,stop:long>>"), "_items": F.array().cast("array<string>")})
-    sent = [spark.sparkContext.broadcast(Phrases(part, width)) for part in blocks(bench, item_col, item_text, block_bytes)] or [spark.sparkContext.broadcast(Phrases([], width))]
+    items = blocks(bench, item_col, item_text, block_bytes)
+    paths: list[str] = []
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     at = keep.index(text_col)
 
-    for one in sent:
+    part = next(items, [])
+    while part is not None:
+        one = spark.sparkContext.broadcast(Phrases(part, width))
 
         def search(batches, one=one):
             phrases: Phrases = one.value
             get = phrases.vocab.get
-            held, ids, n_words, full = [], [], [], 0
+            held, ids, n_words, full, size = [], [], [], 0, 0
 
             def flush():
                 spans, items = phrases.find(ids)
@@ -151,13 +157,18 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
                     full += np.count_nonzero(x)
                     ids.append(x if x.any() else x[:0])
                 held.append(b)
-                if full >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
+                size += b.nbytes
+                if full >= SHARD_WORDS or len(ids) >= SHARD_DOCS or size >= SHARD_BYTES:
                     yield from flush()
-                    held, ids, n_words, full = [], [], [], 0
+                    held, ids, n_words, full, size = [], [], [], 0, 0
             if held:
                 yield from flush()
 
         df = df.mapInArrow(search, out)
+        part = next(items, None)
+        if part is not None:
+            df = written(df, "decontaminated", paths)
+            one.destroy()
     return df
 
 

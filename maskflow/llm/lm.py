@@ -127,7 +127,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     For word c after a, b: c(abc) / c(ab) if abc stands in another document, else ``backoff`` times c(bc) / c(b),
     else ``backoff`` squared times c(c) / N, where a word of no other document counts half. All counts leave out
-    the document itself. Repeated rows are documents of their own.
+    the document itself. Repeated rows are documents of their own, a null id is kept, other columns are dropped, and an
+    empty table gives an empty result.
 
     The documents become blocks. A block sends its distinct n-grams, exploded and counted, to the parts of the
     count tables, which are split by hash. It first sends the upper 40 bits of their hashes: a part answers which

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plain, table, unused
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -139,20 +139,23 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     _base holds the three fixed rules, each leftmost and non-overlapping, failing matches dropped. _extra holds
     the parts outside base spans of the entropy spans of candidates that are not allow-listed. Null text counts as empty; empty
-    texts and tables give no spans; repeated rows are scanned one by one; other columns pass through."""
-    d = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    t = F.col("_t")
+    texts and tables give no spans; repeated rows are scanned one by one; other columns pass through, but one that is
+    named like an added column gives way to it."""
+    docs = plain(docs, "_base", "_extra")
+    t_, likely_, high_ = unused(docs, "_t", "_likely", "_high")
+    d = docs.withColumn(t_, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    t = F.col(t_)
     assign = F.filter(found(t, ASSIGN, t.rlike(r"(?i)(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=]")), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 8)
     access = found(t, ACCESS_LONG, t.contains("AKIA"))
     hexes = found(t, HEX_LONG, t.rlike("[0-9a-f]{32}"))
     d = d.withColumn("_base", F.array_sort(F.concat(spans_of(assign, "assign"), spans_of(access, "access"), spans_of(hexes, "hex"))))
     likely = F.filter(found(t, CANDIDATE, t.rlike(CANDIDATE)), lambda x: x["m"].rlike(MIXED) & ~x["m"].rlike(ALLOWED))
-    d = d.withColumn("_likely", likely)
-    high = F.flatten(F.transform("_likely", lambda x: F.transform(entropy_spans(x["m"]), lambda h: F.struct((x["start"] + h["lo"]).alias("start"), (x["start"] + h["hi"]).alias("stop")))))
-    d = d.withColumn("_high", high)
-    parts = F.flatten(F.transform("_high", lambda x: outside(x, F.col("_base"))))
+    d = d.withColumn(likely_, likely)
+    high = F.flatten(F.transform(likely_, lambda x: F.transform(entropy_spans(x["m"]), lambda h: F.struct((x["start"] + h["lo"]).alias("start"), (x["start"] + h["hi"]).alias("stop")))))
+    d = d.withColumn(high_, high)
+    parts = F.flatten(F.transform(high_, lambda x: outside(x, F.col("_base"))))
     d = d.withColumn("_extra", F.transform(parts, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("ord"), x["stop"].alias("stop"), F.lit("entropy").alias("kind"))))
-    return d.drop("_t", "_likely", "_high")
+    return d.drop(t_, likely_, high_)
 
 
 def listed(spans: Column) -> Column:
@@ -161,9 +164,9 @@ def listed(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret in the text replaced by ``mask``; overlapping spans give one mask; null stays null.
-    Spans are taken in strides, each with its own part of the text."""
-    cols = docs.columns
-    d = scan(docs, text_col)
+    Spans are taken in strides, each with its own part of the text. All columns come back as they were, whatever
+    their names; repeated rows are masked one by one, and an empty table stays empty."""
+    d = scan(docs.toDF(*[c if c == text_col else f"other{i}" for i, c in enumerate(docs.columns)]), text_col)
     t = F.col(text_col)
     zero = F.lit(0).cast("int")
     cut = lambda s, at, n: F.call_function("substring", s, at + 1, n)
@@ -186,7 +189,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") ->
         return _let(bases, lambda b: F.concat(F.array_join(parts(b), ""), cut(t, F.element_at(b, -1), F.length(t))))
 
     new = _let(_strides(F.array_sort(F.concat("_base", "_extra"))), masked)
-    return d.withColumn(text_col, F.when((F.size("_base") == 0) & (F.size("_extra") == 0), t).otherwise(new)).select(*[F.col(f"`{c}`") for c in cols])
+    return d.withColumn(text_col, F.when((F.size("_base") == 0) & (F.size("_extra") == 0), t).otherwise(new)).drop("_base", "_extra").toDF(*docs.columns)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

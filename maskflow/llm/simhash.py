@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, table, text_batches, written
+from .common import connected_components, plain, table, text_batches, written
 
 #: White space that parts words: space and U+0009 to U+000D.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -32,7 +32,10 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3, name: str = "_fp") -> DataFrame:
+    """``docs`` plus the fingerprint of each whole text, row by row; null and empty texts give 0, repeated rows the
+    same one, an empty table an empty result. Other columns pass through; one called ``name`` gives way."""
     text_batches(docs.sparkSession)
+    docs = plain(docs, name)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -43,7 +46,8 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 3, n
 
 
 def linked_fingerprints(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Distinct fingerprints (column _fp) -> pairs (a, b) at ``radius`` or fewer differing bits.
+    """Distinct fingerprints (column _fp; others are ignored) -> pairs (a, b), a < b, at ``radius`` or fewer
+    differing bits. Nulls link with nothing, an empty table gives no pair, and a repeated fingerprint repeated pairs.
 
     The 64 bits are two segments of 32. Two fingerprints within 3 bits agree in one segment up to one bit, so each
     is stored in a table under both of its segments and probes each table with the 33 values of the ball of

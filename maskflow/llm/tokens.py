@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, text_batches, written
+from .common import fresh_path, plain, table, text_batches, written
 
 #: Distinct words whose ids a worker remembers, and the longest one that it does.
 CACHED_WORDS, CACHED_CHARS = 500_000, 64
@@ -203,7 +203,8 @@ def gathered(batches, text_at: int = 1, rows: int = 8192):
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """id, piece, start, length, ids_crc32 for each piece: a document's ids and ``end_id``, cut only where longer
-    than ``capacity``. Null text counts as empty and gives the end id alone; repeated rows are kept."""
+    than ``capacity``. Null text counts as empty and gives the end id alone; repeated rows and null ids are kept,
+    other columns are dropped, and an empty table gives no piece."""
     text_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
@@ -286,7 +287,9 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
 
 def packed(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces. Pieces are dealt evenly, whatever their document,
-    to groups of about ``group_pieces``, and each group is packed by one task: a group wastes part of one bin."""
+    to groups of about ``group_pieces``, and each group is packed by one task: a group wastes part of one bin. Other
+    columns pass through, but those named like the added ones give way; an empty table gives an empty result."""
+    parts = plain(parts, "sequence_id", "offset", "_group")
     n = max(1, -(-parts.count() // group_pieces))
     dealt = parts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
 
