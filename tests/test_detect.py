@@ -1,11 +1,12 @@
 """Detection, classification and segments on small texts, against expected spans and plain Python."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from maskflow.functions import patterns
+from maskflow.functions import patterns, spans
 from maskflow.operators import classify, detect, gazetteer, segments
 
 
@@ -107,3 +108,29 @@ def test_identifier_parts(spark):
 def test_no_python_on_the_rule_path(spark):
     df = detect.detect(spark.createDataFrame([("a",)], "text string"), labels=["EMAIL", "IP_ADDRESS", "API_KEY"])
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_equal_the_plain_greedy(spark):
+    rng, rows = random.Random(1), []
+    for i in range(300):
+        found = []
+        for _ in range(rng.randrange(0, 14)):
+            a = rng.randrange(0, 60)
+            found.append(("L", a, a + rng.randrange(1, 12), rng.choice([0.7, 0.9, 1.0]), rng.randrange(3), "t"))
+        rows.append((i, found))
+    df = spark.createDataFrame(rows, f"k int, f {spans.FINDING}")
+    got = {r.k: [tuple(x) for x in r.o] for r in df.select("k", spans.without_overlaps(F.col("f")).alias("o")).collect()}
+    for k, found in rows:
+        kept = []
+        for f in sorted(found, key=lambda f: (-f[3], f[1] - f[2], f[1], f[4])):
+            if not any(f[1] < g[2] and g[1] < f[2] for g in kept):
+                kept.append(f)
+        assert got[k] == sorted(kept, key=lambda f: f[1])
+
+
+def test_offsets_of_many_matches(spark):
+    """More matches than a stride holds, with characters outside the basic plane between them."""
+    text = "😀 é ".join(f"w{i}" for i in range(1000)) + " tail"
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(spans.matches(F.col("t"), "w[0-9]+").alias("m")).collect()
+    assert [(x.start, x.stop, x.text) for x in got[0].m] == [(m.start(), m.end(), m[0]) for m in re.finditer("w[0-9]+", text)]
+    assert got[1].m == [] and got[2].m == []
