@@ -17,6 +17,9 @@ SHARD, SHARD_MOST = 2_500, 4_000
 OVERLAP = 2
 #: Centroids are fitted on at most so many vectors with the least hash, so there are at most a twentieth as many.
 SAMPLE = 20_000
+#: Centroids of a large shard, how often shards are split again, numbers of the shards of a level, and vectors that one
+#: task deals out.
+CHILDREN, LEVELS, SPACE, DEALT = 128, 2, 1 << 40, 50_000
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 48, 1.2, 32
 #: Range search also goes through vectors this much below the threshold.
 SLACK = 0.06
@@ -34,19 +37,64 @@ def centroids(sample: dict[tuple, np.ndarray], counts: dict[tuple, int]) -> dict
     SHARD vectors at the first overlap."""
     out = {}
     for key, x in sample.items():
-        x = unit(x)
         k = 1 if counts[key] <= SHARD_MOST else min(-(-OVERLAP * counts[key] // SHARD), max(1, len(x) // 20))
-        c = x[np.linspace(0, len(x) - 1, k).astype(int)]
-        for _ in range(6 if k > 1 else 0):
-            own = (x @ c.T).argmax(1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, own, x)
-            live = np.linalg.norm(sums, axis=1) > 0
-            c[live] = unit(sums[live])
-        out[key] = c
+        out[key] = spherical_means(unit(x), k)
     return out
 
 
+def spherical_means(x: np.ndarray, k: int) -> np.ndarray:
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    for _ in range(6 if k > 1 else 0):
+        own = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        live = np.linalg.norm(sums, axis=1) > 0
+        c[live] = unit(sums[live])
+    return c
+
+
+def split_further(nodes: DataFrame, overlap: int) -> DataFrame:
+    """Nodes with shards above SHARD_MOST parted by further centroids, at most CHILDREN to a shard and level. A
+    shard's centroids are fitted by one task on a bounded sample of it; its vectors are dealt to as many tasks as
+    they need, each of which has the centroids. What LEVELS do not part stays large."""
+    shard = ["label", "dim", "s"]
+    for level in range(LEVELS):
+        rows = nodes.select("label", "dim", "id", "x", F.explode("shards").alias("s"))
+        big = rows.groupBy(*shard).agg(F.count("*").alias("n")).where(F.col("n") > SHARD_MOST)
+        big = big.withColumn("k", F.least(F.lit(CHILDREN), F.ceil(F.col("n") * overlap / SHARD)).cast("int")).withColumn("deals", F.ceil(F.col("n") / DEALT).cast("int"))
+        big = written(big, "vector-large")
+        if not big.limit(1).count():
+            break
+        inside = rows.join(big, shard)
+        some = inside.where(F.pmod(F.xxhash64("id", "s"), F.lit(1 << 20)) < F.col("k") * 20 * (1 << 20) / F.col("n")).select(*shard, "x", "k")
+
+        def fitted(t: pa.Table) -> pa.Table:
+            c = spherical_means(unit(_matrix(t.column("x"))), min(t.column("k")[0].as_py(), t.num_rows))
+            return pa.table({**{k: t.column(k)[:1] for k in shard}, "c": pa.array([c.ravel().tolist()], pa.list_(pa.float64()))})
+
+        means = written(some.groupBy(*shard).applyInArrow(fitted, "label string, dim int, s long, c array<double>"), "vector-means")
+        means = means.join(big.select(*shard, "deals"), shard).select(*shard, "c", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+        dealt = inside.select(*shard, "id", "x", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"))
+
+        first = (level + 1) * SPACE
+
+        def parted(left: pa.Table, right: pa.Table) -> pa.Table:
+            s = left.column("s")[0].as_py() if left.num_rows else 0
+            if not right.num_rows:  # nothing of it was in the sample
+                return pa.table({"id": left.column("id"), "kids": pa.array([[s]] * left.num_rows, pa.list_(pa.int64()))})
+            x = unit(_matrix(left.column("x"))) if left.num_rows else np.zeros((0, 1))
+            c = np.array(right.column("c")[0].as_py()).reshape(-1, x.shape[1]) if left.num_rows else np.zeros((1, 1))
+            near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
+            return pa.table({"id": left.column("id"), "kids": pa.array((first + s % SPACE * CHILDREN + near).tolist(), pa.list_(pa.int64()))})
+
+        key = [*shard, "deal"]
+        kids = dealt.groupBy(*key).cogroup(means.groupBy(*key)).applyInArrow(parted, "id long, kids array<long>")
+        kids = kids.union(rows.join(big, shard, "left_anti").select("id", F.array("s").alias("kids")))
+        kids = kids.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("kids"))).alias("shards"))
+        nodes = written(nodes.drop("shards").join(kids, "id").select(*nodes.columns), "vector-shards")
+    return nodes
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbours of each unit vector: of its nearest candidates, from the nearest out, those that no chosen one is
     nearer to by the factor alpha (in squared distance)."""
@@ -201,8 +249,8 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     links, both over one row per id; of several rows with an id the least vector counts.
 
     Equal vectors of a label become one, with its number of copies, so that a common vector costs one search.
-    Vectors go to the shards of their ``overlap`` nearest centroids; a shard above SHARD_MOST is dealt out in
-    blocks, and each pair of blocks is a task, so no task holds more than two blocks and no pair is lost. Each task
+    Vectors go to the shards of their ``overlap`` nearest centroids; a shard above SHARD_MOST is split by further
+    centroids, and where that does not do it is dealt out in blocks, and each pair of blocks is a task, so no task holds more than two blocks and no pair is lost. Each task
     prunes its graph; a vector's adjacency lists are united; then each task searches for the range of its vectors
     from entries that reach all of its graph and from themselves, verifies cosines in double precision on the vectors
     as given, and checks its vectors against each other: links that the search has lost are added and counted, so
@@ -243,6 +291,8 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.list_(pa.int64()))], names=[*b.schema.names, "shards"])
 
     nodes = written(reps.mapInArrow(assigned, "label string, dim int, x array<double>, id long, copies long, shards array<long>"), "vector-shards")
+    if not exact:
+        nodes = split_further(nodes, overlap)
     # a written table, so that Spark knows its size and broadcasts it only where it is small
     shard = ["label", "dim", "s"]
     big = written(nodes.select("label", "dim", F.explode("shards").alias("s")).groupBy(*shard).agg(F.ceil(F.count("*") / SHARD_MOST).cast("int").alias("m")).where("m > 1"), "vector-blocks")

@@ -203,6 +203,21 @@ def test_joined():
         assert root.tolist() == [forest.find(i) for i in range(n)]
 
 
+def test_large_shards_are_split_further(spark, monkeypatch):
+    """With few centroids at first, further ones part the shards; links within groups are all found."""
+    for name, value in (("SHARD", 60), ("SHARD_MOST", 100), ("SAMPLE", 80), ("CHILDREN", 4), ("DEALT", 70)):
+        monkeypatch.setattr(embeddings, name, value)
+    x = groups(np.random.default_rng(6), 120, 8, 24)
+    df = spark.createDataFrame([(i, v.tolist(), i // 8 % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    nodes = spark.createDataFrame([(str(i // 8 % 2), 24, v.tolist(), i, 1, [7]) for i, v in enumerate(x)], "label string, dim int, x array<double>, id long, copies long, shards array<long>")
+    split = embeddings.split_further(nodes, 2)
+    assert split.columns == nodes.columns and split.count() == len(x) and split.where("array_contains(shards, 7L)").count() == 0
+    sizes = [r["count"] for r in split.select("label", F.explode("shards").alias("s")).groupBy("label", "s").count().collect()]
+    assert max(sizes) < 480 and len(sizes) > 16
+    for r in embeddings.dedup(df).collect():
+        assert (r.n_links, r.component_id) == (7, r.vec_id // 8 * 8)
+
+
 def test_labels_outside_the_sample(spark, monkeypatch):
     """Labels that the sample has not met keep their links, however large they are together."""
     monkeypatch.setattr(embeddings, "SAMPLE", 5)
