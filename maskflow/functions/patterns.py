@@ -60,13 +60,15 @@ RULES: tuple[Rule, ...] = (
     Rule("PHONE_NUMBER", r"(?U)(?<!\d)(?:\+7|8)[\s\-]?\(?\d{3}\)?[\s\-]?\d{3}[\s\-]?\d{2}[\s\-]?\d{2}(?!\d)", 0.9, _like(r"(?:\+7|8)[^A-Za-z]{9}")),
     Rule("PHONE_NUMBER", r"(?U)(?<!\d)\+[2-9]\d{6,14}(?!\d)", 0.85, _like(r"\+[2-9][0-9]{6}")),
 )
+# Patterns that need more than a rule, and how near a bank code has to be
 SNILS_FORMATTED = r"(?U)\d{3}-\d{3}-\d{3}\s+\d{2}"
 ACCOUNT_KEYWORD = r"(?iU)(?:р/?с(?:чёт|чет|ч)?[.\s]*№?\s*|(?:расчётный|расчетный)\s+счёт?\s*)(\d{20})"
 ACCOUNT_BARE = r"(?U)\b(?:30|40|42|43|45)\d{18}\b"
 BIK_ANY = r"(?U)\b04\d{7}\b"
 BIK_REACH = 300
-#: Labels that an allow list can never free
+# Labels that an allow list can never free
 SECRET_LABELS = ("API_KEY", "TOKEN", "PASSWORD", "JWT", "PEM_PRIVATE_KEY", "SECRET")
-#: Secrets that must not leave after masking
+# Secrets that must not leave after masking
 EGRESS = tuple(r.pattern for r in RULES[:1] + RULES[2:6])
+# Keys that must never stand in an audit record
 NEVER_FIELDS = ("mapping", "mapping_table", "pairs", "original_content", "unredacted_content", "pre_sanitization", "replace_md", "rule_values", "x_corp_auth", "corp_token", "authorization", "cookie", "set_cookie")

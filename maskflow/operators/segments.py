@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans
 from .detect import raw_findings
 
+# Forms of fences and comments
 FENCE = r"(?s)```[^\n`]*\n.*?```"
 FENCE_HEAD = r"^```[^\n`]*\n"
 BLOCK_COMMENT, LINE_COMMENT = r"(?s)/\*.*?\*/", r"(?://|#)[^\n]*"

@@ -36,6 +36,11 @@ def fan_out(*sinks: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], N
     return write
 
 
+def memory(store: list, record: str = "record") -> Callable[[DataFrame], None]:
+    """A sink for tests: the records of small batches as strings, in a list on the driver."""
+    return lambda records: store.extend(r[record] for r in gated(records, record)[0].select(record).collect())
+
+
 class IngestionError(RuntimeError):
     pass
 
@@ -69,7 +74,7 @@ def http(post: Callable[[dict], tuple[int, str]], size: int = 100, record: str =
     return sink
 
 
-KNOWN: dict[str, Callable] = {"lines": lines, "objects": objects, "http": http}
+KNOWN: dict[str, Callable] = {"lines": lines, "objects": objects, "http": http, "memory": memory}
 
 
 def sink(name: str) -> Callable:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskflow.operators import gazetteer, mask, ner
 from maskflow.operators.policy import PolicyError, seal
-from maskflow.sources import files, profiles, sinks
+from maskflow.sources import cached, files, profiles, sinks
 from maskflow.streaming import store
 
 
@@ -71,6 +71,30 @@ def test_requests_rules_and_sinks(spark, tmp_path):
         sinks.http(lambda e: (500, "no"))(records)
 
 
+def test_refreshed():
+    now, loads = [0.0], []
+    c = cached.Refreshed(lambda k: loads.append(k) or len(loads), 300, lambda: now[0])
+    assert [c.get("a"), c.get("a"), c.get("b")] == [1, 1, 2]
+    now[0] = 299.9
+    assert c.get("a") == 1
+    now[0] = 300.0
+    assert c.get("a") == 3 and loads == ["a", "b", "a"]
+    c.drop("a")
+    assert c.get("a") == 4
+    bad = cached.Refreshed(lambda k: 1 / 0)
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            bad.get("x")
+
+
+def test_fan_out_to_gated_sinks(spark, tmp_path):
+    """Every sink of a batch is gated on its own."""
+    store: list = []
+    records = spark.createDataFrame([("r1", '{"x":1}'), ("r2", '{"a":{"pairs":[]}}')], "request_id string, record string")
+    sinks.fan_out(sinks.sink("memory")(store), lambda b: sinks.lines(b, f"{tmp_path}/second"))(records, 3)
+    assert store == ['{"x":1}'] and [r.value for r in spark.read.text(f"{tmp_path}/second").collect()] == store
+
+
 def test_time_to_live_of_results(spark):
     rows = [(i, "a", t) for i, t in enumerate([0, 5, 9, 10, 19, 20, 100])] + [(9, "b", 3)]
     df = spark.createDataFrame(rows, "k int, h string, s long").withColumn("ts", F.timestamp_seconds("s"))
