@@ -180,6 +180,7 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str])
         number = {t: i for i, t in enumerate(sent.value)}
         n, df = 0, np.zeros(len(number), np.int64)
         for b in batches:
+            lean()
             n += b.num_rows
             for met in numbers_of(b.column(0).to_pylist(), number):
                 df[met[np.flatnonzero(np.diff(met, prepend=-1))]] += 1
@@ -226,6 +227,7 @@ def scored(docs: DataFrame, index: Index, text_col: str = "text", k: int = NEIGH
     def run(batches):
         index, known = sent.value, {}
         for b in batches:
+            lean()
             scores, shown = [], []
             texts = b.column(at).to_pylist()
             for text, met in zip(texts, numbers_of(texts, index.number)):
