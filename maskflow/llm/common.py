@@ -7,11 +7,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of one Arrow batch that holds whole texts, and its bytes; both bound a Python worker's memory.
 TEXT_BATCH, TEXT_BATCH_BYTES = 512, 64 << 20
+#: Rows of one run of a table that is put in order; the runs are what ``numbered`` keeps a row each of.
+RUN_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,6 +100,26 @@ def lean() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def in_runs(rows: DataFrame, order: list[Column], tag: str, *, n_rows: int) -> DataFrame:
+    """``rows`` in order, written: plus _run int (runs follow each other) and _nth long, the place in the run from 0.
+    The runs are ranges of the order, so a key that many rows share makes one run longer unless the order tells them
+    apart."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // RUN_ROWS))
+    at = F.monotonically_increasing_id()  # the partition, and in the lower 33 bits the row in it
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", at)
+    return written(placed.select(*rows.columns, F.shiftright("_at", 33).cast("int").alias("_run"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_nth")), tag)
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, tag: str = "ordered") -> DataFrame:
+    """``rows`` (a written table) plus ``name``: the place of each in the order of the whole table, from 0. No task
+    sees more than a run; what is broadcast is one row for each run of about RUN_ROWS rows."""
+    placed = in_runs(rows, order, tag, n_rows=rows.count())
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return placed.join(F.broadcast(runs), "_run").select(*rows.columns, (F.col("_first") + F.col("_nth")).cast("long").alias(name))
+
+
 class Forest:
     """Union-find over integers; the smallest member is the root."""
 
