@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 STRETCH = 1000
 #: Words whose n-grams are counted at once, distinct pieces that a task adds up at once, and memory of an engine.
 BLOCK_WORDS, HELD_PIECES, ENGINE_MB = 500_000, 200_000, 256
+#: Bytes of text whose n-grams one bucket is to hold, parts that a block is cut into at most, n-grams cut again at once.
+BUCKET_BYTES, FAN, BLOCK_GRAMS = 16 << 20, 1024, 3_000_000
 _PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
 
 
@@ -95,39 +98,70 @@ SELECT lang, gram, sum(n)::BIGINT AS n FROM (SELECT lang, unnest({grams}) AS gra
 UNION ALL SELECT lang, '', sum(starts * n)::BIGINT FROM p GROUP BY lang"""
 
 
-def grams(found: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """lang, gram, n: how often each run of 1 to ``longest`` words stands in its language, of those that do so
-    ``least`` times, and under the empty gram the number of all words. Written.
+def _packed(db, sql: str, buckets: int, step: int):
+    """Rows (bucket, data) of the counts that ``sql`` gives: those of a bucket in order, which compresses them well.
+    Of the ``buckets`` each ``step`` that follow each other are one here."""
+    t = db.sql(f"SELECT (hash(lang, gram) % {buckets} // {step})::INTEGER AS bucket, * FROM ({sql}) ORDER BY bucket, lang, gram").to_arrow_table().combine_chunks()
+    of, options = t.column("bucket").to_numpy(), pa.ipc.IpcWriteOptions(compression="zstd")
+    at = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]), len(of))
+    t = t.select(["lang", "gram", "n"])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=options) as out:
+            out.write_table(t.slice(a, b - a))
+        yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "data"])
 
-    Tasks count the weighted n-grams of a block of pieces, so a frequent one is one row per block. The rows then go
-    to a bucket by their hash, and each bucket is counted in an engine that spills what exceeds its memory."""
-    sql = _grams_sql(longest)
-    schema = "lang string, gram string, n long"
 
-    def exploded(batches):
-        held, size = [], 0
+def _unpacked(batches):
+    for b in batches:
+        for data in b.column("data"):
+            yield from pa.ipc.open_stream(data.as_buffer())
 
-        def flush():
-            with Engine() as db:
-                db.register("block", pa.Table.from_batches(held))
-                yield from db.sql(sql).to_arrow_reader(50_000)
 
+def grams(found: DataFrame, longest: int = LONGEST, least: int = LEAST, buckets: int = 1) -> DataFrame:
+    """lang, gram, n: how often each run of 1 to ``longest`` words stands in its language, of those that do so
+    ``least`` times, and under the empty gram the number of all words. Written.
+
+    Tasks count the weighted n-grams of a block of pieces, so a frequent one is an entry per block, and send them on
+    by hash, sorted and compressed; each bucket is counted in an engine that spills what exceeds its memory. Beyond
+    FAN buckets the exchange has two steps, so that no block is cut into more than FAN parts."""
+    sql, step = _grams_sql(longest), -(-buckets // FAN)
+    schema = "bucket int, data binary"
+    kinds = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+    added = "SELECT lang, gram, sum(n)::BIGINT AS n FROM block GROUP BY ALL"
+
+    def blocks(batches, size, most):
+        held, n = [], 0
         for b in batches:
             held.append(b)
-            size += sum(b.column("starts").to_pylist())
-            if size >= BLOCK_WORDS:
-                yield from flush()
-                held, size = [], 0
+            n += size(b)
+            if n >= most:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
         if held:
-            yield from flush()
+            yield pa.Table.from_batches(held)
+
+    def exploded(batches):
+        with Engine() as db:
+            for t in blocks(batches, lambda b: sum(b.column("starts").to_pylist()), BLOCK_WORDS):
+                db.register("block", t)
+                yield from _packed(db, sql, buckets, step)
+
+    def dealt(batches):
+        with Engine() as db:
+            for t in blocks(_unpacked(batches), lambda b: b.num_rows, BLOCK_GRAMS):
+                db.register("block", t)
+                yield from _packed(db, added, buckets, 1)
 
     def counted(batches):
-        kinds = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
         with Engine() as db:
-            db.register("counts", pa.RecordBatchReader.from_batches(kinds, (b.cast(kinds) for b in batches)))
-            yield from db.sql(f"SELECT lang, gram, sum(n)::BIGINT AS n FROM counts GROUP BY ALL HAVING sum(n) >= {int(least)} OR gram = ''").to_arrow_reader(50_000)
+            db.register("block", pa.RecordBatchReader.from_batches(kinds, (b.cast(kinds) for b in _unpacked(batches))))
+            yield from db.sql(f"{added} HAVING sum(n) >= {int(least)} OR gram = ''").to_arrow_reader(50_000)
 
-    return written(found.mapInArrow(exploded, schema).repartition("lang", "gram").mapInArrow(counted, schema), "grams")
+    sent = found.mapInArrow(exploded, schema)
+    if step > 1:
+        sent = sent.repartitionById(-(-buckets // step), F.col("bucket")).mapInArrow(dealt, schema)
+    return written(sent.repartitionById(buckets, F.col("bucket")).mapInArrow(counted, "lang string, gram string, n long"), "grams")
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int | None = TOP, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -144,7 +178,9 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     exact: products are decimals of 38 digits. Null texts are empty, a null language is ``und``; repeated rows count
     again; columns of other names are dropped; an empty table gives an empty result."""
     docs = docs.select(F.col(f"`{lang_col}`").alias("_lang"), F.col(f"`{text_col}`").alias("_text"))
-    counts = grams(pieces(docs, "_lang", "_text", longest), longest, least)
+    n_bytes = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // BUCKET_BYTES))
+    counts = grams(pieces(docs, "_lang", "_text", longest), longest, least, buckets)
     length = F.size(F.split("gram", " "))
     phrases = counts.where((F.col("gram") != "") & (length > 1)).select("lang", F.col("gram").alias("phrase"), F.col("n").alias("a"), F.split("gram", " ").alias("w"))
     asked = phrases.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))

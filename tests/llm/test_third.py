@@ -216,9 +216,11 @@ def collected(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize(("stretch", "block", "held"), [(1000, 500_000, 200_000), (7, 50, 3)])
-def test_collocations_of_made_up_texts(spark, monkeypatch, stretch, block, held):
+@pytest.mark.parametrize(("stretch", "block", "held", "fan"), [(1000, 500_000, 200_000, 1024), (7, 500, 3, 3)])
+def test_collocations_of_made_up_texts(spark, monkeypatch, stretch, block, held, fan):
     monkeypatch.setattr(phrases, "BLOCK_WORDS", block)
+    monkeypatch.setattr(phrases, "FAN", fan)
+    monkeypatch.setattr(phrases, "BUCKET_BYTES", 50_000 // fan)
     monkeypatch.setattr(phrases, "HELD_PIECES", held)
     cut = phrases.stretches
     monkeypatch.setattr(phrases, "stretches", lambda text, longest: cut(text, longest, stretch))
