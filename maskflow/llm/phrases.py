@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,23 +101,27 @@ UNION ALL SELECT lang, '', sum(starts * n)::BIGINT FROM p GROUP BY lang"""
 
 
 def _packed(db, sql: str, buckets: int, step: int):
-    """Rows (bucket, data) of the counts that ``sql`` gives: those of a bucket in order, which compresses them well.
-    Of the ``buckets`` each ``step`` that follow each other are one here."""
+    """A row (bucket, lang, grams, counts) for each bucket and language of the counts that ``sql`` gives: the n-grams in
+    order, a line each, which compresses them well. Of the ``buckets`` each ``step`` that follow each other are one."""
     t = db.sql(f"SELECT (hash(lang, gram) % {buckets} // {step})::INTEGER AS bucket, * FROM ({sql}) ORDER BY bucket, lang, gram").to_arrow_table().combine_chunks()
-    of, options = t.column("bucket").to_numpy(), pa.ipc.IpcWriteOptions(compression="zstd")
-    at = np.append(np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)]), len(of))
-    t = t.select(["lang", "gram", "n"])
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=options) as out:
-            out.write_table(t.slice(a, b - a))
-        yield pa.RecordBatch.from_arrays([pa.array([of[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "data"])
+    bucket, lang = t.column("bucket").to_numpy(), t.column("lang").combine_chunks().dictionary_encode()
+    code = lang.indices.to_numpy()
+    new = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
+    at = np.append(np.flatnonzero(np.concatenate([[True], new])[: len(bucket)]), len(bucket)).tolist()
+    grams, n, press = t.column("gram").combine_chunks(), t.column("n").to_numpy(), zstandard.ZstdCompressor(level=1)
+    for a, b in zip(at[:-1], at[1:]):
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), grams.slice(a, b - a)), "\n")[0].as_buffer()
+        row = [[bucket[a]], [lang.dictionary[int(code[a])].as_py()], [press.compress(joined)], [press.compress(n[a:b].tobytes())]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["bucket", "lang", "grams", "counts"])
 
 
 def _unpacked(batches):
+    press = zstandard.ZstdDecompressor()
     for b in batches:
-        for data in b.column("data"):
-            yield from pa.ipc.open_stream(data.as_buffer())
+        for lang, joined, counts in zip(*(b.column(k).to_pylist() for k in ("lang", "grams", "counts"))):
+            text = pa.array([press.decompress(joined)], pa.binary()).cast(pa.string())
+            own, n = pc.split_pattern(text, "\n").values, np.frombuffer(press.decompress(counts), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(n), np.int32), [lang]).cast(pa.string()), own, pa.array(n)], names=["lang", "gram", "n"])
 
 
 def grams(found: DataFrame, longest: int = LONGEST, least: int = LEAST, buckets: int = 1) -> DataFrame:
@@ -126,7 +132,7 @@ def grams(found: DataFrame, longest: int = LONGEST, least: int = LEAST, buckets:
     by hash, sorted and compressed; each bucket is counted in an engine that spills what exceeds its memory. Beyond
     FAN buckets the exchange has two steps, so that no block is cut into more than FAN parts."""
     sql, step = _grams_sql(longest), -(-buckets // FAN)
-    schema = "bucket int, data binary"
+    schema = "bucket int, lang string, grams binary, counts binary"
     kinds = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
     added = "SELECT lang, gram, sum(n)::BIGINT AS n FROM block GROUP BY ALL"
 
