@@ -160,11 +160,13 @@ def test_entry_without_the_optional_part(tmp_path):
     subprocess.run(["cp", "-r", f"{root}/maskflow", f"{root}/__spark_entry__.py", str(tmp_path)], check=True)
     subprocess.run(["rm", "-rf", f"{tmp_path}/maskflow/llm"], check=True)
     code = "import __spark_entry__ as e\nassert 'mask_documents' in e.queries() and 'pipeline' not in e.queries() and not any(k[:2] == 'op' and k[2].isdigit() for k in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    alone = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=alone, check=True)
     # a library that only the optional part needs is missing
     subprocess.run(["mkdir", f"{tmp_path}/maskflow/llm"], check=True)
     (tmp_path / "maskflow" / "llm" / "__init__.py").write_text("")
     (tmp_path / "maskflow" / "llm" / "catalog.py").write_text("import a_library_that_nobody_has")
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    for env in (alone, {**alone, "PYTHONPATH": root}):  # with the whole engine elsewhere on the path, too
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
     (tmp_path / "maskflow" / "llm" / "catalog.py").write_text("import maskflow.nothing")
-    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True).returncode
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=alone, capture_output=True).returncode
