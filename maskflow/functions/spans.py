@@ -60,16 +60,25 @@ def by_priority(found: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["f"])
 
 
+def _reach(stops: Column) -> Column:
+    """For each place of an array of numbers the largest before it, 0 at first; in strides, as ``matches`` does."""
+    strides = F.transform(F.sequence(F.lit(0), F.size(stops) - 1, F.lit(STRIDE)), lambda at: F.slice(stops, at + 1, STRIDE))
+    zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+    grown = lambda most: lambda acc, x: F.struct(F.greatest(acc["at"], most(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    within = lambda s: F.aggregate(s, zero(F.lit(0)), grown(F.array_max), lambda acc: acc["out"])
+    return let(strides, lambda s: let(within(s), lambda at: F.flatten(F.transform(s, lambda own, i: F.aggregate(own, zero(F.get(at, i)), grown(lambda x: x), lambda acc: acc["out"])))))
+
+
 def _chains(found: Column) -> Column:
-    """Findings by start, in groups that no other group's finding overlaps: array<array<finding>>."""
+    """Findings by start, in groups that no other group's finding overlaps: array<array<finding>>. A group begins
+    where a finding starts at or after the end of all before it, so groups are slices and nothing is copied twice."""
     ordered = F.transform(F.array_sort(F.transform(found, lambda f: F.struct(f["start"].alias("s"), f.alias("f")))), lambda k: k["f"])
-    none = F.array().cast(FINDING)
 
-    def step(acc, f):
-        joins = f["start"] < acc["stop"]
-        return F.struct(F.greatest(acc["stop"], f["stop"]).alias("stop"), F.when(joins, F.concat(acc["own"], F.array(f))).otherwise(F.array(f)).alias("own"), F.when(joins, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["own"]))).alias("out"))
+    def cut(o):
+        firsts = let(_reach(F.transform(o, lambda f: f["stop"])), lambda reach: F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i)["start"] >= F.get(reach, i))))
+        return let(firsts, lambda at: F.transform(at, lambda a, k: F.slice(o, a + 1, F.coalesce(F.get(at, k + 1), F.size(o)) - a)))
 
-    return F.aggregate(ordered, F.struct(F.lit(0).alias("stop"), none.alias("own"), F.array().cast(f"array<{FINDING}>").alias("out")), step, lambda acc: F.concat(acc["out"], F.array(acc["own"])))
+    return let(ordered, lambda o: F.when(F.size(o) > 0, cut(o)).otherwise(F.array().cast(f"array<{FINDING}>")))
 
 
 def _greedy(found: Column) -> Column:

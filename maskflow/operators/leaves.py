@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import substitute
+
 MOST_DEPTH = 64
 LEAVES = "leaf_no int, path string, text string"
 
@@ -175,15 +177,8 @@ def request_leaves(requests: DataFrame, key: str = "request_id", body: str = "bo
 
 def _put(pairs: list | None, reverse: bool) -> Callable[[str, str], str]:
     """All pairs applied to a text, the longest first."""
-    ordered = [(p["placeholder"], p["original"]) if reverse else (p["original"], p["placeholder"]) for p in pairs or []]
-    ordered = sorted((p for p in ordered if p[0]), key=lambda p: (-len(p[0]), p[0] if reverse else ""))
-
-    def put(_, text):
-        for a, z in ordered:
-            text = text.replace(a, z)
-        return text
-
-    return put
+    ordered = substitute.in_turn(((p["placeholder"], p["original"]) if reverse else (p["original"], p["placeholder"]) for p in pairs or []), by_text=reverse)
+    return lambda _, text: substitute.replaced(text, ordered)
 
 
 def _masked(text: str, put) -> tuple[str | None, str | None]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns, spans
+from ..functions import patterns, spans, substitute
 from .detect import raw_findings
 
 PAIRS = "array<struct<original:string,placeholder:string>>"
@@ -37,18 +37,29 @@ def base_pairs(rules: Column, oracle: Column) -> Column:
 
 def merged_pairs(base: Column, findings: Column) -> Column:
     """Base pairs, then a new numbered placeholder for each finding's text that has none: best score and longest
-    first, numbers going on after the largest of the label."""
-    ordered = F.transform(F.array_sort(F.transform(findings, lambda f, i: F.struct((-f["score"]).alias("a"), (f["start"] - f["stop"]).alias("b"), i.alias("c"), f.alias("f")))), lambda k: k["f"])
+    first, numbers going on after the largest of the label. Texts that stand twice meet by a sort, and each label is
+    numbered by itself, so time grows with the findings and not with their square."""
+    ordered = F.transform(F.array_sort(F.transform(findings, lambda f, i: F.struct((-f["score"]).alias("a"), (f["start"] - f["stop"]).alias("b"), i.alias("c"), f["text"].alias("text"), f["label"].alias("label")))), lambda k, i: F.struct(k["text"].alias("text"), i.alias("rank"), k["label"].alias("label")))
 
-    def number(pairs, label):
-        return F.coalesce(F.array_max(F.transform(F.filter(pairs, lambda p: F.regexp_extract(p["placeholder"], NUMBERED, 1) == label), lambda p: F.regexp_extract(p["placeholder"], NUMBERED, 2).try_cast("int"))), F.lit(0)) + 1
+    def largest(pairs, label):
+        own = F.filter(pairs, lambda p: F.regexp_extract(p["placeholder"], NUMBERED, 1) == label)
+        return F.coalesce(F.array_max(F.transform(own, lambda p: F.regexp_extract(p["placeholder"], NUMBERED, 2).try_cast("long"))), F.lit(0))
 
-    def step(acc, f):
-        n = number(acc, f["label"])
-        padded = F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
-        return F.when(F.exists(acc, lambda p: p["original"] == f["text"]), acc).otherwise(F.concat(acc, F.array(pair(f["text"], F.concat(F.lit("["), f["label"], F.lit("_"), padded, F.lit("]"))))))
+    def token(label, n):
+        return F.concat(F.lit("["), label, F.lit("_"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")), F.lit("]"))
 
-    return F.aggregate(ordered, base, step)
+    def numbered(pairs, new):
+        one = lambda label, n: F.transform(F.filter(new, lambda x: x["label"] == label), lambda x, i: F.struct(x["rank"].alias("rank"), pair(x["text"], token(label, n + i + 1)).alias("p")))
+        by_label = F.transform(F.array_distinct(F.transform(new, lambda x: x["label"])), lambda label: spans.let(largest(pairs, label), lambda n: one(label, n)))
+        return F.concat(pairs, F.transform(F.array_sort(F.flatten(by_label)), lambda x: x["p"]))
+
+    def merged(pairs):
+        known = F.transform(pairs, lambda p: F.struct(p["original"].alias("text"), F.lit(-1).alias("rank"), F.lit("").alias("label")))
+        first = spans.let(F.array_sort(F.concat(known, ordered)), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["text"] != x["text"])))
+        new = F.array_sort(F.transform(F.filter(first, lambda x: x["rank"] >= 0), lambda x: F.struct(x["rank"].alias("rank"), x["text"].alias("text"), x["label"].alias("label"))))
+        return spans.let(new, lambda own: numbered(pairs, own))
+
+    return spans.let(base, merged)
 
 
 def allowed(pairs: Column, originals: Column) -> Column:
@@ -61,13 +72,21 @@ def _longest_first(pairs: Column, by: str) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["p"])
 
 
+def _replaced(text: Column, pairs: Column, what: str, by: str) -> Column:
+    few = F.size(pairs) <= substitute.FEW
+    one_by_one = F.aggregate(_longest_first(F.when(few, pairs), what), text, lambda t, p: F.replace(t, p[what], p[by]))
+    return F.when(few, one_by_one).otherwise(substitute.dense(what, by)(F.when(~few, text), F.when(~few, pairs)))
+
+
 def applied(text: Column, pairs: Column) -> Column:
-    """Every occurrence of each original gives way to its placeholder, longest originals first."""
-    return F.aggregate(_longest_first(pairs, "original"), text, lambda t, p: F.replace(t, p["original"], p["placeholder"]))
+    """Every occurrence of each original gives way to its placeholder, longest originals first. Texts with many pairs
+    go through an automaton in an Arrow function, which says the same; the others stay with native expressions. To
+    work ``pairs`` out once, give it as a column of its own."""
+    return _replaced(text, pairs, "original", "placeholder")
 
 
 def reversed_(text: Column, pairs: Column) -> Column:
-    return F.aggregate(_longest_first(pairs, "placeholder"), text, lambda t, p: F.replace(t, p["placeholder"], p["original"]))
+    return _replaced(text, pairs, "placeholder", "original")
 
 
 def mask(df: DataFrame, text_col: str = "text", findings: str = "findings", rules: Iterable[tuple[str, str]] = (), allow: Iterable[str] = (), oracle: str | None = None) -> DataFrame:
@@ -155,20 +174,23 @@ def dedup_by_hash(df: DataFrame, hash_col: str, compute, keys: list[str], ttl_se
     cache_a_hit for all rows but the first by ``keys``, which tell rows apart. With a time to live, ``keys`` starts
     with a time: a result is good for so long from the row that made it, and the first row after that makes it anew.
 
-    Without one, the first row of a hash is a minimum, which combines before the shuffle, so a hot text is no hot
-    task."""
-    result = compute(df.dropDuplicates([hash_col]))
+    Every row of ``df`` comes out. A row without a hash (of a null text, say) shares its result with no other: it is
+    no hit, is not computed, and has nulls where the result's columns are. What ``compute`` leaves out has nulls too.
+
+    Without a time to live, the first row of a hash is a minimum, which combines before the shuffle, so a hot text
+    is no hot task."""
+    result = compute(df.where(F.col(hash_col).isNotNull()).dropDuplicates([hash_col]))
     if ttl_seconds is None:
-        first = df.groupBy(F.col(hash_col).alias("_hash")).agg(F.min(F.struct(*keys)).alias("_first"))
-        d = df.join(first, F.col(hash_col) == F.col("_hash")).withColumn("cache_a_hit", F.struct(*keys) != F.col("_first")).drop("_hash", "_first")
-        return d.join(result, hash_col)
+        first = df.where(F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("_hash")).agg(F.min(F.struct(*keys)).alias("_first"))
+        d = df.join(first, F.col(hash_col) == F.col("_hash"), "left").withColumn("cache_a_hit", F.coalesce(F.struct(*keys) != F.col("_first"), F.lit(False))).drop("_hash", "_first")
+        return d.join(result, hash_col, "left")
 
     def fold(made, row):
         now = row[keys[0]]
-        hit = made is not None and now < made + timedelta(seconds=ttl_seconds)
+        hit = made is not None and row[hash_col] is not None and now < made + timedelta(seconds=ttl_seconds)
         return (made if hit else now), hit
 
-    return _folded(df, [hash_col], keys, fold, "cache_a_hit").join(result, hash_col)
+    return _folded(df, [hash_col], keys, fold, "cache_a_hit").join(result, hash_col, "left")
 
 
 class Allocator:

@@ -102,6 +102,11 @@ def test_time_to_live_of_results(spark):
     assert {r.k: r.cache_a_hit for r in out.collect()} == {0: False, 1: True, 2: True, 3: False, 4: True, 5: False, 6: False, 9: False}
     out = mask.dedup_by_hash(df, "h", lambda x: x.select("h", F.lit(1).alias("one")), ["ts", "k"])
     assert {r.k for r in out.collect() if not r.cache_a_hit} == {0, 9}
+    # rows without a hash stay, and share nothing
+    df = df.union(spark.createDataFrame([(20, None, 1), (21, None, 2), (22, None, 3)], "k int, h string, s long").withColumn("ts", F.timestamp_seconds("s")))
+    for ttl in (None, 10):
+        out = mask.dedup_by_hash(df, "h", lambda x: x.select("h", F.lit(1).alias("one")), ["ts", "k"], ttl_seconds=ttl).collect()
+        assert len(out) == df.count() and [(r.cache_a_hit, r.one) for r in out if r.k >= 20] == [(False, None)] * 3
 
 
 def test_long_terms_and_lemmas(spark):
