@@ -433,6 +433,35 @@ def object_chunks(t):
     return back.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "").alias("text"))
 
 
+def _event_stream(documents: DataFrame, words: dict[str, str], piece: int = 700, cut: int = 512) -> DataFrame:
+    """Each text, its words masked, as the bytes of a stream of events: of content blocks where the id is even, else of
+    choices. Chunks are cut anywhere, within events and characters too."""
+    text = F.coalesce("text", F.lit(""))
+    for word, token in words.items():
+        text = F.replace(text, F.lit(word), F.lit(token))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("m") - 1) / piece)).cast("int")), lambda i: F.call_function("substring", F.col("m"), i * piece + 1, F.lit(piece)))
+    block = lambda x: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.lit(0).alias("index"), F.struct(F.lit("text_delta").alias("type"), x.alias("text")).alias("delta")))
+    choice = lambda x: F.to_json(F.struct(F.array(F.struct(F.struct(x.alias("content")).alias("delta"))).alias("choices")))
+    event = lambda body: F.concat(F.lit("data: "), body, F.lit("\n\n"))
+    odd = F.col("doc_id") % 2 == 1
+    body = F.when(odd, F.concat(F.array_join(F.transform("parts", lambda x: event(choice(x))), ""), F.lit("data: [DONE]\n\n"))).otherwise(F.concat(F.array_join(F.transform("parts", lambda x: event(block(x))), ""), event(F.lit('{"type":"message_stop"}'))))
+    d = documents.select("doc_id", text.alias("m")).select("doc_id", parts.alias("parts")).select("doc_id", F.encode(body, "UTF-8").alias("b"))
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("b") - 1) / cut).cast("int")), lambda i: F.call_function("substring", F.col("b"), i * cut + 1, F.lit(cut)))
+    return d.select("doc_id", F.posexplode(cuts).alias("seq", "payload"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
+def unmask_events(t):
+    words = {"the": "[WORD_001]", "eau": "[WORD_002]", "una": "[WORD_003]"}
+    pairs = F.array(*[mask.pair(F.lit(w), F.lit(x)) for w, x in words.items()]).cast(mask.PAIRS)
+    back = reverse.unmask_events(_event_stream(t("documents"), words).withColumn("pairs", pairs), "doc_id")
+    whole = back.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("p"))
+    stream = F.decode(F.aggregate("p", F.lit(b""), lambda acc, p: F.concat(acc, p["payload"])), "UTF-8")
+    bodies = F.transform(F.filter(F.split(stream, "\n\n"), lambda e: e.contains('"delta"')), lambda e: F.regexp_replace(e, r"(?s)^.*?data: ", ""))
+    texts = F.transform(bodies, lambda b: F.coalesce(F.get_json_object(b, "$.delta.text"), F.get_json_object(b, "$.choices[0].delta.content"), F.lit("")))
+    return whole.select("doc_id", F.sha2(F.array_join(texts, ""), 256).alias("text_sha256"))
+
+
 @query("SELECT conv_id AS request_id, true AS same FROM conversations GROUP BY conv_id")
 def mask_messages(t):
     d = _bodies(t).withColumn("pairs", mask.rule_pairs(F.col("body"), [("thea", "[WORD_001]"), ("the", "[WORD_002]"), ("eaux", "[WORD_003]")]))

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -178,14 +179,22 @@ class EventReverser:
         self.pairs = list(pairs)
         self.buffer = b""
         self.blocks: dict = {}
-        self.kinds: dict = {}
 
-    def _of(self, key) -> Reverser:
+    def _of(self, key, held: str = "") -> Reverser:
         if key not in self.blocks:
             pairs = self.pairs if key[0] in ("text", "content") else [(json.dumps(o, ensure_ascii=False)[1:-1], p) for o, p in self.pairs]
-            self.blocks[key] = Reverser(pairs)
+            self.blocks[key] = Reverser(pairs, held)
         return self.blocks[key]
 
+    def held(self) -> list[tuple[str, str, str]]:
+        """(kind, index as JSON, held text) of the open blocks, in the order in which they began."""
+        return [(kind, json.dumps(index), r.held) for (kind, index), r in self.blocks.items()]
+
+    def resume(self, buffer: bytes, blocks: Iterable[tuple[str, str, str]]) -> None:
+        self.buffer = buffer
+        for kind, index, held in blocks:
+            self._of((kind, json.loads(index)), held)
+
     def feed(self, data: bytes) -> bytes:
         self.buffer += data
         out = []
@@ -231,9 +240,9 @@ class EventReverser:
             return event + border
         before, touched, drop = b"", False, False
         if isinstance(body, dict) and body.get("type") == "content_block_delta":
-            delta, index = body.get("delta") or {}, body.get("index")
+            delta, index = body.get("delta"), body.get("index")
             for kind, field in (("text", "text"), ("json", "partial_json")):
-                if isinstance(delta.get(field), str):
+                if isinstance(delta, dict) and isinstance(delta.get(field), str) and not isinstance(index, (list, dict)):
                     delta[field], touched = self._of((kind, index)).feed(delta[field]), True
         elif isinstance(body, dict) and body.get("type") in ("content_block_stop", "message_stop"):
             for key in [k for k in self.blocks if body["type"] == "message_stop" or k[1] == body.get("index")]:
@@ -241,14 +250,14 @@ class EventReverser:
                 before += self._tail(key, text) if text else b""
         elif isinstance(body, dict) and isinstance(body.get("choices"), list) and body["choices"] and isinstance(body["choices"][0], dict):
             choice = body["choices"][0]
-            delta = choice.get("delta") or {}
+            delta = choice.get("delta") if isinstance(choice.get("delta"), dict) else {}
             if isinstance(delta.get("content"), str):
                 delta["content"], touched = self._of(("content", 0)).feed(delta["content"]), True
                 drop = not delta["content"] and set(delta) == {"content"} and not choice.get("finish_reason")
-            for call in delta.get("tool_calls") or []:
-                f = call.get("function") or {}
-                if isinstance(f.get("arguments"), str):
-                    f["arguments"], touched = self._of(("call", call.get("index", 0))).feed(f["arguments"]), True
+            for call in delta["tool_calls"] if isinstance(delta.get("tool_calls"), list) else []:
+                f, index = (call.get("function"), call.get("index", 0)) if isinstance(call, dict) else (None, 0)
+                if isinstance(f, dict) and isinstance(f.get("arguments"), str) and not isinstance(index, (list, dict)):
+                    f["arguments"], touched = self._of(("call", index)).feed(f["arguments"]), True
             f = delta.get("function_call")
             if isinstance(f, dict) and isinstance(f.get("arguments"), str):
                 f["arguments"], touched = self._of(("function", 0)).feed(f["arguments"]), True
@@ -261,41 +270,168 @@ class EventReverser:
         return before + b"\n".join(lines) + border
 
 
+class EventProcessor(StatefulProcessor):
+    """Server-sent events of a stream, reversed as their bytes come, however micro-batches cut them.
+
+    State of a stream: the bytes of an event that is not whole yet and the next chunk's number; in a map by block or
+    call the text that is held back there; in a map by number the chunks that came too early. With ``idle_ms`` a timer
+    flushes a stream that no chunk came for in so long: chunks after a gap, then every block's tail. The end of a
+    stream clears its state; with ``idle_ms`` a mark stays for as long, so that a chunk that is delivered again after
+    the end gives nothing."""
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stream = handle.getValueState("stream", "tail binary, next long, ended boolean")
+        self.early = handle.getMapState("early", "seq long", "payload binary, is_end boolean, pairs string")
+        self.blocks = handle.getMapState("blocks", "kind string, at string", "place long, held string")
+
+    def _open(self, pairs: str | None, tail: bytes) -> EventReverser:
+        r = EventReverser([tuple(p) for p in json.loads(pairs or "[]")])
+        own = sorted((v[0], *k, v[1]) for k, v in self.blocks.iterator())
+        r.resume(tail, [x[1:] for x in own])
+        return r
+
+    def _close(self, r: EventReverser) -> None:
+        now = {(kind, at): (place, held) for place, (kind, at, held) in enumerate(r.held())}
+        for k in [tuple(k) for k in self.blocks.keys()]:
+            if k not in now:
+                self.blocks.removeKey(k)
+        for k, v in now.items():
+            self.blocks.updateValue(k, v)
+
+    def _rearm(self, now: int) -> None:
+        if self.idle_ms is not None:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
+            self.handle.registerTimer(now + self.idle_ms)
+
+    def _forget(self, mark: bool) -> None:
+        self.early.clear()
+        self.blocks.clear()
+        self.stream.update((b"", 0, True)) if mark else self.stream.clear()
+
+    def _put(self, key, rows: list) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=["stream_id", "seq", "payload"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        tail, nxt, ended = self.stream.get() if self.stream.exists() else (b"", 0, False)
+        reverser, was, out = None, None, []
+        for pdf in rows:
+            waiting = {}
+            for r in pdf.itertuples(index=False):
+                if not ended and int(r.seq) >= nxt:  # of a chunk that is delivered twice the first counts
+                    waiting.setdefault(int(r.seq), (bytes(r.payload or b""), bool(r.is_end), r.pairs))
+            while not ended and (nxt in waiting or self.early.containsKey((nxt,))):
+                if self.early.containsKey((nxt,)):
+                    payload, ended, pairs = self.early.getValue((nxt,))
+                    self.early.removeKey((nxt,))
+                    waiting.pop(nxt, None)
+                else:
+                    payload, ended, pairs = waiting.pop(nxt)
+                if reverser is None or pairs != was:
+                    if reverser is not None:
+                        tail = reverser.buffer
+                        self._close(reverser)
+                    reverser, was = self._open(pairs, bytes(tail)), pairs
+                done = reverser.feed(bytes(payload)) if reverser.pairs else bytes(payload)
+                out.append((nxt, done + reverser.flush() if ended else done))
+                nxt += 1
+            for seq, chunk in waiting.items():
+                if not ended and not self.early.containsKey((seq,)):
+                    self.early.updateValue((seq,), chunk)
+        if ended:
+            self._forget(mark=self.idle_ms is not None)
+        else:
+            if reverser is not None:
+                tail = reverser.buffer
+                self._close(reverser)
+            self.stream.update((bytes(tail), nxt, False))
+        self._rearm(timerValues.getCurrentProcessingTimeInMs() if self.idle_ms is not None else 0)
+        yield from self._put(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.stream.exists():
+            return
+        tail, nxt, ended = self.stream.get()
+        out = b""
+        if not ended:
+            rest = sorted((k[0], *v) for k, v in self.early.iterator())
+            r = self._open(rest[0][3] if rest else None, bytes(tail))  # what is held has been searched already
+            out = b"".join(r.feed(bytes(x[1])) if r.pairs else bytes(x[1]) for x in rest) + r.flush()
+        self._forget(mark=False)
+        yield from self._put(key, [(nxt, out)] if out else [])
+
+    def close(self) -> None:
+        pass
+
+
+def unmask_event_stream(chunks: DataFrame, mappings: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """chunks (stream_id, seq from 0, payload binary, is_end) and mappings (stream_id, pairs: JSON [[original,
+    placeholder], ..]) -> stream_id, seq, payload: the bytes to send on in place of each chunk. Joined in the order of
+    seq they are what ``unmask_events`` gives for the whole stream, wherever chunks and micro-batches are cut and
+    whatever the order they come in. A stream without a mapping passes through byte by byte. Needs the RocksDB state
+    store."""
+    joined = chunks.join(mappings, "stream_id", "left").select("stream_id", "seq", "payload", "is_end", "pairs")
+    return joined.groupBy("stream_id").transformWithStateInPandas(EventProcessor(idle_ms), "stream_id string, seq long, payload binary", "append", "none" if idle_ms is None else "processingTime")
+
+
+def _in_order(chunks: DataFrame, key: str, begin, feed, flush, kind: pa.DataType) -> DataFrame:
+    """key, seq, payload from a fold over each stream's chunks in the order of seq. A stream is one task's, as each
+    chunk depends on those before it; it is sorted by Spark, which spills, and run through batch by batch, so no
+    stream has to fit into memory. ``feed`` and ``flush`` give what to send on (None: nothing) and a list of it."""
+    kinds = dict(chunks.dtypes)
+    d = chunks.select(key, "seq", "payload", "pairs").repartition(key).sortWithinPartitions(key, "seq")
+
+    def run(batches):
+        own, state, n, key_type = None, None, 0, pa.null()
+
+        def batch(rows):
+            cols = list(zip(*rows)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], key_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], names=[key, "seq", "payload"])
+
+        for b in batches:
+            key_type, rows = b.schema.field(0).type, []
+            for k, payload, pairs in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if state is None or k != own:
+                    for x in flush(state) if state is not None else []:
+                        rows.append((own, n, x))
+                        n += 1
+                    own, n, state = k, 0, begin([(p["original"], p["placeholder"]) for p in pairs or []])
+                x = feed(state, payload)
+                if x is not None:
+                    rows.append((k, n, x))
+                    n += 1
+            yield batch(rows)
+        if state is not None:
+            yield batch([(own, n + i, x) for i, x in enumerate(flush(state))])
+
+    return d.mapInArrow(run, f"`{key}` {kinds[key]}, seq long, payload {'binary' if kind == pa.binary() else 'string'}")
+
+
 def unmask_objects(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
     """Batch form: key, seq, payload string (a JSON chunk), pairs array<struct<original,placeholder>> -> key, seq
-    (from 0, of what is sent on), payload. Chunks that are no JSON pass through as they are."""
-    kind = dict(chunks.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        r, out = ObjectReverser([(p["original"], p["placeholder"]) for p in (pdf["pairs"].iloc[0] if pdf["pairs"].iloc[0] is not None else [])]), []
-        for payload in pdf["payload"]:
-            try:
-                chunk = r.feed(json.loads(payload))
-            except (TypeError, ValueError):
-                out.append(payload)
-                continue
-            if chunk is not None:
-                out.append(json.dumps(chunk, ensure_ascii=False))
-        out += [json.dumps(x, ensure_ascii=False) for x in r.flush()]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "seq": range(len(out)), "payload": out})
-
-    return chunks.groupBy(key).applyInPandas(run, f"`{key}` {kind}, seq long, payload string")
+    (from 0, of what is sent on), payload. Chunks that are no JSON, or null, pass through as they are."""
+
+    def feed(r: ObjectReverser, payload):
+        try:
+            chunk = r.feed(json.loads(payload))
+        except (TypeError, ValueError):
+            return payload if payload is not None else ""
+        return json.dumps(chunk, ensure_ascii=False) if chunk is not None else None
+
+    return _in_order(chunks, key, ObjectReverser, feed, lambda r: [json.dumps(x, ensure_ascii=False) for x in r.flush()], pa.string())
 
 
 def unmask_events(chunks: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Batch form: key, seq, payload binary, pairs array<struct<original,placeholder>> -> key, payload: the whole
-    reversed stream."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        pairs = [(p["original"], p["placeholder"]) for p in (pdf["pairs"].iloc[0] if pdf["pairs"].iloc[0] is not None else [])]
-        if not pairs:
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "payload": [b"".join(pdf["payload"])]})
-        r = EventReverser(pairs)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "payload": [b"".join(map(r.feed, pdf["payload"])) + r.flush()]})
-
-    return chunks.groupBy(key).applyInPandas(run, f"`{key}` {dict(chunks.dtypes)[key]}, payload binary")
+    """Batch form: key, seq, payload binary, pairs array<struct<original,placeholder>> -> key, seq (from 0), payload:
+    a row for each chunk and one for what is left at the end. Their payloads, joined, are the reversed stream. Without
+    pairs chunks pass through; a null payload is empty."""
+    feed = lambda r, payload: r.feed(payload or b"") if r.pairs else payload or b""
+    return _in_order(chunks, key, EventReverser, feed, lambda r: [x for x in [r.flush()] if x], pa.binary())
 
 
 def watermark_dedup(records: DataFrame, ts: str = "timestamp", late: str = "10 minutes") -> DataFrame:
