@@ -17,6 +17,10 @@ SHARD, SHARD_MOST = 2_500, 4_000
 OVERLAP = 2
 #: Centroids are fitted on at most so many vectors with the least hash, so there are at most a twentieth as many.
 SAMPLE = 20_000
+#: ... that hold at most so many components in all, as the driver and a task's splitting have them in memory.
+SAMPLE_VALUES = 8_000_000
+#: Vectors of each shard whose links are found by brute force too, to measure the search.
+SHARD_AUDITED = 64
 #: Centroids of a large shard, how often shards are split again, numbers of the shards of a level, and vectors that one
 #: task deals out.
 CHILDREN, LEVELS, SPACE, DEALT = 128, 2, 1 << 40, 50_000
@@ -244,18 +248,22 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
     return v.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("x", lambda e: e != 0), F.lit(False))).withColumn("dim", F.size("x"))
 
 
-def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, overlap: int = OVERLAP, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(edges u, v; id, n_links): a spanning forest of the links among equal labels, and each vector's number of
-    links, both over one row per id; of several rows with an id the least vector counts.
+def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, overlap: int = OVERLAP, exact: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges u, v; id, n_links; seen, lost, mended): a spanning forest of the links among equal labels, and each
+    vector's number of links, both over one row per id; of several rows with an id the least vector counts. The last
+    is one row: links of audited vectors, those of them that the search has lost, and tasks that compared all pairs.
 
     Equal vectors of a label become one, with its number of copies, so that a common vector costs one search.
     Vectors go to the shards of their ``overlap`` nearest centroids; a shard above SHARD_MOST is split by further
-    centroids, and where that does not do it is dealt out in blocks, and each pair of blocks is a task, so no task holds more than two blocks and no pair is lost. Each task
-    prunes its graph; a vector's adjacency lists are united; then each task searches for the range of its vectors
-    from entries that reach all of its graph and from themselves, verifies cosines in double precision on the vectors
-    as given, and checks its vectors against each other: links that the search has lost are added and counted, so
-    that only pairs without a common shard can be missed. A pair that shares several shards counts in the first of
-    them. Only sums and forests leave a task, no pairs.
+    centroids, and where that does not do it is dealt out in blocks, and each pair of blocks is a task, so no task
+    holds more than two blocks and no pair is lost. Each task prunes its graph; a vector's adjacency lists are united;
+    then each task searches for the range of its vectors from entries that reach all of its graph and from themselves,
+    and verifies cosines in double precision on the vectors as given. A pair that shares several shards counts in the
+    first of them. Only sums and forests leave a task, no pairs.
+
+    The search is measured before anything mends it: SHARD_AUDITED vectors of each task are compared with all of
+    its vectors, and what the search has lost of their links is counted. Only where it has lost more than
+    LEAST_RECALL allows, that task compares all its pairs.
 
     With ``exact`` a label is one shard and each task compares all its pairs, so that no link is lost; its work grows
     with the square of a label."""
@@ -265,7 +273,8 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     reps = written(v.groupBy("label", "dim", "x").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-reps")
     copies = v.join(reps.where("copies > 1").select("label", "x", F.col("id").alias("rep"), "copies"), ["label", "x"])
     sample: dict[tuple, list] = {}
-    for r in reps.select("label", "dim", "x").orderBy(F.xxhash64("x", "label")).limit(SAMPLE).collect():
+    longest = reps.agg(F.max("dim")).first()[0] or 1
+    for r in reps.select("label", "dim", "x").orderBy(F.xxhash64("x", "label")).limit(max(1, min(SAMPLE, SAMPLE_VALUES // longest))).collect():
         sample.setdefault((r.label, r.dim), []).append(r.x)
     spark = vectors.sparkSession
     # sizes of the labels in the sample only, as there may be any number of others
@@ -280,14 +289,16 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     def assigned(batches):
         fitted, base, rest = sent.value
         for b in batches:
-            shards = []
-            for label, dim, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                c = fitted.get((label, dim))
-                if c is None:  # a label or dimension that the sample has not met; shards are parted by both
-                    shards.append([rest])
-                else:
-                    s = c @ np.array(x)
-                    shards.append(sorted((base[label, dim] + np.argsort(-s, kind="stable")[:overlap]).tolist()))
+            # a label or dimension that the sample has not met goes to the last shard; shards are parted by both
+            shards: list = [[rest]] * b.num_rows
+            own: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if k in fitted:
+                    own.setdefault(k, []).append(i)
+            for k, at in own.items():
+                near = np.argsort(-(_matrix(b.column(2).take(pa.array(at))) @ fitted[k].T), axis=1, kind="stable")[:, :overlap]
+                for i, cells in zip(at, np.sort(base[k] + near, axis=1).tolist()):
+                    shards[i] = cells
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.list_(pa.int64()))], names=[*b.schema.names, "shards"])
 
     nodes = written(reps.mapInArrow(assigned, "label string, dim int, x array<double>, id long, copies long, shards array<long>"), "vector-shards")
@@ -330,7 +341,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             graph.append(p[ids[p] == near])
         u = unit(x)
         size, k = len(ids), max(map(len, shards))
-        n_links, root, lost = np.zeros(size, np.int64), np.arange(size), 0
+        n_links, root = np.zeros(size, np.int64), np.arange(size)
         common = np.array([sorted(x) + [-1 - y] * (k - len(x)) for x, y in zip(shards, range(size))], np.int64)
 
         def keys(q, n):
@@ -338,6 +349,20 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             ok = q != n
             return np.unique(np.minimum(q, n)[ok] * np.int64(size) + np.maximum(q, n)[ok])
 
+        def all_pairs():
+            for a in range(0, size, AT_ONCE):
+                q, n = np.nonzero(u[a : a + AT_ONCE] @ u.T >= least - 1e-9)
+                yield keys(q[q + a < n] + a, n[q + a < n])
+
+        def audited(met):
+            """The links of some vectors, by brute force, and how many of them the search has not met."""
+            some = np.unique(np.linspace(0, size - 1, min(size, SHARD_AUDITED)).astype(np.int64))
+            q, n = np.nonzero(u[some] @ u.T >= least - 1e-9)
+            there = keys(some[q], n)
+            there = there[exact_cosine(x[there // size], x[there % size]) >= least]
+            return there, int((~np.isin(there, met, assume_unique=True)).sum())
+
+        there, lost, mend = np.zeros(0, np.int64), 0, exact
         if not exact:
             edges = adjacency(graph)
             starts = entries(u, edges)
@@ -346,17 +371,9 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                 q, n = range_search(u, edges, starts, np.arange(a, min(a + 1000, size)), least)
                 met.append(keys(q + a, n))
             met = np.unique(np.concatenate(met))
-        for a in range(0, size, AT_ONCE):
-            # an exact check of the search: what it has lost among these vectors is added
-            q, n = np.nonzero(u[a : a + AT_ONCE] @ u.T >= least - 1e-9)
-            q += a
-            there = keys(q[q < n], n[q < n])
-            if exact:
-                pairs = there
-            else:
-                own = met[np.searchsorted(met, a * size) : np.searchsorted(met, (a + AT_ONCE) * size)]
-                missed = there[~np.isin(there, own, assume_unique=True)]
-                pairs = np.concatenate([own, missed])
+            there, lost = audited(met)
+            mend = lost > (1 - LEAST_RECALL) * len(there)
+        for pairs in all_pairs() if mend else [np.union1d(met, there)]:
             for c in range(0, len(pairs), 200_000):
                 p, q = pairs[c : c + 200_000] // size, pairs[c : c + 200_000] % size
                 ok = exact_cosine(x[p], x[q]) >= least
@@ -366,20 +383,21 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                     # the least shard that both are in
                     both = np.where(common[p][:, :, None] == common[q][:, None, :], common[p][:, :, None], np.iinfo(np.int64).max)
                     ok &= both.reshape(len(p), -1).min(1, initial=np.iinfo(np.int64).max) == s
-                lost += int(ok[max(0, len(own) - c) :].sum()) if not exact else 0
                 p, q = p[ok], q[ok]
                 np.add.at(n_links, p, copies[q])
                 np.add.at(n_links, q, copies[p])
                 joined(root, p, q)
-        return pa.table({"id": ids, "n": n_links, "root": ids[root], "lost": np.where(np.arange(size) == 0, lost, 0)})
+        first = np.arange(size) == 0
+        return pa.table({"id": ids, "n": n_links, "root": ids[root], "seen": np.where(first, len(there), 0), "lost": np.where(first, lost, 0), "mended": np.where(first & mend, 1, 0)})
 
-    found = written(tasks.groupBy(*key).applyInArrow(searched, "id long, n long, root long, lost long"), "vector-links")
+    found = written(tasks.groupBy(*key).applyInArrow(searched, "id long, n long, root long, seen long, lost long, mended long"), "vector-links")
+    measured = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "lost", "mended")])
     edges = found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v"))
     rep_links = found.groupBy("id").agg(F.sum("n").alias("n"))
     own = v.select("id").join(copies.select("id", "rep", "copies"), "id", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
     n_links = own.join(rep_links.withColumnRenamed("id", "rep"), "rep").select("id", (F.col("n") + F.col("copies") - 1).alias("n_links"))
     edges = edges.union(copies.where("id <> rep").select("id", "rep"))
-    return edges, n_links
+    return edges, n_links, measured
 
 
 def audit(vectors: DataFrame, n_links: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, audited: int = AUDITED) -> float:
@@ -409,24 +427,26 @@ def audit(vectors: DataFrame, n_links: DataFrame, id_col: str = "vec_id", vec_co
     return min(sum(r.got for r in rows) / sum(r.n for r in rows), sum(r.got / r.n for r in rows) / len(rows)) if rows else 1.0
 
 
-def dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE) -> DataFrame:
+def dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, report: dict | None = None) -> DataFrame:
     """id, n_links, component_id, kept for every row: links at a cosine of ``least`` or more among rows of one
     label and dimension. Recall is audited against brute force, and the shards overlap more until it suffices; if
-    the last overlap does not do, all pairs of a label are compared.
+    the last overlap does not do, all pairs of a label are compared. ``report`` gets what was measured: the overlap,
+    the recall of the whole, and of the search in its shards the recall before anything was mended, the links it is
+    taken from, and the tasks that compared all pairs.
 
     Rows that can't link (a null id or label; a vector that is null, empty, zero, or holds a null or non-finite
     component) have no links and are their own component; repeated rows of an id are one vector and come back as
     often as they were given. An empty table gives an empty result."""
-    for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP):
-        edges, n_links = links(vectors, id_col, vec_col, label_col, least, overlap)
+    report = {} if report is None else report
+    for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP, None):
+        edges, n_links, measured = links(vectors, id_col, vec_col, label_col, least, overlap or 1, exact=overlap is None)
         n_links = written(n_links, "n-links")
-        if audit(vectors, n_links, id_col, vec_col, label_col, least) >= LEAST_RECALL:
+        m = measured.first()
+        report.update(overlap=overlap, recall=audit(vectors, n_links, id_col, vec_col, label_col, least), search_recall=1 - m.lost / m.seen if m.seen else None, links_seen=m.seen, tasks_mended=m.mended)
+        if report["recall"] >= LEAST_RECALL:
             break
     else:
-        edges, n_links = links(vectors, id_col, vec_col, label_col, least, exact=True)
-        n_links = written(n_links, "n-links")
-        if (recall := audit(vectors, n_links, id_col, vec_col, label_col, least)) < LEAST_RECALL:
-            raise RuntimeError(f"an exact search found {recall:.3f} of the audited links")
+        raise RuntimeError(f"an exact search found {report['recall']:.3f} of the audited links")
     comp = connected_components(edges)
     v = vectors.select(F.col(id_col).cast("long").alias("id"))
     out = v.join(n_links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")

@@ -182,14 +182,32 @@ def test_embedding_links(spark, monkeypatch, most):
         assert sum(found.values()) >= 0.98 * sum(want.values()) and right >= 0.98 * len(got)
 
 
-def test_lost_links_are_added(spark, monkeypatch):
-    """Whatever the graph search loses among vectors of one shard, the check of the shard adds."""
+def test_a_search_that_finds_nothing_fails_the_audit(spark, monkeypatch):
+    """What the search has lost is measured before it is mended; a task whose search fails compares all pairs."""
     x = groups(np.random.default_rng(7), 6, 20, 16)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     nothing = np.zeros(0, np.int64)
     monkeypatch.setattr(embeddings, "range_search", lambda *a: (nothing, nothing))
-    for r in embeddings.dedup(df).collect():
+    report = {}
+    for r in embeddings.dedup(df, report=report).collect():
         assert (r.n_links, r.component_id) == (19, r.vec_id // 20 * 20)
+    assert report["search_recall"] == 0 and report["links_seen"] > 500 and report["tasks_mended"] == 1
+    # without the mending the audit of the whole sees it too
+    monkeypatch.setattr(embeddings, "LEAST_RECALL", -9)
+    n_links = embeddings.links(df)[1]
+    assert embeddings.audit(df, n_links) < 0.8
+
+
+def test_the_search_alone(spark, monkeypatch):
+    """Recall of the graph search, with nothing mended, over shards of several labels."""
+    monkeypatch.setattr(embeddings, "SHARD", 400)
+    monkeypatch.setattr(embeddings, "SHARD_MOST", 600)
+    x = groups(np.random.default_rng(8), 150, 20, 32)
+    df = spark.createDataFrame([(i, v.tolist(), i // 20 % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    report = {}
+    out = embeddings.dedup(df, report=report).collect()
+    assert report["search_recall"] >= 0.98 and report["tasks_mended"] == 0 and report["links_seen"] > 5000
+    assert sum(r.n_links for r in out) >= 0.98 * 3000 * 19
 
 
 def test_joined():
@@ -248,7 +266,7 @@ def test_near_copies_beyond_the_candidates(spark, n, size):
 
 def test_embedding_audit_sees_lost_links(spark):
     _, df = vectors(spark)
-    _, n = embeddings.links(df)
+    _, n, _ = embeddings.links(df)
     assert embeddings.audit(df, n) >= 0.95
     assert embeddings.audit(df, n.withColumn("n_links", F.lit(0))) < 0.5
 
