@@ -106,12 +106,93 @@ def _payloads(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.concat(of, F.lit("\n"), F.col("text")).alias("text"))
 
 
-@query()
+def _sql_sum(weights) -> str:
+    return " + ".join(f"{w} * s[{i + 1}]::INT" for i, w in enumerate(weights))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_payloads() -> str:
+    parts = ", ".join(" || chr(10) || ".join(_quoted(line) for line in x.split("\n")) for x in SAMPLES)
+    return f"SELECT doc_id, [{parts}][doc_id % {len(SAMPLES)} + 1] || chr(10) || text AS text FROM documents"
+
+
+def _sql_re(pattern: str) -> tuple[str, bool]:
+    """A rule's pattern for a matcher without look-around, and whether it then matches what may not stand beside a
+    match too, before and after it, as its first and last group."""
+    p = pattern.replace("(?U)", "").replace("(?iU)", "(?i)").replace("{1,8192}?", "+?")
+    for beside in (r"\d", "[0-9A-Fa-f:]"):
+        if p.startswith(f"(?<!{beside})"):
+            other = "[^0-9]" if beside == r"\d" else "[^0-9A-Fa-f:]"
+            return f"(^|{other})({p.removeprefix(f'(?<!{beside})').removesuffix(f'(?!{beside})')})({other}|$)", True
+    return p, False
+
+
+def _sql_checks() -> dict:
+    total = lambda w: _sql_sum(w)
+    octets = rf"{OCTETS}\.{OCTETS}\.{OCTETS}\.{OCTETS}"
+    snils = f"CASE WHEN s[1:9]::INT <= {checksums.SNILS_FREE} THEN s[10:11] = '00' ELSE s[10:11]::INT = CASE WHEN ({total(checksums.SNILS)}) < 100 THEN ({total(checksums.SNILS)}) WHEN ({total(checksums.SNILS)}) IN (100, 101) OR ({total(checksums.SNILS)}) % 101 = 100 THEN 0 ELSE ({total(checksums.SNILS)}) % 101 END END"
+    return {
+        checksums.cidr: f"regexp_full_match(split_part(s, '/', 1), '{octets}') AND split_part(s, '/', 2)::INT <= 32", checksums.ipv4: f"regexp_full_match(s, '{octets}')", checksums.snils: snils, checksums.bik: "s[-3:] <> '000'",
+        checksums.ogrn: "CASE WHEN len(s) = 13 THEN s[1:12]::BIGINT % 11 % 10 = s[13]::INT ELSE s[1:14]::BIGINT % 13 % 10 = s[15]::INT END",
+        checksums.inn: f"CASE WHEN len(s) = 10 THEN ({total(checksums.INN10)}) % 11 % 10 = s[10]::INT ELSE ({total(checksums.INN12_FIRST)}) % 11 % 10 = s[11]::INT AND ({total(checksums.INN12_SECOND)}) % 11 % 10 = s[12]::INT END",
+    }
+
+
+def _sql_raw(texts: str) -> str:
+    """p (doc_id, text) and r: the matches of every rule, each a branch of its own. A match ends after the pieces and
+    matches up to it."""
+    checks, branches = _sql_checks(), []
+
+    def branch(i, label, score, pattern, group, check):
+        p, beside = _sql_re(pattern)
+        own, after = (2, f"regexp_extract_all(text, {_quoted(p)}, 3)") if beside else (group, "NULL::VARCHAR[]")
+        lists = f"SELECT doc_id, text, string_split_regex(text, {_quoted(p)}) AS x, regexp_extract_all(text, {_quoted(p)}) AS m, regexp_extract_all(text, {_quoted(p)}, {own}) AS g, {after} AS z FROM p"
+        ends = "list_sum([len(v) for v in x[1:i]]) + list_sum([len(v) for v in m[1:i]]) - coalesce(len(z[i]), 0)"
+        rows = f"SELECT doc_id, text, g[i] AS s, ({ends})::INT AS stop FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({lists}))"
+        return f"SELECT doc_id, text, {i} AS ord, '{label}' AS label, {score}::DOUBLE AS score, stop - len(s) AS start, stop, s FROM ({rows}) WHERE {check}"
+
+    for i, r in enumerate(patterns.RULES):
+        branches.append(branch(i, r.label, r.score, r.pattern, r.group, checks[r.check] if r.check else "true"))
+    n = len(patterns.RULES)
+    digits = branch(n, "SNILS", 1.0, patterns.SNILS_FORMATTED, 0, "true")
+    branches.append(f"SELECT * EXCLUDE (d) REPLACE (d AS s) FROM (SELECT * EXCLUDE (s), s AS d, regexp_replace(s, '[^0-9]', '', 'g') AS s FROM ({digits})) WHERE {checks[checksums.snils]}")
+    key = " + ".join(f"{w} * (b[7:9] || s)[{k + 1}]::INT" for k, w in enumerate(checksums.ACCOUNT))
+    for k, (p, group) in enumerate(((patterns.ACCOUNT_KEYWORD, 1), (patterns.ACCOUNT_BARE, 0))):
+        # bank codes of the planted samples stand within reach
+        biks = f"regexp_extract_all(text, {_quoted(_sql_re(patterns.BIK_ANY)[0])})"
+        branches.append(f"SELECT * REPLACE (CASE WHEN len([b for b in {biks} if ({key}) % 10 = 0]) > 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS score) FROM ({branch(n + 1 + k, 'BANK_ACCOUNT', 0.7, p, group, 'true')})")
+    return f"p AS ({texts}), r AS ({' UNION ALL '.join(f'(SELECT doc_id, ord, label, score, start, stop, s FROM ({x}))' for x in branches)})"
+
+
+def _sql_found(texts: str, rounds: int = 4) -> str:
+    """... and f: those that stay where matches overlap, by rounds: one stays that none left before it overlaps, and
+    takes away what it overlaps. What the rounds leave undecided has a label that no rule has."""
+    out = _sql_raw(texts) + ", u0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, stop - start DESC, start, ord) AS k FROM r)"
+    overlap = "a.doc_id = b.doc_id AND a.start < b.stop AND b.start < a.stop AND b.k < a.k"
+    for i in range(rounds):
+        out += f", y{i} AS (SELECT * FROM u{i} a WHERE NOT EXISTS (SELECT 1 FROM u{i} b WHERE {overlap}))"
+        out += f", u{i + 1} AS (SELECT * FROM u{i} a WHERE NOT EXISTS (SELECT 1 FROM y{i} b WHERE a.doc_id = b.doc_id AND a.start < b.stop AND b.start < a.stop))"
+    kept = " UNION ALL ".join(f"SELECT * FROM y{i}" for i in range(rounds))
+    return f"{out}, f AS ({kept} UNION ALL SELECT * REPLACE ('UNDECIDED' AS label) FROM u{rounds})"
+
+
+@query(f"WITH {_sql_raw(_sql_payloads())} SELECT doc_id, ord, label, score, start, stop, sha256(s) AS text_sha256 FROM r")
+def detect_rules(t):
+    d = _payloads(t("documents")).select("doc_id", detect.raw_findings(F.col("text")).alias("f"))
+    return d.select("doc_id", F.explode_outer("f").alias("f")).where("f is not null").select("doc_id", "f.ord", "f.label", "f.score", "f.start", "f.stop", F.sha2("f.text", 256).alias("text_sha256"))
+
+
+@query(f"WITH {_sql_found(_sql_payloads())} SELECT doc_id, label, start, stop, score, sha256(s) AS text_sha256 FROM f")
 def detect_findings(t):
     return detect.exploded(detect.detect(_payloads(t("documents"))), ["doc_id"]).select("doc_id", "label", "start", "stop", "score", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+# the planted fence holds an address in code, and a mail and another address in comments; what follows it is prose
+@query(f"""WITH {_sql_found("SELECT doc_id, '```' || chr(10) || text AS text FROM documents")}
+SELECT label, sum(n)::BIGINT AS n FROM (SELECT label, count(*) AS n FROM f GROUP BY label UNION ALL SELECT unnest(['IP_ADDRESS', 'EMAIL']), unnest([2, 1]) * count(text) FROM documents) GROUP BY label""")
 def detect_segmented(t):
     fenced = t("documents").select("doc_id", F.concat(F.lit("see ```py\nx = '10.1.2.3' # a@b.org\n/* 10.0.0.9 */```\n"), F.col("text")).alias("text"))
     return detect.exploded(segments.detect_by_segment(fenced), ["doc_id"]).groupBy("label").agg(F.count("*").alias("n"))
@@ -143,10 +224,6 @@ def _sql_digits(width: int, prefix: str = "") -> str:
     return f"SELECT o_orderkey, '{prefix}' || lpad(((o_orderkey * 7919 + 104729) % {10 ** min(width - len(prefix), 12)})::VARCHAR, {width - len(prefix)}, '0') AS s FROM orders"
 
 
-def _sql_sum(weights) -> str:
-    return " + ".join(f"{w} * s[{i + 1}]::INT" for i, w in enumerate(weights))
-
-
 @query(f"SELECT o_orderkey, ({_sql_sum(checksums.INN10)}) % 11 % 10 = s[10]::INT AS ok FROM ({_sql_digits(10)})")
 def checksum_inn(t):
     return _digits(t("orders"), 10).select("o_orderkey", checksums.inn(F.col("s")).alias("ok"))
@@ -183,6 +260,7 @@ def checksum_account(t):
 HEADS = (
     "", "```env\n", "A_KEY=1\nB_KEY = 2\nC_KEY=3\nD=4\nE=5\nF=6\nG=7\nH=8\n", "apiVersion: v1\nkind: Pod\n", "server {\n location / {\n", "[one]\na = 1\n[two]\nb: 2\nc=3\nd=4\ne=5\n",
     "2024-01-01 10:00:00 INFO a\n" * 5, "at com.a.B.c(\n" * 5, "x\n```log\n", "clusters:\ncontexts:\n",
+    "```nginx.conf\n", "y\n```TOML  \n", "```dotenv\n```access-log\n", '  File "a.py", line 3, in f\n' * 5, "    at handler (\n" * 5,
 )
 
 
@@ -197,8 +275,9 @@ h AS (SELECT doc_id, ({_SQL_HEADS})[doc_id % {len(HEADS)} + 1] || text AS text F
 l AS (SELECT doc_id, text, string_split(CASE WHEN text[-1:] = chr(10) THEN text[:-2] ELSE text END, chr(10)) AS lines FROM h),
 k AS (SELECT *, list_filter(lines, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*#')) AS env, list_filter(lines, lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\s*[#;]')) AS ini,
   len(list_filter(lines, lambda x: regexp_matches(x, '\d{{4}}-\d{{2}}-\d{{2}}[T ]\d{{2}}:\d{{2}}:\d{{2}}'))) AS times, len(list_filter(lines, lambda x: regexp_matches(x, '\b(?:INFO|WARN(?:ING)?|ERROR|DEBUG|TRACE|FATAL|CRITICAL)\b'))) AS levels,
-  len(list_filter(lines, lambda x: regexp_matches(x, '\bat \w[\w.]+\.\w+\('))) AS frames FROM l),
+  len(list_filter(lines, lambda x: regexp_matches(x, '\bat \w[\w.]+\.\w+\(|File "[^"]+", line \d+|\s+at \w[\w.]*\s+\('))) AS frames FROM l),
 c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '(?im)^```[ \t]*(?:env|dotenv|\.env)[ \t]*$') THEN 'config:env' WHEN regexp_matches(text, '(?im)^```[ \t]*(?:log|logs|access_?log|syslog)[ \t]*$') THEN 'log:dump'
+  WHEN regexp_matches(text, '(?im)^```[ \t]*(?:nginx|nginx\.conf)[ \t]*$') THEN 'config:nginx' WHEN regexp_matches(text, '(?im)^```[ \t]*(?:ini|toml|cfg|conf)[ \t]*$') THEN 'config:ini'
   WHEN len(env) >= 3 AND len(list_filter(env, lambda x: regexp_matches(x, '^[A-Z_][A-Z0-9_]*\s*='))) >= 3 AND len(list_filter(env, lambda x: regexp_matches(x, '^[A-Z_][A-Z0-9_]*\s*='))) > 0.5 * len(env) THEN 'config:env'
   WHEN (regexp_matches(text, '\bapiVersion\s*:\s*\S+') AND regexp_matches(text, '\bkind\s*:\s*[A-Z][A-Za-z]+\b')) OR (regexp_matches(text, '(?m)^clusters\s*:') AND regexp_matches(text, '(?m)^contexts\s*:')) THEN 'config:kube'
   WHEN regexp_matches(text, '\bserver\s*\{{') AND regexp_matches(text, '\blocation\s+[/~\w]') THEN 'config:nginx'
@@ -282,7 +361,11 @@ def placeholder_literals(t):
     return t("documents").select("doc_id", F.size(mask.literals(F.concat(F.lit("[A_001] "), F.col("text"), F.lit(" [EMAIL_1234] [x_001] [B_01]")))).cast("long").alias("n"))
 
 
-@query()
+@query(f"""WITH {_sql_found(_sql_payloads())},
+o AS (SELECT doc_id, label, s, score, start, row_number() OVER (PARTITION BY doc_id, s ORDER BY score DESC, start) AS copy FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY score DESC, len(s) DESC, start) + CASE WHEN label = 'IP_ADDRESS' THEN 7 ELSE 0 END AS k FROM o WHERE copy = 1)
+SELECT doc_id, sha256(s) AS original_sha256, '[' || label || '_' || lpad(k::VARCHAR, greatest(3, len(k::VARCHAR))::INT, '0') || ']' AS placeholder FROM n
+UNION ALL SELECT doc_id, sha256('never there'), '[IP_ADDRESS_007]' FROM documents WHERE text IS NOT NULL""")
 def placeholder_alloc(t):
     d = detect.detect(_payloads(t("documents")))
     base = F.array(mask.pair(F.lit("never there"), F.lit("[IP_ADDRESS_007]"))).cast(mask.PAIRS)
