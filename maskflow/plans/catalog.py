@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, patterns, spans
-from ..operators import audit, auth, classify, detect, gazetteer, leaves, mask, ner, oracle, policy, rules, segments
+from ..operators import audit, auth, classify, detect, gazetteer, leaves, mask, ner, oracle, pattern_table, policy, rules, segments, sketch, temporal
 from ..session import ship, spread
 from ..streaming import reverse
 
@@ -213,6 +213,48 @@ def detector_disagreement(t):
     return detect.disagreement(run(["IP_ADDRESS"]), run(["IP_ADDRESS", "EMAIL"]), "doc_id")
 
 
+@query(f"""WITH {_sql_raw(_sql_payloads())} SELECT a.doc_id, a.label AS label_a, a.start AS start_a, a.stop AS stop_a, b.label AS label_b, b.start AS start_b, b.stop AS stop_b
+FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.start < b.stop AND b.start < a.stop WHERE a.ord < 10 AND b.ord >= 10""")
+def finding_overlaps(t):
+    d = _payloads(t("documents")).select("doc_id", detect.raw_findings(F.col("text")).alias("f"))
+    d = d.select("doc_id", F.explode_outer("f").alias("f")).where("f is not null").select("doc_id", "f.label", "f.start", "f.stop", "f.ord")
+    both = temporal.overlapping(d.where("ord < 10"), d.where("ord >= 10"), "doc_id")
+    return both.select("left.doc_id", *[F.col(f"{side}.{c}").alias(f"{c}_{x}") for side, x in (("left", "a"), ("right", "b")) for c in ("label", "start", "stop")])
+
+
+@query(f"""WITH {MATCHES}
+SELECT label, lang, source, (GROUPING(label) * 4 + GROUPING(lang) * 2 + GROUPING(source))::BIGINT AS level, count(*) AS n FROM f JOIN documents d ON f.doc_id = d.doc_id GROUP BY CUBE (label, lang, source)""")
+def findings_cube(t):
+    d = detect.detect(t("documents").select("doc_id", "text", "lang", "source"), labels=THREE)
+    return detect.exploded(d, ["lang", "source"]).cube("label", "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ tables of patterns
+
+_PATTERNS = "SELECT lang AS team_id, doc_id * 10 + o AS pattern_no, substring(text, 40 * o + 1, 12 + o) AS pattern FROM documents, (SELECT unnest(range(0, 10)) AS o) WHERE length(text) > 40 * o + 12"
+
+
+def _patterns(documents: DataFrame) -> DataFrame:
+    """Up to ten pieces of each text as the patterns of its language."""
+    d = documents.where("text is not null").select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("o")).where("length(text) > 40 * o + 12")
+    return d.select(F.col("lang").alias("team_id"), (F.col("doc_id") * 10 + F.col("o")).alias("pattern_no"), F.expr("substring(text, 40 * o + 1, 12 + o)").alias("pattern"))
+
+
+_SQL_HITS = f"SELECT doc_id, pattern_no FROM documents d JOIN ({_PATTERNS}) p ON d.lang = p.team_id AND contains(d.text, p.pattern)"
+
+
+@query(_SQL_HITS)
+def pattern_hits(t):
+    d = t("documents").select("doc_id", F.col("lang").alias("team_id"), "text")
+    return pattern_table.hits(d, _patterns(t("documents")), "doc_id")
+
+
+@query(_SQL_HITS)
+def pattern_hits_by_key(t):
+    d = t("documents").select("doc_id", F.col("lang").alias("team_id"), "text")
+    return pattern_table.hits(d, _patterns(t("documents")), "doc_id", most=0)
+
+
 # ------------------------------------------------------------------ check digits
 
 
@@ -603,6 +645,21 @@ def token_status(t):
     return auth.token_status(reqs, tokens).select("o_orderkey", "error_code")
 
 
+# versions of every customer's token, some of which begin at once, and orders as requests; lookups lag by a minute
+_VERSIONS = "SELECT 'ct_' || c_custkey AS token, TIMESTAMP '1992-01-01' + to_days(((c_custkey * 37 + v * 311) % 2400)::INT) AS since, v AS version_no, (c_custkey + v) % 3 = 0 AS revoked FROM customer, (SELECT unnest(range(0, 6)) AS v)"
+
+
+@query(f"""SELECT o_orderkey, version_no, CASE WHEN version_no IS NULL THEN 'E_TOKEN_INVALID' WHEN revoked THEN 'E_TOKEN_REVOKED' END AS error_code
+FROM (SELECT o_orderkey, 'ct_' || o_custkey AS token, o_orderdate::TIMESTAMP - INTERVAL 60 SECONDS AS ts FROM orders) o ASOF LEFT JOIN (SELECT token, since, max(version_no) AS version_no, arg_max(revoked, version_no) AS revoked FROM ({_VERSIONS}) GROUP BY ALL) v ON o.token = v.token AND o.ts >= v.since""")
+def token_status_as_of(t):
+    c = t("customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("version_no"))
+    days = ((F.col("c_custkey") * 37 + F.col("version_no") * 311) % 2400).cast("int")
+    token = lambda c: F.concat(F.lit("ct_"), F.col(c).cast("string")).alias("token")
+    versions = c.select(token("c_custkey"), F.date_add(F.lit("1992-01-01").cast("date"), days).cast("timestamp").alias("since"), "version_no", ((F.col("c_custkey") + F.col("version_no")) % 3 == 0).alias("revoked"))
+    requests = t("orders").select("o_orderkey", token("o_custkey"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    return auth.token_status_as_of(requests, versions, "ts", lag_seconds=60).select("o_orderkey", F.col("version.version_no").alias("version_no"), "error_code")
+
+
 LAYERS = """SELECT n_nationkey AS team_id, l AS layer_no, 1000 * (1 + (n_nationkey + l) % 3) AS size_threshold_bytes, (n_nationkey + l) % 4 = 0 AS block_payloads, l = 2 AS dlp_guard,
 CASE (n_nationkey + l) % 3 WHEN 0 THEN 'gazetteer_hit' WHEN 1 THEN 'sampled:5' ELSE 'always' END AS oracle_mode, CASE WHEN n_nationkey % 2 = 0 THEN 'continue' ELSE 'fail-closed' END AS pre_pass_down,
 CASE WHEN l < 2 THEN 30 + l END AS retention_hot_days, CASE WHEN l = 0 THEN 3 END AS retention_cold_years"""
@@ -689,6 +746,28 @@ def latency_histogram(t):
     return audit.latency_histogram(_records(t), (5, 10, 50, 100))
 
 
+_GAMMA = "((1 + 0.01::DOUBLE) / (1 - 0.01::DOUBLE))"
+
+
+@query(f"""WITH v AS (SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, ts::DATE AS day, CASE WHEN value > 0 THEN ceil(ln(value) / ln({_GAMMA}))::INT END AS b FROM events),
+s AS (SELECT status, day, b, count(*) AS n FROM v GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY status, day ORDER BY b NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY status, day) AS total, coalesce(2 * {_GAMMA} ** b / ({_GAMMA} + 1), 0) AS x FROM s)
+SELECT status, day, max(total)::BIGINT AS n, {", ".join(f"round(min(x) FILTER (run >= floor(1 + {q} * (total - 1))), 6) AS {name}" for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))} FROM r GROUP BY status, day""")
+def latency_quantiles(t):
+    d = t("events").select(F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value")
+    by_day = sketch.merged(sketch.sketched(d, ["status", "day", "hour"], "value"), ["status", "day"])  # hourly sketches, merged
+    q = sketch.quantiles(by_day, ["status", "day"], {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return q.select("status", "day", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 60 MINUTES THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL 60 MINUTES AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+def mapping_sessions(t):
+    s = temporal.sessions(t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id", "ts")
+    return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
 @query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
 def leak_alert_windows(t):
     return audit.failure_windows(_records(t), F.col("error_code") == "E_DLP_BLOCKED").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
