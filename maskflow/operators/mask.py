@@ -233,17 +233,6 @@ def allocate(leaves: DataFrame, request: str, leaf: str, pairs: str = "pairs", t
     return slim.groupBy(request).applyInArrow(fold, f"`{request}` {kinds[request]}, `{leaf}` {kinds[leaf]}, original string, placeholder string")
 
 
-def quota(requests: DataFrame, team: str, order: str, size: str, limit: int) -> DataFrame:
-    """``requests`` plus ``admitted``: in order, a request is admitted if it fits into what its team has left. A
-    refused one uses nothing up, so this is a fold and no running sum. Null sizes count as 0."""
-
-    def fold(used, row):
-        need = (used or 0) + (row[size] or 0)
-        return (need, True) if need <= limit else (used or 0, False)
-
-    return _folded(requests, [team], [order, size], fold, "admitted")
-
-
 def oversize(df: DataFrame, text: str, threshold: int = 102_400, deliver: Column | None = None, clean: Column | None = None, out: str = "block_reason") -> DataFrame:
     """``df`` plus oversize:blocked for texts of more than ``threshold`` bytes, or oversize:delivered where the team
     takes flagged texts (``deliver``) and the full rescan was clean; null for others. By default none is delivered."""

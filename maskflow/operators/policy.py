@@ -96,3 +96,42 @@ def lifecycle(teams: DataFrame) -> DataFrame:
     """Retention rule of each team, in days."""
     glacier = F.greatest(F.lit(1), F.col("retention_hot_days"))
     return teams.select("team_id", F.concat(F.col("team_id"), F.lit("/")).alias("prefix"), glacier.alias("glacier_days"), (glacier + 365 * F.col("retention_cold_years")).alias("expire_days"))
+
+
+def partitions(spark, path: str) -> DataFrame:
+    """team_id, dt, files, bytes of the partitions of a table of files at ``path`` (team_id=../dt=..), from the names
+    and sizes of its files alone: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    return files.groupBy(F.col("team_id").cast("string").alias("team_id"), F.col("dt").cast("date").alias("dt")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def retention_plan(found: DataFrame, teams: DataFrame, today: str) -> DataFrame:
+    """``found`` plus age (days) and action by the team's rule (see ``lifecycle``): expire from expire_days on, archive
+    from glacier_days on, else keep. A team without a rule, or a partition without a date, is kept."""
+    rules = lifecycle(teams).select(F.col("team_id").cast("string").alias("team_id"), "glacier_days", "expire_days")
+    d = found.join(rules, "team_id", "left").withColumn("age", F.datediff(F.lit(today).cast("date"), "dt"))
+    action = F.when(F.col("age") >= F.col("expire_days"), "expire").when(F.col("age") >= F.col("glacier_days"), "archive").otherwise("keep")
+    return d.withColumn("action", action).drop("glacier_days", "expire_days")
+
+
+def carried_out(spark, plan: DataFrame, path: str, archive: str) -> dict[str, int]:
+    """Expire and archive the partitions of a plan: expired ones are removed, archived ones moved to the same place
+    below ``archive``. Partitions are renamed or removed whole by the file system, so nothing is read; what is gone
+    already is passed over, so a second run after a lost driver finishes the first. The driver sees the names of the
+    partitions to act on, a day's worth per team if it runs daily."""
+    j, done = spark._jvm.org.apache.hadoop.fs, {"expire": 0, "archive": 0}
+    fs = j.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in plan.where("action <> 'keep'").select("team_id", "dt", "action").toLocalIterator():
+        name = f"team_id={r.team_id}/dt={r.dt}"
+        at = j.Path(f"{path}/{name}")
+        if not fs.exists(at):
+            continue
+        if r.action == "archive":
+            to = j.Path(f"{archive}/{name}")
+            fs.mkdirs(to.getParent())
+            if not fs.rename(at, to):
+                raise OSError(f"{name} was not moved")
+        elif not fs.delete(at, True):
+            raise OSError(f"{name} was not removed")
+        done[r.action] += 1
+    return done

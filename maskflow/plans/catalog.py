@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, patterns, spans
-from ..operators import audit, auth, classify, detect, gazetteer, leaves, mask, ner, oracle, pattern_table, policy, rules, segments, sketch, temporal
-from ..session import ship, spread
+from ..operators import audit, auth, classify, detect, gazetteer, leaves, mask, ner, oracle, pattern_table, policy, quota, rules, segments, sketch, temporal
+from ..session import fresh_path, ship, spread
 from ..streaming import reverse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -489,7 +489,7 @@ def label_histogram(t):
 SELECT conv_id, count(*) AS n, count(*) FILTER (run <= 1000000000) AS admitted FROM b GROUP BY conv_id""")
 def quota_admission(t):
     d = t("conversations").select("conv_id", "turn", F.octet_length("text").alias("size"))
-    return mask.quota(d, "conv_id", "turn", "size", 1_000_000_000).groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
+    return quota.quota(d, "conv_id", "turn", "size", 1_000_000_000).groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if("admitted").alias("admitted"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT conv_id, turn, strlen(text)::INT AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, strlen(text)) AS i FROM conversations),
@@ -497,7 +497,20 @@ f AS (SELECT conv_id, turn, size, i, CASE WHEN size <= 1500 THEN size ELSE 0 END
 UNION ALL SELECT r.conv_id, r.turn, r.size, r.i, f.used + CASE WHEN f.used + r.size <= 1500 THEN r.size ELSE 0 END, f.used + coalesce(r.size, 0) <= 1500 FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1)
 SELECT conv_id, turn, size, admitted FROM f""")
 def quota_admission_tight(t):
-    return mask.quota(t("conversations").select("conv_id", "turn", F.octet_length("text").alias("size")), "conv_id", "turn", "size", 1500)
+    return quota.quota(t("conversations").select("conv_id", "turn", F.octet_length("text").alias("size")), "conv_id", "turn", "size", 1500)
+
+
+# two thirds of all requests, and those without a team, are of one team each
+_HOT = "CASE WHEN conv_id % 3 <> 0 THEN 'hot' WHEN conv_id % 2 = 0 THEN 'team' || conv_id END"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY k) AS i FROM (SELECT {_HOT} AS team, conv_id * 1000 + turn AS k, strlen(text)::BIGINT AS size FROM conversations)),
+f AS (SELECT team, k, size, i, CASE WHEN size <= 20000 THEN size ELSE 0 END AS used, coalesce(size, 0) <= 20000 AS admitted FROM r WHERE i = 1
+UNION ALL SELECT r.team, r.k, r.size, r.i, f.used + CASE WHEN f.used + r.size <= 20000 THEN r.size ELSE 0 END, f.used + coalesce(r.size, 0) <= 20000 FROM f JOIN r ON r.team IS NOT DISTINCT FROM f.team AND r.i = f.i + 1)
+SELECT team, k, size, admitted FROM f""")
+def quota_admission_hot(t):
+    d = t("conversations").select(F.expr("CASE WHEN conv_id % 3 <> 0 THEN 'hot' WHEN conv_id % 2 = 0 THEN concat('team', conv_id) END").alias("team"), (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.octet_length("text").cast("long").alias("size"))
+    return quota.quota(d, "team", "k", "size", 20_000, run_rows=100)
 
 
 # ------------------------------------------------------------------ payloads
@@ -768,6 +781,16 @@ def mapping_sessions(t):
     return s.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
+@query("""SELECT 'team' || user_id % 5 AS team_id, ts::DATE AS dt, DATE '2024-02-01' - ts::DATE AS age, CASE WHEN DATE '2024-02-01' - ts::DATE >= 8 + user_id % 5 + 365 * (user_id % 2) AND user_id % 5 < 4 THEN 'expire' WHEN DATE '2024-02-01' - ts::DATE >= 8 + user_id % 5 AND user_id % 5 < 4 THEN 'archive' ELSE 'keep' END AS action
+FROM (SELECT DISTINCT user_id % 5 AS user_id, ts::DATE AS ts FROM events)""")
+def retention_actions(t):
+    e = t("events").select(F.concat(F.lit("team"), (F.col("user_id") % 5).cast("string")).alias("team_id"), F.to_date("ts").alias("dt"), F.col("event_id").cast("string").alias("value"))
+    path = fresh_path(e.sparkSession, "retention")
+    e.repartition("team_id", "dt").write.partitionBy("team_id", "dt").text(path)
+    teams = e.sparkSession.range(4).select(F.concat(F.lit("team"), F.col("id").cast("string")).alias("team_id"), (8 + F.col("id")).cast("int").alias("retention_hot_days"), (F.col("id") % 2).cast("int").alias("retention_cold_years"))
+    return policy.retention_plan(policy.partitions(e.sparkSession, path), teams, "2024-02-01").select("team_id", "dt", "age", "action")
+
+
 @query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1")
 def leak_alert_windows(t):
     return audit.failure_windows(_records(t), F.col("error_code") == "E_DLP_BLOCKED").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from maskflow.operators import audit, auth, detect, leaves, mask, oracle, policy, rules
+from maskflow.operators import audit, auth, detect, leaves, mask, oracle, policy, quota, rules
 from maskflow.sources import files, sinks
 from maskflow.streaming import reverse
 
@@ -48,7 +48,7 @@ def test_chunks_cover(spark):
 
 def test_quota_refusals_use_nothing(spark):
     df = spark.createDataFrame([("a", 1, 60), ("a", 2, 50), ("a", 3, 40), ("b", 1, 101)], "team string, n int, size int")
-    got = {(r.team, r.n): r.admitted for r in mask.quota(df, "team", "n", "size", 100).collect()}
+    got = {(r.team, r.n): r.admitted for r in quota.quota(df, "team", "n", "size", 100).collect()}
     assert got == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("b", 1): False}
 
 
