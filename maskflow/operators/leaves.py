@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import substitute
+from ..functions import spans, substitute
 
 MOST_DEPTH = 64
 LEAVES = "leaf_no int, path string, text string"
@@ -143,36 +143,132 @@ def _parsed(text: str) -> dict:
     return body
 
 
-def _walk(text: str) -> list[tuple[str, str]]:
-    found: list[tuple[str, str]] = []
+NODE = "struct<state:string,path:string,depth:int,raw:string,kind:string>"
+KID = "struct<key:string,raw:string,kind:string>"
+#: Steps within which every payload that is not refused is walked: a level of content takes three, a tree's level one.
+STEPS = 4 * MOST_DEPTH + 16
 
-    def put(path, t):
-        found.append((path, t))
-        return t
 
-    rewrite(_parsed(text), put)
-    return found
+def _kind(v: Column) -> Column:
+    """s, o, a, n or x: a string, object, array, null or other scalar."""
+    schema = F.schema_of_variant(v)
+    return F.when(schema == "STRING", "s").when(schema.startswith("OBJECT"), "o").when(schema.startswith("ARRAY"), "a").when(v.isNull() | F.is_variant_null(v), "n").otherwise("x")
+
+
+def _kids(raw: Column, kind: Column) -> Column:
+    """Members of an object or elements of an array, in their order: strings as they are, anything else as JSON. The
+    values are parsed twice, as text, which keeps the order of what is nested in them, and as variants for their kind."""
+    empty = F.array().cast(f"array<{KID}>")
+    one = lambda key, text, v: F.struct(key.alias("key"), text.alias("raw"), _kind(v).alias("kind"))
+    entries = spans.let(F.map_entries(F.from_json(raw, "map<string,variant>")), lambda vs: F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e, i: one(e["key"], e["value"], F.get(vs, i)["value"])))
+    elements = spans.let(F.from_json(raw, "array<variant>"), lambda vs: F.transform(F.from_json(raw, "array<string>"), lambda e, i: one(F.lit(None).cast("string"), e, F.get(vs, i))))
+    return F.coalesce(F.when(kind == "o", entries).when(kind == "a", elements), empty)
+
+
+def _field(kids: Column, name: str) -> Column:
+    """A member by name, null if there is none; of several the last."""
+    return F.try_element_at(F.filter(kids, lambda k: k["key"] == name), F.lit(-1))
+
+
+def _node(state: str, path: Column, depth: Column, kid: Column) -> Column:
+    return F.struct(F.lit(state).alias("state"), path.alias("path"), depth.cast("int").alias("depth"), kid["raw"].alias("raw"), kid["kind"].alias("kind"))
+
+
+def _nodes(*some: tuple[Column, Column]) -> Column:
+    """The nodes whose condition holds."""
+    none = F.array().cast(f"array<{NODE}>")
+    return F.concat(*[F.when(F.coalesce(cond, F.lit(False)), F.array(node)).otherwise(none) for cond, node in some])
+
+
+def _numbered(path: Column, i: Column) -> Column:
+    return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
+
+
+def _called(path: Column, holder: Column, name: str) -> Column:
+    """The arguments of the call under ``name`` in a holder's members."""
+    call = _field(holder, name)
+    inner = F.when(call["kind"] == "o", _kids(call["raw"], call["kind"]))
+    return spans.let(_field(inner, "arguments"), lambda a: _nodes((a.isNotNull(), _node("arguments", F.concat(path, F.lit(".arguments")), F.lit(0), a))))
+
+
+def _step(n: Column) -> Column:
+    """What takes a node's place: the nodes below it, a leaf, a refusal, or nothing."""
+    none = F.array().cast(f"array<{NODE}>")
+    path, depth, kind = n["path"], n["depth"], n["kind"]
+    leaf, bad = _nodes((F.lit(True), _node("leaf", path, depth, n))), _nodes((F.lit(True), _node("bad", path, depth, n)))
+    at = lambda name: F.concat(path, F.lit(f".{name}"))
+    under = lambda kids, name, state, d: (_field(kids, name).isNotNull(), _node(state, at(name), d, _field(kids, name)))
+
+    def message(kids):
+        content = _field(kids, "content")
+        calls = F.when(_field(kids, "tool_calls")["kind"] == "a", _kids(_field(kids, "tool_calls")["raw"], F.lit("a")))
+        called = F.flatten(F.transform(F.coalesce(calls, F.array().cast(f"array<{KID}>")), lambda c, j: _called(_numbered(at("tool_calls"), j), _kids(c["raw"], c["kind"]), "function")))
+        return F.concat(_nodes((content.isNotNull(), _node("content", at("content"), F.lit(0), content))), called, _called(at("function_call"), kids, "function_call"))
+
+    def typed(kids, table):
+        kind_of = _field(kids, "type")
+        out = None
+        for name, places in table.items():
+            deeper = {"source": depth, "tree": F.lit(0), "content": depth + 1, "plain": depth + 1}
+            nodes = _nodes(*[under(kids, f, how, deeper[how]) for f, how in places.items()])
+            hit = F.coalesce((kind_of["kind"] == "s") & (kind_of["raw"] == name), F.lit(False))
+            out = F.when(hit, nodes) if out is None else out.when(hit, nodes)
+        return out.otherwise(none)
+
+    def content():
+        blocks = F.transform(F.filter(F.transform(_kids(n["raw"], kind), lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: x["k"]["kind"] == "o"), lambda x: _node("block", _numbered(path, x["i"]), depth, x["k"]))
+        return F.when(depth > MOST_DEPTH, bad).when(kind == "s", F.when(n["raw"] != "", leaf).otherwise(none)).when(kind == "a", blocks).when(kind == "o", _nodes((F.lit(True), _node("block", path, depth, n)))).otherwise(none)
+
+    def tree():
+        below = F.transform(_kids(n["raw"], kind), lambda k, i: _node("tree", F.when(kind == "a", _numbered(path, i)).otherwise(F.concat(path, F.lit("."), k["key"])), depth + 1, k))
+        return F.when(depth > MOST_DEPTH, bad).when(kind == "s", leaf).when(kind.isin("a", "o"), below).otherwise(none)
+
+    def arguments():
+        parsed = F.try_parse_json(n["raw"])
+        inner = lambda p: F.struct(F.when(_kind(p) == "s", F.try_variant_get(p, "$", "string")).otherwise(n["raw"]).alias("raw"), _kind(p).alias("kind"))
+        text = F.when(parsed.isNull(), leaf).otherwise(spans.let(inner(parsed), lambda k: _nodes((k["kind"].isin("s", "a", "o"), _node("tree", path, F.lit(0), k)))))
+        return F.when(kind == "s", text).when(kind.isin("a", "o"), _nodes((F.lit(True), _node("tree", path, F.lit(0), n)))).when(kind == "n", none).otherwise(bad)
+
+    own = lambda body: spans.let(_kids(n["raw"], kind), body)
+    return (
+        F.when(n["state"].isin("leaf", "bad"), F.array(n)).when(n["state"] == "tree", tree()).when(n["state"] == "content", content()).when(n["state"] == "plain", F.when(kind == "s", leaf).otherwise(none)).when(n["state"] == "arguments", arguments())
+        .when(kind != "o", none).when(n["state"] == "message", own(message)).when(n["state"] == "block", own(lambda k: typed(k, BLOCKS))).otherwise(own(lambda k: typed(k, SOURCES)))
+    )
+
+
+def leaf_nodes(body: Column) -> Column:
+    """array<struct<state,path,depth,raw,kind>> of a request: its leaves (state leaf, text in raw) in the order in which
+    they are masked; with a node of the state bad it can't be masked whole. Null for what is no request.
+
+    The walk is a loop in one expression: each step puts the nodes below it in a node's place, which keeps the order,
+    until only leaves are left. Nothing is exploded or shuffled, and no Python runs."""
+    v = F.try_parse_json(body)
+    zero = lambda k: (k["kind"] == "x") & ((k["raw"] == "false") | (k["raw"].try_cast("double") == 0))
+
+    def begin(kids):
+        ms, system = _field(kids, "messages"), _field(kids, "system")
+        absent = ms.isNull() | (ms["kind"] == "n") | ((ms["kind"] == "s") & (ms["raw"] == "")) | zero(ms) | ((ms["kind"] == "o") & (F.size(_kids(ms["raw"], ms["kind"])) == 0))
+        messages = F.transform(_kids(ms["raw"], ms["kind"]), lambda m, i: _node("message", _numbered(F.lit("messages"), i), F.lit(0), m))
+        rest = _nodes((system.isNotNull(), _node("content", F.lit("system"), F.lit(0), system)))
+        none = F.array().cast(f"array<{NODE}>")
+        return F.when(F.coalesce(ms["kind"] == "a", F.lit(False)), F.concat(messages, rest)).when(F.coalesce(absent, F.lit(False)), F.concat(none, rest))
+
+    first = F.when(_kind(v) == "o", spans.let(_kids(body, F.lit("o")), begin))
+    walked = lambda acc: F.exists(acc, lambda n: ~n["state"].isin("leaf", "bad"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, lambda acc, _: F.when(walked(acc), F.flatten(F.transform(acc, _step))).otherwise(acc))
 
 
 def request_leaves(requests: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
     """key, leaf_no, path, text, error: the texts of JSON payloads in the order in which they are masked. A payload
-    that is no JSON object, nested too deeply, or has tool arguments of no known form gives one row with an error; a
-    null one has no leaves. The payload type is recursive, which no Spark schema holds, so an Arrow function walks
-    it."""
-    kind = dict(requests.dtypes)[key]
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    rows += [(k, i, p, x, None) for i, (p, x) in enumerate(_walk(t or "{}"))]
-                except BadPayload:
-                    rows.append((k, None, None, None, "E_BAD_REQUEST"))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=[key, "leaf_no", "path", "text", "error"])
-
-    return requests.select(key, body).mapInArrow(run, f"`{key}` {kind}, leaf_no int, path string, text string, error string")
+    that is no JSON object, nested too deeply, with a key that stands twice, or with tool arguments of no known form
+    gives one row with an error; a null or empty one has no leaves. Native; see ``leaf_nodes``."""
+    d = requests.select(F.col(f"`{key}`").alias(key), leaf_nodes(F.coalesce(F.nullif(F.col(f"`{body}`"), F.lit("")), F.lit("{}"))).alias("_nodes"))
+    bad = F.col("_nodes").isNull() | F.exists("_nodes", lambda n: n["state"] == "bad")
+    one = lambda no, path, text, error: F.struct(no.cast("int").alias("leaf_no"), path.cast("string").alias("path"), text.cast("string").alias("text"), error.cast("string").alias("error"))
+    none = F.lit(None)
+    rows = F.when(bad, F.array(one(none, none, none, F.lit("E_BAD_REQUEST")))).otherwise(F.transform("_nodes", lambda n, i: one(i, n["path"], n["raw"], none)))
+    # an outer explode, as for an inner one the planner would walk every payload once more to filter on the size
+    return d.select(F.col(f"`{key}`"), F.explode_outer(rows).alias("_leaf")).where("_leaf is not null").select(F.col(f"`{key}`"), "_leaf.*")
 
 
 def _put(pairs: list | None, reverse: bool) -> Callable[[str, str], str]:
