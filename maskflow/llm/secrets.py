@@ -21,6 +21,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MIXED = r"^(?=.*[0-9])(?=.*[A-Za-z])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
+#: Least characters of what a base span leaves of an entropy span.
+LEAST_PART = 8
 #: Matches whose offsets are counted up together.
 STRIDE = 128
 #: Least bits of a window by character class of the candidate.
@@ -138,8 +140,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     by start and kind.
 
     _base holds the three fixed rules, each leftmost and non-overlapping, failing matches dropped. _extra holds
-    the parts outside base spans of the entropy spans of candidates that are not allow-listed. Null text counts as empty; empty
-    texts and tables give no spans; repeated rows are scanned one by one; other columns pass through, but one that is
+    the parts outside base spans, of LEAST_PART characters or more, of the entropy spans of candidates that are not
+    allow-listed. Null text counts as empty; empty texts and tables give no spans; repeated rows are scanned one by one; other columns pass through, but one that is
     named like an added column gives way to it."""
     docs = plain(docs, "_base", "_extra")
     t_, likely_, high_ = unused(docs, "_t", "_likely", "_high")
@@ -153,7 +155,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn(likely_, likely)
     high = F.flatten(F.transform(likely_, lambda x: F.transform(entropy_spans(x["m"]), lambda h: F.struct((x["start"] + h["lo"]).alias("start"), (x["start"] + h["hi"]).alias("stop")))))
     d = d.withColumn(high_, high)
-    parts = F.flatten(F.transform(high_, lambda x: outside(x, F.col("_base"))))
+    parts = F.filter(F.flatten(F.transform(high_, lambda x: outside(x, F.col("_base")))), lambda x: x["stop"] - x["start"] >= LEAST_PART)
     d = d.withColumn("_extra", F.transform(parts, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("ord"), x["stop"].alias("stop"), F.lit("entropy").alias("kind"))))
     return d.drop(t_, likely_, high_)
 

@@ -17,15 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, plain, table, text_batches, written
+from .common import fresh_path, plain, table, text_batches, unused, written
 
-#: Distinct words whose ids a worker remembers, and the longest one that it does.
-CACHED_WORDS, CACHED_CHARS = 500_000, 64
+#: Bytes of words and their ids that a worker remembers, twice; what an entry takes besides; and the longest word.
+CACHED_BYTES, ENTRY_BYTES, CACHED_CHARS = 64 << 20, 200, 64
 #: Characters of text that are split into words at once.
 AT_ONCE = 4_000_000
 CAPACITY = 4096
-#: Pieces that one packing task takes; tasks pack on their own.
-GROUP_PIECES = 100_000
 #: Ids of one file.
 SHARD_IDS = 4_000_000
 #: Documents of a file that are read at once.
@@ -70,7 +68,7 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.model = self.tokenizer.model
         self.model._resize_cache(0)  # the words that get there are new
-        self.known, self.old, self.after = {}, {}, {}
+        self.known, self.old, self.after, self.held = {}, {}, {}, 0
 
     @classmethod
     def of(cls, path: str, special_as_text: bool = False) -> "Encoder":
@@ -131,14 +129,16 @@ class Encoder:
                         ids = self.word(core)
                         if len(core) <= CACHED_CHARS:
                             known[core] = ids
+                            self.held += len(core) + len(ids) + ENTRY_BYTES
                     ids += self.marks(unit[len(core) :])
                 else:
                     ids = self.word(unit)
             out[k] = ids
             if len(unit) <= CACHED_CHARS:
                 known[unit] = ids
-        if len(known) > CACHED_WORDS:
-            self.known, self.old = {}, known
+                self.held += len(unit) + len(ids) + ENTRY_BYTES
+        if self.held > CACHED_BYTES:
+            self.known, self.old, self.held = {}, known, 0
         return out
 
     def marks(self, marks: str) -> bytes:
@@ -223,84 +223,178 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-class Gaps:
-    """Open bins by free room; the tightest one that fits is found by a bit set over rooms."""
+class Plan:
+    """Bins for items of which only the number of each length is known, by large-item matching.
 
-    def __init__(self, capacity: int):
-        self.at: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.mask = 0
+    Items above a third of the capacity are matched, at most two to a bin: those above a half open a bin each, the
+    others go from the largest down to the tightest such bin, and what is left pairs up. Smaller items then go, from the
+    largest down, to the tightest gap, or open a bin. Items of one length are alike, and so are bins of one room, so
+    each step places as many as there are at once: the plan has a row for a run of items and bins and not for each."""
 
-    def add(self, room: int, which: int) -> None:
-        if room:
-            self.at[room].append(which)
+    def __init__(self, counts: np.ndarray, capacity: int = CAPACITY):
+        self.capacity, self.n = capacity, 0
+        self.rows: list[tuple[int, int, int, int]] = []  # length, number of the first item of it, first bin, offset
+        self.done = [0] * (capacity + 1)
+        self.gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room: (first bin, bins)
+        self.mask = 0
+        sizes = [(int(s), int(counts[s])) for s in np.flatnonzero(counts)[::-1].tolist()]
+        for size, c in (x for x in sizes if 2 * x[0] > capacity):
+            self._open(size, c, 1)
+        self._matched([x for x in sizes if 2 * x[0] <= capacity < 3 * x[0]])
+        for size, c in (x for x in sizes if 3 * x[0] <= capacity):
+            self._filled(size, c)
+
+    def _place(self, size: int, bins: int, first: int, offset: int) -> None:
+        """One item more in each of some bins that follow each other."""
+        self.rows.append((size, self.done[size], first, offset))
+        self.done[size] += bins
+
+    def _free(self, room: int, first: int, bins: int) -> None:
+        if room and bins:
+            self.gaps[room].append((first, bins))
             self.mask |= 1 << room
 
-    def take(self, need: int) -> tuple[int, int] | None:
+    def _tightest(self, need: int) -> tuple[int, int, int] | None:
+        """Room, first bin and number of some bins with the least room that is enough, which are then taken."""
         above = self.mask >> need
         if not above:
             return None
         room = need + (above & -above).bit_length() - 1
-        which = self.at[room].pop()
-        if not self.at[room]:
+        first, bins = self.gaps[room].pop()
+        if not self.gaps[room]:
             self.mask &= ~(1 << room)
-        return room, which
+        return room, first, bins
+
+    def _into(self, size: int, c: int, each: int, room: int, first: int, bins: int) -> int:
+        """Puts up to ``each`` items into each bin; the number of items that are left."""
+        full, rest = min(bins, c // each), 0
+        for j in range(each if full else 0):
+            self._place(size, full, first, self.capacity - room + j * size)
+        self._free(room - each * size, first, full)
+        c -= full * each
+        if c and full < bins:
+            rest, c = c, 0
+            for j in range(rest):
+                self._place(size, 1, first + full, self.capacity - room + j * size)
+            self._free(room - rest * size, first + full, 1)
+            full += 1
+        self._free(room, first + full, bins - full)
+        return c
+
+    def _open(self, size: int, c: int, each: int) -> None:
+        bins = -(-c // each)
+        first, self.n = self.n, self.n + bins
+        if bins:
+            self._into(size, c, each, self.capacity, first, bins)
+
+    def _matched(self, sizes: list[tuple[int, int]]) -> None:
+        met: list[tuple[int, int, int]] = []  # bins with two items: they stay out until all large items are placed
+        alone = None  # the bin of an item that waits for a second one, and its room
+        for size, c in sizes:
+            while c and (hit := self._tightest(size)):
+                room, first, bins = hit
+                m = min(c, bins)
+                self._place(size, m, first, self.capacity - room)
+                met.append((room - size, first, m))
+                self._free(room, first + m, bins - m)
+                c -= m
+            if c and alone:
+                which, room = alone
+                self._place(size, 1, which, self.capacity - room)
+                met.append((room - size, which, 1))
+                alone, c = None, c - 1
+            pairs = c // 2
+            if pairs:
+                self._place(size, pairs, self.n, 0)
+                self._place(size, pairs, self.n, size)
+                met.append((self.capacity - 2 * size, self.n, pairs))
+                self.n += pairs
+            if c % 2:
+                self._place(size, 1, self.n, 0)
+                alone, self.n = (self.n, self.capacity - size), self.n + 1
+        for room, first, bins in met + ([(alone[1], alone[0], 1)] if alone else []):
+            self._free(room, first, bins)
+
+    def _filled(self, size: int, c: int) -> None:
+        while c and (hit := self._tightest(size)):
+            c = self._into(size, c, hit[0] // size, *hit)
+        if c:
+            self._open(size, c, self.capacity // size)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Length, first number, first bin and offset of the runs, by length and number."""
+        t = np.array(self.rows, np.int64).reshape(-1, 4)
+        return tuple(t[np.lexsort((t[:, 1], t[:, 0]))].T)
+
+
+class Places:
+    """Where the k-th item of a length goes."""
+
+    def __init__(self, table: tuple[np.ndarray, ...]):
+        self.length, self.number, self.bin, self.offset = table
+        self.starts = np.searchsorted(self.length, np.arange(int(self.length[-1]) + 2 if len(self.length) else 1))
+
+    def of(self, length: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.zeros(len(length), np.int64)
+        for size in np.unique(length).tolist():
+            own = np.flatnonzero(length == size)
+            a, z = self.starts[size], self.starts[size + 1]
+            at[own] = a + np.searchsorted(self.number[a:z], k[own], "right") - 1
+        return self.bin[at] + k - self.number[at], self.offset[at]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item. Items above a third of the capacity are matched, at most two to a bin: those
-    above a half open a bin each, the others go from the largest down to the tightest such bin, and what is left
-    pairs up. Smaller items then go, from the largest down, to the tightest gap, or open a bin."""
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    sizes = lengths[order].tolist()
-    gaps, singles, n = Gaps(capacity), Gaps(capacity), 0
-    rooms: dict[int, int] = {}
-    alone = None
-    for item, size in zip(order.tolist(), sizes):
-        if 2 * size > capacity:
-            bins[item], n = n, n + 1
-            singles.add(capacity - size, n - 1)
-            rooms[n - 1] = capacity - size
-        elif 3 * size > capacity:
-            if hit := singles.take(size):
-                room, which = hit
-                bins[item], offsets[item] = which, capacity - room
-                rooms[which] = room - size
-            elif alone is not None:
-                bins[item], offsets[item] = alone, capacity - rooms[alone]
-                rooms[alone] -= size
-                alone = None
-            else:
-                bins[item], n = n, n + 1
-                rooms[n - 1], alone = capacity - size, n - 1
-        else:
-            if rooms:
-                for which, room in rooms.items():
-                    gaps.add(room, which)
-                rooms = {}
-            room, which = gaps.take(size) or (capacity, n)
-            n += which == n
-            bins[item], offsets[item] = which, capacity - room
-            gaps.add(room - size, which)
-    return bins, offsets
-
-
-def packed(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces. Pieces are dealt evenly, whatever their document,
-    to groups of about ``group_pieces``, and each group is packed by one task: a group wastes part of one bin. Other
-    columns pass through, but those named like the added ones give way; an empty table gives an empty result."""
-    parts = plain(parts, "sequence_id", "offset", "_group")
-    n = max(1, -(-parts.count() // group_pieces))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
-
-    def run(t: pa.Table) -> pa.Table:
-        first = t.column(0).to_numpy(zero_copy_only=False) if not t.column(0).null_count else np.zeros(t.num_rows)
-        t = t.take(pa.array(np.lexsort((t.column("start").to_numpy(), first))))
-        bins, offsets = pack(t.column("length").to_numpy(), capacity)
-        group = t.column("_group").to_numpy()
-        return t.drop_columns(["_group"]).append_column("sequence_id", pa.array((group << 32) + bins)).append_column("offset", pa.array(offsets))
-
-    return dealt.groupBy("_group").applyInArrow(run, ", ".join(f"`{c}` {k}" for c, k in parts.dtypes) + ", sequence_id long, offset long")
+    """Bin and offset of each item."""
+    order = np.argsort(lengths, kind="stable")
+    s = lengths[order]
+    k = np.empty(len(s), np.int64)
+    k[order] = np.arange(len(s)) - np.searchsorted(s, s)
+    return Places(Plan(np.bincount(lengths, minlength=capacity + 1), capacity).table()).of(lengths, k)
+
+
+def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id and offset to a written table of pieces; all are packed together, however many there are.
+
+    Pieces of one length are alike, so the bins of all are planned from the number of pieces of each length, of which
+    there are at most ``capacity``. Which of a length a piece is, is its number in its task plus those of the tasks
+    before it: tasks write their numbers down, counts by task and length are added up along the tasks, and an equi-join
+    brings the sums back. So no piece has to meet another one; the driver gets the counts and the plan's runs, a few
+    for each pair of lengths at most. Other columns pass through, but those named like the added ones give way; an
+    empty table gives an empty result."""
+    parts = plain(parts, "sequence_id", "offset")
+    columns, kinds = parts.columns, dict(parts.dtypes)
+    task, nth, before, n = unused(parts, "_task", "_nth", "_before", "_n")
+    at = columns.index("length")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+
+    def numbered(batches):
+        met, own = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for b in batches:
+            length = b.column(at).to_numpy()
+            order = np.argsort(length, kind="stable")
+            s = length[order]
+            k = np.empty(len(s), np.int64)
+            k[order] = met[s] + np.arange(len(s)) - np.searchsorted(s, s)
+            met += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(s), own, np.int32)), pa.array(k)], names=[*columns, task, nth])
+
+    rows = written(parts.mapInArrow(numbered, f"{schema}, `{task}` int, `{nth}` long"), "numbered")
+    counts = rows.groupBy(task, "length").agg(F.count("*").alias(n))
+    total = np.zeros(capacity + 1, np.int64)
+    for r in counts.groupBy("length").agg(F.sum(n).alias("n")).collect():
+        total[r.length] = r.n
+    sent = parts.sparkSession.sparkContext.broadcast(Plan(total, capacity).table())
+    earlier = Window.partitionBy("length").orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(task, "length", F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    out = rows.join(sums, [task, "length"]).select(*[F.col(f"`{c}`") for c in columns], (F.col(nth) + F.col(before)).alias(nth))
+
+    def placed(batches):
+        places = Places(sent.value)
+        for b in batches:
+            which, offset = places.of(b.column(at).to_numpy(), b.column(len(columns)).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(which), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+
+    return out.mapInArrow(placed, f"{schema}, sequence_id long, offset long")
 
 
 def op4_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

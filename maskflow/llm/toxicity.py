@@ -254,6 +254,8 @@ def fit_on_training_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> I
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and as evidence the neighbours that voted, nearest first, as example:cosine:label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    s = scored(docs, fit_on_training_rows(spark, docs, sf_dir))
-    return s.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    s = scored(docs, fit_on_training_rows(spark, docs, sf_dir), evidence=True)
+    shown = F.array_join(F.transform("_evidence", lambda e: F.concat_ws(":", e["example"], F.format_number(e["cosine"], 4), e["label"].cast("string"))), ",")
+    return s.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), shown.alias("evidence"))
