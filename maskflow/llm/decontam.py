@@ -95,11 +95,12 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, most: int):
     for i, t in bench.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         if t is None:
             continue
-        if part and held + len(t) > most:
+        size = len(t.encode("utf-8", "surrogatepass"))
+        if part and held + size > most:
             yield part
             part, held = [], 0
         part.append((i or "", t))
-        held += len(t)
+        held += size
     if part:
         yield part
 
