@@ -60,7 +60,7 @@ def by_priority(found: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["f"])
 
 
-def _reach(stops: Column) -> Column:
+def reach(stops: Column) -> Column:
     """For each place of an array of numbers the largest before it, 0 at first; in strides, as ``matches`` does."""
     strides = F.transform(F.sequence(F.lit(0), F.size(stops) - 1, F.lit(STRIDE)), lambda at: F.slice(stops, at + 1, STRIDE))
     zero = lambda at: F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
@@ -75,7 +75,7 @@ def _chains(found: Column) -> Column:
     ordered = F.transform(F.array_sort(F.transform(found, lambda f: F.struct(f["start"].alias("s"), f.alias("f")))), lambda k: k["f"])
 
     def cut(o):
-        firsts = let(_reach(F.transform(o, lambda f: f["stop"])), lambda reach: F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i)["start"] >= F.get(reach, i))))
+        firsts = let(reach(F.transform(o, lambda f: f["stop"])), lambda ends: F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i)["start"] >= F.get(ends, i))))
         return let(firsts, lambda at: F.transform(at, lambda a, k: F.slice(o, a + 1, F.coalesce(F.get(at, k + 1), F.size(o)) - a)))
 
     return let(ordered, lambda o: F.when(F.size(o) > 0, cut(o)).otherwise(F.array().cast(f"array<{FINDING}>")))

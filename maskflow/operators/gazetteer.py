@@ -35,41 +35,29 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
 
 
-def _before(pieces: str, words_: str, gaps: Column, n: Column) -> Column:
-    """Code points of the first ``gaps`` pieces between words and the first ``n`` words."""
-    total = lambda c, k: F.aggregate(F.slice(c, 1, k), F.lit(0), lambda acc, x: acc + F.length(x))
-    return total(pieces, gaps) + total(words_, n)
-
-
 def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", longest: int | None = None, lemma=F.lower) -> DataFrame:
     """key, label, start, stop, how: each occurrence of a term, overlaps included. ``key`` is carried along; it need
-    not tell rows apart unless there are more than BROADCAST_TERMS terms.
+    not tell rows apart.
 
-    Words that no term begins with are dropped as soon as they are made. Those that stay take as many words as the
-    terms that begin so have, and are joined to the terms by equality, so cost does not grow with the number of terms.
-    Up to BROADCAST_TERMS terms are broadcast, and then a row is neither moved nor joined back: its hits get their
-    offsets on the spot. More terms are joined by a shuffle of the words, and the offsets by a join on ``key``. A
-    caller may leave out terms of more than ``longest`` words."""
+    Words get their offsets once, and each goes on with as many words after it as the longest term has, not with its
+    text. Words that no term begins with are dropped next; those that stay are joined to the terms by equality, so
+    cost does not grow with the number of terms, and a text costs as much as it has words. Up to BROADCAST_TERMS terms
+    are broadcast, and then a row is not moved; more are joined by a shuffle of the words. A caller may leave out terms
+    of more than ``longest`` words."""
     table = terms.select("seq", "label", F.size("seq").alias("n"))
     table = table if longest is None else table.where(F.col("n") <= longest)
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else lambda t: t.hint("merge")
+    most = int(table.agg(F.max("n")).first()[0] or 1)
+    hint = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda t: t.hint("merge")
     firsts = hint(table.groupBy(F.get("seq", F.lit(0)).alias("_x")).agg(F.collect_set("n").alias("_lengths")))
     names, single = hint(table.select(F.col("seq").alias("_seq"), "label")), hint(table.where("n = 1").select(F.get("seq", F.lit(0)).alias("_x"), "label"))
-    d = df.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    whole = d.select(key, words(F.col("_t")).alias("_w"), F.split("_t", F.lit(r"(?U)\w+"), -1).alias("_p"))
-    carried = [key, "_w", "_p"] if small else [key, "_w"]
-    each = whole.select(*carried, F.posexplode_outer("_w").alias("_i", "_word")).where("_word is not null")  # outer: see detect.exploded
-    begun = each.select(*carried, "_i", lemma(F.col("_word")).alias("_x")).join(firsts, "_x").select(*carried, "_i", F.explode("_lengths").alias("_n"))
-    begun = begun.where(F.col("_i") + F.col("_n") <= F.size("_w")).withColumn("_seq", F.transform(F.slice("_w", F.col("_i") + 1, F.col("_n")), lambda x: lemma(x)))
-    found = begun.join(names, "_seq").select(*carried, "_i", "_n", "label", F.lit(0).alias("_a"), F.lit(None).cast("int").alias("_b"))
+    told = lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), w["text"].alias("text"), lemma(w["text"]).alias("x"))
+    runs = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.slice(ws, i + 1, most).alias("run")))
+    d = df.select(key, spans.let(F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), told), runs).alias("_r"))
+    each = d.select(key, F.explode_outer("_r").alias("_r")).where("_r is not null").select(key, "_r.w", "_r.run", F.col("_r.w.x").alias("_x"))  # outer: see detect.exploded
+    begun = each.join(firsts, "_x").select(key, "w", "run", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.size("run"))
+    begun = begun.select(key, F.col("w.start").alias("start"), F.get("run", F.col("_n") - 1)["stop"].alias("stop"), F.transform(F.slice("run", F.lit(1), F.col("_n")), lambda w: w["x"]).alias("_seq"))
+    found = begun.join(names, "_seq").select(key, "label", "start", "stop", F.lit("term").alias("how"))
     # only words that hold a change of case, a digit, a dash or an underscore can have parts
-    parts = each.where(F.col("_word").rlike("[a-z0-9][A-Z]|[A-Z]{2}[a-z0-9]|[^A-Za-z]")).select(*carried, "_i", identifier_parts(F.col("_word")).alias("_q")).where("size(_q) > 1")
-    parts = parts.select(*carried, "_i", F.explode_outer("_q").alias("_q")).select(*carried, "_i", lemma(F.col("_q.text")).alias("_x"), F.col("_q.start").alias("_a"), F.col("_q.stop").alias("_b"))
-    found = found.union(parts.join(single, "_x").select(*carried, "_i", F.lit(1).alias("_n"), "label", "_a", "_b"))
-    if not small:
-        found = found.drop("_w").join(whole, key)
-    before = _before("_p", "_w", F.col("_i") + 1, F.col("_i"))
-    stop = _before("_p", "_w", F.col("_i") + F.col("_n"), F.col("_i") + F.col("_n"))
-    inside = F.col("_b").isNotNull()
-    return found.select(key, "label", (before + F.col("_a")).alias("start"), F.when(inside, before + F.col("_b")).otherwise(stop).alias("stop"), F.when(inside, "identifier").otherwise("term").alias("how"))
+    parts = each.where(F.col("w.text").rlike("[a-z0-9][A-Z]|[A-Z]{2}[a-z0-9]|[^A-Za-z]")).select(key, "w", identifier_parts(F.col("w.text")).alias("_q")).where("size(_q) > 1")
+    parts = parts.select(key, "w", F.explode_outer("_q").alias("_q")).select(key, lemma(F.col("_q.text")).alias("_x"), (F.col("w.start") + F.col("_q.start")).alias("start"), (F.col("w.start") + F.col("_q.stop")).alias("stop"))
+    return found.union(parts.join(single, "_x").select(key, "label", "start", "stop", F.lit("identifier").alias("how")))

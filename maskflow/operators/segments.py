@@ -25,29 +25,35 @@ def _code(body: Column, at: Column) -> Column:
     blocks = spans.matches(body, BLOCK_COMMENT, 0, body.contains("/*"))
     lines = F.filter(spans.matches(body, LINE_COMMENT, 0, body.rlike("//|#")), lambda x: ~F.exists(blocks, lambda b: (b["start"] <= x["start"]) & (x["start"] < b["stop"])))
     comments = F.array_sort(F.transform(F.concat(blocks, lines), lambda c: F.struct(c["start"].alias("a"), c["stop"].alias("b"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SEGMENT).alias("out"))
+    none = F.array().cast(SEGMENT)
+    code = lambda a, b: F.when(a < b, F.array(_segment("CODE", at + a, at + b))).otherwise(none)
 
-    def step(acc, c):
-        a = F.greatest(c["a"], acc["at"])
-        more = F.concat(acc["out"], F.when(a > acc["at"], F.array(_segment("CODE", at + acc["at"], at + a))).otherwise(F.array().cast(SEGMENT)), F.array(_segment("COMMENT", at + a, at + c["b"])))
-        return F.when(c["b"] <= acc["at"], acc).otherwise(F.struct(c["b"].alias("at"), more.alias("out")))
+    def clipped(cs):
+        """What comments leave of each other, with the code before each; ``reach`` is where those before it end."""
+        one = lambda c, reach: F.when(c["b"] > reach, F.concat(code(reach, F.greatest(c["a"], reach)), F.array(_segment("COMMENT", at + F.greatest(c["a"], reach), at + c["b"])))).otherwise(none)
+        own = spans.let(spans.reach(F.transform(cs, lambda c: c["b"])), lambda r: F.flatten(F.transform(cs, lambda c, i: one(c, F.get(r, i)))))
+        return F.concat(own, code(F.array_max(F.transform(cs, lambda c: c["b"])), F.length(body)))
 
-    return F.aggregate(comments, zero, step, lambda acc: F.when(acc["at"] < F.length(body), F.concat(acc["out"], F.array(_segment("CODE", at + acc["at"], at + F.length(body))))).otherwise(acc["out"]))
+    return spans.let(comments, lambda cs: F.when(F.size(cs) > 0, clipped(cs)).otherwise(code(F.lit(0), F.length(body))))
 
 
 def segments(text: Column) -> Column:
     """array<struct<kind,start,stop>> that tile the text: fenced bodies are CODE and COMMENT, all else, the fences
     included, is PROSE. An unclosed fence is prose."""
     fences = spans.matches(text, FENCE, 0, text.contains("```"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SEGMENT).alias("out"))
+    none = F.array().cast(SEGMENT)
+    prose = lambda a, b: F.when(a < b, F.array(_segment("PROSE", a, b))).otherwise(none)
 
-    def step(acc, m):
+    def fenced(m, before):
         head = F.length(F.regexp_extract(m["text"], FENCE_HEAD, 0))
         body = F.call_function("substring", m["text"], head + 1, F.length(m["text"]) - head - 3)
-        before = F.when(m["start"] > acc["at"], F.array(_segment("PROSE", acc["at"], m["start"]))).otherwise(F.array().cast(SEGMENT))
-        return F.struct(m["stop"].alias("at"), F.concat(acc["out"], before, F.array(_segment("PROSE", m["start"], m["start"] + head)), _code(body, m["start"] + head), F.array(_segment("PROSE", m["stop"] - 3, m["stop"]))).alias("out"))
+        return F.concat(prose(before, m["start"]), F.array(_segment("PROSE", m["start"], m["start"] + head)), _code(body, m["start"] + head), F.array(_segment("PROSE", m["stop"] - 3, m["stop"])))
 
-    return F.aggregate(fences, zero, step, lambda acc: F.when(acc["at"] < F.length(text), F.concat(acc["out"], F.array(_segment("PROSE", acc["at"], F.length(text))))).otherwise(acc["out"]))
+    def tiled(ms):
+        own = F.flatten(F.transform(ms, lambda m, i: fenced(m, F.coalesce(F.get(ms, i - 1)["stop"], F.lit(0)))))
+        return F.concat(own, prose(F.coalesce(F.get(ms, F.size(ms) - 1)["stop"], F.lit(0)), F.length(text)))
+
+    return spans.let(fences, tiled)
 
 
 def detect_by_segment(df: DataFrame, text_col: str = "text", code_labels: list[str] | None = None, out: str = "findings") -> DataFrame:

@@ -87,10 +87,10 @@ def mask_documents(t):
     return mask.mask(_three(t("documents"))).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.size("pairs").cast("long").alias("n_pairs"))
 
 
-@query("SELECT doc_id, true AS same FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(text) AS back_sha256 FROM documents WHERE text IS NOT NULL")
 def roundtrip_check(t):
     d = mask.mask(_three(t("documents")).where("text is not null"))
-    return d.select("doc_id", (mask.reversed_(F.col("masked"), F.col("pairs")) == F.col("text")).alias("same"))
+    return d.select("doc_id", F.sha2(mask.reversed_(F.col("masked"), F.col("pairs")), 256).alias("back_sha256"))
 
 
 # literals that make each rule fire, on some documents
@@ -420,10 +420,10 @@ TERMS = ((1, "idiot", "REGULATED"), (2, "of the", "PRODUCT"), (3, "IN THE", "MAR
 _SQL_WORDS = r"w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: lower(x)) AS w FROM documents)"
 
 
-@query("SELECT unnest(['idiot', 'of the', 'in the', 'stupid']) AS term, unnest(['REGULATED', 'PRODUCT', 'MARK', 'REGULATED']) AS label, unnest([1, 2, 2, 1])::INT AS n")
+@query("""SELECT lower(lang || ' ' || source) AS term, arg_min(lang, doc_id) AS label, 2::INT AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL""")
 def gazetteer_terms(t):
-    spark = t("documents").sparkSession
-    return gazetteer.term_table(spark.createDataFrame(TERMS, "term_no int, term string, label string")).select(F.array_join("seq", " ").alias("term"), "label", "n")
+    terms = t("documents").where("lang is not null and source is not null").select(F.col("doc_id").alias("term_no"), F.concat(F.upper("lang"), F.lit(" - "), F.col("source")).alias("term"), F.col("lang").alias("label"))
+    return gazetteer.term_table(terms).select(F.array_join("seq", " ").alias("term"), "label", "n")
 
 
 @query(f"""WITH {_SQL_WORDS}, g AS (SELECT doc_id, w[i] AS a, w[i] || ' ' || w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
@@ -435,9 +435,9 @@ def gazetteer_hits(t):
     return gazetteer.hits(d, "doc_id", terms).where("how = 'term'").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, 2::BIGINT AS n FROM part")
+@query("SELECT p_partkey, p_partkey % 4 + 1 AS n FROM part")
 def identifier_hits(t):
-    d = t("part").select("p_partkey", F.concat(F.lit("class IdiotFactory"), F.col("p_partkey").cast("string"), F.lit("StupidThing")).alias("text"))
+    d = t("part").select("p_partkey", F.concat(F.lit("class "), F.expr("repeat('IdiotFactory_', cast(p_partkey % 4 as int))"), F.col("p_partkey").cast("string"), F.lit("StupidThing")).alias("text"))
     terms = gazetteer.term_table(d.sparkSession.createDataFrame(TERMS, "term_no int, term string, label string"))
     return gazetteer.hits(d, "p_partkey", terms).where("how = 'identifier'").groupBy("p_partkey").agg(F.countDistinct("start").alias("n"))
 
@@ -600,11 +600,15 @@ def unmask_events(t):
     return whole.select("doc_id", F.sha2(F.array_join(texts, ""), 256).alias("text_sha256"))
 
 
-@query("SELECT conv_id AS request_id, true AS same FROM conversations GROUP BY conv_id")
+@query("""SELECT conv_id AS request_id, sha256(string_agg(role || ':' || replace(replace(replace(text, 'thea', '[WORD_001]'), 'eaux', '[WORD_003]'), 'the', '[WORD_002]'), chr(10) ORDER BY turn)) AS masked_sha256, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS back_sha256
+FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations) GROUP BY conv_id""")
 def mask_messages(t):
     d = _bodies(t).withColumn("pairs", mask.rule_pairs(F.col("body"), [("thea", "[WORD_001]"), ("the", "[WORD_002]"), ("eaux", "[WORD_003]")]))
-    back = leaves.unmask_messages(leaves.mask_messages(d), "masked_body", "pairs")
-    return back.select("request_id", (F.to_json(F.from_json("unmasked_body", "messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")) == F.to_json(F.from_json("body", "messages array<struct<role:string,content:array<struct<type:string,text:string>>>>"))).alias("same"))
+    m = leaves.mask_messages(d)
+    back = leaves.unmask_messages(m, "masked_body", "pairs")
+    parsed = lambda c: F.from_json(c, "messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")["messages"]
+    said = lambda c: F.sha2(F.array_join(F.transform(parsed(c), lambda x: F.concat(x["role"], F.lit(":"), F.coalesce(x["content"][0]["text"], F.lit("")))), "\n"), 256)
+    return back.select("request_id", said("masked_body").alias("masked_sha256"), said("unmasked_body").alias("back_sha256"))
 
 
 @query("SELECT event_id, coalesce((props->>'$.k')::BIGINT, 0) AS prompt, 0::BIGINT AS completion FROM events")
@@ -613,10 +617,10 @@ def token_usage(t):
     return t("events").select("event_id", leaves.token_usage(body).alias("u")).select("event_id", "u.prompt", "u.completion")
 
 
-@query("SELECT event_id, 'Authorization,n' AS kept FROM events")
+@query("SELECT event_id, 'Authorization=' || user_id || ',n=' || event_type AS kept FROM events")
 def header_scrub(t):
-    h = F.create_map(F.lit("X-Corp-Auth"), F.lit("s"), F.lit("Authorization"), F.lit("b"), F.lit("n"), F.col("event_type"))
-    return t("events").select("event_id", F.array_join(F.map_keys(leaves.scrubbed_headers(h)), ",").alias("kept"))
+    h = F.create_map(F.lit("X-Corp-Auth"), F.lit("s"), F.lit("Authorization"), F.col("user_id").cast("string"), F.lit("n"), F.col("event_type"))
+    return t("events").select("event_id", F.array_join(F.transform(F.map_entries(leaves.scrubbed_headers(h)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("kept"))
 
 
 @query("SELECT event_id, 'r' || event_id AS request_id FROM events")
@@ -624,10 +628,12 @@ def request_id_resolve(t):
     return t("events").select("event_id", audit.request_id(F.concat(F.lit('{"id":"","metadata":{"request_id":"r'), F.col("event_id").cast("string"), F.lit('"}}'))).alias("request_id"))
 
 
-@query("SELECT doc_id, 'a' AS original, '[NAME_001]' AS placeholder FROM documents WHERE doc_id % 4 < 3")
+@query("SELECT doc_id, source || lang AS original, '[NAME_001]' AS placeholder FROM documents WHERE doc_id % 4 < 3")
 def oracle_pairs(t):
     forms = ['{"choices":[{"message":{"tool_calls":[{"function":{"arguments":"{\\"pairs\\":[{\\"original\\":\\"a\\",\\"replacement\\":\\"[NAME_001]\\"}]}"}}]}}]}', 'so: {"pairs":[{"original":"a","replacement":"[NAME_001]"}]} ok', "- `a` -> `[NAME_001]`", "no idea"]
-    d = t("documents").select("doc_id", F.element_at(F.array(*map(F.lit, forms)), (F.col("doc_id") % 4).cast("int") + 1).alias("answer"))
+    name = lambda x: F.replace(F.replace(F.lit(x), F.lit('\\"a\\"'), F.concat(F.lit('\\"'), F.col("source"), F.col("lang"), F.lit('\\"'))), F.lit('"a"'), F.concat(F.lit('"'), F.col("source"), F.col("lang"), F.lit('"')))
+    named = [F.replace(name(x), F.lit("`a`"), F.concat(F.lit("`"), F.col("source"), F.col("lang"), F.lit("`"))) for x in forms]
+    d = t("documents").select("doc_id", F.element_at(F.array(*named), (F.col("doc_id") % 4).cast("int") + 1).alias("answer"))
     return oracle.oracle_pairs(d).where("oracle_error is null").select("doc_id", F.explode("oracle_pairs").alias("p")).select("doc_id", "p.original", "p.placeholder")
 
 

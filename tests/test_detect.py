@@ -134,3 +134,25 @@ def test_offsets_of_many_matches(spark):
     got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(spans.matches(F.col("t"), "w[0-9]+").alias("m")).collect()
     assert [(x.start, x.stop, x.text) for x in got[0].m] == [(m.start(), m.end(), m[0]) for m in re.finditer("w[0-9]+", text)]
     assert got[1].m == [] and got[2].m == []
+
+
+def test_many_fences_and_comments(spark):
+    """Segments tile texts with hundreds of fences and comments, which may overlap."""
+    import random
+
+    from maskflow.operators import segments
+
+    rng = random.Random(7)
+    bits = ["# a\n", "// b\n", "/* c\n d */", "code ", "x /* # y */ z // w /* v\n", "\n", "'/*'"]
+    texts = ["prose " + "".join("```py\n" + "".join(rng.choice(bits) for _ in range(rng.randrange(12))) + "```" + rng.choice(["", "\nprose\n"]) for _ in range(n)) for n in (0, 1, 5, 200)] + ["```\n" + "# x\n" * 500 + "```", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for r in df.select("k", "text", segments.segments(F.col("text")).alias("s")).collect():
+        at = 0
+        for x in r.s:
+            assert x.start == at and x.stop >= x.start
+            at = x.stop
+            part = r.text[x.start : x.stop]
+            assert x.kind != "COMMENT" or part[:2] in ("//", "/*") or part[:1] == "#" or part.endswith("*/") or "//" in part or "#" in part
+        assert at == len(r.text)
+    many = [x.kind for x in df.where("k = 4").select(segments.segments(F.col("text")).alias("s")).first().s]
+    assert many.count("COMMENT") == 500

@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from maskflow.operators import gazetteer, mask, ner
+from maskflow.operators import audit, gazetteer, mask, ner
 from maskflow.operators.policy import PolicyError, seal
 from maskflow.sources import cached, files, profiles, sinks
 from maskflow.streaming import store
@@ -175,3 +175,13 @@ def test_entry_without_the_optional_part(tmp_path):
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
     (tmp_path / "maskflow" / "llm" / "catalog.py").write_text("import maskflow.nothing")
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=alone, capture_output=True).returncode
+
+
+def test_forbidden_keys_at_any_depth(spark):
+    rows = {
+        '{"a":[{"b":{"Set-Cookie":1}}]}': True, '{"p\\u0061irs":1}': True, '{"a":"\\"pairs\\": 1"}': False, '{"a":"x\\\\","pairs":2}': True, '{"a":"x\\\\\\",\\"pairs\\":2"}': False, '{"pa\\"irs":1, "b":"pairs"}': False,
+        '{"a":1,"a":2,"mapping":3}': True, '{"corp_token" : null}': True, '["pairs", ":"]': False, "no json": False, '{"a":"' + '\\"' * 20_000 + '","cookie":1}': True, '{"a":"' + "x" * 50_000 + '"}': False,
+    }
+    df = spark.createDataFrame([*[(k, r, w) for k, (r, w) in enumerate(rows.items())], (99, None, False)], "k int, record string, want boolean")
+    out = df.withColumn("got", audit.never_field(F.col("record")))
+    assert "Python" not in out._jdf.queryExecution().toString() and [r.k for r in out.collect() if r.got != r.want] == []
