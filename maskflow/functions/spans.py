@@ -23,7 +23,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def matches(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
     """array<struct<start,stop,text>> of the leftmost non-overlapping matches of a pattern that never matches the
     empty string. A capture group other than 0 must end where the match ends, as all of the rule table do. Texts that
-    the gate refuses are not searched.
+    the gate refuses are not searched, and those without a match are searched once.
 
     Offsets are added up in strides, first over the strides and then within each, as an array grows by copying: a
     text with many matches costs no more per match than one with few."""
@@ -47,7 +47,8 @@ def matches(text: Column, pattern: str, group: int = 0, gate: Column | None = No
         return let(starts, lambda at: F.flatten(F.transform(strides, lambda stride, i: F.aggregate(stride, F.struct(F.get(at, i).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))))
 
     strided = lambda z: F.transform(F.sequence(zero, F.greatest(F.size(z) - 1, zero), F.lit(STRIDE)), lambda at: F.slice(z, at + 1, STRIDE))
-    return F.when(gate if gate is not None else text.isNotNull(), let(let(zipped, strided), counted)).otherwise(none)
+    some = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    return F.when(some, let(let(zipped, strided), counted)).otherwise(none)
 
 
 def findings(raw: Column, label: str, score: float | Column, order: int) -> Column:

@@ -50,10 +50,10 @@ def hits(df: DataFrame, key: str, terms: DataFrame, text_col: str = "text", long
     hint = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda t: t.hint("merge")
     firsts = hint(table.groupBy(F.get("seq", F.lit(0)).alias("_x")).agg(F.collect_set("n").alias("_lengths")))
     names, single = hint(table.select(F.col("seq").alias("_seq"), "label")), hint(table.where("n = 1").select(F.get("seq", F.lit(0)).alias("_x"), "label"))
-    told = lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), w["text"].alias("text"), lemma(w["text"]).alias("x"))
-    runs = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.slice(ws, i + 1, most).alias("run")))
-    d = df.select(key, spans.let(F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), told), runs).alias("_r"))
-    each = d.select(key, F.explode_outer("_r").alias("_r")).where("_r is not null").select(key, "_r.w", "_r.run", F.col("_r.w.x").alias("_x"))  # outer: see detect.exploded
+    slim = lambda ws: F.transform(ws, lambda w: F.struct(w["stop"].alias("stop"), lemma(w["text"]).alias("x")))
+    runs = lambda ws: spans.let(slim(ws), lambda xs: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.slice(xs, i + 1, most).alias("run"))))
+    d = df.select(key, spans.let(tokens(F.coalesce(F.col(text_col), F.lit(""))), runs).alias("_r"))
+    each = d.select(key, F.explode_outer("_r").alias("_r")).where("_r is not null").select(key, "_r.w", "_r.run", F.get("_r.run", F.lit(0))["x"].alias("_x"))  # outer: see detect.exploded
     begun = each.join(firsts, "_x").select(key, "w", "run", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.size("run"))
     begun = begun.select(key, F.col("w.start").alias("start"), F.get("run", F.col("_n") - 1)["stop"].alias("stop"), F.transform(F.slice("run", F.lit(1), F.col("_n")), lambda w: w["x"]).alias("_seq"))
     found = begun.join(names, "_seq").select(key, "label", "start", "stop", F.lit("term").alias("how"))

@@ -215,12 +215,12 @@ def _step(n: Column) -> Column:
             out = F.when(hit, nodes) if out is None else out.when(hit, nodes)
         return out.otherwise(none)
 
-    def content():
-        blocks = F.transform(F.filter(F.transform(_kids(n["raw"], kind), lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: x["k"]["kind"] == "o"), lambda x: _node("block", _numbered(path, x["i"]), depth, x["k"]))
+    def content(kids):
+        blocks = F.transform(F.filter(F.transform(kids, lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda x: x["k"]["kind"] == "o"), lambda x: _node("block", _numbered(path, x["i"]), depth, x["k"]))
         return F.when(depth > MOST_DEPTH, bad).when(kind == "s", F.when(n["raw"] != "", leaf).otherwise(none)).when(kind == "a", blocks).when(kind == "o", _nodes((F.lit(True), _node("block", path, depth, n)))).otherwise(none)
 
-    def tree():
-        below = F.transform(_kids(n["raw"], kind), lambda k, i: _node("tree", F.when(kind == "a", _numbered(path, i)).otherwise(F.concat(path, F.lit("."), k["key"])), depth + 1, k))
+    def tree(kids):
+        below = F.transform(kids, lambda k, i: _node("tree", F.when(kind == "a", _numbered(path, i)).otherwise(F.concat(path, F.lit("."), k["key"])), depth + 1, k))
         return F.when(depth > MOST_DEPTH, bad).when(kind == "s", leaf).when(kind.isin("a", "o"), below).otherwise(none)
 
     def arguments():
@@ -229,11 +229,16 @@ def _step(n: Column) -> Column:
         text = F.when(parsed.isNull(), leaf).otherwise(spans.let(inner(parsed), lambda k: _nodes((k["kind"].isin("s", "a", "o"), _node("tree", path, F.lit(0), k)))))
         return F.when(kind == "s", text).when(kind.isin("a", "o"), _nodes((F.lit(True), _node("tree", path, F.lit(0), n)))).when(kind == "n", none).otherwise(bad)
 
-    own = lambda body: spans.let(_kids(n["raw"], kind), body)
-    return (
-        F.when(n["state"].isin("leaf", "bad"), F.array(n)).when(n["state"] == "tree", tree()).when(n["state"] == "content", content()).when(n["state"] == "plain", F.when(kind == "s", leaf).otherwise(none)).when(n["state"] == "arguments", arguments())
-        .when(kind != "o", none).when(n["state"] == "message", own(message)).when(n["state"] == "block", own(lambda k: typed(k, BLOCKS))).otherwise(own(lambda k: typed(k, SOURCES)))
-    )
+    state = n["state"]
+
+    def below(kids):
+        return (
+            F.when(state == "tree", tree(kids)).when(state == "content", content(kids)).when(kind != "o", none)
+            .when(state == "message", message(kids)).when(state == "block", typed(kids, BLOCKS)).otherwise(typed(kids, SOURCES))
+        )
+
+    simple = F.when(state.isin("leaf", "bad"), F.array(n)).when(state == "plain", F.when(kind == "s", leaf).otherwise(none)).when(state == "arguments", arguments())
+    return simple.otherwise(spans.let(_kids(n["raw"], kind), below))
 
 
 def leaf_nodes(body: Column) -> Column:
