@@ -258,7 +258,7 @@ def test_near_copies_beyond_the_candidates(spark, n, size):
     """Groups with more near copies than a vector has candidates are islands of the graph, and still found whole."""
     x = groups(np.random.default_rng(4), n, size)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    _, n_links = embeddings.links(df)
+    _, n_links, _ = embeddings.links(df)
     assert {(r.id, r.n_links) for r in n_links.collect()} == {(i, size - 1) for i in range(n * size)}
     for r in embeddings.dedup(df).collect():
         assert (r.n_links, r.component_id, r.kept) == (size - 1, r.vec_id // size * size, r.vec_id % size == 0)
