@@ -192,3 +192,9 @@ def byte_hashes(data: np.ndarray, k: int) -> np.ndarray:
         x ^= x >> np.uint64(29)
         m, step = (m * m + 2) & 0xFFFFFFFFFFFFFFFF | 1, step * 2
     return x
+
+
+#: For SQL that has no checksum: the tables of CRC-32, and the checksum of the bytes whose hexadecimal digits are h.
+SQL_CRC_TABLES = """steps AS (SELECT i, 0 AS n, i::UBIGINT AS c FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, n + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE n < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE n = 8)"""
+SQL_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || h[2 * i + 1:2 * i + 2])::UBIGINT for i in range(len(h) // 2)]), lambda c, x: xor(c >> 8, tab.t[(xor(c, x) & 255)::INT + 1])), 4294967295::UBIGINT)"

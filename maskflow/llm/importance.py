@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table, text_batches, written
+from .common import SQL_CRC, SQL_CRC_TABLES, numbered, table, text_batches, written
 from .decontam import words
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 42, 20, 5
@@ -147,3 +147,20 @@ def drawn(docs: DataFrame, ranks: DataFrame, id_col: str = "doc_id") -> DataFram
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {SQL_CRC_TABLES},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+a AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT r, unnest(list_concat(w, list_concat([w[i] || ' ' || w[i + 1] for i in range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]))) AS g FROM (SELECT r, w FROM d UNION ALL SELECT -1, w FROM a)),
+u AS (SELECT g, count(*) FILTER (r > 0) AS s, count(*) FILTER (r < 0) AS t FROM f GROUP BY g),
+b AS (SELECT g, s, u.t AS t, {SQL_CRC} % 10000 AS k FROM (SELECT *, hex(encode(g)) AS h FROM u) u, tab),
+k AS (SELECT k, sum(s) AS s, sum(t) AS t FROM b GROUP BY k),
+n AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM k),
+w AS (SELECT k, floor(1000 * ln((k.t + 1)::DOUBLE * (n.all_s + 10000)::DOUBLE / ((k.s + 1)::DOUBLE * (n.all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM k, n),
+x AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN b USING (g) JOIN w USING (k) WHERE r > 0 GROUP BY r),
+y AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('42:' || doc_id)[1:8])::UBIGINT::DOUBLE AS h FROM d LEFT JOIN x ON d.r = x.r),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score, n_words >= 20 AS fit FROM y),
+o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS i, 5 * count(*) OVER (PARTITION BY fit) // 100 AS most FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND i <= most THEN i END AS rank, n_words FROM o"""
