@@ -13,4 +13,4 @@ def _shipped(query):
 
 
 QUERIES = {q.__name__: _shipped(q) for q in _ALL}
-SQL = {"op1_chat_format": chat.OP1_SQL, "op3_decontaminate": decontam.OP3_SQL, "op7_lm_score": lm.OP7_SQL, "op12_importance_resampling": importance.OP12_SQL, "op13_collocations": phrases.OP13_SQL}
+SQL = {"op1_chat_format": chat.OP1_SQL, "op3_decontaminate": decontam.OP3_SQL, "op7_lm_score": lm.OP7_SQL, "op11_hilbert_shards": sharding.OP11_SQL, "op12_importance_resampling": importance.OP12_SQL, "op13_collocations": phrases.OP13_SQL}

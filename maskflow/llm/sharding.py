@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, in_runs, plain, table, unused, written
+from .common import SQL_CRC, SQL_CRC_TABLES, fresh_path, in_runs, plain, table, unused, written
 
 #: Bits that each dimension is quantised to, and bytes of documents in one file.
 BITS, FILE_BYTES = 6, 512 << 20
@@ -95,7 +95,7 @@ def write_shards(docs: DataFrame, path: str, dims: dict[str, Column | None], sha
     Under the law ``rows`` shards differ by a row at most; under ``bytes`` a shard ends at the row whose middle is
     nearest to its share of all bytes (UTF-8 of the text plus 8), so shards differ by about a row's bytes.
 
-    The order is (curve, hash of the text, hash of the id), packed into 62 bits, so rows of one cell, be they a third
+    The order is (curve, checksum of the text, checksum of the id), packed into 62 bits, so rows of one cell, be they a third
     of all, are told apart and equal texts of one cell lie side by side. The keys alone are put in order first: each
     file's last key, and how many rows come before it, are read from them. Then texts are dealt to files by key, in
     one shuffle, each file by one task that sorts its rows with spilling. A file ends where a shard ends, but
@@ -117,9 +117,10 @@ def write_shards(docs: DataFrame, path: str, dims: dict[str, Column | None], sha
     at_curve, at_key, at_like, at_to = unused(docs, "curve_at", "curve_key", "curve_like", "curve_to")
     rest = 62 - len(dims) * bits
     half = rest // 2
-    low = lambda h, n: F.shiftrightunsigned(h, 64 - n)
-    like = F.xxhash64(F.col(f"`{text_col}`"))
-    key = F.shiftleft(at_curve, rest).bitwiseOR(F.shiftleft(low(F.col(at_like), rest - half), half)).bitwiseOR(low(F.xxhash64(F.lit("id"), F.col(f"`{id_col}`").cast("string")), half))
+    checksum = lambda c: F.crc32(F.encode(F.coalesce(c.cast("string"), F.lit("")), "UTF-8"))
+    high = lambda h, n: F.shiftright(h, 32 - n)
+    like = checksum(F.col(f"`{text_col}`"))
+    key = F.shiftleft(at_curve, rest).bitwiseOR(F.shiftleft(high(F.col(at_like), rest - half), half)).bitwiseOR(high(checksum(F.col(f"`{id_col}`")), half))
     keyed = docs.withColumn(at_curve, curve(codes, borders, bits)).withColumn(at_like, like).withColumn(at_key, key)
 
     thin = written(keyed.select(F.col(at_key).alias("_key"), _bytes(F.col(f"`{text_col}`")).alias("_size")), "curve-keys")
@@ -199,3 +200,37 @@ def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(out)
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     return rows.select("doc_id", _bytes(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def _curve_sql(rows: str, n: int, bits: int) -> str:
+    """The turns of ``hilbert`` on columns x0, x1, .. of ``rows``, a step each, and then its place as curve."""
+    xs = [f"x{a}" for a in range(n)]
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for a in range(n):
+            far = f"(x{a} >> {b}) & 1 = 1"
+            swap = f"(xor(x0, x{a}) & {low})"
+            own = f", xor(x{a}, CASE WHEN {far} THEN 0 ELSE {swap} END) AS x{a}" if a else ""
+            rows = f"SELECT * REPLACE (xor(x0, CASE WHEN {far} THEN {low} ELSE {swap} END) AS x0{own}) FROM ({rows})"
+    for a in range(1, n):
+        rows = f"SELECT * REPLACE (xor(x{a}, x{a - 1}) AS x{a}) FROM ({rows})"
+    turn = "0"
+    for b in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN ({xs[-1]} >> {b}) & 1 = 1 THEN {(1 << b) - 1} ELSE 0 END)"
+    place = " + ".join(f"(((xor({x}, turn) >> {b}) & 1) << {n * b + n - 1 - a})" for b in range(bits) for a, x in enumerate(xs))
+    return f"SELECT *, {place} AS curve FROM (SELECT *, {turn} AS turn FROM ({rows}))"
+
+
+_AXES = ("('0x' || rpad(hex(encode(lang))[1:12], 12, '0'))::BIGINT", "('0x' || rpad(hex(encode(source))[1:12], 12, '0'))::BIGINT", "size")
+_BINS = ", ".join(f"(SELECT CASE WHEN c{a} IS NULL THEN 0 ELSE 1 + len(list_filter(v, lambda x: x < c{a})) END * {2**BITS} // (len(v) + 2) FROM b{a}) AS x{a}" for a in range(3))
+_BORDERS = ", ".join(f"b{a} AS (SELECT coalesce(list(DISTINCT c{a}), []) AS v FROM (SELECT c{a}, row_number() OVER (ORDER BY c{a}) AS k, count(*) OVER () AS n FROM s WHERE c{a} IS NOT NULL) WHERE k IN (SELECT ceil((i / {2**BITS - 2}.0::DOUBLE) * n)::BIGINT FROM (SELECT unnest(range(1, {2**BITS - 2})) AS i)))" for a in range(3))
+#: Borders are exact quantiles here, as they are in Spark up to ACCURACY / 2 rows.
+OP11_SQL = f"""
+WITH RECURSIVE {SQL_CRC_TABLES},
+s AS (SELECT doc_id, size, {SQL_CRC} AS text_crc32, {", ".join(f"{x} AS c{a}" for a, x in enumerate(_AXES))} FROM (SELECT *, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents), tab),
+i AS (SELECT doc_id, {SQL_CRC} AS id_crc FROM (SELECT DISTINCT doc_id, hex(encode(doc_id::VARCHAR)) AS h FROM documents), tab),
+{_BORDERS},
+c AS ({_curve_sql(f"SELECT doc_id, size, text_crc32, {_BINS} FROM s", 3, BITS)}),
+o AS (SELECT c.*, row_number() OVER (ORDER BY curve, text_crc32 >> 10, id_crc >> 10, c.doc_id, text_crc32) - 1 AS g, count(*) OVER () AS n FROM c JOIN i ON c.doc_id = i.doc_id),
+p AS (SELECT *, (((g + 1) * 24 - 1) // n)::INT AS shard FROM o)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard, (g - shard * n // 24)::BIGINT AS slot, NULL::INT AS grown_shard, curve::BIGINT AS curve FROM p"""
