@@ -541,9 +541,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str, id_col: str = "doc
             yield flush()
 
     files = written(d.mapInArrow(run, "shard long, seq long, docs long, ids long"), "manifest")
-    # one row per file: small, and the order of the files is what is asked for
-    w = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("ids").over(w), F.lit(0).cast("long")))
+    # sums along the files of a task, and along the tasks: what one task sorts has a row for each of them
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    tasks = files.groupBy("shard").agg(F.sum("ids").alias("ids")).select("shard", before(Window.orderBy("shard")).alias("_first"))
+    placed = files.withColumn("_within", before(Window.partitionBy("shard").orderBy("seq"))).join(F.broadcast(tasks), "shard")
+    return placed.select(*files.columns, (F.col("_first") + F.col("_within")).alias("start"))
 
 
 def read_ids(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
