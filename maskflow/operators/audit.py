@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import patterns
 from .leaves import token_usage
@@ -66,6 +67,17 @@ def latency_histogram(records: DataFrame, edges: tuple[float, ...], latency: str
     return records.groupBy(by, le.alias("le")).agg(F.count("*").alias("n"))
 
 
+def cumulative(histogram: DataFrame, edges: tuple[float, ...], by: str = "status") -> DataFrame:
+    """A histogram as scrapers expect it: for each group a row per edge, empty ones included, and one for all (le +Inf),
+    with the number of requests up to the edge. A group has as many rows as there are edges, whatever it counts."""
+    les = F.array(*[F.lit(float(e)) for e in sorted(edges)], F.lit(float("inf")))
+    every = histogram.select(by).distinct().select(by, F.explode(les).alias("le"))
+    known = histogram.select(F.col(by).alias("_by"), F.coalesce("le", F.lit(float("inf"))).alias("_le"), "n")
+    up_to = Window.partitionBy(by).orderBy("le").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = every.join(known, F.col(by).eqNullSafe(F.col("_by")) & (F.col("le") == F.col("_le")), "left")
+    return joined.select(by, F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string")).alias("le"), F.sum(F.coalesce("n", F.lit(0))).over(up_to).alias("n"))
+
+
 def failure_windows(records: DataFrame, failed: Column, ts: str = "timestamp", minutes: int = 5) -> DataFrame:
     """Windows in which there was a failure, with their number."""
     return records.where(failed).groupBy(F.window(ts, f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")

@@ -765,6 +765,13 @@ def latency_histogram(t):
     return audit.latency_histogram(_records(t), (5, 10, 50, 100))
 
 
+@query("""WITH e AS (SELECT unnest([5.0, 10.0, 50.0, 100.0, 'infinity'::DOUBLE]) AS le), v AS (SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, round(value) AS v FROM events)
+SELECT status, CASE WHEN isinf(le) THEN '+Inf' ELSE le::VARCHAR END AS le, count(*) FILTER (v <= le) AS n FROM v, e GROUP BY status, e.le""")
+def latency_cumulative(t):
+    edges = (5, 10, 50, 100)
+    return audit.cumulative(audit.latency_histogram(_records(t), edges), edges)
+
+
 _GAMMA = "((1 + 0.01::DOUBLE) / (1 - 0.01::DOUBLE))"
 
 

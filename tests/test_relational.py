@@ -93,3 +93,11 @@ def test_sessions(spark):
     d = spark.createDataFrame([(k, T0 + timedelta(minutes=m)) for k, m in rows], "k string, ts timestamp")
     got = sorted((r.k, int((r.start - T0).seconds / 60), int((r.stop - T0).seconds / 60), r.n) for r in temporal.sessions(d, "k", "ts").collect())
     assert got == [("a", 0, 179, 3), ("a", 180, 240, 1), ("b", 5, 65, 1)]
+
+
+def test_cumulative_buckets(spark):
+    from maskflow.operators import audit
+
+    d = spark.createDataFrame([("a", 1.0), ("a", 5.0), ("a", 70.0), ("b", 900.0), (None, 2.0)], "status string, latency_ms double")
+    got = {(r.status, r.le): r.n for r in audit.cumulative(audit.latency_histogram(d, (5, 50)), (5, 50)).collect()}
+    assert got == {("a", "5.0"): 2, ("a", "50.0"): 2, ("a", "+Inf"): 3, ("b", "5.0"): 0, ("b", "50.0"): 0, ("b", "+Inf"): 1, (None, "5.0"): 1, (None, "50.0"): 1, (None, "+Inf"): 1}
