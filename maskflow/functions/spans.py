@@ -4,7 +4,7 @@ Offsets are code points, as Spark's length() counts them; regexp_instr would cou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,20 +23,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def matches(text: Column, pattern: str, group: int = 0, gate: Column | None = None) -> Column:
     """array<struct<start,stop,text>> of the leftmost non-overlapping matches of a pattern that never matches the
     empty string. A capture group other than 0 must end where the match ends, as all of the rule table do. Texts that
-    the gate refuses are not searched, and those without a match are searched once.
+    the gate refuses are not searched, and those without a match are searched once."""
+    return F.get(all_matches(text, [(pattern, group, gate)]), F.lit(0))
 
-    Offsets are added up in strides, first over the strides and then within each, as an array grows by copying: a
+
+def all_matches(text: Column, patterns: Sequence[tuple[str, int, Column | None]]) -> Column:
+    """The matches of each (pattern, group, gate), in their order; see ``matches``. Offsets are added up by one
+    expression for all of them, as building one costs more than most texts do.
+
+    They are added up in strides, first over the strides and then within each, as an array grows by copying: a
     text with many matches costs no more per match than one with few."""
-    pieces = F.split(text, F.lit(pattern), -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none, zero = F.array().cast(RAW), F.lit(0)
-    zipped = F.arrays_zip(pieces.alias("p"), whole.alias("m"), *([F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")] if group else []))
-    own = lambda x: x["g"] if group else x["m"]
     width = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), zero)
 
+    def pieces(pattern, group, gate):
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        own = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        zipped = F.arrays_zip(F.split(text, F.lit(pattern), -1).alias("p"), whole.alias("m"), own.alias("g"))
+        return F.when(text.rlike(pattern) if gate is None else gate & text.rlike(pattern), zipped)
+
     def step(acc, x):
         stop = acc["at"] + width(x)
-        one = F.struct((stop - F.length(own(x))).alias("start"), stop.alias("stop"), own(x).alias("text"))
+        one = F.struct((stop - F.length(x["g"])).alias("start"), stop.alias("stop"), x["g"].alias("text"))
         return F.struct(stop.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
     def first(acc, stride):
@@ -47,8 +55,7 @@ def matches(text: Column, pattern: str, group: int = 0, gate: Column | None = No
         return let(starts, lambda at: F.flatten(F.transform(strides, lambda stride, i: F.aggregate(stride, F.struct(F.get(at, i).alias("at"), none.alias("out")), step, lambda acc: acc["out"]))))
 
     strided = lambda z: F.transform(F.sequence(zero, F.greatest(F.size(z) - 1, zero), F.lit(STRIDE)), lambda at: F.slice(z, at + 1, STRIDE))
-    some = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    return F.when(some, let(let(zipped, strided), counted)).otherwise(none)
+    return F.transform(F.array(*[pieces(*p) for p in patterns]), lambda z: F.when(z.isNull(), none).otherwise(let(strided(z), counted)))
 
 
 def findings(raw: Column, label: str, score: float | Column, order: int) -> Column:

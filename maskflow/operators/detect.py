@@ -10,48 +10,51 @@ from pyspark.sql import functions as F
 from ..functions import checksums, patterns, spans
 
 
+def _rule(order: int, found: Column) -> Column:
+    r = patterns.RULES[order]
+    return spans.findings(F.filter(found, lambda x: r.check(x["text"])) if r.check else found, r.label, r.score, order)
+
+
 def rule_findings(text: Column, order: int) -> Column:
+    """The findings of one rule."""
     r = patterns.RULES[order]
-    found = spans.matches(text, r.pattern, r.group, r.gate(text))
-    if r.check:
-        found = F.filter(found, lambda x: r.check(x["text"]))
-    return spans.findings(found, r.label, r.score, order)
+    return _rule(order, spans.matches(text, r.pattern, r.group, r.gate(text)))
 
 
-def formatted_snils(text: Column) -> Column:
-    found = spans.matches(text, patterns.SNILS_FORMATTED, 0, text.rlike("[0-9]{3}-[0-9]{3}-[0-9]{3}"))
+def _formatted_snils(found: Column) -> Column:
     return spans.findings(F.filter(found, lambda x: checksums.snils(F.regexp_replace(x["text"], r"[^0-9]", ""))), "SNILS", 1.0, len(patterns.RULES))
 
 
-def bank_accounts(text: Column) -> Column:
+def _bank_accounts(found: Column, biks: Column, order: int) -> Column:
     """Accounts score 1.0 where a bank code within reach satisfies their key, else 0.7."""
-    gate = text.rlike("[0-9]{20}")
-    biks = spans.matches(text, patterns.BIK_ANY, 0, gate)
-    out = []
-    for k, (pattern, group) in enumerate(((patterns.ACCOUNT_KEYWORD, 1), (patterns.ACCOUNT_BARE, 0))):
-        found = spans.matches(text, pattern, group, gate)
-        out.append(
-            F.transform(
-                found,
-                lambda a: F.struct(
-                    F.lit("BANK_ACCOUNT").alias("label"), a["start"].alias("start"), a["stop"].alias("stop"),
-                    F.when(F.exists(biks, lambda b: (F.least(F.abs(a["start"] - b["stop"]), F.abs(b["start"] - a["stop"])) < patterns.BIK_REACH) & checksums.account_key(a["text"], b["text"])), F.lit(1.0)).otherwise(F.lit(0.7)).alias("score"),
-                    F.lit(len(patterns.RULES) + 1 + k).alias("ord"), a["text"].alias("text"),
-                ),
-            )
-        )
-    return F.concat(*out)
+    near = lambda a, b: F.least(F.abs(a["start"] - b["stop"]), F.abs(b["start"] - a["stop"])) < patterns.BIK_REACH
+    return F.transform(
+        found,
+        lambda a: F.struct(
+            F.lit("BANK_ACCOUNT").alias("label"), a["start"].alias("start"), a["stop"].alias("stop"),
+            F.when(F.exists(biks, lambda b: near(a, b) & checksums.account_key(a["text"], b["text"])), F.lit(1.0)).otherwise(F.lit(0.7)).alias("score"),
+            F.lit(order).alias("ord"), a["text"].alias("text"),
+        ),
+    )
 
 
 def raw_findings(text: Column, labels: Sequence[str] | None = None) -> Column:
     """All findings of the rule table (or of some labels) before overlaps are resolved."""
     text = F.coalesce(text, F.lit(""))
-    parts = [rule_findings(text, i) for i, r in enumerate(patterns.RULES) if labels is None or r.label in labels]
+    n = len(patterns.RULES)
+    rules = [(i, r) for i, r in enumerate(patterns.RULES) if labels is None or r.label in labels]
+    sought = [(r.pattern, r.group, r.gate(text)) for _, r in rules]
+    parts = [lambda ms, at=at, i=i: _rule(i, F.get(ms, F.lit(at))) for at, (i, _) in enumerate(rules)]
     if labels is None or "SNILS" in labels:
-        parts.append(formatted_snils(text))
+        parts.append(lambda ms, at=len(sought): _formatted_snils(F.get(ms, F.lit(at))))
+        sought.append((patterns.SNILS_FORMATTED, 0, text.rlike("[0-9]{3}-[0-9]{3}-[0-9]{3}")))
     if labels is None or "BANK_ACCOUNT" in labels:
-        parts.append(bank_accounts(text))
-    return F.concat(*parts)
+        at, gate = len(sought), text.rlike("[0-9]{20}")
+        sought += [(patterns.BIK_ANY, 0, gate), (patterns.ACCOUNT_KEYWORD, 1, gate), (patterns.ACCOUNT_BARE, 0, gate)]
+        parts += [lambda ms, k=k: _bank_accounts(F.get(ms, F.lit(at + 1 + k)), F.get(ms, F.lit(at)), n + 1 + k) for k in (0, 1)]
+    if not sought:
+        return F.array().cast(spans.FINDING)
+    return spans.let(spans.all_matches(text, sought), lambda ms: F.concat(*[p(ms) for p in parts]))
 
 
 def detect(df: DataFrame, text_col: str = "text", labels: Sequence[str] | None = None, out: str = "findings") -> DataFrame:
