@@ -7,11 +7,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Patterns of up to so many characters in all go to every task as one automaton per team.
 BROADCAST_CHARS = 8_000_000
-#: Longest piece of a pattern that it is looked up by, and bits of the filter that goes to every task.
-ANCHOR, FILTER_BITS = 8, 1 << 24
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Longest piece of a pattern that it is looked up by, and bits of the filter that goes to every task, at least; it
+#: has 32 bits for each pattern, up to the most.
+ANCHOR, FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 24, 1 << 29
+#: A pattern of many numbers is dealt to a task for each so many of them, up to the most.
+HOT, MOST_PARTS = 64, 64
+#: Texts of up to so many characters in all are looked through at once.
+BLOCK_CHARS = 1 << 17
+#: Shifts of a hash that give its places in the filter: for a whole pattern, and for a pattern's first piece.
+WHOLE, FIRST = (0, 17, 34), (34,)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def hits(texts: DataFrame, patterns: DataFrame, key: str, team: str = "team_id", text: str = "text", pattern_no: str = "pattern_no", pattern: str = "pattern", most: int | None = None) -> DataFrame:
@@ -19,10 +28,11 @@ def hits(texts: DataFrame, patterns: DataFrame, key: str, team: str = "team_id",
     null team, holds or is nothing.
 
     Patterns of up to BROADCAST_CHARS characters, counted first, become an automaton per team on every task; texts
-    stay where they are. More are met by keys: a pattern is looked up by its piece of ANCHOR characters (all of a shorter
-    one), texts send the pieces that pass a filter of FILTER_BITS bits of the patterns' pieces, and an equi-join on
-    (team, piece) brings candidates together, which are then verified. The filter only saves work: when it is full,
-    more pieces travel, and none is lost."""
+    stay where they are. More are met by keys: where a text's pieces of ANCHOR characters (all of a shorter pattern), of
+    twice as many and so on pass a filter of the patterns' first pieces, its pieces of every length that a pattern has
+    are put to a filter of whole patterns, and those that pass travel, once for each text, to an equi-join on (team, piece). Texts don't travel,
+    and what is found is not shuffled unless a key or a number stands twice. The filters only save work: when they are
+    full, more pieces travel, and none is lost."""
     p = patterns.select(F.col(f"`{team}`").alias("_team"), F.col(f"`{pattern_no}`").alias("_no"), F.col(f"`{pattern}`").alias("_pattern")).where("_team is not null and _pattern <> ''")
     t = texts.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{team}`").alias("_team"), F.col(f"`{text}`").alias("_text")).where("_team is not null and _text <> ''")
     size = p.agg(F.sum(F.length("_pattern") + 8)).first()[0] or 0
@@ -60,53 +70,117 @@ def _by_automaton(t: DataFrame, p: DataFrame) -> DataFrame:
     return t.select("_key", "_team", "_text").mapInArrow(run, f"_key {kinds['_key']}, _no {kinds['_no']}")
 
 
-def piece_hashes(text: str, n: int) -> np.ndarray:
-    """64-bit hash of every piece of ``n`` characters."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    if len(c) < n:
-        return np.zeros(0, np.uint64)
-    h = np.full(len(c) - n + 1, np.uint64(n))
-    for k in range(n):
-        h = (h ^ c[k : len(c) - n + 1 + k]) * _BASE
-        h ^= h >> np.uint64(29)
-    return h
+class Windows:
+    """64-bit hashes of pieces of a text, each from two sums over the text, whatever the piece's length. Equal pieces
+    have equal hashes; unequal ones may."""
 
+    def __init__(self):
+        self._grow(1 << 12)
+
+    def _grow(self, n: int):
+        powers = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, np.uint64(base))]))
+        self.up, self.down = powers(int(_BASE)), powers(pow(int(_BASE), -1, 1 << 64))
+
+    def sums(self, text: str) -> np.ndarray:
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        if len(c) >= len(self.up):
+            self._grow(2 * len(c))
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * c * self.up[: len(c)], dtype=np.uint64)])
+
+    def hashes(self, sums: np.ndarray, at: np.ndarray, n) -> np.ndarray:
+        """Of the pieces of ``n`` characters, one number or one for each place."""
+        h = (sums[at + n] - sums[at]) * self.down[at] + np.asarray(n).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        h = (h ^ (h >> np.uint64(29))) * _BASE
+        return h ^ (h >> np.uint64(32))
+
+
+def _place(hashes: np.ndarray, bits: int, shift: int) -> np.ndarray:
+    return ((hashes >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64)
 
-def _by_pieces(t: DataFrame, p: DataFrame) -> DataFrame:
-    spark, kinds = t.sparkSession, dict(t.dtypes)
 
-    def anchored(batches):
+def firsts(n: int) -> list[int]:
+    """Lengths of the first pieces that lead to a pattern of ``n`` characters, each twice as long as the one before."""
+    return [min(ANCHOR, n)] + [ANCHOR << k for k in range(1, 32) if ANCHOR << k <= n]
+
+
+def _filter(p: DataFrame, patterns: int, lengths: list[int]) -> tuple[int, np.ndarray]:
+    """Bits, a power of two, and the filter's words."""
+    bits = FILTER_BITS
+    while bits < min(32 * patterns, MOST_FILTER_BITS):
+        bits *= 2
+    levels = sorted({f for n in lengths for f in firsts(n)})
+
+    def places(batches):
+        w = Windows()
         for b in batches:
-            h = [int(piece_hashes(x[:ANCHOR], min(ANCHOR, len(x)))[0].astype(np.int64)) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], names=[*b.schema.names, "_piece"])
-
-    pk = dict(p.dtypes)
-    anchors = p.mapInArrow(anchored, f"_team {pk['_team']}, _no {pk['_no']}, _pattern string, _piece long")
-    lengths = [r.n for r in p.select(F.least(F.lit(ANCHOR), F.length("_pattern")).alias("n")).distinct().collect()]
-    # words of 64 bits, at most FILTER_BITS / 64 of them
-    bit = F.pmod(F.col("_piece"), F.lit(FILTER_BITS))
-    words = anchors.select(F.floor(bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words.collect():
-        table[r.w] = r.b
-    sent = spark.sparkContext.broadcast((lengths, table.view(np.uint64)))
+            texts = b.column(0).to_pylist()
+            sizes = np.array([len(x) for x in texts], np.int64)
+            sums, at = w.sums("".join(texts)), np.cumsum(sizes) - sizes
+            out = [_place(w.hashes(sums, at, sizes), bits, k) for k in WHOLE]
+            for f in levels:
+                led = (sizes >= f) if f >= ANCHOR else (sizes == f)
+                out += [_place(w.hashes(sums, at[led], f), bits, k) for k in FIRST]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["_bit"])
+
+    at = p.select("_pattern").mapInArrow(places, "_bit long")
+    words = at.groupBy(F.floor(F.col("_bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_bit") % 64).cast("int"))).alias("b")).toArrow()
+    table = np.zeros(max(bits // 64, 1), np.int64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy()
+    return bits, table.view(np.uint64)
+
+
+def _by_pieces(t: DataFrame, p: DataFrame) -> DataFrame:
+    spark, kinds = t.sparkSession, dict(t.dtypes)
+    p = written(p.distinct(), "patterns")
+    told = p.agg(F.count("*").alias("n"), F.collect_set(F.length("_pattern")).alias("lengths")).first()
+    lengths = sorted(told.lengths)
+    sent = spark.sparkContext.broadcast((lengths, *_filter(p, told.n, lengths)))
 
     def pieces(batches):
-        lengths, table = sent.value
+        lengths, bits, table = sent.value
+        w = Windows()
+
+        def passing(sums, at, n, shifts):
+            h = w.hashes(sums, at, n)
+            for k in shifts:
+                place = _place(h, bits, k)
+                there = (table[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                at, h = at[there], h[there]
+            return at
+
+        def found(texts):
+            """(number of a text, piece) of those that pass, each once."""
+            joined, sizes = "".join(texts), np.array([len(x) for x in texts], np.int64)
+            stops, sums, begins, out = np.cumsum(sizes), w.sums(joined), {}, set()
+            left = np.repeat(stops, sizes) - np.arange(len(joined))
+            for n in lengths:
+                at = np.arange(len(joined))
+                for f in firsts(n):
+                    if f not in begins:
+                        begins[f] = passing(sums, at[left[at] >= f], f, FIRST)
+                    at = begins[f]
+                at = passing(sums, at[left[at] >= n], n, WHOLE)
+                out.update((i, joined[a : a + n]) for i, a in zip(np.searchsorted(stops, at, "right").tolist(), at.tolist()))
+            return out
+
         for b in batches:
-            at, out = [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
-                for n in lengths:
-                    h = np.unique(piece_hashes(text, n)).view(np.int64)
-                    place = (h % FILTER_BITS).astype(np.int64)
-                    h = h[(table[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
-                    at.append(np.full(len(h), i, np.int32))
-                    out.append(h)
-            at, out = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((at, np.int32), (out, np.int64)))
-            for a in range(0, len(at), 4096):
-                rows = pa.array(at[a : a + 4096])
-                yield pa.RecordBatch.from_arrays([*[c.take(rows) for c in b.columns], pa.array(out[a : a + 4096])], names=["_key", "_team", "_text", "_piece"])
-
-    sent_pieces = t.select("_key", "_team", "_text").mapInArrow(pieces, f"_key {kinds['_key']}, _team {kinds['_team']}, _text string, _piece long")
-    met = sent_pieces.join(anchors, ["_team", "_piece"]).where(F.col("_text").contains(F.col("_pattern")))
-    return met.select("_key", "_no").distinct()
+            texts, a = b.column(2).to_pylist(), 0
+            while a < len(texts):
+                z, size = a + 1, len(texts[a])
+                while z < len(texts) and size + len(texts[z]) <= BLOCK_CHARS:
+                    size += len(texts[z])
+                    z += 1
+                out = list(found(texts[a:z]))
+                rows = pa.array([a + i for i, _ in out], pa.int32())
+                a = z
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([x for _, x in out], pa.string())], names=["_key", "_team", "_pattern"])
+
+    held = t.select("_key", "_team", "_text").mapInArrow(pieces, f"_key {kinds['_key']}, _team {kinds['_team']}, _pattern string")
+    # a pattern of many numbers goes to many tasks, each with some of the texts
+    hot = p.groupBy("_team", "_pattern").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * HOT).select("_team", "_pattern", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / HOT)).cast("int").alias("_parts"))
+    parts = lambda d: d.join(F.broadcast(hot), ["_team", "_pattern"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    held = parts(held).withColumn("_part", F.pmod(F.xxhash64("_key"), "_parts").cast("int"))
+    met = held.join(parts(p).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))), ["_team", "_pattern", "_part"]).select("_key", "_no")
+    once = t.groupBy("_key").count().where("count > 1").isEmpty() and p.groupBy("_no").count().where("count > 1").isEmpty()
+    return met if once else met.distinct()

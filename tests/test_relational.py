@@ -88,6 +88,27 @@ def test_tables_of_patterns(spark, monkeypatch, most):
     assert pattern_table.hits(t, p.where("false"), "k", most=most).count() == 0 and pattern_table.hits(t.where("false"), p, "k", most=most).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_keyed_patterns_send_no_texts(spark, repeated):
+    """What travels to a pattern is a piece of its length; what is found is not shuffled unless keys or numbers repeat."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdé😀 ") for _ in range(n))
+    texts = [(i, rng.choice(["t1", "t2"]), word(2000) + "a common line" * (i % 3)) for i in range(60)]
+    patterns = [("t1", i, "a common line") for i in range(300)] + [(team, 1000 + i, x[a : a + n]) for i, (_, team, x) in enumerate(texts) for a, n in [(rng.randrange(1500), rng.choice([3, 8, 12, 17, 40, 400]))]]
+    if repeated:
+        texts += [(3, "t1", "one a common line"), (3, "t1", "two a common line")]
+        patterns += [("t1", 7, "one")]
+    t = spark.createDataFrame(texts, "k long, team_id string, text string").repartition(3)
+    p = spark.createDataFrame(patterns, "team_id string, pattern_no int, pattern string").repartition(3)
+    got = pattern_table.hits(t, p, "k", most=0)
+    rows = [tuple(r) for r in got.collect()]
+    want = {(k, n) for k, team, x in texts for u, n, y in patterns if team == u and y in x}
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 3000
+    moved = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x or "Aggregate" in x]
+    assert any("Join Inner" in x for x in moved) and not any("_text" in x for x in moved)
+    assert repeated or not any("_key" in x for x in moved if "Aggregate" in x)
+
+
 def test_sessions(spark):
     rows = [("a", 0), ("a", 59), ("a", 119), ("a", 180), ("b", 5), (None, 1)]
     d = spark.createDataFrame([(k, T0 + timedelta(minutes=m)) for k, m in rows], "k string, ts timestamp")
