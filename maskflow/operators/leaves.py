@@ -147,6 +147,7 @@ NODE = "struct<state:string,path:string,depth:int,raw:string,kind:string>"
 KID = "struct<key:string,raw:string,kind:string>"
 #: Steps within which every payload that is not refused is walked: a level of content takes three, a tree's level one.
 STEPS = 4 * MOST_DEPTH + 16
+ROUND = 16
 
 
 def _kind(v: Column) -> Column:
@@ -260,7 +261,29 @@ def leaf_nodes(body: Column) -> Column:
 
     first = F.when(_kind(v) == "o", spans.let(_kids(body, F.lit("o")), begin))
     walked = lambda acc: F.exists(acc, lambda n: ~n["state"].isin("leaf", "bad"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), first, lambda acc, _: F.when(walked(acc), F.flatten(F.transform(acc, _step))).otherwise(acc))
+    def steps(n, start, step):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda acc, _: F.when(walked(acc), step(acc)).otherwise(acc))
+
+    # in rounds, as a payload that is done is looked at again in each step that is left of them
+    return steps(STEPS // ROUND, first, lambda acc: steps(ROUND, acc, lambda a: F.flatten(F.transform(a, _step))))
+
+
+def _row(n: Column, i: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(i.cast("int").alias("leaf_no"), n["path"].alias("path"), n["raw"].alias("text"), none.alias("error"))
+
+
+def _rows(nodes: Column) -> Column:
+    """A row per leaf, or the one of an error."""
+    none = F.lit(None).cast("string")
+    bad = nodes.isNull() | F.exists(nodes, lambda n: n["state"] == "bad")
+    refused = F.struct(F.lit(None).cast("int").alias("leaf_no"), none.alias("path"), none.alias("text"), F.lit("E_BAD_REQUEST").alias("error"))
+    return F.when(bad, F.array(refused)).otherwise(F.transform(nodes, _row))
+
+
+def _exploded(d: DataFrame, key: str) -> DataFrame:
+    # an outer explode, as for an inner one the planner would walk every payload once more to filter on the size
+    return d.select(F.col(f"`{key}`"), F.explode_outer("_rows").alias("_leaf")).where("_leaf is not null").select(F.col(f"`{key}`"), "_leaf.*")
 
 
 def request_leaves(requests: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
@@ -268,12 +291,113 @@ def request_leaves(requests: DataFrame, key: str = "request_id", body: str = "bo
     that is no JSON object, nested too deeply, with a key that stands twice, or with tool arguments of no known form
     gives one row with an error; a null or empty one has no leaves. Native; see ``leaf_nodes``."""
     d = requests.select(F.col(f"`{key}`").alias(key), leaf_nodes(F.coalesce(F.nullif(F.col(f"`{body}`"), F.lit("")), F.lit("{}"))).alias("_nodes"))
-    bad = F.col("_nodes").isNull() | F.exists("_nodes", lambda n: n["state"] == "bad")
-    one = lambda no, path, text, error: F.struct(no.cast("int").alias("leaf_no"), path.cast("string").alias("path"), text.cast("string").alias("text"), error.cast("string").alias("error"))
-    none = F.lit(None)
-    rows = F.when(bad, F.array(one(none, none, none, F.lit("E_BAD_REQUEST")))).otherwise(F.transform("_nodes", lambda n, i: one(i, n["path"], n["raw"], none)))
-    # an outer explode, as for an inner one the planner would walk every payload once more to filter on the size
-    return d.select(F.col(f"`{key}`"), F.explode_outer(rows).alias("_leaf")).where("_leaf is not null").select(F.col(f"`{key}`"), "_leaf.*")
+    return _exploded(d.select(F.col(f"`{key}`"), _rows(F.col("_nodes")).alias("_rows")), key)
+
+
+class Undecided(ValueError):
+    """A text of which a JSON parser may say one thing and the engine's another."""
+
+
+#: Longer payloads, numbers and names, and deeper ones, meet limits of the engine's parser.
+MOST_CHARS, MOST_DIGITS, MOST_NAME, MOST_NESTED = 2_000_000, 900, 40_000, 900
+
+
+def _number(kind):
+    def parsed(text):
+        if len(text) > MOST_DIGITS:
+            raise Undecided("number")
+        return kind(text)
+
+    return parsed
+
+
+def _constant(text):
+    raise Undecided(text)
+
+
+def _members(pairs):
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise Undecided("a key twice")
+    return out
+
+
+_DECODE = json.JSONDecoder(object_pairs_hook=_members, parse_int=_number(int), parse_float=_number(float), parse_constant=_constant).decode
+
+
+def _plain_json(text: str):
+    """A JSON text that every parser takes, and takes alike; Undecided for any other."""
+    if len(text) > MOST_CHARS or "\\ud" in text or "\\uD" in text:
+        raise Undecided("size or surrogates")
+    try:
+        value = _DECODE(text)
+    except (ValueError, RecursionError) as e:
+        raise Undecided(str(e)) from None
+    if len(text) > MOST_NAME or text.count("[") + text.count("{") > MOST_NESTED:
+        level, depth = [value], 0
+        while level and depth <= MOST_NESTED:
+            if any(len(k) > MOST_NAME for x in level if isinstance(x, dict) for k in x):
+                raise Undecided("name")
+            level, depth = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)], depth + 1
+        if level:
+            raise Undecided("depth")
+    return value
+
+
+class Collect(Walk):
+    """Notes the leaves that Walk would rewrite."""
+
+    def __init__(self):
+        self.paths, self.texts = [], []
+        super().__init__(self._note)
+
+    def _note(self, path: str, text: str) -> str:
+        self.paths.append(path)
+        self.texts.append(text)
+        return text
+
+    def arguments(self, value, path: str):
+        if not isinstance(value, str):
+            return super().arguments(value, path)
+        self.tree(_plain_json(value), path)
+        return value
+
+    def request(self, text: str) -> None:
+        body = _plain_json(text)
+        if not isinstance(body, dict) or not isinstance(body.get("messages") or [], list):
+            raise Undecided("no request")
+        for i, m in enumerate(body.get("messages") or []):
+            self.message(m, f"messages[{i}]")
+        if body.get("system"):
+            self.content(body["system"], "system")
+
+
+def _collected(batches):
+    """Key, the payload where it is undecided, and the leaves of the others."""
+    for b in batches:
+        walk, stops, left = Collect(), [0], []
+        for text in b.column(1).to_pylist():
+            own = len(walk.paths)
+            left.append(None)
+            try:
+                if text:
+                    walk.request(text)
+            except (Undecided, BadPayload, RecursionError):
+                del walk.paths[own:], walk.texts[own:]
+                left[-1] = text
+            stops.append(len(walk.paths))
+        leaves = pa.StructArray.from_arrays([pa.array(walk.paths, pa.string()), pa.array(walk.texts, pa.string())], names=["path", "raw"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, pa.string()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), leaves)], names=["_key", "_body", "_found"])
+
+
+def collected_leaves(requests: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
+    """The rows of ``request_leaves`` in a fraction of its time, for large tables: ordinary payloads are walked in Arrow
+    batches. Whatever is refused there, or might be read otherwise by the engine's parser, is left to the native walk,
+    which decides."""
+    d = requests.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{body}`").cast("string").alias("_body"))
+    d = d.mapInArrow(_collected, f"_key {dict(d.dtypes)['_key']}, _body string, _found array<struct<path:string,raw:string>>")
+    native = spans.let(leaf_nodes(F.col("_body")), _rows)
+    return _exploded(d.select(F.col("_key").alias(key), F.when(F.col("_body").isNull(), F.transform("_found", _row)).otherwise(native).alias("_rows")), key)
 
 
 def _put(pairs: list | None, reverse: bool) -> Callable[[str, str], str]:

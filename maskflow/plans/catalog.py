@@ -524,7 +524,7 @@ def _bodies(t) -> DataFrame:
 
 @query("""SELECT conv_id AS request_id, sha256(text) AS text_sha256 FROM conversations UNION ALL SELECT DISTINCT conv_id, sha256('be brief') FROM conversations""")
 def request_leaves(t):
-    return leaves.request_leaves(_bodies(t)).select("request_id", F.sha2("text", 256).alias("text_sha256"))
+    return leaves.collected_leaves(_bodies(t)).select("request_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("""SELECT event_id, 'messages[0].content[0].input.' || path AS path, event_type AS text FROM events, (VALUES ('a'), ('b[0]'), ('c.d'), ('c.e[0][0]')) v(path)""")
@@ -533,7 +533,7 @@ def json_leaves(t):
     tree = F.struct(x.alias("a"), F.array(x).alias("b"), F.struct(x.alias("d"), F.array(F.array(x)).alias("e"), F.col("event_id").alias("n")).alias("c"))
     block = F.struct(F.lit("tool_use").alias("type"), tree.alias("input"))
     body = F.to_json(F.struct(F.array(F.struct(F.array(block).alias("content"))).alias("messages")))
-    return leaves.request_leaves(t("events").select("event_id", body.alias("body")), "event_id").select("event_id", "path", "text")
+    return leaves.collected_leaves(t("events").select("event_id", body.alias("body")), "event_id").select("event_id", "path", "text")
 
 
 VERBS = ("click", "error", "purchase", "signup", "view")
