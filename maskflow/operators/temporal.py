@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: Length of the slices of time that a key's rows are dealt out by.
 SLICE_SECONDS = 30 * 86_400
+#: Rows that one task puts in order, about; more rows are more tasks.
+TASK_ROWS = 500_000
 
 
 def as_of(rows: DataFrame, versions: DataFrame, key: str, at: Column, since: str = "since", out: str = "version", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
@@ -17,18 +19,18 @@ def as_of(rows: DataFrame, versions: DataFrame, key: str, at: Column, since: str
     Both sides are sorted together within a key and a slice of time, and a version is carried forward; what held at a
     slice's begin comes from a table of each slice's last version, which is short. So a hot key is as many tasks as it
     has slices, and no row meets more than one version. Of versions that begin at once the greatest holds."""
-    names = rows.columns
+    names, spark = rows.columns, rows.sparkSession
     width = F.lit(slice_seconds * 1_000_000).cast("long")
     sliced = lambda c: F.floor(F.unix_micros(c) / width).cast("long")
     held = F.struct(*[F.col(f"`{c}`") for c in versions.columns])
     v = versions.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{since}`").cast("timestamp").alias("_t"), held.alias("_v")).where("_k is not null and _t is not null").withColumn("_s", sliced(F.col("_t")))
     r = rows.select(F.col(f"`{key}`").alias("_k"), at.cast("timestamp").alias("_t"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_r")).withColumn("_s", sliced(F.col("_t")))
-    last = v.groupBy("_k", "_s").agg(F.max(F.struct("_t", "_v"))["_v"].alias("_last"))
-    met = last.select("_k", "_s", "_last").unionByName(r.where("_k is not null and _t is not null").select("_k", "_s").distinct(), allowMissingColumns=True)
-    met = met.groupBy("_k", "_s").agg(F.max("_last").alias("_last"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(rows.count() + versions.count()) // TASK_ROWS))
+    met = v.select("_k", "_s", F.struct("_t", "_v").alias("_last")).unionByName(r.where("_k is not null and _t is not null").select("_k", "_s"), allowMissingColumns=True)
+    met = met.repartition(tasks, "_k", "_s").groupBy("_k", "_s").agg(F.max("_last")["_v"].alias("_last")).repartition(tasks, "_k")
     earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     carried = met.select("_k", "_s", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    both = v.select("_k", "_s", "_t", F.lit(0).alias("_side"), "_v").unionByName(r.select("_k", "_s", "_t", F.lit(1).alias("_side"), "_r"), allowMissingColumns=True)
+    both = v.select("_k", "_s", "_t", F.lit(0).alias("_side"), "_v").unionByName(r.select("_k", "_s", "_t", F.lit(1).alias("_side"), "_r"), allowMissingColumns=True).repartition(tasks, "_k", "_s")
     so_far = Window.partitionBy("_k", "_s").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = both.withColumn("_own", F.last("_v", ignorenulls=True).over(so_far)).where("_side = 1")
     d = d.join(carried, ["_k", "_s"], "left")

@@ -33,6 +33,22 @@ def test_as_of(spark, slice_seconds):
     assert temporal.as_of(r.where("false"), v, "token", F.col("ts")).count() == 0
 
 
+def test_as_of_takes_more_tasks_for_more_rows(spark, monkeypatch):
+    """However few parts the versions come in, no task puts all of them in order."""
+    monkeypatch.setattr(temporal, "TASK_ROWS", 500, raising=False)
+    keys = spark.range(0, 2000, 1, 1).withColumnRenamed("id", "k")
+    versions = keys.select("k", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("no")).withColumn("since", F.timestamp_seconds(F.col("no") * 5_000_000))
+    got = temporal.as_of(keys.withColumn("ts", F.timestamp_seconds(F.lit(12_000_000) + F.col("k"))), versions, "k", F.col("ts"))
+    assert got.where("version.no = 2").count() == 2000
+    plan = got._jdf.queryExecution().sparkPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    exchanges = [(i, depth(line)) for i, line in enumerate(plan) if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" in line]
+    sorts = [i for i, line in enumerate(plan) if "Aggregate(" in line or "Window" in line]
+    # every aggregate and window stands above a deal by number, and none below the first of its branch
+    assert len(exchanges) == 3 and all("28" in plan[i] for i, _ in exchanges)
+    assert all(any(i < j and depth(plan[i]) < d for j, d in exchanges) for i in sorts) and sorts
+
+
 def test_tokens_as_of_a_lag(spark):
     versions = [("t", T0, False), ("t", T0 + timedelta(minutes=10), True), ("t", T0 + timedelta(minutes=20), False)]
     v = spark.createDataFrame(versions, "token string, since timestamp, revoked boolean")
