@@ -16,8 +16,12 @@ BROADCAST_CHARS = 8_000_000
 ANCHOR, FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 24, 1 << 29
 #: A pattern of many numbers is dealt to a task for each so many of them, up to the most.
 HOT, MOST_PARTS = 64, 64
+#: Of every so many texts one tells which patterns texts hold often: those that so many of them hold.
+LOOK, OFTEN = 8, 4
 #: Texts of up to so many characters in all are looked through at once.
 BLOCK_CHARS = 1 << 17
+#: So many pieces found, or few more, go on at once.
+BATCH_ROWS = 1 << 16
 #: Shifts of a hash that give its places in the filter: for a whole pattern, and for a pattern's first piece.
 WHOLE, FIRST = (0, 17, 34), (34,)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -32,7 +36,9 @@ def hits(texts: DataFrame, patterns: DataFrame, key: str, team: str = "team_id",
     twice as many and so on pass a filter of the patterns' first pieces, its pieces of every length that a pattern has
     are put to a filter of whole patterns, and those that pass travel, once for each text, to an equi-join on (team, piece). Texts don't travel,
     and what is found is not shuffled unless a key or a number stands twice. The filters only save work: when they are
-    full, more pieces travel, and none is lost."""
+    full, more pieces travel, and none is lost. Nor do pieces travel that many texts hold: their patterns, the most
+    held of up to BROADCAST_CHARS characters, go to every task and are met there. Some texts tell which those are; all
+    texts are looked through for all patterns, by one way or the other."""
     p = patterns.select(F.col(f"`{team}`").alias("_team"), F.col(f"`{pattern_no}`").alias("_no"), F.col(f"`{pattern}`").alias("_pattern")).where("_team is not null and _pattern <> ''")
     t = texts.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{team}`").alias("_team"), F.col(f"`{text}`").alias("_text")).where("_team is not null and _text <> ''")
     size = p.agg(F.sum(F.length("_pattern") + 8)).first()[0] or 0
@@ -130,9 +136,9 @@ def _filter(p: DataFrame, patterns: int, lengths: list[int]) -> tuple[int, np.nd
     return bits, table.view(np.uint64)
 
 
-def _by_pieces(t: DataFrame, p: DataFrame) -> DataFrame:
+def _held(t: DataFrame, p: DataFrame) -> DataFrame:
+    """_key, _team, _pattern of a text's pieces that pass the filters of the patterns, each once."""
     spark, kinds = t.sparkSession, dict(t.dtypes)
-    p = written(p.distinct(), "patterns")
     told = p.agg(F.count("*").alias("n"), F.collect_set(F.length("_pattern")).alias("lengths")).first()
     lengths = sorted(told.lengths)
     sent = spark.sparkContext.broadcast((lengths, *_filter(p, told.n, lengths)))
@@ -164,23 +170,56 @@ def _by_pieces(t: DataFrame, p: DataFrame) -> DataFrame:
                 out.update((i, joined[a : a + n]) for i, a in zip(np.searchsorted(stops, at, "right").tolist(), at.tolist()))
             return out
 
+        def together(b, out):
+            """Texts of a piece side by side, as their rows then take less room wherever they are written."""
+            found = pa.array([x for _, x in out], pa.string())
+            order = pa.array(np.argsort(found.dictionary_encode().indices.to_numpy(), kind="stable"))
+            rows = pa.array([i for i, _ in out], pa.int32()).take(order)
+            return pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), found.take(order)], names=["_key", "_team", "_pattern"])
+
         for b in batches:
-            texts, a = b.column(2).to_pylist(), 0
+            texts, a, out = b.column(2).to_pylist(), 0, []
             while a < len(texts):
                 z, size = a + 1, len(texts[a])
                 while z < len(texts) and size + len(texts[z]) <= BLOCK_CHARS:
                     size += len(texts[z])
                     z += 1
-                out = list(found(texts[a:z]))
-                rows = pa.array([a + i for i, _ in out], pa.int32())
+                out += [(a + i, x) for i, x in found(texts[a:z])]
                 a = z
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([x for _, x in out], pa.string())], names=["_key", "_team", "_pattern"])
+                if len(out) >= BATCH_ROWS or a == len(texts):
+                    yield together(b, out)
+                    out = []
+
+    return t.select("_key", "_team", "_text").mapInArrow(pieces, f"_key {kinds['_key']}, _team {kinds['_team']}, _pattern string")
+
 
-    held = t.select("_key", "_team", "_text").mapInArrow(pieces, f"_key {kinds['_key']}, _team {kinds['_team']}, _pattern string")
+def _often(t: DataFrame, p: DataFrame) -> DataFrame:
+    """_team, _pattern of the pieces that most texts hold, as one of LOOK texts tell; their patterns are of up to
+    BROADCAST_CHARS characters."""
+    seen = _held(t.where(F.pmod(F.xxhash64("_key"), F.lit(LOOK)) == 0), p).groupBy("_team", "_pattern").agg(F.count("*").alias("_texts")).where(F.col("_texts") >= OFTEN)
+    own = p.groupBy("_team", "_pattern").agg(F.count("*").alias("_n"))
+    # a piece that only other teams look for has no pattern here, and need not travel either
+    seen = written(seen.join(own, ["_team", "_pattern"], "left").select("_team", "_pattern", "_texts", ((F.length("_pattern") + 8) * F.greatest(F.lit(1), F.coalesce("_n", F.lit(0)))).alias("_size")), "often")
+    left, least, step = BROADCAST_CHARS, 1 << 62, F.floor(F.log2("_texts") * 4)
+    for r in seen.groupBy(step.alias("step")).agg(F.sum("_size").alias("size")).orderBy(F.desc("step")).collect():
+        left -= r.size
+        if left < 0:
+            break
+        least = r.step
+    return seen.where(step >= least).select("_team", "_pattern")
+
+
+def _by_pieces(t: DataFrame, p: DataFrame) -> DataFrame:
+    p = written(p.distinct(), "patterns")
+    often = F.broadcast(_often(t, p))
+    there, rest = (p.join(often, ["_team", "_pattern"], how) for how in ("left_semi", "left_anti"))
+    numbers = there.groupBy("_team", "_pattern").agg(F.collect_list(F.struct("_no")).alias("_numbers"))
+    at_once = _held(t, there).join(F.broadcast(numbers), ["_team", "_pattern"]).select("_key", F.inline("_numbers"))
     # a pattern of many numbers goes to many tasks, each with some of the texts
-    hot = p.groupBy("_team", "_pattern").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * HOT).select("_team", "_pattern", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / HOT)).cast("int").alias("_parts"))
+    hot = rest.groupBy("_team", "_pattern").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * HOT).select("_team", "_pattern", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / HOT)).cast("int").alias("_parts"))
     parts = lambda d: d.join(F.broadcast(hot), ["_team", "_pattern"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    held = parts(held).withColumn("_part", F.pmod(F.xxhash64("_key"), "_parts").cast("int"))
-    met = held.join(parts(p).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))), ["_team", "_pattern", "_part"]).select("_key", "_no")
+    held = parts(_held(t, rest).join(often, ["_team", "_pattern"], "left_anti")).withColumn("_part", F.pmod(F.xxhash64("_key"), "_parts").cast("int"))
+    travelled = held.join(parts(rest).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))), ["_team", "_pattern", "_part"]).select("_key", "_no")
     once = t.groupBy("_key").count().where("count > 1").isEmpty() and p.groupBy("_no").count().where("count > 1").isEmpty()
+    met = at_once.unionByName(travelled)
     return met if once else met.distinct()

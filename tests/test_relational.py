@@ -125,6 +125,37 @@ def test_keyed_patterns_send_no_texts(spark, repeated):
     assert repeated or not any("_key" in x for x in moved if "Aggregate" in x)
 
 
+def _moved(spark) -> int:
+    """Rows that all stages so far have written for shuffles."""
+    jvm = spark.sparkContext._gateway.jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_patterns_that_many_texts_hold_do_not_travel(spark, request, monkeypatch):
+    """Twice the texts and the patterns are four times the hits, but twice what is shuffled."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    moved = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    for n in (300, 600):
+        common = [word(10 + i % 5) for i in range(n // 10)]
+        texts = [(i, "t1", word(60) + "|".join(common)) for i in range(n)] + [(n + i, "t2", common[0]) for i in range(n)]
+        patterns = [("t1", i, x) for i, x in enumerate(common)] + [("t1", n + i, x[:15]) for i, (_, _, x) in enumerate(texts[:n])] + [("t1", 3 * n, common[0]), ("t2", 3 * n + 1, common[0][1:])]
+        t = spark.createDataFrame(texts, "k long, team_id string, text string").repartition(3)
+        p = spark.createDataFrame(patterns, "team_id string, pattern_no int, pattern string").repartition(3)
+        before = _moved(spark)
+        got = [tuple(r) for r in pattern_table.hits(t, p, "k", most=0).collect()]
+        moved.append(_moved(spark) - before)
+        want = {(k, no) for k, team, x in texts for u, no, y in patterns if team == u and y in x}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > n * n / 10
+    assert moved[1] < 2.5 * moved[0], moved
+    monkeypatch.setattr(pattern_table, "BROADCAST_CHARS", 400)  # too little for all of them
+    assert sorted(tuple(r) for r in pattern_table.hits(t, p, "k", most=0).collect()) == sorted(want)
+
+
 def test_sessions(spark):
     rows = [("a", 0), ("a", 59), ("a", 119), ("a", 180), ("b", 5), (None, 1)]
     d = spark.createDataFrame([(k, T0 + timedelta(minutes=m)) for k, m in rows], "k string, ts timestamp")
