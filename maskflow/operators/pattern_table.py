@@ -160,8 +160,9 @@ def _held(t: DataFrame, p: DataFrame) -> DataFrame:
             joined, sizes = "".join(texts), np.array([len(x) for x in texts], np.int64)
             stops, sums, begins, out = np.cumsum(sizes), w.sums(joined), {}, set()
             left = np.repeat(stops, sizes) - np.arange(len(joined))
+            everywhere = np.arange(len(joined))
             for n in lengths:
-                at = np.arange(len(joined))
+                at = everywhere
                 for f in firsts(n):
                     if f not in begins:
                         begins[f] = passing(sums, at[left[at] >= f], f, FIRST)
