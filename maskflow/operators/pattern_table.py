@@ -20,8 +20,12 @@ HOT, MOST_PARTS = 64, 64
 LOOK, OFTEN = 8, 4
 #: Texts of up to so many characters in all are looked through at once.
 BLOCK_CHARS = 1 << 17
-#: So many pieces found, or few more, go on at once.
-BATCH_ROWS = 1 << 16
+#: So many pieces found, or of so many characters in all, or few more, go on at once.
+BATCH_ROWS, BATCH_CHARS = 1 << 18, 1 << 25
+#: Of a piece at most so many texts make a row, and meet so many numbers at once; of such rows so many go on at once.
+RUN_KEYS, RUN, SENT_ROWS = 1 << 5, 1 << 9, 1 << 12
+#: Of what is met at once a task makes about so many rows.
+TASK_ROWS = 1 << 24
 #: Shifts of a hash that give its places in the filter: for a whole pattern, and for a pattern's first piece.
 WHOLE, FIRST = (0, 17, 34), (34,)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -38,7 +42,11 @@ def hits(texts: DataFrame, patterns: DataFrame, key: str, team: str = "team_id",
     and what is found is not shuffled unless a key or a number stands twice. The filters only save work: when they are
     full, more pieces travel, and none is lost. Nor do pieces travel that many texts hold: their patterns, the most
     held of up to BROADCAST_CHARS characters, go to every task and are met there. Some texts tell which those are; all
-    texts are looked through for all patterns, by one way or the other."""
+    texts are looked through for all patterns, by one way or the other.
+
+    A pattern of n numbers that m texts hold makes n * m rows. Where it is met at once they come as runs of RUN
+    numbers, dealt to tasks by run, each for one text after the other: so the runs repeat within a page of a file, and a
+    row takes a small part of a byte there."""
     p = patterns.select(F.col(f"`{team}`").alias("_team"), F.col(f"`{pattern_no}`").alias("_no"), F.col(f"`{pattern}`").alias("_pattern")).where("_team is not null and _pattern <> ''")
     t = texts.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{team}`").alias("_team"), F.col(f"`{text}`").alias("_text")).where("_team is not null and _text <> ''")
     size = p.agg(F.sum(F.length("_pattern") + 8)).first()[0] or 0
@@ -136,15 +144,16 @@ def _filter(p: DataFrame, patterns: int, lengths: list[int]) -> tuple[int, np.nd
     return bits, table.view(np.uint64)
 
 
-def _held(t: DataFrame, p: DataFrame) -> DataFrame:
-    """_key, _team, _pattern of a text's pieces that pass the filters of the patterns, each once."""
+def _held(t: DataFrame, p: DataFrame, runs: dict[str, int] | None = None) -> DataFrame:
+    """_keys, _team, _pattern, _run of the texts' pieces that pass the filters of the patterns, each once for a text and
+    each of the runs that the pattern's numbers are in (one, unless ``runs`` says more)."""
     spark, kinds = t.sparkSession, dict(t.dtypes)
     told = p.agg(F.count("*").alias("n"), F.collect_set(F.length("_pattern")).alias("lengths")).first()
     lengths = sorted(told.lengths)
-    sent = spark.sparkContext.broadcast((lengths, *_filter(p, told.n, lengths)))
+    sent = spark.sparkContext.broadcast((lengths, *_filter(p, told.n, lengths), runs or {}))
 
     def pieces(batches):
-        lengths, bits, table = sent.value
+        lengths, bits, table, runs = sent.value
         w = Windows()
 
         def passing(sums, at, n, shifts):
@@ -171,33 +180,51 @@ def _held(t: DataFrame, p: DataFrame) -> DataFrame:
                 out.update((i, joined[a : a + n]) for i, a in zip(np.searchsorted(stops, at, "right").tolist(), at.tolist()))
             return out
 
-        def together(b, out):
-            """Texts of a piece side by side, as their rows then take less room wherever they are written."""
-            found = pa.array([x for _, x in out], pa.string())
-            order = pa.array(np.argsort(found.dictionary_encode().indices.to_numpy(), kind="stable"))
-            rows = pa.array([i for i, _ in out], pa.int32()).take(order)
-            return pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), found.take(order)], names=["_key", "_team", "_pattern"])
-
+        def together(held):
+            """Texts of a piece as one row, or a row for each RUN_KEYS of them, and all those once for each run."""
+            keys, teams, found = (x.combine_chunks() for x in pa.Table.from_batches(held).columns)
+            codes = [x.dictionary_encode().indices.to_numpy().astype(np.int64) for x in (found, teams)]
+            _, piece, sizes = np.unique(codes[0] * (codes[1].max() + 1) + codes[1], return_inverse=True, return_counts=True)
+            order = np.argsort(piece, kind="stable")
+            piece = piece[order]
+            first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            starts = np.flatnonzero((np.arange(len(piece)) - np.repeat(first, sizes[piece[first]])) % RUN_KEYS == 0)
+            of = pa.array(order[starts])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(piece)), pa.int32()), keys.take(pa.array(order)))
+            teams, found = teams.take(of), found.take(of)
+            times = np.array([runs.get(x, 1) for x in found.to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(starts)), times)
+            run = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            for a in range(0, len(row), SENT_ROWS):
+                of = pa.array(row[a : a + SENT_ROWS])
+                yield pa.RecordBatch.from_arrays([lists.take(of), teams.take(of), found.take(of), pa.array(run[a : a + SENT_ROWS], pa.int32())], names=["_keys", "_team", "_pattern", "_run"])
+
+        held, n, chars = [], 0, 0
         for b in batches:
-            texts, a, out = b.column(2).to_pylist(), 0, []
+            texts, a = b.column(2).to_pylist(), 0
             while a < len(texts):
                 z, size = a + 1, len(texts[a])
                 while z < len(texts) and size + len(texts[z]) <= BLOCK_CHARS:
                     size += len(texts[z])
                     z += 1
-                out += [(a + i, x) for i, x in found(texts[a:z])]
+                if out := found(texts[a:z]):
+                    rows = pa.array([a + i for i, _ in out], pa.int32())
+                    held.append(pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([x for _, x in out], pa.string())], names=["_key", "_team", "_pattern"]))
+                    n, chars = n + len(out), chars + sum(len(x) for _, x in out)
                 a = z
-                if len(out) >= BATCH_ROWS or a == len(texts):
-                    yield together(b, out)
-                    out = []
+                if n >= BATCH_ROWS or chars >= BATCH_CHARS:
+                    yield from together(held)
+                    held, n, chars = [], 0, 0
+        if held:
+            yield from together(held)
 
-    return t.select("_key", "_team", "_text").mapInArrow(pieces, f"_key {kinds['_key']}, _team {kinds['_team']}, _pattern string")
+    return t.select("_key", "_team", "_text").mapInArrow(pieces, f"_keys array<{kinds['_key']}>, _team {kinds['_team']}, _pattern string, _run int")
 
 
 def _often(t: DataFrame, p: DataFrame) -> DataFrame:
-    """_team, _pattern of the pieces that most texts hold, as one of LOOK texts tell; their patterns are of up to
-    BROADCAST_CHARS characters."""
-    seen = _held(t.where(F.pmod(F.xxhash64("_key"), F.lit(LOOK)) == 0), p).groupBy("_team", "_pattern").agg(F.count("*").alias("_texts")).where(F.col("_texts") >= OFTEN)
+    """_team, _pattern of the pieces that most texts hold, as one of LOOK texts tell, and _texts of those that do; their
+    patterns are of up to BROADCAST_CHARS characters."""
+    seen = _held(t.where(F.pmod(F.xxhash64("_key"), F.lit(LOOK)) == 0), p).groupBy("_team", "_pattern").agg(F.sum(F.size("_keys")).alias("_texts")).where(F.col("_texts") >= OFTEN)
     own = p.groupBy("_team", "_pattern").agg(F.count("*").alias("_n"))
     # a piece that only other teams look for has no pattern here, and need not travel either
     seen = written(seen.join(own, ["_team", "_pattern"], "left").select("_team", "_pattern", "_texts", ((F.length("_pattern") + 8) * F.greatest(F.lit(1), F.coalesce("_n", F.lit(0)))).alias("_size")), "often")
@@ -207,19 +234,26 @@ def _often(t: DataFrame, p: DataFrame) -> DataFrame:
         if left < 0:
             break
         least = r.step
-    return seen.where(step >= least).select("_team", "_pattern")
+    return seen.where(step >= least).select("_team", "_pattern", "_texts")
 
 
 def _by_pieces(t: DataFrame, p: DataFrame) -> DataFrame:
     p = written(p.distinct(), "patterns")
     often = F.broadcast(_often(t, p))
     there, rest = (p.join(often, ["_team", "_pattern"], how) for how in ("left_semi", "left_anti"))
-    numbers = there.groupBy("_team", "_pattern").agg(F.collect_list(F.struct("_no")).alias("_numbers"))
-    at_once = _held(t, there).join(F.broadcast(numbers), ["_team", "_pattern"]).select("_key", F.inline("_numbers"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("_all"), F.lit(RUN)), lambda a: F.slice("_all", a, F.lit(RUN)))
+    numbers = there.groupBy("_team", "_pattern").agg(F.sort_array(F.collect_list(F.struct("_no"))).alias("_all")).select("_team", "_pattern", F.posexplode(cut).alias("_run", "_numbers"))
+    # a task makes all rows of a row and its match at once, so texts meet a pattern's numbers run by run
+    many = there.groupBy("_team", "_pattern").count().where(F.col("count") > RUN).groupBy("_pattern").agg(F.max("count").alias("n")).collect()
+    tasks = -(-(there.join(often, ["_team", "_pattern"]).agg(F.sum("_texts")).first()[0] or 0) * LOOK // TASK_ROWS)
+    run, tasks = ["_team", "_pattern", "_run"], max(tasks, t.sparkSession.sparkContext.defaultParallelism)
+    at_once = _held(t, there, {r["_pattern"]: -(-r["n"] // RUN) for r in many}).repartition(tasks, *run).sortWithinPartitions(*run)
+    at_once = at_once.join(F.broadcast(numbers), run).select(F.explode("_keys").alias("_key"), "_numbers").select("_key", F.inline("_numbers"))
     # a pattern of many numbers goes to many tasks, each with some of the texts
     hot = rest.groupBy("_team", "_pattern").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * HOT).select("_team", "_pattern", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / HOT)).cast("int").alias("_parts"))
     parts = lambda d: d.join(F.broadcast(hot), ["_team", "_pattern"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    held = parts(_held(t, rest).join(often, ["_team", "_pattern"], "left_anti")).withColumn("_part", F.pmod(F.xxhash64("_key"), "_parts").cast("int"))
+    held = _held(t, rest).join(often, ["_team", "_pattern"], "left_anti").select(F.explode("_keys").alias("_key"), "_team", "_pattern")
+    held = parts(held).withColumn("_part", F.pmod(F.xxhash64("_key"), "_parts").cast("int"))
     travelled = held.join(parts(rest).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))), ["_team", "_pattern", "_part"]).select("_key", "_no")
     once = t.groupBy("_key").count().where("count > 1").isEmpty() and p.groupBy("_no").count().where("count > 1").isEmpty()
     met = at_once.unionByName(travelled)

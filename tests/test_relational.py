@@ -156,6 +156,17 @@ def test_patterns_that_many_texts_hold_do_not_travel(spark, request, monkeypatch
     assert sorted(tuple(r) for r in pattern_table.hits(t, p, "k", most=0).collect()) == sorted(want)
 
 
+def test_rows_of_a_pattern_of_many_numbers_take_little_room(spark, tmp_path):
+    """Where many texts hold a pattern of many numbers, a row takes a small part of a byte in a file."""
+    t = spark.range(90).selectExpr("id * 7 as k", "'t1' as team_id", "concat('text ', id, ' of a common line, and more') as text").coalesce(1)
+    p = spark.range(30_000).selectExpr("'t1' as team_id", "id * 10 as pattern_no", "'a common line' as pattern").union(spark.range(90).selectExpr("'t1'", "id * 10 + 1", "concat('text ', id, ' of')"))
+    pattern_table.hits(t, p, "k", most=0).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    rows = got.count()
+    assert rows == got.distinct().count() == 90 * 30_000 + 90 and got.where("pattern_no % 10 = 1 and k * 10 <> (pattern_no - 1) * 7").isEmpty()
+    assert sum(x.stat().st_size for x in tmp_path.rglob("*.parquet")) < 0.3 * rows
+
+
 def test_sessions(spark):
     rows = [("a", 0), ("a", 59), ("a", 119), ("a", 180), ("b", 5), (None, 1)]
     d = spark.createDataFrame([(k, T0 + timedelta(minutes=m)) for k, m in rows], "k string, ts timestamp")
